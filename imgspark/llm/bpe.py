@@ -33,7 +33,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 UNSURE = regex.compile(r"[^\x00-՗ؠ-يऄ-हก-ฮḀ-ỿ‐-⁤₠-₹℀-⅏←-⏿─-➿ぁ-ゖァ-ヺ一-鿌가-힣！-ﾟ\U0001f300-\U0001f5ff]")
 NEVER = np.int64(1) << 40
 CHUNK_WORDS = 1 << 17
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+BLOCK_CHARS = 1 << 20
+WIDE = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,6 +70,8 @@ class Bpe:
         keys = left[made] * self.size + right[made]
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], self.rank[made][order]
+        self.made_at = np.zeros(len(merges), np.int64)
+        self.made_at[self.rank[made]] = made
         self.merge = dict(zip(self.keys.tolist(), made[order].tolist(), strict=True))
         self.right_edge, self.left_edge = self.edge(right), self.edge(left)
         whole = np.ones(self.size, bool)  # tokens that their own bytes encode to; others are never proposed
@@ -129,6 +133,42 @@ class Bpe:
             ids = out
         return ids
 
+    def exact_many(self, words: list[bytes]) -> list[list[int]]:
+        """exact() for words of up to WIDE bytes at once: in each round every row makes its next merge."""
+        n, width = len(words), max(map(len, words))
+        lens = np.fromiter(map(len, words), np.int64, n)
+        byte_ids = np.array([self.by_bytes[bytes([i])] for i in range(256)])
+        ids = np.full((n, width), -1, np.int64)
+        ids[np.arange(width) < lens[:, None]] = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((n, width), NEVER)  # of the pair that begins here
+        rank[:, :-1] = self.pair_rank(ids[:, :-1], ids[:, 1:])
+        rows, out, place = np.arange(n), [None] * n, np.arange(width)
+        while True:
+            at = rank.argmin(axis=1)  # the leftmost of the lowest
+            k = np.arange(len(rows))
+            go = rank[k, at] < NEVER
+            for i in np.nonzero(~go)[0].tolist():
+                out[rows[i]] = ids[i][ids[i] >= 0].tolist()
+            if not go.any():
+                return out
+            rows, ids, rank, at = rows[go], ids[go], rank[go], at[go]
+            k = np.arange(len(rows))
+            ids[k, at] = self.made_at[rank[k, at]]
+            after = np.minimum(place + (place > at[:, None]), width - 1)
+            last = ids[:, -1].copy()
+            ids, rank = np.take_along_axis(ids, after, 1), np.take_along_axis(rank, after, 1)
+            ids[:, -1] = np.where(at == width - 1, last, -1)
+            rank[:, -1] = NEVER
+            following = ids[k, np.minimum(at + 1, width - 1)]
+            rank[k, at] = np.where(at + 1 < width, self.pair_rank(ids[k, at], following), NEVER)
+            before = np.maximum(at - 1, 0)
+            rank[k, before] = np.where(at > 0, self.pair_rank(ids[k, before], ids[k, at]), rank[k, before])
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a >= 0) & (b >= 0), a * self.size + b, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_rank[at], NEVER)
+
     def greedy(self, word: bytes) -> list[int]:
         out, i, find, n = [], 0, self.propose.get, len(word)
         while i < n:
@@ -150,9 +190,16 @@ class Bpe:
         pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         bad = (self.crossing(pairs // self.size, pairs % self.size) < NEVER)[back]
         failing = np.unique(of[inner[bad]]).tolist()
+        short = [i for i in failing if len(raw[i]) <= WIDE]
+        for some in (short[j : j + 2048] for j in range(0, len(short), 2048)):
+            for i, c in zip(some, self.exact_many([raw[i] for i in some]), strict=True):
+                covers[i] = c
         for i in failing:
-            covers[i] = self.exact(raw[i])
-        self.cache.update((w, np.array(c, "<u4").tobytes()) for w, c in zip(words, covers, strict=True))
+            if len(raw[i]) > WIDE:
+                covers[i] = self.exact(raw[i])
+        packed = np.fromiter((t for c in covers for t in c), "<u4").tobytes()
+        ends = (4 * np.cumsum([len(c) for c in covers])).tolist()
+        self.cache.update((w, packed[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
         return len(failing)
 
     def word_lists(self, text: str) -> Iterator[list[str]]:
@@ -167,20 +214,51 @@ class Bpe:
         else:
             yield from map(list, batched((m.group() for m in self.split.finditer(text)), CHUNK_WORDS))
 
+    def pieces(self, text: str) -> Iterator[list[str] | int]:
+        """Lists of words, and the ids of special tokens between them."""
+        at = 0
+        for m in self.at_special.finditer(text):
+            yield from self.word_lists(text[at : m.start()])
+            yield self.special[m.group()]
+            at = m.end()
+        yield from self.word_lists(text[at:] if at else text)
+
+    def know(self, lists: list[list[str]]) -> None:
+        """Have all words of these lists in the cache."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        if new := list(dict.fromkeys(w for words in lists for w in words if w not in self.cache)):
+            self.learn(new)
+
+    def pack(self, piece: list[str] | int) -> bytes:
+        return np.array([piece], "<u4").tobytes() if isinstance(piece, int) else b"".join(map(self.cache.__getitem__, piece))
+
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids in pieces, packed as little-endian unsigned 32-bit integers."""
-        at = 0
-        for m in [*self.at_special.finditer(text), None]:
-            for words in self.word_lists(text[at : m.start() if m else len(text)]):
-                if new := [w for w in dict.fromkeys(words) if w not in self.cache]:
-                    if len(self.cache) > CACHE_WORDS:
-                        self.cache.clear()
-                        new = list(dict.fromkeys(words))
-                    self.learn(new)
-                yield b"".join(map(self.cache.__getitem__, words))
-            if m:
-                at = m.end()
-                yield np.array([self.special[m.group()]], "<u4").tobytes()
+        for piece in self.pieces(text):
+            if not isinstance(piece, int):
+                self.know([piece])
+            yield self.pack(piece)
+
+    def encode_all(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """encode() of each text; short texts are learned in blocks, so that the pairs of many words are tested at once."""
+        block, chars = [], 0
+        for text in texts:
+            if chars + len(text) > BLOCK_CHARS and block:
+                yield from self.block(block)
+                block, chars = [], 0
+            if len(text) > BLOCK_CHARS:
+                yield self.encode(text)
+            else:
+                block.append(text)
+                chars += len(text)
+        yield from self.block(block)
+
+    def block(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        split = [list(self.pieces(t)) for t in texts]
+        self.know([p for pieces in split for p in pieces if not isinstance(p, int)])
+        for pieces in split:
+            yield map(self.pack, pieces)
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
@@ -191,9 +269,9 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _digests(b: Bpe, text: str | None) -> tuple[int, str, str]:
+def _digests(b: Bpe, encoded: Iterator[bytes]) -> tuple[int, str, str]:
     ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-    for piece in b.encode(text or ""):  # pieces end with words, so with whole characters
+    for piece in encoded:  # pieces end with words, so with whole characters
         n += len(piece) // 4
         ids.update(piece)
         decoded.update(b.decode(piece).encode())
@@ -208,7 +286,7 @@ def bpe_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bpe(path)
         for batch in batches:
-            found = [_digests(b, t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [_digests(b, e) for e in b.encode_all([t.as_py() or "" for t in batch.column(batch.num_columns - 1)])]
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
