@@ -94,4 +94,6 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
     d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_chars_kept") >= min_kept_percent * F.col("n_chars_lines")))
+    # a caller's filter is not pushed below this generator, where the whole analysis would be repeated for it
+    d = d.select("carried", F.inline(F.array(F.struct(*out))))
     return d.select(*unpacked(docs, out), *out)
