@@ -142,3 +142,16 @@ def test_secret_models_on_held_out_strings(spark, sf_dir):
     caught = sum(got[i] > 0 for i in range(200))
     wrong = sum(got[i] > 0 for i in range(200, 200 + len(names)))
     assert caught >= 190 and wrong <= 5, (caught, wrong)
+
+
+def test_merging_in_bulk_equals_merging_word_by_word(b):
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.choice(list(b"abetheroning  123\xc3\xa9"), size=int(n))) for n in rng.integers(1, B.WIDE + 1, 2000)] + [b"a" * n for n in range(1, B.WIDE + 1)]
+    assert b.exact_many(words) == [b.exact(w) for w in words]
+
+
+def test_a_filter_on_the_verdict_repeats_no_work(spark):
+    d = docs(spark, EDGE * 3)
+    kept = Q.quality_rules(d).filter("kept").select("doc_id")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") <= 2 and kept.count() == Q.quality_rules(d).where("kept").count()
