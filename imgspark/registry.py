@@ -2,5 +2,168 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from .functions import manifest as M
+from .operators import edits as E
+from .operators import manifest as O
+from .operators import pixels as P
+from .operators import progress as G
+from .sources import derived as D
+
+EXT = "['" + "','".join(D.EXTENSIONS) + "']"
+MIME = "['" + "','".join(D.MIMES) + "']"
+MANIFEST = f"""manifest AS (SELECT doc_id AS image_id, doc_id AS seq, doc_id % 8 AS job_id,
+ CASE WHEN doc_id % 97 = 0 THEN 'raw' ELSE 'img.' || (doc_id // 16) || '.' || {EXT}[doc_id % 10 + 1] END AS name, {MIME}[doc_id % 10 + 1] AS mime,
+ n_chars * 1237 + doc_id AS size_bytes, CAST(16 + doc_id * 37 % 6000 AS INT) AS width, CAST(16 + doc_id * 53 % 4000 AS INT) AS height FROM documents)"""
+RAW = f"(list_contains({M.RAW_EXTENSIONS!r}, lower(split_part(name, '.', -1))) OR regexp_matches(mime, '{M.RAW_MIME}'))"
+ACCEPTED = f"accepted AS (SELECT *, {RAW} AS raw FROM manifest WHERE mime LIKE 'image/%' OR {RAW})"
+value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).upper()
+OPTIONS = "options(job_id, operation, format, percentage, opt_width, opt_height, keep_aspect, quality_percent) AS (VALUES " + ", ".join(f"({', '.join(map(value, o))})" for o in D.OPTIONS) + ")"
+PLAN = f"""{MANIFEST}, {ACCEPTED}, {OPTIONS},
+a AS (SELECT m.*, operation, percentage, opt_width, opt_height, keep_aspect, quality_percent, CASE WHEN mime = 'image/jpg' THEN 'image/jpeg' ELSE mime END AS norm,
+ CASE operation WHEN 'resize' THEN 'original' WHEN 'remove-background' THEN 'png' ELSE format END AS fmt FROM accepted m JOIN options o ON m.job_id = o.job_id),
+b AS (SELECT *, CASE WHEN fmt <> 'original' THEN 'image/' || fmt WHEN raw THEN 'image/jpeg' WHEN norm IN ('image/png', 'image/jpeg', 'image/webp', 'image/avif') THEN norm ELSE 'image/png' END AS out_mime FROM a),
+c AS (SELECT *, CASE WHEN operation = 'remove-background' THEN operation WHEN raw AND fmt = 'png' AND operation <> 'resize' THEN 'raw-16' WHEN raw THEN 'raw-8' WHEN operation = 'convert' AND norm = out_mime THEN 'pass-through' ELSE 're-encode' END AS route,
+ CASE WHEN operation <> 'resize' THEN 1.0::DOUBLE WHEN coalesce(percentage, 0) <> 0 THEN percentage::DOUBLE / 100 ELSE least(CASE WHEN coalesce(opt_width, 0) <> 0 THEN opt_width::DOUBLE / width ELSE 1.0::DOUBLE END, CASE WHEN coalesce(opt_height, 0) <> 0 THEN opt_height::DOUBLE / height ELSE 1.0::DOUBLE END) END AS scale FROM b),
+d AS (SELECT *, regexp_replace(name, '\\.[^/.]+$', '') AS stem, route IN ('pass-through', 'remove-background') AS whole,
+ greatest(1, floor(CASE WHEN keep_aspect OR coalesce(opt_width, 0) = 0 THEN width * scale ELSE opt_width END + 0.5)) AS w,
+ greatest(1, floor(CASE WHEN keep_aspect OR coalesce(opt_height, 0) = 0 THEN height * scale ELSE opt_height END + 0.5)) AS h FROM c),
+plan AS (SELECT image_id, seq, job_id, name, mime, size_bytes, width, height, route, out_mime, CASE WHEN whole THEN NULL ELSE CAST(w AS BIGINT) END AS out_w, CASE WHEN whole THEN NULL ELSE CAST(h AS BIGINT) END AS out_h,
+ CASE route WHEN 'pass-through' THEN name WHEN 'remove-background' THEN stem || '-no-bg.png' ELSE stem || '.' || replace(split_part(out_mime, '/', 2), 'jpeg', 'jpg') END AS out_name,
+ CASE WHEN out_mime = 'image/png' THEN NULL WHEN operation = 'compress' THEN quality_percent::DOUBLE / 100 ELSE 1.0::DOUBLE END AS quality FROM d)"""
+RESULTS = """results AS (SELECT doc_id AS image_id, doc_id % 8 AS job_id, 'img.' || (doc_id // 16) AS name, n_chars * 1237 + doc_id AS original_size,
+ CAST(floor((n_chars * 1237 + doc_id) * (40 + doc_id * 7 % 90) / 100) AS BIGINT) AS output_size, CASE WHEN doc_id % 13 = 0 THEN 'error' ELSE 'done' END AS status,
+ CASE WHEN doc_id % 13 = 0 THEN 'decode failed at ' || (doc_id % 5) END AS error, doc_id * 7919 % 1000003 AS finish_seq FROM documents)"""
+EVENTS = """progress AS (SELECT user_id % 8 AS job_id, user_id AS image_id, event_id, ts, event_id * 37 % 101 AS progress_pct,
+ CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'progress' END AS kind FROM events)"""
+PIXELS = """pixels AS (SELECT vec_id AS image_id, y, x, CAST((vec_id * 37 + x * 9 + y * 5) % 256 AS INT) AS r, CAST((vec_id * 11 + x * 3 + y * 13) % 256 AS INT) AS g, CAST((vec_id * 5 + x * 17 + y * 2) % 256 AS INT) AS b,
+ CASE WHEN vec_id % 11 = 0 AND x < 4 THEN 100 ELSE 255 END AS a,
+ CAST(greatest(0, least(255, 128 + 10 * ((3 + vec_id % 6) * (3 + vec_id % 6) - ((x - 6 - vec_id * 7 % 12) * (x - 6 - vec_id * 7 % 12) + (y - 6 - vec_id * 5 % 12) * (y - 6 - vec_id * 5 % 12))))) AS INT) AS mask
+ FROM embeddings, (SELECT CAST(range AS INT) AS y FROM range(24)), (SELECT CAST(range AS INT) AS x FROM range(24)))"""
+STROKES = """strokes AS (SELECT event_id % 500 AS image_id, user_id AS stroke_id, event_id AS seq, event_id * 13 % 24 AS x, event_id * 29 % 24 AS y, 1 + event_id % 4 AS radius FROM events)"""
+RECTS = "rects AS (SELECT vec_id AS image_id, vec_id % 8 AS l, vec_id % 5 AS t, vec_id % 8 + 14 AS r, vec_id % 5 + 16 AS b FROM embeddings), others AS (SELECT vec_id AS image_id, (vec_id + 4) % 8 AS l, (vec_id + 2) % 5 AS t, (vec_id + 4) % 8 + 14 AS r, (vec_id + 2) % 5 + 16 AS b FROM embeddings)"
+
+
+def with_(*tables: str) -> str:
+    return "WITH " + ", ".join(tables) + " "
+
+
+def rects(spark, sf_dir, shift=0, drop=0):
+    i = F.col("vec_id")
+    left, top = (i + shift) % 8, (i + drop) % 5
+    return D.read(spark, sf_dir, "embeddings").select(i.alias("image_id"), left.alias("l"), top.alias("t"), (left + 14).alias("r"), (top + 16).alias("b"))
+
+
+def planned(s, d):
+    return O.plan(O.accepted(D.manifest(s, d)), D.options(s))
+
+
+def savings_report(s, d):
+    jobs = O.savings_summary(D.results(s, d)).join(O.run_summary(D.results(s, d)).select("job_id", "failed"), "job_id")
+    return jobs.withColumn("saved_text", M.format_bytes(F.col("saved_bytes")))
+
+
+def refined(s, d):
+    edits = D.results(s, d).filter("image_id % 3 = 0").select("image_id", (F.col("output_size") + 7).alias("output_size"))
+    return O.upsert_refinements(D.results(s, d), edits).select("image_id", "job_id", "output_size", "status")
+
+
+def remaining(s, d):
+    done = D.results(s, d).filter("status = 'done'")
+    return O.drop_items(D.manifest(s, d), done).select("image_id", "name")
+
+
+def restored(s, d):
+    m = D.manifest(s, d).select("image_id", "width", "height")
+    half = m.select("image_id", F.floor(F.col("width") / 2).alias("width"), F.floor(F.col("height") / 2).alias("height"))
+    return O.with_restore_source(half, m.filter("image_id % 5 <> 0"))
+
+
+def appended(s, d):
+    m = D.manifest(s, d)
+    return O.append_items(m, m.filter("job_id = 1")).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("total_bytes"))
+
+
+def formatted(s, d):
+    r = D.manifest(s, d)
+    return r.select("image_id", M.format_bytes(F.col("size_bytes")).alias("size_text"), M.format_eta(F.col("image_id") % 500).alias("eta_text"))
+
+
+def votes(s, d):
+    p = D.pixels(s, d)
+    layers = p.select("image_id", "y", "x", F.explode(F.array(F.col("mask").cast("long"), 255 - F.col("mask"), (F.col("mask") * 3 + F.col("image_id")) % 256)).alias("pred"))
+    return P.layer_votes(layers)
+
+
+def light(s, d):
+    from .functions import pixels as X
+
+    p = D.pixels(s, d)
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    return p.select("image_id", "y", "x", F.floor(X.luminance(r, g, b) * 1000 + 0.5).cast("long").alias("luminance_milli"), X.chroma(r, g, b).alias("chroma"), X.color_bucket(r, g, b).alias("bucket"))
+
+
+def sampled(s, d):
+    p = D.strokes(s, d).select("image_id", "seq", "x", "y", (F.col("seq") % 3).alias("label"))
+    return E.sample_prompts(p)
+
+
+def stepped(s, d):
+    m = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c)
+    return E.expand_strokes(D.strokes(s, d).drop("tool")).select("image_id", "stroke_id", "seq", F.col("step").cast("long"), m("at_x"), m("at_y"))
+
+
+def windows(s, d):
+    images = D.manifest(s, d).select("image_id", "width", "height")
+    return E.selection_windows(E.stroke_bounds(D.strokes(s, d)), images)
+
+
+TABLE = {
+    "savings_report": (savings_report, with_(RESULTS) + """SELECT job_id, count(*) FILTER (status = 'done') AS n_results, CAST(sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) AS BIGINT) AS saved_bytes, count(*) FILTER (status = 'error') AS failed,
+ CASE WHEN sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) < 1024 THEN sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) || ' B'
+ WHEN sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) < 1048576 THEN ((sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) * 10 + 512) // 1024 // 10) || '.' || ((sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) * 10 + 512) // 1024 % 10) || ' KB'
+ ELSE ((sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) * 10 + 524288) // 1048576 // 10) || '.' || ((sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) * 10 + 524288) // 1048576 % 10) || ' MB' END AS saved_text FROM results GROUP BY job_id"""),
+    "plan": (planned, "WITH " + PLAN + " SELECT * FROM plan"),
+    "keep_last_by_name": (lambda s, d: O.keep_last(planned(s, d), "job_id", "out_name", "seq").select("image_id", "job_id", "out_name"), "WITH " + PLAN + " SELECT image_id, job_id, out_name FROM plan QUALIFY row_number() OVER (PARTITION BY job_id, out_name ORDER BY seq DESC) = 1"),
+    "queue_summary": (lambda s, d: O.queue_summary(D.manifest(s, d)), with_(MANIFEST) + "SELECT job_id, count(*) AS n_items, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM manifest GROUP BY job_id"),
+    "run_summary": (lambda s, d: O.run_summary(D.results(s, d)), with_(RESULTS) + "SELECT job_id, count(*) FILTER (status <> 'error') AS completed, count(*) FILTER (status = 'error') AS failed, arg_min(name || ': ' || error, finish_seq) FILTER (status = 'error') AS first_failure FROM results GROUP BY job_id"),
+    "remaining_queue": (remaining, with_(MANIFEST, RESULTS) + "SELECT image_id, name FROM manifest WHERE image_id NOT IN (SELECT image_id FROM results WHERE status = 'done')"),
+    "appended_queue": (appended, with_(MANIFEST) + "SELECT job_id, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM (SELECT * FROM manifest UNION ALL SELECT * FROM manifest WHERE job_id = 1) GROUP BY job_id"),
+    "refinement_upsert": (refined, with_(RESULTS) + "SELECT image_id, job_id, CASE WHEN image_id % 3 = 0 THEN output_size + 7 ELSE output_size END AS output_size, status FROM results"),
+    "restore_source": (restored, with_(MANIFEST) + "SELECT image_id, CAST(width // 2 AS BIGINT) AS width, CAST(height // 2 AS BIGINT) AS height, CAST(CASE WHEN image_id % 5 <> 0 THEN width ELSE width // 2 END AS BIGINT) AS source_w, CAST(CASE WHEN image_id % 5 <> 0 THEN height ELSE height // 2 END AS BIGINT) AS source_h FROM manifest"),
+    "size_and_eta_text": (formatted, with_(MANIFEST) + """SELECT image_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN ((size_bytes * 10 + 512) // 1024 // 10) || '.' || ((size_bytes * 10 + 512) // 1024 % 10) || ' KB' ELSE ((size_bytes * 10 + 524288) // 1048576 // 10) || '.' || ((size_bytes * 10 + 524288) // 1048576 % 10) || ' MB' END AS size_text,
+ CASE WHEN image_id % 500 = 0 THEN NULL WHEN image_id % 500 < 60 THEN (image_id % 500) || 's' ELSE ((image_id % 500 + 59) // 60) || ' min' END AS eta_text FROM manifest"""),
+    "batch_progress": (lambda s, d: G.batch_progress(D.manifest(s, d), D.progress_events(s, d), 600), with_(MANIFEST, EVENTS) + """, l AS (SELECT * FROM progress QUALIFY row_number() OVER (PARTITION BY job_id, image_id ORDER BY ts DESC, event_id DESC) = 1),
+ i AS (SELECT m.job_id, coalesce(kind IN ('done', 'failed'), FALSE) AS ended, coalesce(progress_pct, 0) AS pct FROM manifest m LEFT JOIN l USING (job_id, image_id)),
+ j AS (SELECT job_id, count(*) AS total, count(*) FILTER (ended) AS finished, sum(CASE WHEN ended THEN 100 ELSE pct END)::DOUBLE / (count(*) * 100) AS mean FROM i GROUP BY job_id)
+ SELECT job_id, total, finished, CAST(least(99, floor(mean * 100 + 0.5)) AS BIGINT) AS percent, CASE WHEN mean > 0.03 THEN CAST(greatest(0, floor(600 / mean - 600 + 0.5)) AS BIGINT) END AS seconds_left, least(finished + 1, total) AS current FROM j"""),
+    "stalled_items": (lambda s, d: G.stalled_items(D.progress_events(s, d)), with_(EVENTS) + ", g AS (SELECT job_id, image_id, epoch_us(lead(ts) OVER (PARTITION BY job_id, image_id ORDER BY ts, event_id)) - epoch_us(ts) AS silence FROM progress) SELECT job_id, image_id, max(silence) AS longest_us, count(*) AS stalls FROM g WHERE silence > 180000000 GROUP BY ALL"),
+    "overdue_items": (lambda s, d: G.overdue_items(D.progress_events(s, d)), with_(EVENTS) + "SELECT job_id, image_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us FROM progress GROUP BY ALL HAVING epoch_us(max(ts)) - epoch_us(min(ts)) > 90000000"),
+    "light_and_buckets": (light, with_(PIXELS) + "SELECT image_id, y, x, CAST(floor((0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) * 1000 + 0.5) AS BIGINT) AS luminance_milli, greatest(r, g, b) - least(r, g, b) AS chroma, r // 16 + g // 16 * 16 + b // 16 * 256 AS bucket FROM pixels"),
+    "color_histogram": (lambda s, d: P.color_histogram(D.pixels(s, d)), with_(PIXELS) + "SELECT image_id, r // 16 + g // 16 * 16 + b // 16 * 256 AS bucket, count(*) FILTER (mask <= 24) AS bg, count(*) FILTER (mask >= 232) AS fg FROM pixels WHERE a >= 128 AND (mask <= 24 OR mask >= 232) GROUP BY ALL"),
+    "max_pool": (lambda s, d: P.max_pool(D.pixels(s, d), 24, 7), with_(PIXELS) + "SELECT image_id, CAST(floor(y * 7 / 24) AS INT) AS my, CAST(floor(x * 7 / 24) AS INT) AS mx, max(mask) AS mask FROM pixels GROUP BY ALL"),
+    "finished_alpha": (lambda s, d: P.finished_alpha(D.pixels(s, d), F.col("y") < 8), with_(PIXELS) + """, n AS (SELECT *, mask / 255 AS v, y < 8 AS fine FROM pixels), p AS (SELECT *, CAST(CASE WHEN fine THEN CASE WHEN v <= 0.003 THEN 0 WHEN v >= 0.997 THEN 255 ELSE floor(pow(v, 2.2) / (pow(v, 2.2) + pow(1 - v, 2.2)) * 255 + 0.5) END
+ ELSE CASE WHEN v <= 0.015 THEN 0 WHEN v >= 0.985 THEN 255 ELSE floor(pow(v, 4) / (pow(v, 4) + pow(1 - v, 4)) * 255 + 0.5) END END AS INT) AS q FROM n) SELECT image_id, y, x, CAST(floor(q * a / 255 + 0.5) AS INT) AS alpha FROM p"""),
+    "layer_votes": (votes, with_(PIXELS) + """, l AS (SELECT image_id, y, x, unnest([mask::BIGINT, 255 - mask, (mask * 3 + image_id) % 256]) AS pred FROM pixels) SELECT image_id, y, x, count(*) FILTER (pred <= 56) AS bg_votes, bool_or(pred >= 210) AS fg_veto, min(pred) FILTER (pred <= 56) AS lowest_bg FROM l GROUP BY ALL"""),
+    "in_zones": (lambda s, d: P.in_zones(D.pixels(s, d).select("image_id", "y", "x", "mask"), rects(s, d)), with_(PIXELS, RECTS) + "SELECT image_id, y, x, mask FROM pixels p WHERE EXISTS (SELECT 1 FROM rects z WHERE z.image_id = p.image_id AND x >= l AND x < z.r AND y >= t AND y < z.b)"),
+    "duplicate_rects": (lambda s, d: P.drop_duplicate_rects(rects(s, d), rects(s, d, 4, 2)), with_(RECTS) + ", m AS (SELECT c.*, (least(c.r, o.r) - greatest(c.l, o.l)) * (least(c.b, o.b) - greatest(c.t, o.t)) AS shared FROM rects c JOIN others o USING (image_id)) SELECT image_id, l, t, r, b FROM m WHERE NOT (shared / (448 - shared) >= 0.58)"),
+    "intersecting_rects": (lambda s, d: P.keep_intersecting(rects(s, d), rects(s, d, 4, 2).filter("image_id % 2 = 0")), with_(RECTS) + "SELECT c.* FROM rects c JOIN others f USING (image_id) WHERE image_id % 2 = 0 AND c.l < f.r AND f.l < c.r AND c.t < f.b AND f.t < c.b"),
+    "selected_pixels": (lambda s, d: P.selected(D.pixels(s, d)), with_(PIXELS) + "SELECT image_id, y, x FROM pixels WHERE mask >= 128 AND a > 4"),
+    "selection_size": (lambda s, d: P.selection_size(D.pixels(s, d)), with_(PIXELS) + "SELECT image_id, count(*) FILTER (mask >= 128 AND a > 4) AS n_selected FROM pixels GROUP BY image_id"),
+    "summed_area": (lambda s, d: P.box_sums(D.pixels(s, d)), with_(PIXELS) + ", a AS (SELECT image_id, y, x, sum(mask) OVER (PARTITION BY image_id, y ORDER BY x) AS s FROM pixels) SELECT image_id, y, x, CAST(sum(s) OVER (PARTITION BY image_id, x ORDER BY y) AS BIGINT) AS area_sum FROM a"),
+    "stroke_bounds": (lambda s, d: E.stroke_bounds(D.strokes(s, d)), with_(STROKES) + "SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes GROUP BY image_id, stroke_id"),
+    "stroke_steps": (stepped, with_(STROKES) + """, p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM strokes WINDOW w AS (PARTITION BY image_id, stroke_id ORDER BY seq)),
+ q AS (SELECT *, CASE WHEN px IS NULL THEN 0 ELSE CAST(greatest(1, ceil(sqrt((x - px) * (x - px) + (y - py) * (y - py)) / greatest(1.0::DOUBLE, 0.42::DOUBLE * radius))) AS BIGINT) END AS steps FROM p),
+ r AS (SELECT *, unnest(range(CASE WHEN steps = 0 THEN 0 ELSE 1 END, steps + 1)) AS step FROM q)
+ SELECT image_id, stroke_id, seq, step, CAST(floor((CASE WHEN steps = 0 THEN x ELSE px + (x - px) * step / steps END) * 1000 + 0.5) AS BIGINT) AS at_x, CAST(floor((CASE WHEN steps = 0 THEN y ELSE py + (y - py) * step / steps END) * 1000 + 0.5) AS BIGINT) AS at_y FROM r"""),
+    "selection_windows": (windows, with_(STROKES, MANIFEST) + """, b AS (SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes GROUP BY image_id, stroke_id),
+ p AS (SELECT b.*, width, height, floor(greatest(48, 2.5 * radius, 0.22 * greatest(r - l, b - t)) + 0.5) AS pad FROM b JOIN manifest USING (image_id))
+ SELECT image_id, stroke_id, CAST(greatest(0, l - pad) AS BIGINT) AS l, CAST(greatest(0, t - pad) AS BIGINT) AS t, CAST(least(width, r + pad) AS BIGINT) AS r, CAST(least(height, b + pad) AS BIGINT) AS b FROM p"""),
+    "sampled_prompts": (sampled, with_(STROKES) + """, p AS (SELECT image_id, seq, x, y, seq % 3 AS label, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY image_id, seq % 3 <> 0) AS n, CASE WHEN seq % 3 <> 0 THEN 14 ELSE 6 END AS k FROM strokes WINDOW w AS (PARTITION BY image_id, seq % 3 <> 0 ORDER BY seq))
+ SELECT image_id, seq, x, y, label FROM p WHERE n <= k OR list_contains(list_transform(range(k), lambda j: CAST(floor(j * (n - 1) / (k - 1) + 0.5) AS BIGINT)), i)"""),
+    "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
+}
+
+QUERIES = {name: q for name, (q, _) in TABLE.items()}
+ORACLE = {name: sql for name, (_, sql) in TABLE.items() if sql}
