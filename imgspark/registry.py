@@ -9,6 +9,7 @@ from .operators import edits as E
 from .operators import manifest as O
 from .operators import pixels as P
 from .operators import progress as G
+from .operators import rasters as R
 from .sources import derived as D
 
 EXT = "['" + "','".join(D.EXTENSIONS) + "']"
@@ -42,6 +43,9 @@ PIXELS = """pixels AS (SELECT vec_id AS image_id, y, x, CAST((vec_id * 37 + x *
  CAST(greatest(0, least(255, 128 + 10 * ((3 + vec_id % 6) * (3 + vec_id % 6) - ((x - 6 - vec_id * 7 % 12) * (x - 6 - vec_id * 7 % 12) + (y - 6 - vec_id * 5 % 12) * (y - 6 - vec_id * 5 % 12))))) AS INT) AS mask
  FROM embeddings, (SELECT CAST(range AS INT) AS y FROM range(24)), (SELECT CAST(range AS INT) AS x FROM range(24)))"""
 STROKES = """strokes AS (SELECT event_id % 500 AS image_id, user_id AS stroke_id, event_id AS seq, event_id * 13 % 24 AS x, event_id * 29 % 24 AS y, 1 + event_id % 4 AS radius FROM events)"""
+FRAMES = """frames AS (SELECT vec_id AS image_id, y, x, unnest([0, 1, 2]) AS k, unnest([(vec_id * 257 + x * 1021 + y * 509 + (x + y) % 2 * 9000) % 65536, (vec_id * 131 + x * 613 + y * 2039) % 65536, (vec_id * 71 + x * 4093 + y * 97) % 65536]) AS c
+ FROM embeddings, (SELECT CAST(range AS INT) AS y FROM range(24)), (SELECT CAST(range AS INT) AS x FROM range(24)))"""
+DISC = "128 + 10 * ((3 + (vec_id + {s}) % 6) ** 2 - ((x - 6 - (vec_id + {s}) * 7 % 12) ** 2 + (y - 6 - (vec_id + {s}) * 5 % 12) ** 2))"
 RECTS = "rects AS (SELECT vec_id AS image_id, vec_id % 8 AS l, vec_id % 5 AS t, vec_id % 8 + 14 AS r, vec_id % 5 + 16 AS b FROM embeddings), others AS (SELECT vec_id AS image_id, (vec_id + 4) % 8 AS l, (vec_id + 2) % 5 AS t, (vec_id + 4) % 8 + 14 AS r, (vec_id + 2) % 5 + 16 AS b FROM embeddings)"
 
 
@@ -162,6 +166,16 @@ TABLE = {
  SELECT image_id, stroke_id, CAST(greatest(0, l - pad) AS BIGINT) AS l, CAST(greatest(0, t - pad) AS BIGINT) AS t, CAST(least(width, r + pad) AS BIGINT) AS r, CAST(least(height, b + pad) AS BIGINT) AS b FROM p"""),
     "sampled_prompts": (sampled, with_(STROKES) + """, p AS (SELECT image_id, seq, x, y, seq % 3 AS label, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY image_id, seq % 3 <> 0) AS n, CASE WHEN seq % 3 <> 0 THEN 14 ELSE 6 END AS k FROM strokes WINDOW w AS (PARTITION BY image_id, seq % 3 <> 0 ORDER BY seq))
  SELECT image_id, seq, x, y, label FROM p WHERE n <= k OR list_contains(list_transform(range(k), lambda j: CAST(floor(j * (n - 1) / (k - 1) + 0.5) AS BIGINT)), i)"""),
+    "sharpened_frames": (lambda s, d: R.pixel_rows(R.sharpen_frames(D.frames16(s, d))), with_(FRAMES) + """, n AS (SELECT *, coalesce(lag(c) OVER h, c) + coalesce(lead(c) OVER h, c) + coalesce(lag(c) OVER v, c) + coalesce(lead(c) OVER v, c) AS ring FROM frames WINDOW h AS (PARTITION BY image_id, k, y ORDER BY x), v AS (PARTITION BY image_id, k, x ORDER BY y)),
+ o AS (SELECT *, (4 * c + ring)::DOUBLE / 8 AS blur FROM n), p AS (SELECT *, CASE WHEN abs(c - blur) >= 256 THEN greatest(0, least(65535, floor(c + 0.42::DOUBLE * (c - blur) + 0.5))) ELSE c END AS s FROM o)
+ SELECT image_id, y, x, CAST(max(s) FILTER (k = 0) AS INT) AS c0, CAST(max(s) FILTER (k = 1) AS INT) AS c1, CAST(max(s) FILTER (k = 2) AS INT) AS c2 FROM p GROUP BY image_id, y, x"""),
+    "rgba_frames": (lambda s, d: R.pixel_rows(R.to_rgba8(D.frames16(s, d))), with_(FRAMES) + ", p AS (SELECT *, CAST((c + 128) // 257 AS INT) AS s FROM frames) SELECT image_id, y, x, max(s) FILTER (k = 0) AS c0, max(s) FILTER (k = 1) AS c1, max(s) FILTER (k = 2) AS c2 FROM p GROUP BY image_id, y, x"),
+    "mask_components": (lambda s, d: R.components(D.masks(s, d), 128).select("image_id", "area", "min_x", "min_y", "max_x", "max_y", "first_pixel"), f"""WITH RECURSIVE on_ AS (SELECT vec_id AS image_id, y * 24 + x AS p FROM embeddings, (SELECT range AS y FROM range(24)), (SELECT range AS x FROM range(24)) WHERE greatest({DISC.format(s=0)}, {DISC.format(s=3)}) >= 128),
+ e AS (SELECT a.image_id, a.p, b.p AS q FROM on_ a JOIN on_ b ON a.image_id = b.image_id AND abs(a.p % 24 - b.p % 24) <= 1 AND abs(a.p // 24 - b.p // 24) <= 1),
+ r AS (SELECT image_id, p AS root, p FROM on_ WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.image_id = on_.image_id AND e.p = on_.p AND e.q < on_.p) UNION SELECT r.image_id, r.root, e.q FROM r JOIN e ON e.image_id = r.image_id AND e.p = r.p),
+ l AS (SELECT image_id, p, min(root) AS root FROM r GROUP BY image_id, p)
+ SELECT image_id, count(*) AS area, min(p % 24) AS min_x, min(p // 24) AS min_y, max(p % 24) AS max_x, max(p // 24) AS max_y, root AS first_pixel FROM l GROUP BY image_id, root"""),
+    "subject_rects": (lambda s, d: R.subject_rects(R.components(D.masks(s, d), 24), 24, 24, 240, 240), None),
     "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
 }
 

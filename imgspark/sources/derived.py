@@ -76,3 +76,32 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, t in tools.items():
         tool = F.when(F.col("event_type") == kind, t).otherwise(tool)
     return read(spark, sf_dir, "events").select((e % 500).alias("image_id"), F.col("user_id").alias("stroke_id"), e.alias("seq"), (e * 13 % 24).alias("x"), (e * 29 % 24).alias("y"), (1 + e % 4).alias("radius"), tool.alias("tool"))
+
+
+def frames16(spark: SparkSession, sf_dir: str, side: int = 24) -> DataFrame:
+    """A 16-bit frame for each row of embeddings, as raster rows."""
+    import numpy as np
+
+    from ..operators.rasters import RASTER, over_rows, pack
+
+    def make(r: dict) -> list[dict]:
+        y, x = np.mgrid[:side, :side]
+        i = r["vec_id"]
+        c = [i * 257 + x * 1021 + y * 509 + (x + y) % 2 * 9000, i * 131 + x * 613 + y * 2039, i * 71 + x * 4093 + y * 97]
+        return [pack(i, (np.stack(c, axis=-1) % 65536).astype(np.uint16))]
+
+    return over_rows(read(spark, sf_dir, "embeddings").select("vec_id"), RASTER, make)
+
+
+def masks(spark: SparkSession, sf_dir: str, side: int = 24) -> DataFrame:
+    """The mask of pixels() as raster rows, with a second disc."""
+    import numpy as np
+
+    from ..operators.rasters import RASTER, over_rows, pack
+
+    def disc(i: int) -> np.ndarray:
+        y, x = np.mgrid[:side, :side]
+        return np.clip(128 + 10 * ((3 + i % 6) ** 2 - ((x - 6 - i * 7 % 12) ** 2 + (y - 6 - i * 5 % 12) ** 2)), 0, 255)
+
+    make = lambda r: [pack(r["vec_id"], np.maximum(disc(r["vec_id"]), disc(r["vec_id"] + 3)).astype(np.uint8)[..., None])]
+    return over_rows(read(spark, sf_dir, "embeddings").select("vec_id"), RASTER, make)
