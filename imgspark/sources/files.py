@@ -47,7 +47,11 @@ def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         return [r | {"data": (a[..., [2, 1, 0, *range(3, a.shape[2])]] if a.shape[2] >= 3 else a).tobytes()}]
 
     rasters = over_rows(good, "path string, height int, width int, channels int, bits int, data binary", swap)
-    return rasters, images.filter("height <= 0").select(F.col("origin").alias("path"), F.lit("not a picture").alias("error"))
+    # an empty file gives no row at all in the image source, so the failures are the listed files less the decoded ones
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = spark.read.format("binaryFile").load(path).select("path").withColumn("key", plain("path"))
+    bad = listed.join(good.select(plain("path").alias("key")), "key", "left_anti")
+    return rasters, bad.select("path", F.lit("not a picture").alias("error"))
 
 
 def jpeg_candidates(files: DataFrame) -> DataFrame:
