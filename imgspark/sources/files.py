@@ -26,7 +26,9 @@ def _listed(files: DataFrame, batch_id: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
-    """The accepted files of a folder, without their bytes. A file that comes in two batches is two items."""
+    """The accepted files of a folder, without their bytes. A file that comes in two batches is two items.
+
+    Spark's file sources don't list files of no bytes, so these are never items."""
     return _listed(spark.read.format("binaryFile").load(path).drop("content"), batch_id)
 
 
@@ -47,7 +49,7 @@ def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         return [r | {"data": (a[..., [2, 1, 0, *range(3, a.shape[2])]] if a.shape[2] >= 3 else a).tobytes()}]
 
     rasters = over_rows(good, "path string, height int, width int, channels int, bits int, data binary", swap)
-    # an empty file gives no row at all in the image source, so the failures are the listed files less the decoded ones
+    # the failures are the listed files less the decoded ones, whatever the image source does with a file it can't read
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     listed = spark.read.format("binaryFile").load(path).select("path").withColumn("key", plain("path"))
     bad = listed.join(good.select(plain("path").alias("key")), "key", "left_anti")

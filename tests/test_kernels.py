@@ -154,9 +154,9 @@ def test_png_round_trips(spark, tmp_path):
         a = pictures[r.path.rpartition("/")[2].removesuffix(".png")]
         got = rasters.unpack(r.asDict())
         assert (got[..., : a.shape[2]] == a).all()
-    assert good.count() == 3 and bad.count() == 3
+    assert good.count() == 3 and bad.count() == 2  # Spark lists no empty files
     listed = files.read_images(spark, str(tmp_path), "b1")
-    assert sorted(r.name for r in listed.collect()) == ["empty.png", "fake.png", "grey.png", "rgb.png", "rgba.png"]
+    assert sorted(r.name for r in listed.collect()) == ["fake.png", "grey.png", "rgb.png", "rgba.png"]
     assert listed.select("image_id").intersect(files.read_images(spark, str(tmp_path), "b2").select("image_id")).count() == 0
     q = files.stream_images(spark, str(tmp_path), "b1").writeStream.format("memory").queryName("intake").trigger(availableNow=True).start()
     q.awaitTermination(60)
