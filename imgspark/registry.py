@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import manifest as M
 from .operators import edits as E
 from .operators import manifest as O
+from .operators import mattes as T
 from .operators import pixels as P
 from .operators import progress as G
 from .operators import rasters as R
@@ -113,6 +114,31 @@ def sampled(s, d):
     return E.sample_prompts(p)
 
 
+def scored(s, d):
+    p = D.pixels(s, d).filter("image_id % 2 = 0")
+    masks = p.select("image_id", "y", "x", "mask", F.explode(F.array(*[F.struct(F.lit(k).alias("mask_idx"), F.lit(q).alias("quality"), F.lit(t).alias("at")) for k, (q, t) in enumerate(((0.9, 64), (0.8, 128), (0.7, 192)))])).alias("m")).select("image_id", "y", "x", "mask", "m.*").filter("mask >= at")
+    prompts = D.strokes(s, d).select("image_id", "y", "x", (F.col("seq") % 3).alias("label"))
+    best = T.best_mask(T.mask_scores(masks, prompts, rects(s, d)))
+    return best.select("image_id", F.col("mask_idx").cast("long"), "area", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"))
+
+
+def heads(s, d):
+    b = E.stroke_bounds(D.strokes(s, d).withColumn("image_id", F.col("image_id") % 50))
+    return b.select("image_id", F.col("l").alias("min_x"), F.col("r").alias("max_x"), ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).alias("area"), F.col("stroke_id").alias("first_pixel"))
+
+
+def bands(s, d):
+    h = heads(s, d)
+    body = h.groupBy("image_id").agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"))
+    b = T.ownership_bands(T.distinct_heads(h, 24), body)
+    return b.select("image_id", "first_pixel", (F.col("own_l") * 4).cast("long").alias("own_l4"), (F.col("own_r") * 4).cast("long").alias("own_r4"))
+
+
+def replayed(s, d):
+    pictures = D.pictures(s, d)
+    return T.replay_edits(pictures, pictures, D.strokes(s, d)).select("image_id", F.sha2("data", 256).alias("data_sha256"))
+
+
 def stepped(s, d):
     m = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c)
     return E.expand_strokes(D.strokes(s, d).drop("tool")).select("image_id", "stroke_id", "seq", F.col("step").cast("long"), m("at_x"), m("at_y"))
@@ -175,6 +201,22 @@ TABLE = {
  r AS (SELECT image_id, p AS root, p FROM on_ WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.image_id = on_.image_id AND e.p = on_.p AND e.q < on_.p) UNION SELECT r.image_id, r.root, e.q FROM r JOIN e ON e.image_id = r.image_id AND e.p = r.p),
  l AS (SELECT image_id, p, min(root) AS root FROM r GROUP BY image_id, p)
  SELECT image_id, count(*) AS area, min(p % 24) AS min_x, min(p // 24) AS min_y, max(p % 24) AS max_x, max(p // 24) AS max_y, root AS first_pixel FROM l GROUP BY image_id, root"""),
+    "painted_pixels": (lambda s, d: T.painted_pixels(D.pixels(s, d), D.strokes(s, d)), with_(PIXELS, STROKES) + "SELECT image_id, y, x FROM pixels p WHERE a > 4 AND EXISTS (SELECT 1 FROM strokes s WHERE s.image_id = p.image_id AND (p.x + 0.5 - s.x) ** 2 + (p.y + 0.5 - s.y) ** 2 <= greatest(1.5, 0.32 * radius) ** 2)"),
+    "best_candidate_mask": (scored, with_(PIXELS, STROKES, RECTS) + """, k(mask_idx, quality, lim) AS (VALUES (0::BIGINT, 0.9::DOUBLE, 64), (1, 0.8, 128), (2, 0.7, 192)), m AS (SELECT image_id, y, x, mask_idx, quality FROM pixels, k WHERE mask >= lim AND image_id % 2 = 0),
+ a AS (SELECT m.image_id, mask_idx, any_value(quality) AS quality, count(*) AS area, count(*) FILTER (x >= l AND x < r AND y >= t AND y < b) AS inside FROM m JOIN rects USING (image_id) GROUP BY m.image_id, mask_idx),
+ g AS (SELECT image_id, count(*) FILTER (seq % 3 <> 0) AS n_pos, count(*) FILTER (seq % 3 = 0) AS n_neg FROM strokes GROUP BY image_id),
+ h AS (SELECT m.image_id, mask_idx, count(*) FILTER (seq % 3 <> 0) AS pos, count(*) FILTER (seq % 3 = 0) AS neg FROM m JOIN strokes s ON m.image_id = s.image_id AND m.x = s.x AND m.y = s.y GROUP BY ALL),
+ z AS (SELECT a.image_id, a.mask_idx, area, quality + 2.5::DOUBLE * CASE WHEN n_pos > 0 THEN coalesce(pos, 0) / n_pos ELSE 0 END - 3.5::DOUBLE * CASE WHEN n_neg > 0 THEN coalesce(neg, 0) / n_neg ELSE 0 END - 2.25::DOUBLE * (1 - inside / area) AS score
+ FROM a LEFT JOIN g USING (image_id) LEFT JOIN h USING (image_id, mask_idx))
+ SELECT image_id, mask_idx, area, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score_milli FROM z QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, mask_idx) = 1"""),
+    "ownership_bands": (bands, with_(STROKES) + """, h AS (SELECT image_id % 50 AS image_id, min(x - radius) AS min_x, max(x + radius) AS max_x, (max(x + radius) - min(x - radius)) * (max(y + radius) - min(y - radius)) AS area, stroke_id AS first_pixel FROM strokes GROUP BY image_id % 50, stroke_id),
+ o AS (SELECT image_id, min(min_x) AS body_l, max(max_x) + 1 AS body_r FROM h GROUP BY image_id),
+ e AS (SELECT *, (min_x + max_x + 1) / 2 AS center FROM h QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) <= 8),
+ f AS (SELECT *, center - lag(center) OVER (PARTITION BY image_id ORDER BY min_x, area DESC, first_pixel) AS gap FROM e), g AS (SELECT * FROM f WHERE gap IS NULL OR abs(gap) >= 0.035 * 24),
+ b AS (SELECT image_id, first_pixel, coalesce((lag(center) OVER w + center) / 2, body_l) AS l, coalesce((lead(center) OVER w + center) / 2, body_r) AS r FROM g JOIN o USING (image_id) WINDOW w AS (PARTITION BY image_id ORDER BY center, first_pixel))
+ SELECT image_id, first_pixel, CAST(l * 4 AS BIGINT) AS own_l4, CAST(r * 4 AS BIGINT) AS own_r4 FROM b"""),
+    "fused_mattes": (lambda s, d: T.fuse_layers(D.layers(s, d)).select("image_id", F.sha2("data", 256).alias("data_sha256")), None),
+    "replayed_edits": (replayed, None),
     "subject_rects": (lambda s, d: R.subject_rects(R.components(D.masks(s, d), 24), 24, 24, 240, 240), None),
     "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
 }

@@ -105,3 +105,37 @@ def masks(spark: SparkSession, sf_dir: str, side: int = 24) -> DataFrame:
 
     make = lambda r: [pack(r["vec_id"], np.maximum(disc(r["vec_id"]), disc(r["vec_id"] + 3)).astype(np.uint8)[..., None])]
     return over_rows(read(spark, sf_dir, "embeddings").select("vec_id"), RASTER, make)
+
+
+def layers(spark: SparkSession, sf_dir: str, side: int = 24) -> DataFrame:
+    """Three layers for each row of embeddings: the frame, and two crops with bands of their own."""
+    import numpy as np
+
+    from ..operators.rasters import over_rows
+
+    def make(r: dict) -> list[dict]:
+        i = r["vec_id"]
+        v = np.clip(np.floor(128 + 400 * np.array(r["embedding"], np.float32).astype(np.float64)), 0, 255).astype(np.uint8)
+        rects = [(0, 0, side, side, None), (i % 8, i % 5, i % 8 + 14, i % 5 + 16, i % 8 + 2), ((i + 4) % 8, (i + 2) % 5, (i + 4) % 8 + 14, (i + 2) % 5 + 16, (i + 4) % 8 + 2)]
+        return [
+            {"image_id": i, "layer_idx": k, "frame_h": side, "frame_w": side, "l": a, "t": b, "r": c, "b": d, "own_l": o, "own_r": None if o is None else o + 10, "height": 8, "width": 8, "data": np.roll(v, 7 * k).tobytes()}
+            for k, (a, b, c, d, o) in enumerate(rects)
+        ]
+
+    schema = "image_id long, layer_idx int, frame_h int, frame_w int, l int, t int, r int, b int, own_l int, own_r int, height int, width int, data binary"
+    return over_rows(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), schema, make)
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGBA rasters with the masks as alpha."""
+    import numpy as np
+
+    from ..operators.rasters import RASTER, over_rows, pack, unpack
+
+    def make(r: dict) -> list[dict]:
+        m = unpack(r)[..., 0].astype(int)
+        y, x = np.indices(m.shape)
+        i = r["image_id"]
+        return [pack(i, np.stack([(i * 37 + x * 9 + y * 5) % 256, (i * 11 + x * 3 + y * 13) % 256, (i * 5 + x * 17 + y * 2) % 256, m], axis=-1).astype(np.uint8))]
+
+    return over_rows(masks(spark, sf_dir), RASTER, make)
