@@ -64,3 +64,9 @@ def carried(frame: DataFrame, replaced: list[str]) -> Column:
 def unpacked(frame: DataFrame, replaced: list[str]) -> list[Column]:
     """Those columns again; frame is the one that carried() was given."""
     return [F.col(f"carried.`{c}`").alias(c) for c in frame.columns if c not in replaced]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, whole
+from .common import cut, remove, scratch, whole
 
 END = "\r\n"
 #: WARC-Date of records whose table has no capture time.
@@ -143,5 +143,6 @@ def warc_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     raw, lean = scratch(spark, "warc-raw"), scratch(spark, "warc-lean")
     page_archives(pages, raw)
     deduplicate_archives(spark, raw, lean, min_bytes)
+    remove(spark, raw)
     back = read_archives(spark, lean, payloads=False)
     return back.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
