@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from imgspark.llm.bpe import bpe_digests
-from imgspark.llm.common import scratch, table
+from imgspark.llm.common import remove, scratch, table
 from imgspark.llm.exact_dedup import keep_owners
 from imgspark.llm.quality_rules import quality_rules
 from imgspark.llm.queries import tokenizer_path
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    at = scratch(spark, "corpus-pipeline")
+    at, before = scratch(spark, "corpus-pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            remove(spark, f"{at}/{before}")
+        before = name
     return docs
