@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .kernels import RING, half_up, shifted
+from .kernels import RING, component_stats, components, half_up, shifted
 
 #: Predictions that vote for background, and that veto it; votes that clear a pixel.
 BACKGROUND, FOREGROUND, VOTES = 56, 210, 2
@@ -150,3 +150,19 @@ def restore(rgba: np.ndarray, source: np.ndarray, x: float, y: float, radius: fl
     a = over + under
     colour = np.divide(source[..., :3] * over + rgba[..., :3] * under, a, out=np.zeros(rgba[..., :3].shape), where=a > 0)
     return np.clip(np.rint(np.concatenate([colour, a * 255], axis=-1)), 0, 255).astype(np.uint8)
+
+
+def expand_pockets(mask: np.ndarray) -> np.ndarray:
+    """Enclosed background pockets (32 or less, 48 pixels to 1.5% of the mask) are cleared out to 6 pixels, fading until 9."""
+    labels, n = components(mask <= 32)
+    h, w = mask.shape
+    pocket = np.zeros(n + 1, bool)
+    for label, area, x0, y0, x1, y1, _ in component_stats(labels, n):
+        pocket[label] = x0 > 0 and y0 > 0 and x1 < w - 1 and y1 < h - 1 and 48 <= area <= 0.015 * mask.size
+    inside, near = pocket[labels], np.full(mask.shape, np.inf)
+    for dy in range(-9, 10):
+        for dx in range(-9, 10):
+            if (d := np.hypot(dy, dx)) <= 9 and inside.any():
+                near = np.where(shifted(inside, dy, dx, 0).astype(bool), np.minimum(near, d), near)
+    cap = np.where(near <= 6, 0, np.where(near <= 9, half_up((near - 6) / 3 * 255), 255)) if inside.any() else np.full(mask.shape, 255)
+    return np.minimum(mask, cap).astype(np.uint8)

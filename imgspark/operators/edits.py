@@ -61,3 +61,19 @@ def selection_windows(bounds: DataFrame, images: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.col("l") - pad).cast("long").alias("l"), F.greatest(F.lit(0), F.col("t") - pad).cast("long").alias("t"),
         F.least(F.col("width"), F.col("r") + pad).cast("long").alias("r"), F.least(F.col("height"), F.col("b") + pad).cast("long").alias("b"),
     )
+
+
+def negative_prompts(bounds: DataFrame, windows: DataFrame, points: DataFrame, alpha: DataFrame) -> DataFrame:
+    """Eight candidates on a ring 1.8 radii outside each stroke's box; those stay that are in the crop, on alpha above 16, and
+    farther than 1.45 radii from every point of the image's strokes. alpha: image_id, y, x, a. Candidates come in whole pixels."""
+    c = F.col
+    out = F.ceil(1.8 * c("radius"))
+    xs = [c("l") - out, F.floor((c("l") + c("r")) / 2), c("r") + out]
+    ys = [c("t") - out, F.floor((c("t") + c("b")) / 2), c("b") + out]
+    ring = F.array(*[F.struct(F.lit(3 * j + i).alias("place"), xs[i].cast("long").alias("x"), ys[j].cast("long").alias("y")) for j in range(3) for i in range(3) if (i, j) != (1, 1)])
+    found = bounds.select("image_id", "stroke_id", "radius", F.explode(ring).alias("p")).select("image_id", "stroke_id", "radius", "p.*")
+    crop = windows.select("image_id", "stroke_id", *[c(k).alias(f"win_{k}") for k in "ltrb"])
+    found = found.join(crop, ["image_id", "stroke_id"]).filter("x >= win_l and x < win_r and y >= win_t and y < win_b")
+    found = found.join(alpha.filter(c("a") > 16).select("image_id", c("y").cast("long").alias("y"), c("x").cast("long").alias("x")), ["image_id", "y", "x"], "left_semi")
+    near = "c.image_id = s.image_id and (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1.45D * 1.45D * c.radius * c.radius"
+    return found.alias("c").join(points.select("image_id", "x", "y").distinct().alias("s"), F.expr(near), "left_anti").select("image_id", "stroke_id", "place", "x", "y")

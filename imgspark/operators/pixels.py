@@ -77,3 +77,10 @@ def drop_duplicate_rects(candidates: DataFrame, existing: DataFrame) -> DataFram
 def keep_intersecting(rects: DataFrame, focus: DataFrame) -> DataFrame:
     on = "c.image_id = f.image_id and c.l < f.r and f.l < c.r and c.t < f.b and f.t < c.b"
     return rects.alias("c").join(focus.alias("f"), F.expr(on), "left_semi")
+
+
+def apply_selection(pixels: DataFrame, selections: DataFrame) -> DataFrame:
+    """Alpha taken out where a selection (image_id, y, x, mask) covers; half goes to even, as bytes are stored."""
+    s = selections.select("image_id", "y", "x", F.col("mask").alias("taken"))
+    out = F.rint(F.col("a") * (255 - F.coalesce("taken", F.lit(0))) / 255).cast("int")
+    return pixels.join(s, ["image_id", "y", "x"], "left").select("image_id", "y", "x", out.alias("alpha"))

@@ -122,6 +122,13 @@ def scored(s, d):
     return best.select("image_id", F.col("mask_idx").cast("long"), "area", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"))
 
 
+def negatives(s, d):
+    points = D.strokes(s, d)
+    bounds = E.stroke_bounds(points)
+    images = D.read(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(24).alias("width"), F.lit(24).alias("height"))
+    return E.negative_prompts(bounds, E.selection_windows(bounds, images), points, D.pixels(s, d).select("image_id", "y", "x", F.col("mask").alias("a")))
+
+
 def heads(s, d):
     b = E.stroke_bounds(D.strokes(s, d).withColumn("image_id", F.col("image_id") % 50))
     return b.select("image_id", F.col("l").alias("min_x"), F.col("r").alias("max_x"), ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).alias("area"), F.col("stroke_id").alias("first_pixel"))
@@ -215,6 +222,12 @@ TABLE = {
  f AS (SELECT *, center - lag(center) OVER (PARTITION BY image_id ORDER BY min_x, area DESC, first_pixel) AS gap FROM e), g AS (SELECT * FROM f WHERE gap IS NULL OR abs(gap) >= 0.035 * 24),
  b AS (SELECT image_id, first_pixel, coalesce((lag(center) OVER w + center) / 2, body_l) AS l, coalesce((lead(center) OVER w + center) / 2, body_r) AS r FROM g JOIN o USING (image_id) WINDOW w AS (PARTITION BY image_id ORDER BY center, first_pixel))
  SELECT image_id, first_pixel, CAST(l * 4 AS BIGINT) AS own_l4, CAST(r * 4 AS BIGINT) AS own_r4 FROM b"""),
+    "applied_selection": (lambda s, d: P.apply_selection(D.pixels(s, d), D.pixels(s, d).filter("(x + y) % 2 = 0")), with_(PIXELS) + "SELECT image_id, y, x, CAST(round_even(a * (255 - CASE WHEN (x + y) % 2 = 0 THEN mask ELSE 0 END) / 255, 0) AS INT) AS alpha FROM pixels"),
+    "negative_prompts": (negatives, with_(STROKES, PIXELS) + """, g AS (SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes WHERE image_id IN (SELECT vec_id FROM embeddings) GROUP BY image_id, stroke_id),
+ o AS (SELECT *, CAST(ceil(1.8::DOUBLE * radius) AS BIGINT) AS ring FROM g),
+ c AS (SELECT image_id, stroke_id, radius, CAST(3 * j + i AS INT) AS place, CAST([l - ring, (l + r) // 2, r + ring][i + 1] AS BIGINT) AS x, CAST([t - ring, (t + b) // 2, b + ring][j + 1] AS BIGINT) AS y FROM o, (SELECT range AS i FROM range(3)), (SELECT range AS j FROM range(3)) WHERE NOT (i = 1 AND j = 1))
+ SELECT image_id, stroke_id, place, x, y FROM c WHERE EXISTS (SELECT 1 FROM pixels p WHERE p.image_id = c.image_id AND p.x = c.x AND p.y = c.y AND mask > 16)
+ AND NOT EXISTS (SELECT 1 FROM strokes s WHERE s.image_id = c.image_id AND (c.x - s.x) ** 2 + (c.y - s.y) ** 2 <= 1.45::DOUBLE * 1.45::DOUBLE * radius ** 2)""".replace("radius ** 2)", "c.radius * c.radius)")),
     "fused_mattes": (lambda s, d: T.fuse_layers(D.layers(s, d)).select("image_id", F.sha2("data", 256).alias("data_sha256")), None),
     "replayed_edits": (replayed, None),
     "subject_rects": (lambda s, d: R.subject_rects(R.components(D.masks(s, d), 24), 24, 24, 240, 240), None),

@@ -111,3 +111,17 @@ def test_brushes_and_replay(spark, sf_dir):
     for k in range(1, steps + 1):
         want = M.erase(want, 3 + 12 * k / steps, 3, 4)
     assert (got[1] == want).all() and (got[2] == a).all() and (got[3] == a).all()
+
+
+def test_pockets_by_distance():
+    mask = np.full((80, 90), 220, np.uint8)
+    mask[30:38, 40:48] = 10
+    mask[60:63, 10:13] = 10
+    mask[0:10, 70:80] = 10
+    got = M.expand_pockets(mask)
+    for y in range(80):
+        for x in range(90):
+            d = math.hypot(max(30 - y, 0, y - 37), max(40 - x, 0, x - 47))
+            cap = 0 if d <= 6 else math.floor((d - 6) / 3 * 255 + 0.5) if d <= 9 else 255
+            assert got[y, x] == min(mask[y, x], cap)
+    assert (M.expand_pockets(np.zeros((5, 5), np.uint8)) == 0).all()
