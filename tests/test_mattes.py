@@ -125,3 +125,23 @@ def test_pockets_by_distance():
             cap = 0 if d <= 6 else math.floor((d - 6) / 3 * 255 + 0.5) if d <= 9 else 255
             assert got[y, x] == min(mask[y, x], cap)
     assert (M.expand_pockets(np.zeros((5, 5), np.uint8)) == 0).all()
+
+
+def test_background_job_with_a_stub_model(spark):
+    from imgspark.plans.background import CROPS, crop_plan, refine_masks
+
+    crop = "image_id long, rank int, l int, t int, r int, b int, own_l int, own_r int"
+    structural = spark.createDataFrame([(1, k, k, 1, k + 9, 11, None, None) for k in range(9)] + [(2, 1, 2, 2, 12, 12, None, None)], crop)
+    edges = spark.createDataFrame([(1, k, 2, k, 10, k + 8, None, None) for k in range(5)], crop)
+    plan = crop_plan(structural, edges)
+    rows = sorted(map(tuple, plan.filter("image_id = 1").select("layer_idx", "l", "t").collect()))
+    assert [r[0] for r in rows] == list(range(1, CROPS + 1)) and [r[1:] for r in rows] == [(k, 1) for k in range(7)] + [(2, k) for k in range(5)]
+    pictures = {i: RNG.integers(0, 256, (16, 20, 3)).astype(np.uint8) for i in (1, 2, 3)}
+    images = spark.createDataFrame([rasters.pack(i, a) for i, a in pictures.items()], rasters.RASTER)
+    model = lambda a: a.mean(axis=-1)
+    out = {r.image_id: rasters.unpack(r.asDict())[..., 0] for r in refine_masks(images, plan, lambda: model).collect()}
+    crops = {i: [tuple(r) for r in plan.filter(f"image_id = {i}").orderBy("layer_idx").select("l", "t", "r", "b").collect()] for i in pictures}
+    for i, a in pictures.items():
+        to8 = lambda x: np.clip(np.rint(model(x)), 0, 255).astype(np.uint8)
+        layers = [M.Layer(to8(a), 0, 0, 20, 16)] + [M.Layer(to8(a[t:b, l:r]), l, t, r, b) for l, t, r, b in crops[i]]
+        assert (out[i] == loop_fuse(16, 20, layers)).all()
