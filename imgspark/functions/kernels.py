@@ -129,12 +129,12 @@ def component_stats(labels: np.ndarray, n: int) -> list[tuple[int, int, int, int
     return [tuple(int(v[i]) for v in (np.arange(n + 1), area, low_x, low_y, high_x, high_y, first)) for i in range(1, n + 1)]
 
 
-def close_pinholes(on: np.ndarray, passes: int = 2) -> np.ndarray:
-    """Interior pixels with five or more of eight neighbours selected are added, twice."""
+def close_pinholes(on: np.ndarray, passes: int = 2, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Interior (and allowed) pixels with five or more of eight neighbours selected are added, twice."""
     on = on.copy()
     for _ in range(passes):
         count = sum(shifted(on, dy, dx, 0).astype(np.int8) for dy, dx in RING)
-        add = count >= 5
+        add = count >= 5 if allowed is None else (count >= 5) & allowed
         add[[0, -1]] = add[:, [0, -1]] = False
         on |= add
     return on
@@ -164,8 +164,8 @@ def fill_holes(on: np.ndarray, visible: np.ndarray, radius: float) -> np.ndarray
     return on | small[labels]
 
 
-def grow_by_colour(on: np.ndarray, rgb: np.ndarray) -> np.ndarray:
-    """Two passes: interior pixels next to a selected one of like colour, light and chroma."""
+def grow_by_colour(on: np.ndarray, rgb: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Two passes: interior (and allowed) pixels next to a selected one of like colour, light and chroma."""
     c = rgb.astype(np.float64)
     light = 0.2126 * c[..., 0] + 0.7152 * c[..., 1] + 0.0722 * c[..., 2]
     chroma = c.max(-1) - c.min(-1)
@@ -175,6 +175,8 @@ def grow_by_colour(on: np.ndarray, rgb: np.ndarray) -> np.ndarray:
         for dy, dx in RING:
             near = (((c - shifted(c, dy, dx)) ** 2).sum(-1) <= 118**2) & (np.abs(light - shifted(light, dy, dx)) <= 72) & (np.abs(chroma - shifted(chroma, dy, dx)) <= 48)
             add |= near & shifted(on, dy, dx, 0).astype(bool)
+        if allowed is not None:
+            add &= allowed
         add[[0, -1]] = add[:, [0, -1]] = False
         on |= add
     return on

@@ -14,7 +14,7 @@ BACKGROUND, FOREGROUND, VOTES = 56, 210, 2
 
 @dataclass
 class Layer:
-    """A crop's mask, its place in the frame (right and bottom exclusive), and the band of columns that it owns, if any."""
+    """A crop's mask, its place in the frame (right and bottom exclusive), the band of columns that it owns, if any, and its kind."""
 
     mask: np.ndarray
     left: int
@@ -22,6 +22,7 @@ class Layer:
     right: int
     bottom: int
     band: tuple[int, int] | None = None
+    detail: str = "person"
 
     @property
     def size(self) -> tuple[int, int]:
@@ -86,7 +87,7 @@ def fuse(height: int, width: int, layers: list[Layer]) -> np.ndarray:
             s = layer.strength()
             value = np.clip(half_up(old * (1 - s) + safe * s), 0, 255)
         alpha[at] = np.where(owned, value, old)
-    voters = [x for x in layers[1:] if x.band is not None]
+    voters = [x for x in layers[1:] if x.band is not None and x.detail == "person"]
     if len(voters) >= 2:
         votes, veto, lowest = vote(height, width, voters)
         alpha = np.where((votes >= VOTES) & ~veto, np.minimum(alpha, lowest), alpha)

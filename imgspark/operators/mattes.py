@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import matte
+from ..functions import finish, matte
 from .edits import effective_edits, expand_strokes
-from .rasters import NAMES, RASTER, pack, unpack
+from .rasters import NAMES, RASTER, over_rows, pack, unpack
 
 
 def fuse_layers(layers: DataFrame) -> DataFrame:
@@ -30,6 +30,46 @@ def fuse_layers(layers: DataFrame) -> DataFrame:
     return layers.groupBy("image_id").applyInPandas(make, RASTER)
 
 
+def finished_mattes(images: DataFrame, layers: DataFrame, output: str = "image") -> DataFrame:
+    """RGBA rasters cut out by their layers: fused, holes and detached bits cleared, edges snapped, colours cleaned, curves applied.
+
+    layers: as in fuse_layers, with `detail` (person, hair, edge). output: "image", or "mask" for the alpha alone. Layers of an image
+    (13 at most) are gathered in a row and meet its pixels in one join; images without layers, and layers without image, are no job."""
+    names = ["layer_idx", "l", "t", "r", "b", "own_l", "own_r", "detail", "height", "width", "data"]
+    gathered = layers.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("layers"))
+
+    def make(r: dict) -> list[dict]:
+        found = []
+        for q in r["layers"]:
+            band = None if q["own_l"] is None else (q["own_l"], q["own_r"])
+            found.append(matte.Layer(np.frombuffer(q["data"], np.uint8).reshape(q["height"], q["width"]), q["l"], q["t"], q["r"], q["b"], band, q["detail"]))
+        a = finish.finish(unpack(r), found, output == "image")
+        return [pack(r["image_id"], a if output == "image" else a[..., 3:])]
+
+    return over_rows(images.join(gathered, "image_id"), RASTER, make, slice_rows=4)
+
+
+def snap_to_edges(rasters: DataFrame, radius: int) -> DataFrame:
+    """RGBA rasters with their alpha moved to the colour edges."""
+
+    def make(r: dict) -> list[dict]:
+        a = unpack(r).copy()
+        a[..., 3] = finish.snap_to_edges(a, a[..., 3].copy(), radius)
+        return [pack(r["image_id"], a)]
+
+    return over_rows(rasters, RASTER, make)
+
+
+def decontaminate(rasters: DataFrame, radius: int) -> DataFrame:
+    """RGBA rasters without the background's share in the colours of soft pixels."""
+    return over_rows(rasters, RASTER, lambda r: [pack(r["image_id"], finish.decontaminate(a := unpack(r), np.ascontiguousarray(a[..., 3]), radius))])
+
+
+def remove_detached(masks: DataFrame) -> DataFrame:
+    """Masks without small regions beside the largest one."""
+    return over_rows(masks, RASTER, lambda r: [pack(r["image_id"], finish.remove_detached(np.ascontiguousarray(unpack(r)[..., 0]))[..., None])])
+
+
 def mask_scores(masks: DataFrame, prompts: DataFrame, focus: DataFrame) -> DataFrame:
     """masks: image_id, mask_idx, quality, y, x (selected pixels); prompts: image_id, y, x, label; focus: image_id, l, t, r, b.
 
@@ -53,12 +93,12 @@ def best_mask(scores: DataFrame) -> DataFrame:
 
 
 def distinct_heads(heads: DataFrame, mask_w: int, most: int = 8) -> DataFrame:
-    """heads: image_id, min_x, max_x, area, first_pixel. The largest, in order of min_x, less those too near the one before (kept or not)."""
+    """heads: image_id, min_x, max_x, area, first_pixel. The largest, in order of min_x, less those whose centre isn't clearly right of the one before (kept or not)."""
     big = Window.partitionBy("image_id").orderBy(F.col("area").desc(), "first_pixel")
     line = Window.partitionBy("image_id").orderBy("min_x", F.col("area").desc(), "first_pixel")
     h = heads.withColumn("rank", F.row_number().over(big)).filter(F.col("rank") <= most).withColumn("center", (F.col("min_x") + F.col("max_x") + 1) / 2)
     h = h.withColumn("gap", F.col("center") - F.lag("center").over(line))
-    return h.filter(F.col("gap").isNull() | (F.abs("gap") >= 0.035 * mask_w)).drop("rank", "gap")
+    return h.filter(F.col("gap").isNull() | (F.col("gap") >= 0.035 * mask_w)).drop("rank", "gap")
 
 
 def ownership_bands(heads: DataFrame, body: DataFrame) -> DataFrame:

@@ -219,7 +219,7 @@ TABLE = {
     "ownership_bands": (bands, with_(STROKES) + """, h AS (SELECT image_id % 50 AS image_id, min(x - radius) AS min_x, max(x + radius) AS max_x, (max(x + radius) - min(x - radius)) * (max(y + radius) - min(y - radius)) AS area, stroke_id AS first_pixel FROM strokes GROUP BY image_id % 50, stroke_id),
  o AS (SELECT image_id, min(min_x) AS body_l, max(max_x) + 1 AS body_r FROM h GROUP BY image_id),
  e AS (SELECT *, (min_x + max_x + 1) / 2 AS center FROM h QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) <= 8),
- f AS (SELECT *, center - lag(center) OVER (PARTITION BY image_id ORDER BY min_x, area DESC, first_pixel) AS gap FROM e), g AS (SELECT * FROM f WHERE gap IS NULL OR abs(gap) >= 0.035 * 24),
+ f AS (SELECT *, center - lag(center) OVER (PARTITION BY image_id ORDER BY min_x, area DESC, first_pixel) AS gap FROM e), g AS (SELECT * FROM f WHERE gap IS NULL OR gap >= 0.035 * 24),
  b AS (SELECT image_id, first_pixel, coalesce((lag(center) OVER w + center) / 2, body_l) AS l, coalesce((lead(center) OVER w + center) / 2, body_r) AS r FROM g JOIN o USING (image_id) WINDOW w AS (PARTITION BY image_id ORDER BY center, first_pixel))
  SELECT image_id, first_pixel, CAST(l * 4 AS BIGINT) AS own_l4, CAST(r * 4 AS BIGINT) AS own_r4 FROM b"""),
     "applied_selection": (lambda s, d: P.apply_selection(D.pixels(s, d), D.pixels(s, d).filter("(x + y) % 2 = 0")), with_(PIXELS) + "SELECT image_id, y, x, CAST(round_even(a * (255 - CASE WHEN (x + y) % 2 = 0 THEN mask ELSE 0 END) / 255, 0) AS INT) AS alpha FROM pixels"),
