@@ -53,27 +53,48 @@ def sample_prompts(points: DataFrame, positive: int = 14, negative: int = 6) ->
 
 
 def selection_windows(bounds: DataFrame, images: DataFrame) -> DataFrame:
-    """The padded crop around each stroke: pad max(48, 2.5 radius, 22% of the extent), clamped to the image."""
+    """The padded crop around each stroke and the scale at which it is looked at.
+
+    Pad max(48, 2.5 radius, 22% of the extent); no edge under max(192, 6 radius) while the image has room: half of what lacks goes
+    before, and where one side has no room the other takes it. scale = min(1, 1024 / longest side)."""
     b = bounds.join(images.select("image_id", "width", "height"), "image_id")
-    pad = half_up(F.greatest(F.lit(48.0), 2.5 * F.col("radius"), 0.22 * F.greatest(F.col("r") - F.col("l"), F.col("b") - F.col("t"))))
-    return b.select(
-        "image_id", "stroke_id",
-        F.greatest(F.lit(0), F.col("l") - pad).cast("long").alias("l"), F.greatest(F.lit(0), F.col("t") - pad).cast("long").alias("t"),
-        F.least(F.col("width"), F.col("r") + pad).cast("long").alias("r"), F.least(F.col("height"), F.col("b") + pad).cast("long").alias("b"),
-    )
+    c = F.col
+    pad = F.greatest(F.lit(48.0), 2.5 * c("radius"), 0.22 * F.greatest(F.lit(1), c("r") - c("l"), c("b") - c("t")))
+    b = b.withColumns({"pad": pad, "edge": F.greatest(F.lit(192), F.ceil(6 * c("radius")))})
+
+    def axis(b: DataFrame, low: str, high: str, size: str) -> DataFrame:
+        inside = lambda v, least, most: F.least(F.greatest(v, least), most)
+        b = b.withColumn("from", inside(F.floor(c(low) - c("pad")), F.lit(0), c(size) - 1))
+        b = b.withColumn("to", inside(F.ceil(c(high) + c("pad")), c("from") + 1, c(size)))
+        b = b.withColumn("lacks", F.greatest(F.lit(0), F.least(c(size), c("edge")) - (c("to") - c("from"))))
+        b = b.withColumn("before", F.least(c("from"), F.ceil(c("lacks") / 2)))
+        b = b.withColumn("after", F.least(c(size) - c("to"), c("lacks") - c("before")))
+        start = F.greatest(F.lit(0), c("from") - c("before") - (c("lacks") - c("before") - c("after")))
+        return b.withColumns({low: start.cast("long"), high: F.least(c(size), c("to") + c("after")).cast("long")})
 
+    b = axis(axis(b, "l", "r", "width"), "t", "b", "height")
+    scale = F.least(F.lit(1.0), 1024 / F.greatest(c("r") - c("l"), c("b") - c("t")))
+    return b.select("image_id", "stroke_id", "l", "t", "r", "b", scale.alias("scale"))
 
-def negative_prompts(bounds: DataFrame, windows: DataFrame, points: DataFrame, alpha: DataFrame) -> DataFrame:
-    """Eight candidates on a ring 1.8 radii outside each stroke's box; those stay that are in the crop, on alpha above 16, and
-    farther than 1.45 radii from every point of the image's strokes. alpha: image_id, y, x, a. Candidates come in whole pixels."""
+
+def negative_prompts(bounds: DataFrame, windows: DataFrame, points: DataFrame, alpha: DataFrame, images: DataFrame) -> DataFrame:
+    """Eight candidates on a ring 1.8 radii outside each stroke's box, in whole pixels inside the image; those stay that are in the
+    crop, on alpha above 16, and farther than 1.45 of its radius from every point of the stroke.
+
+    alpha: image_id, y, x, a. Returns x and y in the image and crop_x, crop_y, crop_radius at the window's scale."""
     c = F.col
-    out = F.ceil(1.8 * c("radius"))
-    xs = [c("l") - out, F.floor((c("l") + c("r")) / 2), c("r") + out]
-    ys = [c("t") - out, F.floor((c("t") + c("b")) / 2), c("b") + out]
-    ring = F.array(*[F.struct(F.lit(3 * j + i).alias("place"), xs[i].cast("long").alias("x"), ys[j].cast("long").alias("y")) for j in range(3) for i in range(3) if (i, j) != (1, 1)])
-    found = bounds.select("image_id", "stroke_id", "radius", F.explode(ring).alias("p")).select("image_id", "stroke_id", "radius", "p.*")
-    crop = windows.select("image_id", "stroke_id", *[c(k).alias(f"win_{k}") for k in "ltrb"])
+    out = 1.8 * c("radius")
+    xs = [c("l") - out, (c("l") + c("r")) / 2, c("r") + out]
+    ys = [c("t") - out, (c("t") + c("b")) / 2, c("b") + out]
+    within = lambda v, size: half_up(F.least(F.greatest(v, F.lit(0.0)), c(size) - 1.0)).cast("long")
+    ring = F.array(*[F.struct(F.lit(3 * j + i).alias("place"), within(xs[i], "width").alias("x"), within(ys[j], "height").alias("y")) for j in range(3) for i in range(3) if (i, j) != (1, 1)])
+    found = bounds.join(images.select("image_id", "width", "height"), "image_id").select("image_id", "stroke_id", "radius", F.explode(ring).alias("p")).select("image_id", "stroke_id", "radius", "p.*")
+    crop = windows.select("image_id", "stroke_id", "scale", *[c(k).alias(f"win_{k}") for k in "ltrb"])
     found = found.join(crop, ["image_id", "stroke_id"]).filter("x >= win_l and x < win_r and y >= win_t and y < win_b")
     found = found.join(alpha.filter(c("a") > 16).select("image_id", c("y").cast("long").alias("y"), c("x").cast("long").alias("x")), ["image_id", "y", "x"], "left_semi")
-    near = "c.image_id = s.image_id and (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1.45D * 1.45D * c.radius * c.radius"
-    return found.alias("c").join(points.select("image_id", "x", "y").distinct().alias("s"), F.expr(near), "left_anti").select("image_id", "stroke_id", "place", "x", "y")
+    near = "c.image_id = s.image_id and c.stroke_id = s.stroke_id and (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1.45D * 1.45D * s.radius * s.radius"
+    kept = found.alias("c").join(points.select("image_id", "stroke_id", "x", "y", "radius").distinct().alias("s"), F.expr(near), "left_anti")
+    return kept.select(
+        "image_id", "stroke_id", "place", "x", "y", ((c("x") - c("win_l")) * c("scale")).alias("crop_x"), ((c("y") - c("win_t")) * c("scale")).alias("crop_y"),
+        F.greatest(F.lit(1.0), c("radius") * c("scale")).alias("crop_radius"),
+    )

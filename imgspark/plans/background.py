@@ -11,10 +11,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.mattes import fuse_layers
+from ..functions.kernels import flatten_alpha, half_up, resample
+from ..functions.matte import expand_pockets
+from ..operators.crops import planned_crops
+from ..operators.mattes import finished_mattes, fuse_layers
 from ..operators.rasters import over_rows, unpack
+from ..operators.selections import normalised
 
-CROPS = 12
+CROPS, INPUT_EDGE = 12, 512
+KEPT = "image_id long, layer_idx int, frame_h int, frame_w int, l int, t int, r int, b int, own_l int, own_r int, detail string"
+
+Predict = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
 def crop_plan(structural: DataFrame, edges: DataFrame, budget: int = CROPS) -> DataFrame:
@@ -29,28 +36,73 @@ def crop_plan(structural: DataFrame, edges: DataFrame, budget: int = CROPS) -> D
     return both.withColumn("layer_idx", F.row_number().over(Window.partitionBy("image_id").orderBy("kind", "rank"))).drop("rank", "kind")
 
 
-def predicted(crops: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """Rows with pixels in, the same rows with the mask's height, width and data out; the model is loaded once a worker stream."""
+def model_input(pixels: np.ndarray, edge: int = INPUT_EDGE) -> np.ndarray:
+    """A crop as the segmentation model takes it: alpha over black, no side longer than edge, stretched to edge x edge, normalised."""
+    a = flatten_alpha(pixels) if pixels.shape[2] == 4 else pixels[..., :3]
+    scale = min(1, edge / max(a.shape[:2]))
+    a = resample(a, *(max(1, int(half_up(np.float64(n * scale)))) for n in a.shape[:2]))
+    return normalised(resample(a, edge, edge))
+
+
+def model_inputs(crops: DataFrame, edge: int = INPUT_EDGE) -> DataFrame:
+    """crops: raster rows with layer_idx, l, t, r, b. image_id, layer_idx and the input tensor (3 x edge x edge, single precision, little-endian)."""
+    make = lambda r: [{"image_id": r["image_id"], "layer_idx": r["layer_idx"], "edge": edge, "tensor": model_input(unpack(r)[r["t"] : r["b"], r["l"] : r["r"]], edge).astype("<f4").tobytes()}]
+    return over_rows(crops, "image_id long, layer_idx int, edge int, tensor binary", make, slice_rows=4)
+
+
+def sigmoid_masks(logits: np.ndarray) -> np.ndarray:
+    """Bytes of a model's raw output: the fraction is cut off."""
+    return (255 / (1 + np.exp(-logits.astype(np.float64)))).astype(np.uint8)
+
+
+def predicted(crops: DataFrame, make_predict: Predict, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> DataFrame:
+    """Rows with pixels in, the same rows with the mask's height, width and data out; the model is loaded once a worker stream.
+
+    Hair crops have their enclosed background pockets widened. prepare: model_input, or nothing for models that take pixels."""
     held: list = []
-    keep = "image_id long, layer_idx int, frame_h int, frame_w int, l int, t int, r int, b int, own_l int, own_r int"
 
     def make(r: dict) -> list[dict]:
         if not held:
             held.append(make_predict())
         a = unpack(r)[r["t"] : r["b"], r["l"] : r["r"]]
-        mask = np.clip(np.rint(held[0](a)), 0, 255).astype(np.uint8)
-        names = [x.split(" ")[0] for x in keep.split(", ")]
+        mask = np.clip(np.rint(held[0](prepare(a))), 0, 255).astype(np.uint8)
+        if r["detail"] == "hair":
+            mask = expand_pockets(mask)
+        names = [x.split(" ")[0] for x in KEPT.split(", ")]
         return [{n: r[n] for n in names} | {"height": mask.shape[0], "width": mask.shape[1], "data": mask.tobytes()}]
 
-    return over_rows(crops, keep + ", height int, width int, data binary", make)
+    return over_rows(crops, KEPT + ", height int, width int, data binary", make)
+
+
+def _whole(images: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return images.select(
+        "image_id", F.lit(0).alias("layer_idx"), F.lit(0).alias("l"), F.lit(0).alias("t"), F.col("width").alias("r"), F.col("height").alias("b"),
+        none.alias("own_l"), none.alias("own_r"), F.lit("person").alias("detail"),
+    )
 
 
-def refine_masks(images: DataFrame, plan: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """images: raster rows; plan: crop_plan(). The whole picture is layer 0; returns one matte an image.
+def _crops(plan: DataFrame, images: DataFrame) -> DataFrame:
+    return plan.join(images, "image_id").withColumns({"frame_h": F.col("height"), "frame_w": F.col("width")}).repartition("image_id", "layer_idx")
+
+
+def refine_masks(images: DataFrame, plan: DataFrame, make_predict: Predict) -> DataFrame:
+    """images: raster rows; plan: crop_plan(). The whole picture is layer 0; returns one fused mask an image.
 
     A crop meets its pixels by a join on image_id; the pixels of one image are at most 13 times in the exchange."""
-    none = F.lit(None).cast("int")
-    whole = images.select("image_id", F.lit(0).alias("layer_idx"), F.lit(0).alias("l"), F.lit(0).alias("t"), F.col("width").alias("r"), F.col("height").alias("b"), none.alias("own_l"), none.alias("own_r"))
-    parts = plan.select("image_id", F.col("layer_idx").cast("int"), *[F.col(c).cast("int").alias(c) for c in ("l", "t", "r", "b", "own_l", "own_r")])
-    crops = whole.unionByName(parts).join(images, "image_id").withColumns({"frame_h": F.col("height"), "frame_w": F.col("width")})
-    return fuse_layers(predicted(crops.repartition("image_id", "layer_idx"), make_predict))
+    parts = plan.select("image_id", F.col("layer_idx").cast("int"), *[F.col(c).cast("int").alias(c) for c in ("l", "t", "r", "b", "own_l", "own_r")], F.lit("person").alias("detail"))
+    return fuse_layers(predicted(_crops(_whole(images).unionByName(parts), images), make_predict))
+
+
+def remove_background(images: DataFrame, make_predict: Predict, at: str, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a, output: str = "image") -> DataFrame:
+    """The whole job on RGBA rasters: masks of the pictures, plans from them, masks of the crops, finished mattes.
+
+    at: a folder that all executors share; each stage's masks are written there and read back, so neither the planning nor the
+    matte ever repeats inference. Masks are small; pixels are read again by id in each stage instead of being carried along."""
+    spark = images.sparkSession
+    predicted(_crops(_whole(images), images), make_predict, prepare).write.mode("overwrite").parquet(f"{at}/whole")
+    whole = spark.read.parquet(f"{at}/whole")
+    sizes = {"image_w": F.col("frame_w"), "image_h": F.col("frame_h"), "channels": F.lit(1), "bits": F.lit(8)}
+    plan = planned_crops(whole.withColumns(sizes))
+    predicted(_crops(plan, images), make_predict, prepare).write.mode("overwrite").parquet(f"{at}/crops")
+    return finished_mattes(images, whole.unionByName(spark.read.parquet(f"{at}/crops")), output)

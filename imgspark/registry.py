@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from .functions import kernels as K
 from .functions import manifest as M
+from .operators import crops as Q
 from .operators import edits as E
 from .operators import manifest as O
 from .operators import mattes as T
 from .operators import pixels as P
 from .operators import progress as G
 from .operators import rasters as R
+from .operators import selections as L
+from .operators import tiles as Z
+from .plans import background as B
 from .sources import derived as D
+from .sources.shared import fresh
 
 EXT = "['" + "','".join(D.EXTENSIONS) + "']"
 MIME = "['" + "','".join(D.MIMES) + "']"
@@ -126,7 +133,7 @@ def negatives(s, d):
     points = D.strokes(s, d)
     bounds = E.stroke_bounds(points)
     images = D.read(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(24).alias("width"), F.lit(24).alias("height"))
-    return E.negative_prompts(bounds, E.selection_windows(bounds, images), points, D.pixels(s, d).select("image_id", "y", "x", F.col("mask").alias("a")))
+    return E.negative_prompts(bounds, E.selection_windows(bounds, images), points, D.pixels(s, d).select("image_id", "y", "x", F.col("mask").alias("a")), images)
 
 
 def heads(s, d):
@@ -146,6 +153,40 @@ def replayed(s, d):
     return T.replay_edits(pictures, pictures, D.strokes(s, d)).select("image_id", F.sha2("data", 256).alias("data_sha256"))
 
 
+def digest(rasters, *more):
+    return rasters.select("image_id", "height", "width", *more, F.sha2("data", 256).alias("data_sha256"))
+
+
+def detailed(s, d):
+    return D.layers(s, d).withColumn("detail", F.when(F.col("layer_idx") == 1, "hair").when(F.col("layer_idx") == 2, "edge").otherwise("person"))
+
+
+def prompts(s, d):
+    return D.strokes(s, d).select("image_id", "seq", "x", "y", "radius", (F.col("seq") % 3).alias("label"))
+
+
+def bright(pixels):
+    """Stands in for a segmentation model: how bright a pixel is."""
+    return pixels[..., :3].mean(-1)
+
+
+def by_light(inputs, points, labels, height, width):
+    """Stands in for a prompted model: three thresholds on the input."""
+    rows, columns = np.arange(height) * inputs.shape[1] // max(height, width), np.arange(width) * inputs.shape[2] // max(height, width)
+    light = inputs.mean(0)[rows][:, columns]
+    return [light >= t for t in (-0.5, 0.0, 0.5)], [0.7, 0.8, 0.9]
+
+
+def background(s, d):
+    return digest(B.remove_background(D.pictures(s, d), lambda: bright, fresh(s, "background")))
+
+
+def edited(s, d):
+    c = F.col
+    lines = D.strokes(s, d).select("image_id", "seq", c("x").alias("x0"), c("y").alias("y0"), (c("seq") * 7 % 24).alias("x1"), (c("seq") * 11 % 24).alias("y1"), "radius", (c("seq") % 3 != 0).alias("add"))
+    return digest(L.edit_selections(D.masks(s, d), D.pictures(s, d), lines))
+
+
 def stepped(s, d):
     m = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c)
     return E.expand_strokes(D.strokes(s, d).drop("tool")).select("image_id", "stroke_id", "seq", F.col("step").cast("long"), m("at_x"), m("at_y"))
@@ -156,6 +197,16 @@ def windows(s, d):
     return E.selection_windows(E.stroke_bounds(D.strokes(s, d)), images)
 
 
+def axis(low, high, size):
+    """The SQL of one axis of a selection window."""
+    return f"""{low}0 AS (SELECT *, least(greatest(floor({low} - pad), 0), {size} - 1) AS f, least(greatest(ceil({high} + pad), least(greatest(floor({low} - pad), 0), {size} - 1) + 1), {size}) AS e FROM {{0}}),
+ {low}1 AS (SELECT *, greatest(0, least({size}, edge) - (e - f)) AS lacks, least(f, ceil(greatest(0, least({size}, edge) - (e - f)) / 2)) AS before FROM {low}0),
+ {low}2 AS (SELECT *, least({size} - e, lacks - before) AS after FROM {low}1),
+ {{1}} AS (SELECT * EXCLUDE (f, e, lacks, before, after) REPLACE (CAST(greatest(0, f - before - (lacks - before - after)) AS BIGINT) AS {low}, CAST(least({size}, e + after) AS BIGINT) AS {high}) FROM {low}2)"""
+
+
+BOXED = axis("l", "r", "width").format("p", "wide") + ", " + axis("t", "b", "height").format("wide", "boxed")
+
 TABLE = {
     "savings_report": (savings_report, with_(RESULTS) + """SELECT job_id, count(*) FILTER (status = 'done') AS n_results, CAST(sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) AS BIGINT) AS saved_bytes, count(*) FILTER (status = 'error') AS failed,
  CASE WHEN sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) < 1024 THEN sum(CASE WHEN status = 'done' THEN greatest(0, original_size - output_size) ELSE 0 END) || ' B'
@@ -194,9 +245,9 @@ TABLE = {
  q AS (SELECT *, CASE WHEN px IS NULL THEN 0 ELSE CAST(greatest(1, ceil(sqrt((x - px) * (x - px) + (y - py) * (y - py)) / greatest(1.0::DOUBLE, 0.42::DOUBLE * radius))) AS BIGINT) END AS steps FROM p),
  r AS (SELECT *, unnest(range(CASE WHEN steps = 0 THEN 0 ELSE 1 END, steps + 1)) AS step FROM q)
  SELECT image_id, stroke_id, seq, step, CAST(floor((CASE WHEN steps = 0 THEN x ELSE px + (x - px) * step / steps END) * 1000 + 0.5) AS BIGINT) AS at_x, CAST(floor((CASE WHEN steps = 0 THEN y ELSE py + (y - py) * step / steps END) * 1000 + 0.5) AS BIGINT) AS at_y FROM r"""),
-    "selection_windows": (windows, with_(STROKES, MANIFEST) + """, b AS (SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes GROUP BY image_id, stroke_id),
- p AS (SELECT b.*, width, height, floor(greatest(48, 2.5 * radius, 0.22 * greatest(r - l, b - t)) + 0.5) AS pad FROM b JOIN manifest USING (image_id))
- SELECT image_id, stroke_id, CAST(greatest(0, l - pad) AS BIGINT) AS l, CAST(greatest(0, t - pad) AS BIGINT) AS t, CAST(least(width, r + pad) AS BIGINT) AS r, CAST(least(height, b + pad) AS BIGINT) AS b FROM p"""),
+    "selection_windows": (windows, with_(STROKES, MANIFEST) + f""", b AS (SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes GROUP BY image_id, stroke_id),
+ p AS (SELECT b.*, width, height, greatest(48, 2.5 * radius, 0.22::DOUBLE * greatest(1, r - l, b - t)) AS pad, greatest(192, ceil(6 * radius)) AS edge FROM b JOIN manifest USING (image_id)), {BOXED}
+ SELECT image_id, stroke_id, l, t, r, b, least(1.0::DOUBLE, 1024 / greatest(r - l, b - t)) AS scale FROM boxed"""),
     "sampled_prompts": (sampled, with_(STROKES) + """, p AS (SELECT image_id, seq, x, y, seq % 3 AS label, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY image_id, seq % 3 <> 0) AS n, CASE WHEN seq % 3 <> 0 THEN 14 ELSE 6 END AS k FROM strokes WINDOW w AS (PARTITION BY image_id, seq % 3 <> 0 ORDER BY seq))
  SELECT image_id, seq, x, y, label FROM p WHERE n <= k OR list_contains(list_transform(range(k), lambda j: CAST(floor(j * (n - 1) / (k - 1) + 0.5) AS BIGINT)), i)"""),
     "sharpened_frames": (lambda s, d: R.pixel_rows(R.sharpen_frames(D.frames16(s, d))), with_(FRAMES) + """, n AS (SELECT *, coalesce(lag(c) OVER h, c) + coalesce(lead(c) OVER h, c) + coalesce(lag(c) OVER v, c) + coalesce(lead(c) OVER v, c) AS ring FROM frames WINDOW h AS (PARTITION BY image_id, k, y ORDER BY x), v AS (PARTITION BY image_id, k, x ORDER BY y)),
@@ -223,16 +274,37 @@ TABLE = {
  b AS (SELECT image_id, first_pixel, coalesce((lag(center) OVER w + center) / 2, body_l) AS l, coalesce((lead(center) OVER w + center) / 2, body_r) AS r FROM g JOIN o USING (image_id) WINDOW w AS (PARTITION BY image_id ORDER BY center, first_pixel))
  SELECT image_id, first_pixel, CAST(l * 4 AS BIGINT) AS own_l4, CAST(r * 4 AS BIGINT) AS own_r4 FROM b"""),
     "applied_selection": (lambda s, d: P.apply_selection(D.pixels(s, d), D.pixels(s, d).filter("(x + y) % 2 = 0")), with_(PIXELS) + "SELECT image_id, y, x, CAST(round_even(a * (255 - CASE WHEN (x + y) % 2 = 0 THEN mask ELSE 0 END) / 255, 0) AS INT) AS alpha FROM pixels"),
-    "negative_prompts": (negatives, with_(STROKES, PIXELS) + """, g AS (SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes WHERE image_id IN (SELECT vec_id FROM embeddings) GROUP BY image_id, stroke_id),
- o AS (SELECT *, CAST(ceil(1.8::DOUBLE * radius) AS BIGINT) AS ring FROM g),
- c AS (SELECT image_id, stroke_id, radius, CAST(3 * j + i AS INT) AS place, CAST([l - ring, (l + r) // 2, r + ring][i + 1] AS BIGINT) AS x, CAST([t - ring, (t + b) // 2, b + ring][j + 1] AS BIGINT) AS y FROM o, (SELECT range AS i FROM range(3)), (SELECT range AS j FROM range(3)) WHERE NOT (i = 1 AND j = 1))
- SELECT image_id, stroke_id, place, x, y FROM c WHERE EXISTS (SELECT 1 FROM pixels p WHERE p.image_id = c.image_id AND p.x = c.x AND p.y = c.y AND mask > 16)
- AND NOT EXISTS (SELECT 1 FROM strokes s WHERE s.image_id = c.image_id AND (c.x - s.x) ** 2 + (c.y - s.y) ** 2 <= 1.45::DOUBLE * 1.45::DOUBLE * radius ** 2)""".replace("radius ** 2)", "c.radius * c.radius)")),
+    "negative_prompts": (negatives, with_(STROKES, PIXELS) + f""", g AS (SELECT image_id, stroke_id, min(x - radius) AS l, min(y - radius) AS t, max(x + radius) AS r, max(y + radius) AS b, max(radius) AS radius FROM strokes WHERE image_id IN (SELECT vec_id FROM embeddings) GROUP BY image_id, stroke_id),
+ p AS (SELECT *, 24 AS width, 24 AS height, greatest(48, 2.5 * radius, 0.22::DOUBLE * greatest(1, r - l, b - t)) AS pad, greatest(192, ceil(6 * radius)) AS edge FROM g), {BOXED},
+ o AS (SELECT g.*, 1.8::DOUBLE * g.radius AS ring, w.l AS wl, w.t AS wt, w.r AS wr, w.b AS wb, least(1.0::DOUBLE, 1024 / greatest(w.r - w.l, w.b - w.t)) AS scale FROM g JOIN boxed w USING (image_id, stroke_id)),
+ c AS (SELECT image_id, stroke_id, radius, wl, wt, wr, wb, scale, CAST(3 * j + i AS INT) AS place, CAST(floor(least(23, greatest(0, [l - ring, (l + r) / 2, r + ring][i + 1])) + 0.5) AS BIGINT) AS x,
+ CAST(floor(least(23, greatest(0, [t - ring, (t + b) / 2, b + ring][j + 1])) + 0.5) AS BIGINT) AS y FROM o, (SELECT range AS i FROM range(3)), (SELECT range AS j FROM range(3)) WHERE NOT (i = 1 AND j = 1))
+ SELECT image_id, stroke_id, place, x, y, (x - wl) * scale AS crop_x, (y - wt) * scale AS crop_y, greatest(1.0::DOUBLE, radius * scale) AS crop_radius FROM c WHERE x >= wl AND x < wr AND y >= wt AND y < wb
+ AND EXISTS (SELECT 1 FROM pixels q WHERE q.image_id = c.image_id AND q.x = c.x AND q.y = c.y AND mask > 16)
+ AND NOT EXISTS (SELECT 1 FROM strokes s WHERE s.image_id = c.image_id AND s.stroke_id = c.stroke_id AND (c.x - s.x) ** 2 + (c.y - s.y) ** 2 <= 1.45::DOUBLE * 1.45::DOUBLE * s.radius * s.radius)"""),
     "fused_mattes": (lambda s, d: T.fuse_layers(D.layers(s, d)).select("image_id", F.sha2("data", 256).alias("data_sha256")), None),
     "replayed_edits": (replayed, None),
+    "finished_mattes": (lambda s, d: digest(T.finished_mattes(D.pictures(s, d), detailed(s, d))), None),
+    "edge_snapped": (lambda s, d: digest(T.snap_to_edges(D.pictures(s, d), 6)), None),
+    "colours_cleaned": (lambda s, d: digest(T.decontaminate(D.pictures(s, d), 8)), None),
+    "detached_removed": (lambda s, d: digest(T.remove_detached(D.masks(s, d))), None),
+    "planned_crops": (lambda s, d: Q.planned_crops(D.masks(s, d).withColumns({"image_w": F.lit(480), "image_h": F.lit(480)})), None),
+    "background_removed": (background, None),
+    "model_inputs": (lambda s, d: B.model_inputs(detailed(s, d).select("image_id", "layer_idx", "l", "t", "r", "b").join(D.pictures(s, d), "image_id"), 32).select("image_id", "layer_idx", F.sha2("tensor", 256).alias("tensor_sha256")), None),
+    "refined_selections": (lambda s, d: digest(L.refine_selections(D.masks(s, d), D.pictures(s, d), prompts(s, d)), "n_selected"), None),
+    "prompted_masks": (lambda s, d: digest(L.prompted_masks(D.pictures(s, d), E.sample_prompts(prompts(s, d)), lambda: by_light, 64), "mask_idx"), None),
+    "placed_selections": (lambda s, d: digest(L.place_selections(D.masks(s, d), rects(s, d).withColumns({"frame_h": F.lit(48), "frame_w": F.lit(48)}))), None),
+    "edited_selections": (edited, None),
+    "hint_boxes": (lambda s, d: L.hint_boxes(D.masks(s, d).withColumns({"image_w": F.lit(240), "image_h": F.lit(240)}), prompts(s, d)), None),
+    "tiled_sharpening": (lambda s, d: R.pixel_rows(Z.join(Z.stencil(Z.split(D.frames16(s, d), 10), 1, K.sharpen16))), None),
+    "tiled_components": (lambda s, d: Z.components(Z.split(D.masks(s, d), 7), 128).select("image_id", "area", "min_x", "min_y", "max_x", "max_y", "first_pixel"), None),
     "subject_rects": (lambda s, d: R.subject_rects(R.components(D.masks(s, d), 24), 24, 24, 240, 240), None),
     "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
 }
 
+# whole frames and tiles give the same rows, so the SQL of the one holds for the other
+TABLE["tiled_sharpening"] = TABLE["tiled_sharpening"][0], TABLE["sharpened_frames"][1]
+TABLE["tiled_components"] = TABLE["tiled_components"][0], TABLE["mask_components"][1]
+
 QUERIES = {name: q for name, (q, _) in TABLE.items()}
 ORACLE = {name: sql for name, (_, sql) in TABLE.items() if sql}

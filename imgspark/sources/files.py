@@ -85,3 +85,33 @@ def zip_bundles(results: DataFrame, prefix: str, date: str, max_bytes: int = 256
         return pd.DataFrame([{"job_id": key[0], "bundle": key[1], "archive": f"{prefix}-export-{date}-{key[1]:05d}.zip", "content": out.getvalue()}])
 
     return dealt.groupBy("job_id", "bundle").applyInPandas(pack, "job_id long, bundle long, archive string, content binary")
+
+
+def write_files(results: DataFrame, directory: str) -> DataFrame:
+    """Every result (image_id, job_id, name, seq, content) as a file of its own under directory/job_id, the last of equal names.
+
+    directory lies on a file system that every executor mounts. A file is written beside its place and then moved into it, so
+    a task that runs twice leaves one whole file. Returns image_id, path, bytes and error, and writes when it is evaluated."""
+    from ..operators.manifest import keep_last
+
+    def make(r: dict) -> list[dict]:
+        import os
+        import uuid
+
+        folder = os.path.join(directory, str(r["job_id"]))
+        name = (r["name"] or "").replace("/", "_").replace("\\", "_")
+        path = os.path.join(folder, name)
+        try:
+            if name in ("", ".", ".."):
+                raise ValueError("no file name")
+            os.makedirs(folder, exist_ok=True)
+            beside = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(beside, "wb") as f:
+                f.write(r["content"] or b"")
+            os.replace(beside, path)
+            return [{"image_id": r["image_id"], "path": path, "bytes": len(r["content"] or b""), "error": None}]
+        except (OSError, ValueError) as e:
+            return [{"image_id": r["image_id"], "path": None, "bytes": None, "error": str(e)}]
+
+    kept = keep_last(results, "job_id", "name", "seq").select("image_id", "job_id", "name", "content")
+    return over_rows(kept, "image_id long, path string, bytes long, error string", make)
