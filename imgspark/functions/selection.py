@@ -128,6 +128,52 @@ def reached(start: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     return on
 
 
+#: How far colour, light, chroma and model may lie from a point's sample: strictly, and for filling gaps.
+STRICT, LOOSE = (76, 58, 42, 104), (98, 74, 58, 136)
+#: How far colour, alpha and model may lie between neighbours across which a selection grows.
+STEP = (68, 64, 104)
+
+
+def by_colour(rgba: np.ndarray, model: np.ndarray, points: list[Point]) -> np.ndarray:
+    """Painted discs, and what is 4-connected to them and like the nearest stroke point's sample in colour, light, chroma and model.
+
+    A point's sample is the visible pixel nearest to it within 26% of its radius. Points reach 1.08 radii, less near the stroke's
+    ends. Last, gaps with three or more selected neighbours are filled where the looser limits hold."""
+    h, w = model.shape
+    visible, c, m = rgba[..., 3] > 4, rgba[..., :3].astype(np.float64), model.astype(np.float64)
+    traits = np.dstack([c, 0.2126 * c[..., 0] + 0.7152 * c[..., 1] + 0.0722 * c[..., 2], c.max(-1) - c.min(-1), m])
+    way = np.concatenate([[0.0], np.cumsum([np.hypot(b[0] - a[0], b[1] - a[1]) for a, b in zip(points, points[1:], strict=False)])])
+    near, sample = np.full((h, w), np.inf, np.float32), np.full((h, w, traits.shape[2]), np.nan)
+    ys, xs = np.mgrid[:h, :w] + 0.5
+    for (x, y, radius), at in zip(points, way, strict=False):
+        d = (xs - x) ** 2 + (ys - y) ** 2
+        seen = np.where(visible & (d <= max(1, 0.26 * radius) ** 2), d, np.inf)
+        if not np.isfinite(seen).any():
+            continue
+        own = traits[np.unravel_index(seen.argmin(), seen.shape)]
+        inner = np.clip(min(at, way[-1] - at) / max(1, 0.9 * radius), 0, 1) if way[-1] > 0 else 0.25
+        reach = max(1, radius * (1 + 0.08 * inner))
+        share = ((ys - y) / reach) ** 2 + ((xs - x) / reach) ** 2
+        closer = (share <= 1) & (share < near)
+        near[closer], sample[closer] = share[closer], own
+    apart = np.abs(traits - sample)
+    like = lambda t: ((apart[..., :3] ** 2).sum(-1) <= t[0] ** 2) & (apart[..., 3] <= t[1]) & (apart[..., 4] <= t[2]) & (apart[..., 5] <= t[3])
+    hint = visible & _discs(h, w, points, lambda r: r)
+    strict, loose = visible & like(STRICT) | hint, visible & like(LOOSE) | hint
+    on, front, a = hint.copy(), hint, rgba[..., 3].astype(np.int64)
+    joined = {
+        (dy, dx): (((c - shifted(c, dy, dx)) ** 2).sum(-1) <= STEP[0] ** 2) & (np.abs(a - shifted(a, dy, dx)) <= STEP[1]) & (np.abs(m - shifted(m, dy, dx)) <= STEP[2])
+        for dy, dx in CROSS
+    }
+    while front.any():
+        beside = np.zeros(on.shape, bool)
+        for (dy, dx), open_ in joined.items():
+            beside |= shifted(front, dy, dx, 0).astype(bool) & open_
+        front = beside & strict & ~on
+        on |= front
+    return on | loose & (sum(shifted(on, dy, dx, 0).astype(np.int8) for dy, dx in CROSS) >= 3)
+
+
 def prompt_score(mask: np.ndarray, quality: float, positive: list[Point], negative: list[Point]) -> float:
     """quality + 2.5 x share of positive points inside - 3.5 x share of negative ones - 2.25 x share of area outside the painted box."""
     h, w = mask.shape

@@ -17,17 +17,26 @@ def fuse_layers(layers: DataFrame) -> DataFrame:
 
     An image has 13 layers at most (the plan's budget), so a group is small; masks move, not pixels."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("layer_idx")
-        found = []
-        for r in pdf.itertuples():
-            band = None if pd.isna(r.own_l) else (int(r.own_l), int(r.own_r))
-            found.append(matte.Layer(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width), r.l, r.t, r.r, r.b, band))
-        first = pdf.iloc[0]
-        a = matte.fuse(int(first.frame_h), int(first.frame_w), found)
-        return pd.DataFrame([pack(int(first.image_id), a[..., None])])[NAMES]
+    def make(r: dict) -> list[dict]:
+        first = r["layers"][0]
+        return [pack(r["image_id"], matte.fuse(first["frame_h"], first["frame_w"], _layers(r))[..., None])]
+
+    return over_rows(_gathered(layers, "frame_h", "frame_w"), RASTER, make)
+
+
+def _gathered(layers: DataFrame, *more: str) -> DataFrame:
+    """The layers of each image, in order, in one row."""
+    names = ["layer_idx", "l", "t", "r", "b", "own_l", "own_r", "detail", "height", "width", "data", *more]
+    whole = layers if "detail" in layers.columns else layers.withColumn("detail", F.lit("person"))
+    return whole.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("layers"))
+
 
-    return layers.groupBy("image_id").applyInPandas(make, RASTER)
+def _layers(r: dict) -> list[matte.Layer]:
+    found = []
+    for q in r["layers"]:
+        band = None if q["own_l"] is None else (q["own_l"], q["own_r"])
+        found.append(matte.Layer(np.frombuffer(q["data"], np.uint8).reshape(q["height"], q["width"]), q["l"], q["t"], q["r"], q["b"], band, q["detail"]))
+    return found
 
 
 def finished_mattes(images: DataFrame, layers: DataFrame, output: str = "image") -> DataFrame:
@@ -35,18 +44,12 @@ def finished_mattes(images: DataFrame, layers: DataFrame, output: str = "image")
 
     layers: as in fuse_layers, with `detail` (person, hair, edge). output: "image", or "mask" for the alpha alone. Layers of an image
     (13 at most) are gathered in a row and meet its pixels in one join; images without layers, and layers without image, are no job."""
-    names = ["layer_idx", "l", "t", "r", "b", "own_l", "own_r", "detail", "height", "width", "data"]
-    gathered = layers.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("layers"))
 
     def make(r: dict) -> list[dict]:
-        found = []
-        for q in r["layers"]:
-            band = None if q["own_l"] is None else (q["own_l"], q["own_r"])
-            found.append(matte.Layer(np.frombuffer(q["data"], np.uint8).reshape(q["height"], q["width"]), q["l"], q["t"], q["r"], q["b"], band, q["detail"]))
-        a = finish.finish(unpack(r), found, output == "image")
+        a = finish.finish(unpack(r), _layers(r), output == "image")
         return [pack(r["image_id"], a if output == "image" else a[..., 3:])]
 
-    return over_rows(images.join(gathered, "image_id"), RASTER, make, slice_rows=4)
+    return over_rows(images.join(_gathered(layers), "image_id"), RASTER, make, slice_rows=4)
 
 
 def snap_to_edges(rasters: DataFrame, radius: int) -> DataFrame:

@@ -108,3 +108,15 @@ def hint_boxes(masks: DataFrame, points: DataFrame) -> DataFrame:
         return [{"image_id": r["image_id"], "foreground": found and found[0]} | dict(zip(names, (*S.hint_box(painted, r["image_h"], r["image_w"]), *box), strict=True))]
 
     return over_rows(masks.join(gathered(points), "image_id"), "image_id long, foreground boolean, " + ", ".join(f"{n} int" for n in names), make)
+
+
+def colour_selections(masks: DataFrame, rasters: DataFrame, points: DataFrame) -> DataFrame:
+    """Selections (255 or 0) grown by colour from the positive points; masks are the model's, of the same size as the RGBA rasters."""
+    both = masks.join(rasters.select("image_id", F.col("data").alias("pixels")), "image_id").join(gathered(points), "image_id")
+
+    def make(r: dict) -> list[dict]:
+        model = unpack(r)[..., 0]
+        on = S.by_colour(np.frombuffer(r["pixels"], np.uint8).reshape(*model.shape, 4), model, _plain(r["points"]))
+        return [pack(r["image_id"], on[..., None].astype(np.uint8) * 255) | {"n_selected": int(on.sum())}]
+
+    return over_rows(both, RASTER + ", n_selected long", make)

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,39 +55,38 @@ def stencil(tiles: DataFrame, halo: int, kernel: Callable[[np.ndarray], np.ndarr
     Tiles need `halo` rows and columns at least, those at the right and bottom excepted; the frame's own edges stay edges. A tile
     receives nine pieces at most, so the groups here are small whatever the frame."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        own = next((r for r in rows if r["own"]), None)
-        if own is None:
-            return pd.DataFrame(columns=[x.split(" ")[0] for x in TILE.split(", ")])
+    def make(r: dict) -> list[dict]:
+        rows = r["pieces"]
+        own = next(p for p in rows if p["own"])
         top, left = max(0, own["top"] - halo), max(0, own["left"] - halo)
         bottom, right = min(own["frame_h"], own["top"] + own["height"] + halo), min(own["frame_w"], own["left"] + own["width"] + halo)
         a = np.zeros((bottom - top, right - left, own["channels"]), np.uint16 if own["bits"] == 16 else np.uint8)
-        for r in rows:
-            p = unpack(r)[max(0, top - r["top"]) :, max(0, left - r["left"]) :]
-            y, x = max(r["top"], top) - top, max(r["left"], left) - left
+        for q in rows:
+            p = unpack(q)[max(0, top - q["top"]) :, max(0, left - q["left"]) :]
+            y, x = max(q["top"], top) - top, max(q["left"], left) - left
             p = p[: max(0, a.shape[0] - y), : max(0, a.shape[1] - x)]
             a[y : y + p.shape[0], x : x + p.shape[1]] = p
         y, x = own["top"] - top, own["left"] - left
-        done = pack(int(own["image_id"]), np.ascontiguousarray(kernel(a)[y : y + own["height"], x : x + own["width"]]))
-        return pd.DataFrame([{k: own[k] for k in KEYS} | done])[[x.split(" ")[0] for x in TILE.split(", ")]]
+        done = pack(r["image_id"], np.ascontiguousarray(kernel(a)[y : y + own["height"], x : x + own["width"]]))
+        return [done | {k: own[k] for k in KEYS[3:]} | {k: r[k] for k in KEYS[:3]}]
 
     pieces = over_rows(tiles, TILE + ", own boolean", lambda r: _strips(r, halo), slice_rows=2)
-    return pieces.groupBy("image_id", "tile_y", "tile_x").applyInPandas(make, TILE)
+    at = ["image_id", "tile_y", "tile_x"]
+    met = pieces.groupBy(*at).agg(F.collect_list(F.struct(*[c for c in pieces.columns if c not in at])).alias("pieces"))
+    return over_rows(met.filter(F.exists("pieces", lambda p: p["own"])), TILE, make, slice_rows=2)
 
 
 def join(tiles: DataFrame) -> DataFrame:
     """Whole rasters again, for frames that fit a task."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        first = rows[0]
+    def make(r: dict) -> list[dict]:
+        first = r["tiles"][0]
         a = np.zeros((first["frame_h"], first["frame_w"], first["channels"]), np.uint16 if first["bits"] == 16 else np.uint8)
-        for r in rows:
-            a[r["top"] : r["top"] + r["height"], r["left"] : r["left"] + r["width"]] = unpack(r)
-        return pd.DataFrame([pack(int(first["image_id"]), a)])
+        for t in r["tiles"]:
+            a[t["top"] : t["top"] + t["height"], t["left"] : t["left"] + t["width"]] = unpack(t)
+        return [pack(r["image_id"], a)]
 
-    return tiles.groupBy("image_id").applyInPandas(make, RASTER)
+    return over_rows(tiles.groupBy("image_id").agg(F.collect_list(F.struct(*[c for c in tiles.columns if c != "image_id"])).alias("tiles")), RASTER, make, slice_rows=1)
 
 
 def _local(r: dict, threshold: int) -> list[dict]:

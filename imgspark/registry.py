@@ -292,6 +292,7 @@ TABLE = {
     "background_removed": (background, None),
     "model_inputs": (lambda s, d: B.model_inputs(detailed(s, d).select("image_id", "layer_idx", "l", "t", "r", "b").join(D.pictures(s, d), "image_id"), 32).select("image_id", "layer_idx", F.sha2("tensor", 256).alias("tensor_sha256")), None),
     "refined_selections": (lambda s, d: digest(L.refine_selections(D.masks(s, d), D.pictures(s, d), prompts(s, d)), "n_selected"), None),
+    "colour_selections": (lambda s, d: digest(L.colour_selections(D.masks(s, d), D.pictures(s, d), prompts(s, d)), "n_selected"), None),
     "prompted_masks": (lambda s, d: digest(L.prompted_masks(D.pictures(s, d), E.sample_prompts(prompts(s, d)), lambda: by_light, 64), "mask_idx"), None),
     "placed_selections": (lambda s, d: digest(L.place_selections(D.masks(s, d), rects(s, d).withColumns({"frame_h": F.lit(48), "frame_w": F.lit(48)}))), None),
     "edited_selections": (edited, None),

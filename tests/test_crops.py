@@ -172,3 +172,62 @@ def test_seeded_box_takes_the_painted_side():
     side, box = S.seeded_box(m, [(250.0, 150.0, 10.0)], 200, 300)
     assert not side and box == (0, 0, 300, 200)
     assert S.hint_box([(100, 100, 10)], 200, 300) == (65, 65, 135, 135)
+
+
+def loop_by_colour(rgba, model, points):
+    h, w = model.shape
+    cells = [(y, x) for y in range(h) for x in range(w)]
+    see = lambda p: rgba[p][3] > 4
+
+    def trait(p):
+        r, g, b = (float(v) for v in rgba[p][:3])
+        return r, g, b, 0.2126 * r + 0.7152 * g + 0.0722 * b, max(r, g, b) - min(r, g, b), float(model[p])
+
+    def fits(p, q, limits):
+        a, b = trait(p), trait(q)
+        return sum((u - v) ** 2 for u, v in zip(a[:3], b[:3], strict=True)) <= limits[0] ** 2 and all(abs(a[i] - b[i]) <= limits[i - 2] for i in (3, 4, 5))
+
+    run = [0.0]
+    for a, b in zip(points, points[1:], strict=False):
+        run.append(run[-1] + math.hypot(b[0] - a[0], b[1] - a[1]))
+    owner = {}
+    for (x, y, r), at in zip(points, run, strict=False):
+        d = {p: (p[1] + 0.5 - x) ** 2 + (p[0] + 0.5 - y) ** 2 for p in cells}
+        pool = [p for p in cells if see(p) and d[p] <= max(1, 0.26 * r) ** 2]
+        if not pool:
+            continue
+        sample = min(pool, key=lambda p: d[p])
+        inner = min(1, max(0, min(at, run[-1] - at) / max(1, 0.9 * r))) if run[-1] else 0.25
+        reach = max(1, r * (1 + (1.08 - 1) * inner))
+        for p in cells:
+            share = ((p[0] + 0.5 - y) / reach) ** 2 + ((p[1] + 0.5 - x) / reach) ** 2
+            if share <= 1 and (p not in owner or share < owner[p][0]):
+                owner[p] = float(np.float32(share)), sample
+    hint = {p for p in cells if see(p) and any((p[1] + 0.5 - x) ** 2 + (p[0] + 0.5 - y) ** 2 <= r * r for x, y, r in points)}
+    allow = [hint | {p for p in cells if see(p) and p in owner and fits(p, owner[p][1], t)} for t in ((76, 58, 42, 104), (98, 74, 58, 136))]
+    on, todo = set(hint), list(hint)
+    cross = lambda p: [(p[0] + a, p[1] + b) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+    for p in todo:
+        for q in cross(p):
+            if q in allow[0] and q not in on:
+                a, b = trait(p), trait(q)
+                if sum((u - v) ** 2 for u, v in zip(a[:3], b[:3], strict=True)) <= 68**2 and abs(int(rgba[p][3]) - int(rgba[q][3])) <= 64 and abs(a[5] - b[5]) <= 104:
+                    on.add(q)
+                    todo.append(q)
+    on |= {p for p in allow[1] - on if sum(q in on for q in cross(p)) >= 3}
+    return np.array([[(y, x) in on for x in range(w)] for y in range(h)])
+
+
+def test_colour_growth_equals_loop():
+    grown = 0
+    for k in range(6):
+        h, w = 24, 30
+        y, x = np.mgrid[:h, :w]
+        rgba = np.dstack([x * 6 + RNG.integers(0, 30, (h, w)), y * 7 + RNG.integers(0, 30, (h, w)), RNG.integers(90, 130, (h, w)), np.where(RNG.random((h, w)) < 0.05, 0, 255)]).astype(np.uint8)
+        model = np.clip(x * 8 + RNG.integers(-20, 20, (h, w)), 0, 255).astype(np.uint8)
+        points = [(5.0 + 3 * i, 8.0 + i * (k % 3), 3.0 + k) for i in range(1 + k)]
+        on = S.by_colour(rgba, model, points)
+        assert (on == loop_by_colour(rgba, model, points)).all()
+        grown += int(on.sum()) - int((S._discs(h, w, points, lambda r: r) & (rgba[..., 3] > 4)).sum())
+    assert grown
+    assert not S.by_colour(np.zeros((5, 5, 4), np.uint8), np.zeros((5, 5), np.uint8), [(2.0, 2.0, 3.0)]).any()
