@@ -58,6 +58,19 @@ def test_main_text(spark):
     assert H.main_text(pages(spark, [])).count() == 0
 
 
+def test_texts_that_the_pages_of_a_host_repeat_are_template(spark):
+    make = lambda i: f"""<html><body><div class=a1><div class=b7>Home<div>All <i>news</i></div></div><div class=c3><p>Story {i} is <b>told</b> here<p>Again {i}</div>
+<div class=b9>Buy now{' and then' * (i % 2)}</div><div class=b7>&copy; the owners</div></div></body></html>"""
+    rows = [(i, "http://h.example/x", make(i)) for i in range(9)] + [(i, "http://h.example/y", make(0)) for i in range(20, 40)]
+    rows += [(i, "http://two.example/", make(i)) for i in range(50, 52)] + [(i, "http://same.example/", make(7)) for i in range(60, 65)]
+    story = lambda i: f"Story {i} is told here Again {i}"
+    full = lambda i: f"Home All news {story(i)} Buy now{' and then' * (i % 2)} © the owners"
+    # of nine different pages five say Buy now; copies count once; two pages and copies of one page tell nothing
+    want = {i: story(i) + " Buy now and then" * (i % 2) for i in range(9)} | {i: story(0) for i in range(20, 40)} | {i: full(i) for i in (50, 51)} | {i: full(7) for i in range(60, 65)}
+    for size in (64 << 20, 0):
+        assert {r.page_id: r.text for r in H.main_text(pages(spark, rows).repartition(5), broadcast_bytes=size).collect()} == want
+
+
 def test_wrapper_has_optional_and_repeated_groups_and_matches_unseen_pages():
     make = lambda i, j: PAGE.format(li="<li><a>x</a></li>" * i, more="", tail="<p>tail</p>" * j)
     w = H.align(H.page_wrapper(make(2, 0)), H.page_wrapper(make(5, 2)))
