@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +30,40 @@ def expand_strokes(points: DataFrame) -> DataFrame:
 
 
 def effective_edits(log: DataFrame, limit: int = 12) -> DataFrame:
-    """The strokes that are still there: undo takes the newest of the last `limit`, reset clears. One fold over each image's log.
-
-    An image's log is what one person drew on one picture, so it fits a row."""
-    entry = F.struct("seq", "tool")
-    folded = log.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
-    start = F.struct(F.array().cast("array<bigint>").alias("stack"), F.lit(0).alias("undoable"))
-
-    def step(acc, e):
-        n = F.size(acc["stack"])
-        undone = F.when(acc["undoable"] > 0, F.struct(F.slice(acc["stack"], F.lit(1), n - 1).alias("stack"), (acc["undoable"] - 1).alias("undoable"))).otherwise(acc)
-        drawn = F.struct(F.concat(acc["stack"], F.array(e["seq"])).alias("stack"), F.least(F.lit(limit), acc["undoable"] + 1).alias("undoable"))
-        return F.when(e["tool"] == "undo", undone).when(e["tool"] == "reset", start).otherwise(drawn)
-
-    kept = folded.select("image_id", F.explode(F.aggregate("log", start, step, lambda a: a["stack"])).alias("seq"))
-    return log.join(kept, ["image_id", "seq"]).select(*log.columns)
+    """The strokes that are still there: undo takes the newest of the last `limit`, reset clears.
+
+    Rows up to an image's last reset go by an aggregate and a join. The others stream in order through a stack of the strokes that can
+    still be undone; a stroke that is deeper is settled. A task holds one batch and `limit` strokes, however long a log is."""
+    at = F.struct(F.col("seq").alias("seq"), F.col("tool").alias("tool"))
+    last = log.filter("tool = 'reset'").groupBy("image_id").agg(F.max(at).alias("_last"))
+    rows = log.filter("image_id is not null").join(last, "image_id", "left").filter(F.col("_last").isNull() | (at > F.col("_last")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, held = None, None  # held: rows of the strokes that can be undone
+        for b in batches:
+            n = held.num_rows if held is not None else 0
+            rows = pa.Table.from_batches([held, b] if n else [b]).combine_chunks().to_batches()[0] if b.num_rows else held
+            stack, settled = deque(range(n)), []
+            for i, (own, tool) in enumerate(zip(b.column("image_id").to_pylist(), b.column("tool").to_pylist(), strict=True), n):
+                if own != image:
+                    settled += stack
+                    stack.clear()
+                    image = own
+                if tool == "undo":
+                    if stack:
+                        stack.pop()
+                    continue
+                stack.append(i)
+                if len(stack) > limit:
+                    settled.append(stack.popleft())
+            if rows is not None:
+                yield rows.take(pa.array(settled, pa.int64()))
+                held = rows.take(pa.array(stack, pa.int64()))
+        if held is not None:
+            yield held
+
+    line = rows.select(log.columns).repartition("image_id").sortWithinPartitions("image_id", "seq", "tool")
+    return line.mapInArrow(run, log.schema).filter("seq is not null")
 
 
 def sample_prompts(points: DataFrame, positive: int = 14, negative: int = 6) -> DataFrame:

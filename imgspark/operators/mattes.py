@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finish, matte
 from .edits import effective_edits, expand_strokes
-from .rasters import NAMES, RASTER, over_rows, pack, unpack
+from .rasters import RASTER, over_rows, over_steps, pack, unpack
 
 
 def fuse_layers(layers: DataFrame) -> DataFrame:
@@ -129,17 +128,17 @@ def replay_edits(rasters: DataFrame, sources: DataFrame, log: DataFrame) -> Data
     """RGBA rasters after their logs: strokes that were not undone, spread to steps, erase or restore in order.
 
     log: image_id, stroke_id, seq, x, y, radius, tool. A raster without a log comes out as it is; without a source it restores itself."""
-    steps = expand_strokes(effective_edits(log)).join(log.select("image_id", "seq", "tool"), ["image_id", "seq"])
+    kept = effective_edits(log)
+    steps = expand_strokes(kept).join(kept.select("image_id", "seq", "tool"), ["image_id", "seq"])
     both = rasters.join(sources.select("image_id", F.col("data").alias("source")), "image_id", "left")
 
-    def make(strokes: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in images.to_dict("records"):
-            a = unpack(r)
-            source = a if r["source"] is None else unpack(r | {"data": r["source"]})
-            for s in strokes.sort_values(["seq", "step"]).itertuples():
-                a = matte.erase(a, s.at_x, s.at_y, s.radius) if s.tool == "erase" else matte.restore(a, source, s.at_x, s.at_y, s.radius)
-            out.append(pack(int(r["image_id"]), a))
-        return pd.DataFrame(out, columns=NAMES)
-
-    return steps.groupBy("image_id").cogroup(both.groupBy("image_id")).applyInPandas(make, RASTER)
+    def begin(r: dict) -> tuple:
+        a = unpack(r)
+        return r["image_id"], a, a if r["source"] is None else unpack(r | {"data": r["source"]})
+
+    def apply(state: tuple, s: dict) -> tuple:
+        i, a, source = state
+        at = s["at_x"], s["at_y"], s["radius"]
+        return i, matte.erase(a, *at) if s["tool"] == "erase" else matte.restore(a, source, *at), source
+
+    return over_steps(both, steps, ["seq", "step"], RASTER, begin, apply, lambda state: pack(*state[:2]))

@@ -5,6 +5,7 @@ Nothing is shuffled here; rows carry pixels, so plans should join and group on i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 RASTER = "image_id long, height int, width int, channels int, bits int, data binary"
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 NAMES = ["image_id", "height", "width", "channels", "bits", "data"]
 
 
@@ -27,8 +29,7 @@ def pack(image_id: int, a: np.ndarray) -> dict:
 
 def over_rows(frame: DataFrame, schema: str, make: Callable[[dict], list[dict]], slice_rows: int = 16) -> DataFrame:
     """make(row) for every row; slices keep few decoded rasters in memory."""
-    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-    fields = pa.schema([(n, arrow[t]) for n, t in (x.split(" ") for x in schema.split(", "))])
+    fields = pa.schema([(n, ARROW[t]) for n, t in (x.split(" ") for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,6 +41,34 @@ def over_rows(frame: DataFrame, schema: str, make: Callable[[dict], list[dict]],
     return frame.mapInArrow(run, schema)
 
 
+def over_steps(rasters: DataFrame, steps: DataFrame, order: list[str], schema: str, begin: Callable[[dict], Any], apply: Callable[[Any, dict], Any], finish: Callable[[Any], dict], slice_rows: int = 16) -> DataFrame:
+    """finish(state) of every raster, whose state is begin(raster) and then apply(state, step) for the steps of its image in order.
+
+    An image's steps stream past its raster in sorted partitions, so a task holds one slice and one image, however many steps it has."""
+    shapes = rasters.schema.simpleString(), steps.schema.simpleString()
+    lone = lambda frame, i: frame.select("image_id", F.lit(i).alias("kind"), *[F.struct(*frame.columns).alias(n) if k == i else F.lit(None).cast(shapes[k]).alias(n) for k, n in enumerate(("raster", "step"))])
+    rows = lone(rasters, 0).unionByName(lone(steps, 1)).repartition("image_id").sortWithinPartitions("image_id", "kind", *[f"step.{c}" for c in order])
+    fields = pa.schema([(n, ARROW[t]) for n, t in (x.split(" ") for x in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, states, open_ = None, [], False
+        for b in batches:
+            for i in range(0, b.num_rows, slice_rows):
+                for r in b.slice(i, slice_rows).to_pylist():
+                    if not open_ or r["image_id"] != image:
+                        if states:
+                            yield pa.RecordBatch.from_pylist([finish(s) for s in states], fields)
+                        image, states, open_ = r["image_id"], [], True
+                    if r["kind"] == 0:
+                        states.append(begin(r["raster"]))
+                    else:
+                        states = [apply(s, r["step"]) for s in states]
+        if states:
+            yield pa.RecordBatch.from_pylist([finish(s) for s in states], fields)
+
+    return rows.mapInArrow(run, schema)
+
+
 def validate_frames(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rasters whose data is long enough, the others with an error)."""
     enough = F.coalesce(F.octet_length("data") >= F.col("height") * F.col("width") * F.col("channels") * F.col("bits") / 8, F.lit(False)) & (F.col("channels") >= 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import selection as S
 from ..functions.kernels import flatten_alpha, half_up, resample
-from .rasters import RASTER, over_rows, pack, unpack
+from .rasters import RASTER, over_rows, over_steps, pack, unpack
 
 #: Means and deviations of the channels in the models' training pictures; longest edge of a prompted input.
 MEAN, DEVIATION, PROMPTED_EDGE = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), 1024
@@ -79,18 +79,18 @@ def edit_selections(selections: DataFrame, rasters: DataFrame, lines: DataFrame)
     """Selections after their brush lines in order of seq. lines: image_id, seq, x0, y0, x1, y1, radius, add (boolean).
 
     rasters: RGBA, for what is visible. A selection without lines comes out as it is."""
-    entry = F.struct("seq", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "radius")], "add")
-    drawn = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
-    both = selections.join(rasters.select("image_id", F.col("data").alias("pixels")), "image_id").join(drawn, "image_id", "left")
+    drawn = lines.select("image_id", "seq", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "radius")], "add")
+    both = selections.join(rasters.select("image_id", F.col("data").alias("pixels")), "image_id")
 
-    def make(r: dict) -> list[dict]:
+    def begin(r: dict) -> tuple:
         on = unpack(r)[..., 0]
-        alpha = np.frombuffer(r["pixels"], np.uint8).reshape(*on.shape, 4)[..., 3]
-        for q in r["lines"] or []:
-            on = S.brush(on, alpha, (q["x0"], q["y0"], q["x1"], q["y1"]), q["radius"], q["add"])
-        return [pack(r["image_id"], on[..., None])]
+        return r["image_id"], on, np.frombuffer(r["pixels"], np.uint8).reshape(*on.shape, 4)[..., 3]
+
+    def apply(state: tuple, q: dict) -> tuple:
+        i, on, alpha = state
+        return i, S.brush(on, alpha, (q["x0"], q["y0"], q["x1"], q["y1"]), q["radius"], q["add"]), alpha
 
-    return over_rows(both, RASTER, make)
+    return over_steps(both, drawn, ["seq", "x0", "y0", "x1", "y1", "radius", "add"], RASTER, begin, apply, lambda state: pack(state[0], state[1][..., None]))
 
 
 def hint_boxes(masks: DataFrame, points: DataFrame) -> DataFrame:

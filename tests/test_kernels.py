@@ -211,6 +211,15 @@ def test_effective_edits_by_plain_fold(spark, sf_dir):
     assert {(r.image_id, r.seq) for r in edits.effective_edits(log).collect()} == want
 
 
+def test_long_edit_logs_are_not_gathered_in_a_row(spark):
+    tool = F.expr("case when id = 500 then 'reset' when id % 30000 >= 29980 then 'undo' else 'erase' end")
+    log = spark.range(60000).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("seq"), tool.alias("tool")).repartition(5)
+    got = edits.effective_edits(log.unionByName(log.filter("seq < 500").withColumn("image_id", F.lit(2).cast("long"))))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = [(1, i) for i in (*range(501, 29968), *range(30000, 59968))] + [(2, i) for i in range(500)]
+    assert sorted((r.image_id, r.seq) for r in got.collect()) == want
+
+
 def test_streams_equal_batch(spark, sf_dir, tmp_path):
     events = derived.progress_events(spark, sf_dir)
     events.orderBy(F.rand(3)).repartition(5).write.parquet(str(tmp_path / "in"))
