@@ -15,8 +15,38 @@ from ..functions import kernels as K
 from ..operators.rasters import over_rows, unpack
 
 
+RESULT = "image_id long, name string, content binary, output_size long, status string, error string"
+
+
+def convert_all(planned: DataFrame, rasters: DataFrame, files: DataFrame, encode: Callable[[np.ndarray, str, float | None], tuple[bytes, str]]) -> DataFrame:
+    """One result or error row for every row of plan(): pixels re-encoded, bytes of pass-through rows copied, raw-16 sharpened as PNG.
+
+    files: image_id and content of the source files. Routes that other jobs serve, and rows without pixels or bytes, are errors."""
+    encoded = process_images(planned, rasters, encode)
+    copied = planned.filter("route = 'pass-through'").select("image_id", "out_name").join(files.select("image_id", "content"), "image_id").select("image_id", F.col("out_name").alias("name"), "content", F.lit(None).cast("string").alias("error"))
+    deep = planned.filter("route = 'raw-16'").select("image_id", "out_name").join(rasters, "image_id")
+
+    def make(r: dict) -> list[dict]:
+        try:
+            return [{"image_id": r["image_id"], "name": r["out_name"], "content": K.png(K.sharpen16(unpack(r))), "error": None}]
+        except Exception as e:  # noqa: BLE001  whatever is wrong with a frame fails the item only
+            return [{"image_id": r["image_id"], "name": r["out_name"], "content": None, "error": str(e)}]
+
+    sharpened = over_rows(deep, "image_id long, name string, content binary, error string", make)
+    pixels, bytes_ = rasters.select("image_id").distinct(), files.select("image_id").distinct()
+    of_pixels = planned.filter("route in ('re-encode', 'raw-8', 'raw-16')").join(pixels, "image_id", "left_anti").withColumn("error", F.lit("no pixels of this image"))
+    of_bytes = planned.filter("route = 'pass-through'").join(bytes_, "image_id", "left_anti").withColumn("error", F.lit("no file of this image"))
+    others = planned.filter("route is null or route not in ('re-encode', 'raw-8', 'raw-16', 'pass-through')").withColumn("error", F.concat(F.lit("not part of this job: "), F.coalesce("route", F.lit("no route"))))
+    lost = of_pixels.unionByName(of_bytes).unionByName(others).select("image_id", F.col("out_name").alias("name"), F.lit(None).cast("binary").alias("content"), "error")
+    rest = copied.withColumn("error", F.when(F.col("content").isNull(), "no file of this image")).unionByName(sharpened).unionByName(lost)
+    status = F.when(F.col("error").isNull(), "done").otherwise("error")
+    return encoded.unionByName(rest.select("image_id", "name", "content", F.octet_length("content").cast("long").alias("output_size"), status.alias("status"), "error"))
+
+
 def process_images(planned: DataFrame, rasters: DataFrame, encode: Callable[[np.ndarray, str, float | None], tuple[bytes, str]]) -> DataFrame:
-    """planned: rows of plan(); result: image_id, name, content, output_size, status, error. The name follows the type that the encoder gave."""
+    """The routes re-encode and raw-8 alone; convert_all() serves a whole batch.
+
+    planned: rows of plan(); result: image_id, name, content, output_size, status, error. The name follows the type that the encoder gave."""
     jobs = planned.filter(F.col("route").isin("re-encode", "raw-8")).select("image_id", "out_w", "out_h", "out_mime", "out_name", "quality").join(rasters, "image_id")
 
     def make(r: dict) -> list[dict]:
@@ -29,7 +59,7 @@ def process_images(planned: DataFrame, rasters: DataFrame, encode: Callable[[np.
         except Exception as e:  # noqa: BLE001  an encoder may fail in any way; that fails the item only
             return [{"image_id": r["image_id"], "name": r["out_name"], "content": None, "output_size": None, "status": "error", "error": str(e)}]
 
-    return over_rows(jobs, "image_id long, name string, content binary, output_size long, status string, error string", make)
+    return over_rows(jobs, RESULT, make)
 
 
 def predict_masks(inputs: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from imgspark.functions import kernels as K
 from imgspark.operators import edits, progress, rasters
 from imgspark.operators import manifest as O
-from imgspark.plans.convert import predict_masks, process_images
+from imgspark.plans.convert import convert_all, predict_masks, process_images
 from imgspark.sources import derived, files
 from imgspark.streaming.progress import stream_latest, stream_stalled
 
@@ -251,6 +251,20 @@ def test_conversion_job(spark, sf_dir):
         assert r.status == "error" or r.name.endswith(".png") or bytes(r.content) == b"\x04\x05"
 
 
+def test_conversion_of_a_whole_batch_loses_no_row(spark):
+    routes = ["re-encode", "raw-8", "raw-16", "pass-through", "remove-background", "raw-16", "pass-through", "re-encode", None, "pass-through"]
+    plan = [(i, r, 2, 2, "image/png", f"{i}.png", None) for i, r in enumerate(routes)]
+    planned = spark.createDataFrame(plan, "image_id long, route string, out_w long, out_h long, out_mime string, out_name string, quality double")
+    deep = RNG.integers(0, 65536, (3, 4, 3)).astype(np.uint16)
+    frames = [rasters.pack(i, deep if i == 2 else np.full((2, 2, 3), 9, np.uint8)) for i in (0, 1, 2, 3)]
+    files = spark.createDataFrame([(3, bytearray(b"as it is")), (0, bytearray(b"x")), (9, None)], "image_id long, content binary")
+    rows = convert_all(planned, spark.createDataFrame(frames, rasters.RASTER), files, lambda a, mime, quality: (b"new", mime)).collect()
+    got = {r.image_id: (r.status, r.content and bytes(r.content)) for r in rows}
+    assert len(rows) == len(plan) and all(r.name == f"{r.image_id}.png" and r.output_size == (r.content and len(r.content)) for r in rows)
+    assert got == {0: ("done", b"new"), 1: ("done", b"new"), 2: ("done", K.png(K.sharpen16(deep))), 3: ("done", b"as it is")} | {i: ("error", None) for i in range(4, 10)}
+    assert {r.image_id: r.error for r in rows}[4] == "not part of this job: remove-background"
+
+
 def test_predicted_masks(spark, sf_dir):
     d = derived.frames16(spark, sf_dir)
     out = predict_masks(d, lambda: lambda a: a.mean(axis=-1) / 257).limit(3).collect()
