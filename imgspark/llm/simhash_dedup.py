@@ -9,7 +9,7 @@ Equal fingerprints are merged before the index, so groups of copies cost one ent
 classes come from alternating large-star and small-star steps, each a min-aggregate and a join on checkpointed tables.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; a row
-whose doc_id is null gets the class of its fingerprint; repeated rows each stay; further columns are ignored; an empty
+whose doc_id is null gets the class of its fingerprint, and links like any other; repeated rows each stay; further columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -99,8 +99,10 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """doc_id, fp and component_id for every row of docs."""
     prints = cut(fingerprints(docs, doc_id, text, shingle))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    roots = components(links(fps.filter("id is not null"), max_bits))
-    owner = fps.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    # fingerprints are the nodes, so that one without any doc_id links its neighbours; min() passes over nulls
+    roots = cut(components(links(fps.select(F.col("fp").alias("id"), "fp"), max_bits)).withColumnRenamed("id", "fp"))
+    low = fps.join(roots, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
+    owner = fps.join(roots.join(low, "root"), "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -84,6 +84,13 @@ def test_components_of_a_chain_and_empty(spark):
     assert S.simhash_dedup(frame(spark, [])).count() == 0
 
 
+def test_rows_without_id_link_their_neighbours(spark, monkeypatch):
+    # fingerprints 0 - 7 - 63 in steps of three bits; only a row without doc_id has the one between
+    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "cast(text as long) as fp"))
+    got = S.simhash_dedup(frame(spark, [(4, "63"), (None, "7"), (9, "0"), (None, "4096000"), (2, "-1")])).collect()
+    assert {(r.doc_id, r.fp, r.component_id) for r in got} == {(4, 63, 4), (None, 7, 4), (9, 0, 4), (None, 4096000, None), (2, -1, 2)}
+
+
 def test_keep_one(spark):
     text = "the same words stand here again and again for all of them"
     kept = sorted(r.doc_id for r in S.keep_one(frame(spark, [(3, text), (2, text), (9, "quite another text with other words in it")])).collect())
