@@ -16,6 +16,8 @@ trains on nothing, and reports nothing; further columns are carried along, those
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +35,43 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
 #: Scores are kept as integers in thousandths, so sums are exact in any order.
 SCALE = 1000
+#: Matches whose places are summed in one fold.
+BLOCK = 256
 
 
 def places(text: Column, pattern: str) -> Column:
     """Array of (s, e) of all leftmost matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
-    sized = F.zip_with(F.transform(between, F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    return F.aggregate(
-        sized,
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["m"]).alias("e"))))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    steps = F.zip_with(between, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    return let(F.filter(steps, lambda x: x["m"].isNotNull()), running)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(steps: Column) -> Column:
+    """(s, e) of matches from the gaps before them and their lengths. Folds that append copy what they have, so they run
+    over blocks of steps and then over the blocks, never over all steps of a long text."""
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+
+    def inside(block: Column, at: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(at.alias("at"), empty.alias("out")),
+            lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["m"]).alias("e")))).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def over(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + x["m"]))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), inside))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(steps) == 0, empty).otherwise(let(F.transform(cuts, lambda i: F.slice(steps, i * BLOCK + 1, F.lit(BLOCK))), over))
 
 
 def base_spans(text: Column) -> Column:
@@ -69,14 +91,10 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _class(token: Column, i: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-
-
 def moves(token: Column) -> Column:
     """Array of transition numbers, first class * CLASSES + second class."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: _class(token, i) * CLASSES + _class(token, i + 1))
-    return F.when(F.length(token) < 2, F.array().cast("array<int>")).otherwise(pairs)
+    classes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return let(classes, lambda x: F.filter(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda a, b: a * CLASSES + b), lambda m: m.isNotNull()))
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 1000) -> list[int]:
@@ -88,12 +106,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
     after = F.slice(F.col("w"), 2, 1 << 30)
     snake = F.zip_with("w", after, lambda a, b: F.concat(a, F.lit("_"), b))
     camel = F.zip_with("w", after, lambda a, b: F.concat(a, F.initcap(b), (F.length(a) % 10).cast("string")))
-    ordinary = some.select(F.lit(0).alias("label"), F.explode(F.filter(F.concat("w", snake, camel), lambda x: x.isNotNull())).alias("token"))
-    found = some.select(F.lit(1).alias("label"), F.explode(F.transform("b", lambda x: F.substring("t", x["s"] + 1, x["e"] - x["s"]))).alias("token"))
-    found = found.select("label", F.regexp_extract("token", "([A-Za-z0-9+/_=-]+)$", 1).alias("token"))
+    ordinary = F.filter(F.concat("w", snake, camel), lambda x: x.isNotNull())
+    found = F.transform("b", lambda x: F.regexp_extract(F.substring("t", x["s"] + 1, x["e"] - x["s"]), "([A-Za-z0-9+/_=-]+)$", 1))
     digest = [F.sha2(F.concat(F.lit(f"{i}:"), "id"), 256) for i in range(8)]
-    drawn = some.select(F.lit(1).alias("label"), F.explode(F.array(*digest, *[F.base64(F.unhex(d)) for d in digest])).alias("token"))
-    counts = ordinary.unionByName(found).unionByName(drawn).select("label", F.explode(moves(F.col("token"))).alias("m")).groupBy("m").agg(
+    drawn = F.array(*digest, *[F.base64(F.unhex(d)) for d in digest])
+    labelled = lambda tokens, label: F.transform(tokens, lambda x: F.struct(label.alias("label"), x.alias("token")))
+    all_tokens = F.concat(labelled(ordinary, F.lit(0)), labelled(found, F.lit(1)), labelled(drawn, F.lit(1)))
+    counts = some.select(F.inline(all_tokens)).select("label", F.explode(moves(F.col("token"))).alias("m")).groupBy("m").agg(
         F.count_if(F.col("label") == 1).alias("r"), F.count_if(F.col("label") == 0).alias("o")
     )
     counts = counts.withColumn("row", F.floor(F.col("m") / CLASSES).cast("int"))

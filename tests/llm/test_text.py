@@ -144,6 +144,27 @@ def test_secret_models_on_held_out_strings(spark, sf_dir):
     assert caught >= 190 and wrong <= 5, (caught, wrong)
 
 
+def test_secrets_of_long_tokens_many_matches_and_repeated_rows(spark):
+    """A token of a million letters, more matches in one text than a fold takes, and rows that repeat."""
+    runs = "0123456789abcdef" * (1 << 16)
+    many = " ".join(f"token = abcdefgh{i}" for i in range(3 * K.BLOCK + 1))
+    texts = [runs, "Q" + runs, many, many]
+    d = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, many), (2, many)], "doc_id long, text string")
+    got = sorted(K.secret_digests(d, model=[1000] * K.CLASSES**2).collect())
+    for r, text in zip(got, texts, strict=True):
+        written = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in plain_spans(text))
+        assert r.spans == written
+    assert got[2] == got[3] and got[2].n_assign == 3 * K.BLOCK + 1
+    plain = spark.createDataFrame([(0, "z1" * (1 << 19))], "doc_id long, text string")
+    assert K.secret_digests(plain, model=[1000] * K.CLASSES**2).first().spans == f"random:0:{1 << 20}"
+
+
+def test_secret_scan_carries_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "token = abcdefghij", "a", "b", 3)], "doc_id long, text string, base string, _t string, added int")
+    r = K.secret_scan(d, model=[0] * K.CLASSES**2).first()
+    assert r["_t"] == "b" and [tuple(x) for x in r.base] == [(0, 0, 18)] and r.added == []
+
+
 def test_merging_in_bulk_equals_merging_word_by_word(b):
     rng = np.random.default_rng(2)
     words = [bytes(rng.choice(list(b"abetheroning  123\xc3\xa9"), size=int(n))) for n in rng.integers(1, B.WIDE + 1, 2000)] + [b"a" * n for n in range(1, B.WIDE + 1)]
