@@ -3,7 +3,9 @@ removed, and a document that loses too much of its text is rejected. Native: exp
 
 Defined cases: a null text counts as one without words; a text without words has no lines and is rejected by the base
 rules; repeated rows are judged each for itself; further columns are carried along, those named like a result column are
-replaced. Windows of three words are told apart by a 64-bit hash within one text.
+replaced; lines without words stay in clean_text, so a text that loses no line stays as it is. Windows of three words are told
+apart by a 64-bit hash within one text. A line is boilerplate if it has one such phrase for every phrase_words of its words, at
+any length.
 """
 
 from __future__ import annotations
@@ -15,17 +17,26 @@ from .common import BLANKS, GAP, carried, unpacked, whole, words
 
 SYMBOLS = "#*$%&|<>"
 
-#: Wording of licence, rights, cookie and subscription lines.
+#: Wording of licence, rights, cookie and subscription lines, English, German, French and Spanish; a dot stands
+#: for a letter with a mark.
 BOILERPLATE = (
     r"(?i)licensed under |released under the |is licensed |all rights reserved|copyright (?:\(c\)|©|[0-9]{4})|"
     r"privacy policy|terms of (?:use|service)|accept (?:all )?cookies|uses cookies|click here|"
-    r"subscribe to (?:our|the)|sign up for|enable javascript|share this (?:page|article|post)|powered by "
+    r"subscribe to (?:our|the)|sign up for|enable javascript|share this (?:page|article|post)|powered by |"
+    r"alle rechte vorbehalten|datenschutzerkl.rung|nutzungsbedingungen|cookies (?:akzeptieren|verwenden)|newsletter abonnieren|"
+    r"tous droits r.serv.s|politique de confidentialit.|conditions d.utilisation|accepter les cookies|cliquez ici|"
+    r"todos los derechos reservados|pol.tica de privacidad|condiciones de uso|aceptar (?:las )?cookies|haga clic aqu."
 )
-#: Words that a menu line is made of.
-MENU = r"(?i)^\W*(?:(?:home|menu|login|log in|register|search|contact|about|sitemap|next|previous|back|top|help|faq)\W*)+$"
+#: Words that a menu line is made of, in the same languages.
+MENU = (
+    r"(?i)^\W*(?:(?:home|menu|login|log in|register|search|contact|about|sitemap|next|previous|back|top|help|faq|"
+    r"startseite|anmelden|suche|kontakt|impressum|hilfe|accueil|connexion|recherche|aide|inicio|buscar|contacto|ayuda)\W*)+$"
+)
+#: A phrase of boilerplate spoils so many words of its line.
+PHRASE_WORDS = 60
 
 
-def line_verdict(line: Column) -> Column:
+def line_verdict(line: Column, phrase_words: int = PHRASE_WORDS) -> Column:
     """Null for a line that stays, else the rule that it fails: punctuation, navigation or boilerplate."""
     bare = F.btrim(line, F.lit(BLANKS))
     n = F.size(F.split(bare, GAP))
@@ -34,7 +45,7 @@ def line_verdict(line: Column) -> Column:
     ends = F.substring(bare, -1, 1).isin(*".!?…:;,\"')]”»。")
     return (
         F.when((bars >= 3) & (bars * 3 >= n - bars) | bare.rlike(MENU), "navigation")
-        .when((F.length(bare) < 400) & bare.rlike(BOILERPLATE), "boilerplate")
+        .when(F.when(bare.rlike(BOILERPLATE), F.regexp_count(bare, F.lit(BOILERPLATE)) * phrase_words >= n).otherwise(False), "boilerplate")
         .when((marks >= 3) & (marks >= n) | ~ends & (n < 4), "punctuation")
     )
 
@@ -55,8 +66,13 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_kept_percent: int = 50,
+    phrase_words: int = PHRASE_WORDS,
 ) -> DataFrame:
     """Every row with the base counts, base_failed, n_lines, n_lines_removed, n_chars_lines, n_chars_kept, clean_text and kept."""
+    def verdict(line: Column) -> Column:
+        c = F.length(F.translate(line, BLANKS, ""))
+        return F.struct(F.when(c > 0, line_verdict(line, phrase_words)).alias("why"), c.alias("c"), line.alias("line"))
+
     whitespace_free = F.translate(F.col("_t"), BLANKS, "")
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "n_chars_lines", "n_chars_kept", "clean_text", "kept"]
     d = docs.select(carried(docs, out), whole(F.col(f"`{text}`")).alias("_t"))
@@ -68,7 +84,7 @@ def quality_rules(
                 F.size("_w") >= 3,
                 F.transform(F.slice("_w", 1, F.size("_w") - 2), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))),
             ).otherwise(F.array().cast("array<bigint>")),
-            "_v": F.transform("_l", lambda x: F.struct(line_verdict(x).alias("why"), F.length(F.translate(x, BLANKS, "")).alias("c"), x.alias("line"))),
+            "_v": F.transform(F.split("_t", "\n"), verdict),
         }
     )
     d = d.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -85,7 +101,7 @@ def quality_rules(
             F.col("_p").isNotNull(),
             F.size(F.array_distinct(F.concat("_p", F.transform("_p", lambda i: i + 1), F.transform("_p", lambda i: i + 2)))),
         ).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.size("_v").cast("long").alias("n_lines"),
+        F.size("_l").cast("long").alias("n_lines"),
         (F.size("_v") - F.size("_k")).cast("long").alias("n_lines_removed"),
         chars(F.col("_v")).alias("n_chars_lines"),
         chars(F.col("_k")).alias("n_chars_kept"),

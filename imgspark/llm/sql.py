@@ -7,7 +7,7 @@ held against brute force in tests/llm.
 from __future__ import annotations
 
 from .line_dedup import WILDCARD
-from .quality_rules import BOILERPLATE, MENU, SYMBOLS
+from .quality_rules import BOILERPLATE, MENU, PHRASE_WORDS, SYMBOLS
 
 GAP = r"[\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -24,7 +24,7 @@ n AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, un
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 f AS (SELECT doc_id, line, trim(line, {BLANKS}) AS b FROM l),
 v AS (SELECT doc_id, line, b, len(regexp_split_to_array(b, '{GAP}')) AS n, {among("b", "#*$%&<>!")} AS marks, {among("b", "|»•›")} AS bars FROM f WHERE b <> ''),
-k AS (SELECT doc_id, line, length(regexp_replace(line, '{GAP}', '', 'g')) AS c, ((bars >= 3 AND bars * 3 >= n - bars) OR regexp_matches(b, '{MENU}')) OR (length(b) < 400 AND regexp_matches(b, '{BOILERPLATE}'))
+k AS (SELECT doc_id, line, length(regexp_replace(line, '{GAP}', '', 'g')) AS c, ((bars >= 3 AND bars * 3 >= n - bars) OR regexp_matches(b, '{MENU}')) OR (regexp_matches(b, '{BOILERPLATE}') AND len(regexp_extract_all(b, '{BOILERPLATE}')) * {PHRASE_WORDS} >= n)
  OR (marks >= 3 AND marks >= n) OR (right(b, 1) NOT IN ('.', '!', '?', '…', ':', ';', ',', '"', chr(39), ')', ']', '”', '»', '。') AND n < 4) AS fails FROM v),
 s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (fails) AS n_lines_removed, CAST(sum(c) AS BIGINT) AS n_chars_lines, CAST(coalesce(sum(c) FILTER (NOT fails), 0) AS BIGINT) AS n_chars_kept, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
 a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '{GAP}', '', 'g')) AS word_chars, {among("t", SYMBOLS)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,

@@ -1,26 +1,50 @@
 """The pipeline against a brute-force version of its stages."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from imgspark.llm.quality_rules import BOILERPLATE, MENU
 from imgspark.llm.queries import tokenizer_path
 
 from test_dedup import plain_components, plain_fp
 from test_layout import plain_targets
+from test_text import BLANK, base, split
+
+
+def plain_clean(text):
+    """The text without its failing lines, None if the document is rejected; the line rules written a second time."""
+    if base(text)[-1]:
+        return None
+    good, all_chars, good_chars = [], 0, 0
+    for line in text.split("\n"):
+        b, w = line.strip(BLANK), split(line)
+        bars, marks, n = sum(map(line.count, "|»•›")), sum(map(line.count, "#*$%&<>!")), len(w)
+        menu = bars >= 3 and 3 * bars >= n - bars or re.search(MENU, b, re.A)
+        phrases = len(re.findall(BOILERPLATE, b, re.A))
+        odd = marks >= max(3, n) or n < 4 and b[-1:] not in ".!?…:;,\"')]”»。"
+        fails = bool(w) and (menu or phrases and 60 * phrases >= n or odd)
+        all_chars += sum(map(len, w))
+        if not fails:
+            good.append(line)
+            good_chars += sum(map(len, w))
+    return "\n".join(good) if 2 * good_chars >= all_chars else None
 
 
 def test_stages_and_run(spark, sf_dir):
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    by = {r.doc_id: r for r in docs.collect()}
     kept = P.quality(spark, docs, sf_dir)
-    first = {r.doc_id for r in kept.collect()}
-    assert kept.columns == docs.columns and 0 < len(first) < len(by)
+    by = {r.doc_id: r for r in kept.collect()}
+    first = set(by)
+    want = {r.doc_id: x for r in docs.collect() if (x := plain_clean(r.text)) is not None}
+    assert kept.columns == docs.columns and 0 < len(first) < docs.count()
+    assert {i: (r.text, r.n_chars) for i, r in by.items()} == {i: (x, len(x)) for i, x in want.items()}
 
     last = {}
     for i in sorted(first):
@@ -29,7 +53,7 @@ def test_stages_and_run(spark, sf_dir):
 
     classes = plain_components([(i, plain_fp(by[i].text)) for i in last.values()])
     third = {i for i in last.values() if classes[plain_fp(by[i].text)] == i}
-    lean = docs.filter(F.col("doc_id").isin(sorted(last.values())))
+    lean = kept.filter(F.col("doc_id").isin(sorted(last.values())))
     assert {r.doc_id for r in P.near(spark, lean, sf_dir).collect()} == third
 
     out = P.run(spark, sf_dir).collect()

@@ -47,6 +47,17 @@ def test_quality_rules(spark, sf_dir):
     assert len(got) == len(texts) and Q.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_cleaned_texts(spark):
+    """Failing lines go, blank ones stay; a text without failing lines stays as it is; a phrase counts for 60 words at any length."""
+    sentence = "Here stand some ten words that say nothing to anyone. " * 5
+    long_line = "powered by " + "word " * 118
+    texts = [f"{sentence}\n\nhome | login\n{sentence}\n", f"\n \t\n{sentence}\n\n{sentence}", f"{sentence}\n{long_line}x.", f"{sentence}\npowered by {'word ' * 57}x.", f"{sentence}\nAlle Rechte vorbehalten 2020 in Bremen."]
+    got = sorted((r.doc_id, r.clean_text, r.n_lines, r.n_lines_removed) for r in Q.quality_rules(docs(spark, texts)).collect())
+    want = [(f"{sentence}\n\n{sentence}\n", 3, 1), (texts[1], 2, 0), (texts[2], 2, 0), (f"{sentence}", 2, 1), (sentence, 2, 1)]
+    assert got == [(i, *x) for i, x in enumerate(want)]
+    assert [r.n_words for r in Q.quality_rules(docs(spark, [texts[2]] * 2)).collect()] == [171] * 2
+
+
 def test_line_rules(spark):
     lines = ["A fine sentence ends like this.", "home | about | contact | help", "Licensed under the Apache License, Version 2.0.", "word*** word### word$$$ word&&& word%%%", "next page", "A title without an end but of five words", "Home   Login"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(Q.line_verdict(Q.F.col("x"))).collect()]
