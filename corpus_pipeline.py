@@ -8,6 +8,7 @@ of documents, and each works on all rows that its predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from imgspark.llm.bpe import bpe_digests
 from imgspark.llm.common import remove, scratch, table
@@ -19,8 +20,11 @@ from imgspark.llm.source_mix import mixed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others stay as they are."""
-    return quality_rules(docs).filter("kept").select(docs.columns)
+    """Documents that the rules reject go; the others lose their failing lines, and n_chars counts what is left.
+
+    Null and blank texts and texts under 50 words are rejected; a text without failing lines stays as it is."""
+    clean = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return quality_rules(docs).filter("kept").withColumns(clean).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
