@@ -35,7 +35,7 @@ SELECT *, NOT base_failed AND 100 * n_chars_kept >= 50 * n_chars_lines AS kept F
 
 OP4 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, max(doc_id) OVER o AS keep_id, count(*) OVER o AS group_size, doc_id = max(doc_id) OVER o AS kept, sha256(t) AS text_sha256 FROM d WINDOW o AS (PARTITION BY t)
+SELECT doc_id, max(doc_id) OVER o AS keep_id, count(*) OVER o AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW o AS (PARTITION BY t)
 """
 
 OP5 = """

@@ -10,6 +10,7 @@ import xxhash
 from imgspark.llm import exact_dedup as X
 from imgspark.llm import line_dedup as L
 from imgspark.llm import simhash_dedup as S
+from imgspark.llm.common import hot_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _t string, kept string, fp string"
 
@@ -100,30 +101,47 @@ def test_keep_one(spark):
 @pytest.mark.parametrize("keep,limit", [("largest", X.TRIE_BYTES), ("smallest", X.TRIE_BYTES), ("largest", 3000)])
 def test_exact_dedup(spark, sf_dir, keep, limit):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    for rows in (EDGE, docs, [(i, "hot") for i in range(500)] + [(1000, "cold")], []):
+    odd = [(None, "x"), (3, "x"), (None, "y"), (None, "y"), (5, "hot"), (5, "hot"), (5, "other")]
+    for rows in (EDGE, docs, odd, [(i, "hot") for i in range(500)] + [(1000, "cold")], []):
         by = defaultdict(list)
         for i, t in rows:
             by[t or ""].append(i)
-        pick = max if keep == "largest" else min
+        pick = lambda ids: (max if keep == "largest" else min)((i for i in ids if i is not None), default=None)
         got = X.exact_dedup(frame(spark, rows), keep=keep, trie_bytes=limit).collect()
-        want = sorted((i, pick(by[t or ""]), len(by[t or ""]), i == pick(by[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
-        assert sorted(map(tuple, got)) == want
-    kept = X.keep_owners(frame(spark, EDGE), keep=keep)
-    assert kept.columns == frame(spark, EDGE).columns and min(r.doc_id for r in kept.collect()) == (2 if keep == "largest" else 1)
-
-
-def test_patricia_spills_whole_subtrees():
+        want, seen = [], set()
+        for i, t in rows:
+            best = pick(by[t or ""])
+            want.append((i, best, len(by[t or ""]), i == best and t not in seen, hashlib.sha256((t or "").encode()).hexdigest()))
+            seen |= {t} if i == best else set()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        kept = X.keep_owners(frame(spark, rows), keep=keep)
+        assert kept.columns == frame(spark, rows).columns
+        assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted(((pick(ids), t) for t, ids in by.items()), key=str)
+
+
+def test_rows_meet_hot_and_other_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 30}") for i in range(3000)] + [(9, "none")], "i long, k string")
+    table = spark.createDataFrame([("hot", 2000, 1)] + [(f"k{i}", 100, i) for i in range(0, 30, 3)], "k string, n long, v long")
+    for share in (1, 2, 40):
+        got = hot_join(rows, table, "k", "n", rows.i, share=share).collect()
+        assert sorted((r.i, r.k, r.v) for r in got if r.k != "none") == sorted((i, "hot" if i % 3 else f"k{i % 30}", 1 if i % 3 else i % 30) for i in range(3000))
+        assert [(r.n, r.v) for r in got if r.k == "none"] == [(None, None)]
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_full_tries_are_spilled_whole(ordered):
     rng = random.Random(3)
-    keys = [bytes(rng.choices(b"ab", k=rng.randint(0, 14))) for _ in range(4000)]
-    small, large = X.Patricia(max, 2000), X.Patricia(max, 1 << 30)
+    keys = [bytes(rng.choices(b"ab", k=rng.randint(0, 14))) for _ in range(4000)] + [b"a" * 9000] * 3
+    rows = [(k, i, 1) for i, k in enumerate(keys)]
     want = {}
-    for i, k in enumerate(keys):
-        small.insert(k, i)
-        large.insert(k, i)
+    for k, i, _ in rows:
         want[k] = (i, want.get(k, (0, 0))[1] + 1)
-    for t in (small, large):
-        out = list(t.owners())
-        assert len(out) == len(want) and {k: (b, n) for k, b, n in out} == want
+    for limit in (2000, 1 << 30):
+        out = list(X._owners(iter(sorted(rows, key=lambda r: r[0]) if ordered else rows), "largest", limit, ordered))
+        got = {}
+        for k, best, n in out:
+            got[k] = (max(best, got.get(k, (0, 0))[0]), n + got.get(k, (0, 0))[1])
+        assert got == want and (len(out) == len(want) or not ordered and limit == 2000)
 
 
 def test_line_dedup(spark):
