@@ -18,7 +18,8 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import batched, pairwise
+from heapq import heappop, heappush
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -118,20 +119,33 @@ class Bpe:
         return first
 
     def exact(self, word: bytes) -> list[int]:
-        """Merging step by step: the lowest rank first, of equal ones the leftmost."""
+        """Merging step by step: the lowest rank first, of equal ones the leftmost. A heap of pairs over a linked list, so
+        a word of n bytes takes n log n steps."""
         ids = [self.by_bytes[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            made = [self.merge.get(a * self.size + b, -1) for a, b in pairwise(ids)]
-            best = min((m for m in made if m >= 0), key=lambda m: self.rank[m], default=-1)
-            if best < 0:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                hit = i < len(made) and made[i] == best
-                out.append(best if hit else ids[i])
-                i += 2 if hit else 1
-            ids = out
-        return ids
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < n:
+                made = self.merge.get(ids[i] * self.size + ids[j], -1)
+                if made >= 0:
+                    heappush(heap, (int(self.rank[made]), i, j, made))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, j, made = heappop(heap)
+            # -1 stands for a token that was taken in; a pair whose tokens have changed merges into something else
+            if ids[i] < 0 or after[i] != j or self.merge.get(ids[i] * self.size + ids[j], -1) != made:
+                continue
+            ids[i], ids[j] = made, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [x for x in ids if x >= 0]
 
     def exact_many(self, words: list[bytes]) -> list[list[int]]:
         """exact() for words of up to WIDE bytes at once: in each round every row makes its next merge."""

@@ -91,6 +91,16 @@ def test_bpe_equals_library(spark, sf_dir, b, library):
     assert B.bpe_digests(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_bpe_of_long_words_and_repeated_rows(spark, library):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdeinorst"), 300_000)), "a" * 200_001, "tion" * 50_000] * 2
+    rows = B.bpe_digests(docs(spark, texts), tokenizer_path()).collect()
+    assert len(rows) == 6
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 def test_bpe_round_trip(spark):
     path = tokenizer_path()
     back = B.bpe_decode(B.bpe_encode(docs(spark, SAMPLES), path), path).orderBy("doc_id").collect()
