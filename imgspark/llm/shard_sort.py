@@ -6,8 +6,13 @@ are laid over the keys, the exact bytes below each of them are counted across al
 isn't within tolerance the two candidates around its aim become the ends of the next, finer set of candidates. Then each row
 is compared with the splitters and the rows are exchanged once. Native: expressions, aggregates and a window only.
 
-The law is `bytes`. Where shards would hold more than slice_rows rows on average they are numbered in slices, equal ranges
-of the hash and within them of the doc_id, from the counts of the slices before, so no task orders a whole shard.
+A group of equal texts is cut by doc_id only where neither of its ends is within group_tolerance of the aim: near equal bytes
+come first, so of groups that weigh a good part of a shard some are cut.
+
+The law is `bytes`. Slots count (hash, doc_id) in order, whatever the size. Where shards hold more than slice_rows rows on
+average they are numbered in slices, from the counts of the slices before, so no task orders a whole shard: equal ranges of the
+hash, in which each hash of more than slice_rows rows (there are rows / slice_rows of them at most) is cut into equal ranges of
+the doc_id.
 
 Defined cases: a null text has no bytes (size 16, checksum 0); a null doc_id stands before all others; rows that are equal
 in text and doc_id have equal keys and share a shard; an empty table gives an empty result; further columns are ignored.
@@ -31,8 +36,9 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(t.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
 
 
-def refine(rows: DataFrame, key: Column, aims: list[tuple[int, int]], low: int, high: int, tolerance: int) -> dict[int, tuple[int, int, int]]:
+def refine(rows: DataFrame, key: Column, aims: list[tuple[int, int]], low: int, high: int, tolerance: int, edge: int = 0) -> dict[int, tuple[int, int, int]]:
     """For each aim (number, bytes) a boundary: number -> (key, bytes below key, bytes below key + 1); keys lie in low..high.
+    edge: how far from the aim the boundary may be if it would cut the rows of one key else.
 
     All aims with equal ends share one set of candidates. The histogram has PROBES rows for each set, so its size is fixed."""
     done: dict[int, tuple[int, int, int]] = {}
@@ -62,7 +68,7 @@ def refine(rows: DataFrame, key: Column, aims: list[tuple[int, int]], low: int,
                 done[n] = (at, below, below)
             elif below + here - aim[n] <= tolerance and top < b:
                 done[n] = (top, below + here, below + here)
-            elif n_rows == 1 and top < b:
+            elif n_rows == 1 and top < b or top - at <= 1 and min(aim[n] - below, below + here - aim[n]) <= edge:
                 done[n] = (at, below, below) if 2 * (aim[n] - below) <= here else (top, below + here, below + here)
             elif top - at <= 1:
                 done[n] = (at, below, below + here)
@@ -72,14 +78,14 @@ def refine(rows: DataFrame, key: Column, aims: list[tuple[int, int]], low: int,
     return done
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int | None]]:
+def splitters(rows: DataFrame, parts: int, tolerance: float, group_tolerance: float) -> list[tuple[int, int | None]]:
     """parts - 1 boundaries (h, doc_id): a row is at or above one if its h is larger, or equal and its doc_id not smaller. doc_id null: any."""
     total, low, high = rows.agg(F.sum("size"), F.min("h"), F.max("h")).first()
     if not total:
         return []
     slack = int(total / parts * tolerance)
     aims = [(n, total * n // parts) for n in range(1, parts)]
-    found = refine(rows, F.col("h"), aims, low, high, slack)
+    found = refine(rows, F.col("h"), aims, low, high, slack, int(total / parts * group_tolerance))
     out = {n: (h, None) for n, (h, below, above) in found.items()}
     within: dict[int, list[int]] = {}
     for n, (h, below, above) in found.items():
@@ -96,25 +102,40 @@ def splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     return [out[n] for n in sorted(out)]
 
 
-def shard_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 40, tolerance: float = 0.005, slice_rows: int = 1_000_000) -> DataFrame:
+def sliced(rows: DataFrame, shards: int, n_rows: int, slice_rows: int) -> DataFrame:
+    """rows with `part`, slices of the order (h, doc_id)."""
+    slices = -(-n_rows // (shards * slice_rows))
+    tall = -(-(1 << HASH_BITS) // (shards * slices))
+    rows = rows.withColumn("_a", F.expr(f"h div {tall}L"))
+    hot = cut(rows.groupBy("h", "_a").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("n") > slice_rows))
+    wide = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("last") - F.col("first") + 1) / F.ceil(F.col("n") / slice_rows)).cast("long"))
+    hot = hot.groupBy("_a").agg(F.sort_array(F.collect_list(F.struct("h", "first", wide.alias("wide")))).alias("_hot"))
+    rows = rows.join(F.broadcast(hot), "_a", "left")
+    own = F.get(F.filter("_hot", lambda x: x["h"] == F.col("h")), F.lit(0))
+    rows = rows.withColumns({"_own": own, "_below": F.coalesce(F.size(F.filter("_hot", lambda x: x["h"] < F.col("h"))), F.lit(0))})
+    place = F.when(F.col("_own").isNotNull(), F.coalesce(F.expr("(doc_id - _own.first) div _own.wide"), F.lit(-1).cast("long"))).otherwise(0)
+    part = F.struct(F.col("_a").alias("a"), F.col("_below").alias("below"), F.col("_own").isNotNull().alias("hot"), place.alias("place"))
+    return rows.withColumn("part", part).drop("_a", "_hot", "_own", "_below")
+
+
+def shard_sort(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 40, tolerance: float = 0.005, group_tolerance: float = 0.01, slice_rows: int = 1_000_000
+) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of docs."""
     rows = cut(keyed(docs, doc_id, text))
-    n_rows, first, last = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    above = [(F.col("h") > h) | (F.col("h") == h) & (F.lit(True) if k is None else F.coalesce(F.col("doc_id") >= k, F.lit(False))) for h, k in splitters(rows, shards, tolerance)]
+    n_rows = rows.count()
+    above = [(F.col("h") > h) | (F.col("h") == h) & (F.lit(True) if k is None else F.coalesce(F.col("doc_id") >= k, F.lit(False))) for h, k in splitters(rows, shards, tolerance, group_tolerance)]
     shard = F.lit(0)
     for x in above:
         shard = shard + x.cast("int")
     rows = rows.select("doc_id", "size", "text_crc32", "h", shard.alias("shard"))
-    slices = max(1, -(-n_rows // (shards * slice_rows)))
-    if slices == 1:
-        placed = rows.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("h", "doc_id")) - 1)
+    order = lambda *keys: F.row_number().over(Window.partitionBy("shard", *keys).orderBy("h", "doc_id")) - 1
+    if n_rows <= shards * slice_rows:
+        placed = rows.withColumn("slot", order())
     else:
-        tall, wide = -(-(1 << HASH_BITS) // (shards * slices)), -(-((last or 0) - (first or 0) + 1) // slices)
-        part = F.struct(F.expr(f"h div {tall}L").alias("a"), F.coalesce(F.expr(f"(doc_id - {first or 0}L) div {wide}L"), F.lit(-1).cast("long")).alias("b"))
-        rows = rows.withColumn("part", part)
+        rows = sliced(rows, shards, n_rows, slice_rows)
         starts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         starts = starts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-        slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", "doc_id")) - 1
-        placed = rows.withColumn("slot", slot).join(starts, ["shard", "part"]).withColumn("slot", F.col("slot") + F.col("start"))
+        placed = rows.withColumn("slot", order("part")).join(starts, ["shard", "part"]).withColumn("slot", F.col("slot") + F.col("start"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

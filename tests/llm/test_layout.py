@@ -157,3 +157,22 @@ def test_shard_sort(spark, sf_dir):
         if len(rows) > 1:
             most = max(r["size"] for r in got)
             assert all(abs(sum(r["size"] for r in by[s]) - total / shards) <= 0.01 * total / shards + 2 * most for s in range(shards))
+
+
+def test_slots_do_not_depend_on_slices(spark):
+    """One order at every size, groups of equal texts in one piece but where bytes would be unequal."""
+    rows = [(i, "s", "the same text") for i in range(400)] + [(i, "s", "another") for i in range(3000, 3300)] + [(i, "s", f"text {i // 2}") for i in range(1000, 2000)] + [(None, "s", "the same text"), (None, "s", None)]
+    key = lambda t: int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)
+    text = {i: t for i, _, t in rows if i is not None}
+    seen = []
+    for n in (1_000_000, 100, 30, 7):
+        got = O.shard_sort(docs(spark, rows), shards=8, slice_rows=n).collect()
+        seen.append(sorted(map(str, got)))
+        order = sorted((r.shard, r.slot, r.doc_id) for r in got)
+        ids = [i for _, _, i in order if i is not None]
+        assert ids == sorted(text, key=lambda i: (key(text[i]), i))
+    assert all(x == seen[0] for x in seen)
+    # pairs of equal texts: every one is far below a hundredth of a shard's bytes
+    many = [(i, "s", f"text {i // 2}") for i in range(20_000)]
+    shard = {r.doc_id: r.shard for r in O.shard_sort(docs(spark, many), shards=8).collect()}
+    assert all(shard[i] == shard[i + 1] for i in range(0, 20_000, 2))
