@@ -1,6 +1,7 @@
 """WARC, HTML, mixing and sharding."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -42,6 +43,32 @@ def test_warc_payloads_survive(spark, tmp_path):
     assert got == {1: ("response", LONG), 2: ("revisit", ""), 3: ("response", "ü")}
 
 
+def test_warc_record_ids_and_odd_payloads(spark, tmp_path):
+    odd = ["\r\n" * 60 + "x", "y" + "\r\n" * 60, "\r\n\r\n" * 40, "\r\n\r" * 50, "WARC/1.1\r\n" * 20, "z" * 5_000_000]
+    rows = [(i, "u", p) for i, p in enumerate(odd)] + [(9, "u", LONG), (9, "u", LONG), (None, None, "q" * 200), (None, None, "q" * 200)]
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    W.page_archives(pages(spark, rows), a)
+    W.deduplicate_archives(spark, a, b)
+    before, after = (W.read_archives(spark, x).collect() for x in (a, b))
+    assert sorted((str(r.page_id), r.payload) for r in before) == sorted((str(i), p) for i, _, p in rows)
+    ids = [r.record_id for r in before + after]
+    assert len(set(ids)) == len(ids) == 20 and all(len(x) == 36 for x in ids)
+    kept = {r.record_id: r.payload_digest for r in after if r.record_type == "response"}
+    text = "".join(r[0] for r in spark.read.text(b, wholetext=True).collect())
+    refers = {m[1]: m[2] for m in re.finditer(r"WARC-Record-ID: <urn:uuid:([^>]*)>(?:(?!WARC/1)[\s\S])*?WARC-Refers-To: <urn:uuid:([^>]*)>", text)}
+    again = [r for r in after if r.record_type == "revisit"]
+    assert len(again) == len(refers) == 2 and all(kept[refers[r.record_id]] == r.payload_digest for r in again)
+
+
+def test_warc_parses_pieces_and_refuses_what_is_no_record():
+    record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for n in (1, 2, 7, 1000):
+        assert list(W.parse((2 * record)[i : i + n] for i in range(0, 2 * len(record), n))) == [(0, {"content-length": "3"}, b"abc"), (len(record), {"content-length": "3"}, b"abc")]
+    for bad in (b"x" + record, record[:-5]):
+        with pytest.raises(ValueError, match="record"):
+            list(W.parse(iter([bad])))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>x</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>m</a></li>{li}</ul></nav>
 <div class="cookie-notice">we use</div><article><h1>Head&amp;line</h1><p>One  <b>bo</b>ld &lt;p&gt;<br>two{more}</p><div class="ad">buy</div><form><p>f</p></form><section class="comments"><article><p>c</p></article></section>{tail}</article>
 <aside>side</aside><script>var t="</p>";</script><footer>&copy; f</footer></body></html>"""
