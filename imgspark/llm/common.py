@@ -55,18 +55,22 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, *spread: Column, share: int = 10_000) -> DataFrame:
-    """rows left joined with table by its unique key, a string; weight: for how many rows an entry stands.
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, *spread: Column, share: int = 10_000, small: int = 0) -> DataFrame:
+    """rows left joined with table by its unique key, a string or long; weight: for how many rows an entry stands.
 
     Keys that stand for more than one row in `share` are share of them at most, whatever the input: these are broadcast, and
-    rows that have met them are dealt by a hash of spread for the join with the others."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    rows that have met them are dealt by a hash of spread for the join with the others. A table of `small` rows or fewer is
+    broadcast as a whole."""
+    total, n = table.agg(F.sum(weight), F.count(F.lit(1))).first()
     values = [c for c in table.columns if c != key]
-    hot = F.col(weight) * share > total
+    if n <= small:
+        return rows.join(F.broadcast(table), key, "left").select(*rows.columns, *values)
+    hot = F.col(weight) * share > (total or 0)
     first = table.filter(hot).select(F.col(key), F.struct(*values).alias("_hot"))
     rest = table.filter(~hot).select(F.col(key).alias("_key"), F.struct(*values).alias("_rest"))
     met = rows.join(F.broadcast(first), key, "left")
-    met = met.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*spread, F.spark_partition_id()).cast("string")))
+    dealt = F.xxhash64(*spread, F.spark_partition_id()).cast(dict(rows.dtypes)[key])
+    met = met.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(dealt))
     met = met.join(rest, "_key", "left").withColumn("_met", F.coalesce("_hot", "_rest"))
     return met.select(*rows.columns, *[F.col(f"_met.{c}").alias(c) for c in values])
 

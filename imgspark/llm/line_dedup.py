@@ -1,16 +1,19 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line is parsed by its token count, then by its leading tokens, then by the rest; tokens with a digit in them are variable
-fields and become a wildcard on every level. Lines that reach the same leaf share a template. Templates that occur in
-min_docs documents or more are dropped everywhere but in the first document that has them. Native: expressions, aggregates
-and joins only.
+A line is parsed by its token count, then by its leading tokens, which lead to a leaf of the tree; tokens with a digit in them
+are variable fields and become a wildcard at once. In a leaf, a token is constant at its position if min_docs pairs of document
+and line have it there, and a variable field else; so lines that differ in names, words or URLs meet in one template. A line
+belongs to its template if a share of `similarity` of its tokens is constant. Templates that occur in min_docs documents or more
+are dropped everywhere but in the first document that has them. Native: expressions, aggregates and joins only.
 
-Each document sends a template once, so its count of documents is a plain count with partial sums before the shuffle. The
-tree's path is shuffled as two 64-bit hashes; texts move once, to meet their dropped line numbers.
+All lines are shuffled once, as hashes, to count the leaves. What follows regards the lines of leaves that min_docs lines reach:
+tokens are counted on different lines, each weighted by its documents, so a line that all documents share is taken apart once.
+Texts move once, to meet their dropped line numbers. Joins on what may be hot go through hot_join.
 
 Defined cases: a null text counts as empty; lines without a token are never dropped; lines shorter than min_tokens tokens
-stay; documents are told apart by doc_id and text, so repeated rows count once and lose the same lines; a null doc_id
-counts as the last one; further columns are carried along, those named like a result column are replaced.
+stay; documents are told apart by two 64-bit hashes of doc_id and text, so repeated rows count once and lose the same lines; a
+null doc_id counts as the last one; texts and lines may be of any length; further columns are carried along, those named like a
+result column are replaced.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, carried, cut, unpacked, whole
+from .common import BLANKS, carried, cut, hot_join, unpacked, whole
 
 WILDCARD = "<*>"
+#: Tables of so many rows of a few hashes each are broadcast.
+SMALL = 300_000
 
 
 def template(line: Column) -> Column:
@@ -31,31 +36,59 @@ def template(line: Column) -> Column:
     return F.when(digits, F.regexp_replace(tokens, "[^ 0-9]*+[0-9][^ ]*+", WILDCARD)).otherwise(tokens)
 
 
-def path_key(line: Column, depth: int = 3) -> Column:
-    """The path through the tree as a struct: token count, hash of the leading tokens, hash of the whole template."""
+def path_key(line: Column, depth: int = 2) -> Column:
+    """The path through the tree as a struct: token count, hash of the leaf (count and leading tokens), hash of the masked line."""
     masked = template(line)
-    return F.struct(
-        (F.length(masked) - F.length(F.translate(masked, " ", "")) + 1).alias("n"),
-        F.xxhash64(F.substring_index(masked, " ", depth)).alias("lead"),
-        F.xxhash64(masked, F.lit(depth)).alias("rest"),
-    )
+    n = F.length(masked) - F.length(F.translate(masked, " ", "")) + 1
+    return F.struct(n.alias("n"), F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked, F.lit(depth)).alias("line"))
+
+
+def _lines_of_full_leaves(lined: DataFrame, min_docs: int) -> DataFrame:
+    several = F.lit(True) if min_docs < 2 else F.min("u") < F.max("u")
+    leaves = cut(lined.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"), several.alias("several")).filter((F.col("in_leaf") >= min_docs) & F.col("several")).drop("several"))
+    return hot_join(lined, leaves, "leaf", "in_leaf", F.col("u"), small=SMALL).filter("in_leaf is not null").drop("in_leaf")
+
+
+def _templates(rows: DataFrame, lined: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """line, template (both hashes) and docs of the different lines in lined that belong to a template."""
+    once = lined.groupBy("leaf", "line", "u", "v").agg(F.min("at").alias("at"))
+    apart = cut(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("u", "at")).alias("from")))
+    # one document of each line gives its tokens
+    wanted = apart.groupBy(F.col("from.u").alias("_u")).agg(F.collect_list(F.struct("from.at", "leaf", "line", "docs")).alias("wanted"))
+    wanted = cut(wanted)
+    given = rows.join(F.broadcast(wanted) if apart.count() <= SMALL else wanted, "_u")
+    given = given.select("_lines", F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", template(F.get("_lines", F.col("w.at"))).alias("masked"))
+    given = given.dropDuplicates(["line"])
+    tokens = given.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    tokens = cut(tokens.select("line", "docs", F.xxhash64("leaf", "at", "token").alias("place"), F.xxhash64("token", "at", "leaf").alias("again"), "leaf", (F.col("token") == WILDCARD).alias("masked")))
+    constant = cut(tokens.filter("not masked").groupBy("place").agg(F.sum("docs").alias("seen"), F.count(F.lit(1)).alias("lines")).filter(F.col("seen") >= min_docs))
+    met = hot_join(tokens, constant.drop("seen"), "place", "lines", F.col("line"), small=SMALL).withColumn("stays", F.col("lines").isNotNull())
+    # the template is known by its constant tokens and their places; two sums of hashes stand for them
+    made = met.groupBy("line", "leaf").agg(
+        F.first("docs").alias("docs"), F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("constants"),
+        F.bit_xor(F.when(F.col("stays"), F.col("place")).otherwise(0)).alias("a"), F.bit_xor(F.when(F.col("stays"), F.col("again")).otherwise(0)).alias("b"),
+    )
+    return made.filter(F.col("constants") >= similarity * F.col("n")).select("line", "docs", F.xxhash64("leaf", "n", "a", "b").alias("template"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 2, similarity: float = 0.5) -> DataFrame:
     """Every row with clean_text, n_lines and n_lines_dropped."""
     out = ["clean_text", "n_lines", "n_lines_dropped"]
-    rows = docs.select(carried(docs, out), F.split(whole(F.col(f"`{text}`")), "\n").alias("_lines"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("_uid"), F.col(f"`{doc_id}`").cast("long").alias("_id"))
-    lined = rows.select("_uid", "_id", F.posexplode("_lines").alias("at", "line")).select("_uid", "_id", "at", path_key(F.col("line"), depth).alias("path"))
+    ident, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    rows = docs.select(carried(docs, out), F.split(whole(body), "\n").alias("_lines"), F.xxhash64(ident, body).alias("_u"), F.xxhash64(body, F.lit(1), ident).alias("_v"), ident.cast("long").alias("_id"))
+    lined = rows.select("_u", "_v", "_id", F.posexplode("_lines").alias("at", "line")).select("_u", "_v", "_id", "at", path_key(F.col("line"), depth).alias("path"))
     # the filter comes after the cut: before it, the masking would be repeated for it
-    lined = cut(lined.select("_uid", "_id", "at", "path.n", "path.lead", "path.rest")).filter(F.col("n") >= min_tokens)
-    leaf = ["n", "lead", "rest"]
-    once = lined.groupBy("_uid", *leaf).agg(F.min("_id").alias("_id"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("_uid"))).alias("first")
-    common = once.groupBy(*leaf).agg(F.count(F.lit(1)).alias("docs"), first).filter(F.col("docs") >= min_docs).select(*leaf, F.col("first._uid").alias("first"))
-    dropped = lined.join(common, leaf).filter(F.col("_uid") != F.col("first")).groupBy("_uid").agg(F.collect_set("at").alias("_drop"))
-    joined = rows.join(dropped, "_uid", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    joined = joined.withColumn("_stay", stay)
+    lined = cut(lined.select(F.col("_u").alias("u"), F.col("_v").alias("v"), F.col("_id").alias("id"), "at", "path.*")).filter(F.col("n") >= min_tokens).drop("n")
+    lined = _lines_of_full_leaves(lined, min_docs)
+    templates = cut(_templates(rows, lined, min_docs, similarity))
+    found = cut(hot_join(lined.drop("leaf"), templates, "line", "docs", F.col("u"), small=SMALL).filter("template is not null").select("u", "v", "id", "at", "template"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "u", "v")).alias("first")
+    once = found.groupBy("template", "u", "v").agg(F.min("id").alias("id"))
+    common = cut(once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), first).filter(F.col("docs") >= min_docs))
+    met = hot_join(found, common, "template", "docs", F.col("u"), small=SMALL).filter((F.col("first.u") != F.col("u")) | (F.col("first.v") != F.col("v")))
+    dropped = met.groupBy(F.col("u").alias("_u"), F.col("v").alias("_v")).agg(F.collect_set("at").alias("_drop"))
+    joined = rows.join(dropped, ["_u", "_v"], "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
+    joined = joined.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")))
     return joined.select(
         *unpacked(docs, out),
         F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n").alias("clean_text"),

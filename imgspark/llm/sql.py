@@ -45,10 +45,14 @@ SELECT page_id, url, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN
 
 OP6 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-m AS (SELECT *, regexp_replace(regexp_replace(trim(line, {BLANKS}), '{GAP}', ' ', 'g'), '[^ ]*[0-9][^ ]*', '{WILDCARD}', 'g') AS template FROM l),
-n AS (SELECT *, length(template) - length(replace(template, ' ', '')) + 1 AS n FROM m),
-c AS (SELECT template, min(doc_id) AS first FROM n WHERE n >= 3 GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
-j AS (SELECT n.*, coalesce(n >= 3 AND doc_id <> first, FALSE) AS gone FROM n LEFT JOIN c USING (template))
+m AS (SELECT *, string_split(regexp_replace(regexp_replace(trim(line, {BLANKS}), '{GAP}', ' ', 'g'), '[^ ]*[0-9][^ ]*', '{WILDCARD}', 'g'), ' ') AS masked FROM l),
+d AS (SELECT masked, len(masked) AS n, masked[1:2] AS lead, count(DISTINCT doc_id) AS docs FROM m WHERE len(masked) >= 3 GROUP BY masked),
+f AS (SELECT n, lead, sum(docs) AS full FROM d GROUP BY n, lead HAVING sum(docs) >= 5),
+t AS (SELECT masked, n, lead, docs, unnest(masked) AS token, generate_subscripts(masked, 1) AS pos FROM d SEMI JOIN f USING (n, lead)),
+k AS (SELECT *, token <> '{WILDCARD}' AND sum(docs) OVER (PARTITION BY n, lead, pos, token) >= 5 AS stays FROM t),
+g AS (SELECT masked, n, lead, list(CASE WHEN stays THEN token ELSE '{WILDCARD}' END ORDER BY pos) AS template FROM k GROUP BY masked, n, lead HAVING 2 * count(*) FILTER (stays) >= n),
+c AS (SELECT lead, template, min(doc_id) AS first FROM m JOIN g USING (masked) GROUP BY lead, template HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT m.*, coalesce(doc_id <> first, FALSE) AS gone FROM m LEFT JOIN (SELECT masked, first FROM g JOIN c USING (lead, template)) USING (masked))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_lines_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256 FROM j GROUP BY doc_id
 """
 
