@@ -1,9 +1,12 @@
 """WARC, HTML, mixing and sharding."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
+from itertools import pairwise
 
 import pytest
 
@@ -100,11 +103,100 @@ def test_texts_that_the_pages_of_a_host_repeat_are_template(spark):
 
 def test_wrapper_has_optional_and_repeated_groups_and_matches_unseen_pages():
     make = lambda i, j: PAGE.format(li="<li><a>x</a></li>" * i, more="", tail="<p>tail</p>" * j)
-    w = H.align(H.page_wrapper(make(2, 0)), H.page_wrapper(make(5, 2)))
-    pattern, letters = H.compiled(w)
-    shapes, _, _ = H.stream(make(11, 7))
-    assert pattern.fullmatch("".join(letters[s] for s in shapes))
-    assert "+" in str(w) and "?" in str(w) and "|" not in pattern.pattern
+    w = H.Wrapper(H.align(H.page_wrapper(make(2, 0)), H.page_wrapper(make(5, 2))))
+    shapes, _, labels = H.stream(make(11, 7))
+    assert w.pattern.fullmatch("".join(w.letters[s] for s in shapes)) and w.labels(shapes, [not x for x in labels]) == labels
+    assert "+" in str(w.parts) and "?" in str(w.parts) and "|" not in w.pattern.pattern
+    one, none = H.page_wrapper("<div><p>a</p></div>"), H.page_wrapper("<div></div>")
+    for x in (H.align(one, none), H.align(H.align(none, one), one)):
+        pattern, letters = H.Wrapper(x).pattern, H.Wrapper(x).letters
+        assert all(pattern.fullmatch("".join(letters[s] for s in H.stream(p)[0])) for p in ("<div><p>a</p></div>", "<div></div>"))
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    def longest(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = (rng.choices("abcde", k=rng.randint(0, 40)) for _ in range(2))
+        pairs = H.common(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in pairwise(pairs))
+
+
+def test_a_page_gets_its_text_through_the_wrapper_of_its_host(spark):
+    """Odd pages whose own markup hides or adds text; their neighbours tell what the places are."""
+    body = lambda i: f"<h2>Title {i}</h2><p>Story {i} is told here</p><p>And more of {i}</p>"
+    page = lambda i, menu, box="<div>", tail="<div class=comments><p>reader {i}</p></div>": f"<html><body>{menu}{box}{body(i)}</div>{tail.format(i=i)}<footer>foot {i}</footer></body></html>"
+    menu = lambda i: f"<nav><ul><li><a>Home</a></li><li><a>Item {i}</a></li></ul></nav>"
+    rows = [(i, "http://h.example/", page(i, menu(i))) for i in range(20)]
+    rows.append((30, "http://h.example/", page(30, menu(30).replace("</nav>", ""))))  # a menu that is never closed
+    rows.append((31, "http://h.example/", page(31, menu(31), box="<div class=ad>")))  # a name that hides the story
+    rows.append((32, "http://h.example/", page(32, menu(32), tail="<div class=voices><p>reader {i}</p></div>")))  # comments by another name
+    story = lambda i: f"Title {i} Story {i} is told here And more of {i}"
+    got = {r.page_id: r.text for r in H.main_text(pages(spark, rows).repartition(4)).collect()}
+    assert {i: got[i] for i in range(20)} == {i: story(i) for i in range(20)}
+    alone = {i: H.extract(h) for i, _, h in rows}
+    assert alone[30] == alone[31].replace("reader 31", "").strip() == "" and got[30] == story(30) and got[31] == story(31)
+    assert all(alone[i] == got[i] for i in range(20))
+    again = {r.page_id: r.text for r in H.main_text(pages(spark, rows[::-1]).repartition(1), broadcast_bytes=0).collect()}
+    assert again == got
+
+
+class PlainArticle(HTMLParser):
+    """Text in the article element by nesting alone, a second way for pages that have one."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth = self.skip = 0
+        self.out = []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in H.VOID:
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+            if self.skip or self.depth and (tag in "nav footer aside form button script style".split() or re.search(r"(?i)\b(ad|comments|cookie-notice)\b", names)):
+                self.skip += 1
+            elif tag == "article" or self.depth:
+                self.depth += tag == "article"
+        if tag not in H.INLINE:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag not in H.VOID:
+            if self.skip:
+                self.skip -= 1
+            elif tag == "article":
+                self.depth -= 1
+        if tag not in H.INLINE:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.out.append(data)
+
+
+def test_main_text_of_the_table_by_nesting(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plain = {r.page_id: " ".join("".join(PlainArticle(r.html or "").out).split()) for r in table.collect()}
+    got = H.main_text(table).collect()
+    assert len(got) == len(plain) and sum(map(len, plain.values())) > 10_000
+    assert {r.page_id: r.text for r in got} == plain
+
+
+def test_long_pages(spark):
+    """Tens of thousands of parts, in no order that folds; alignment stays exact and small."""
+    rng = random.Random(2)
+    make = lambda i: "<article>" + "".join(f"<{(t := rng.choice('p h2 div ul table'.split()))}>w{i}</{t}>" for _ in range(6000)) + "</article><div>" + "x" * 300_000 + "</div>"
+    rows = [(i, "http://long.example/", make(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in H.main_text(pages(spark, rows)).collect()}
+    assert got == {i: " ".join([f"w{i}"] * 6000) for i in range(3)}
 
 
 def docs(spark, rows):
