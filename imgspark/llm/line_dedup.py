@@ -46,7 +46,7 @@ def path_key(line: Column, depth: int = 2) -> Column:
 def _lines_of_full_leaves(lined: DataFrame, min_docs: int) -> DataFrame:
     several = F.lit(True) if min_docs < 2 else F.min("u") < F.max("u")
     leaves = cut(lined.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"), several.alias("several")).filter((F.col("in_leaf") >= min_docs) & F.col("several")).drop("several"))
-    return hot_join(lined, leaves, "leaf", "in_leaf", F.col("u"), small=SMALL).filter("in_leaf is not null").drop("in_leaf")
+    return hot_join(lined, leaves, "leaf", "in_leaf", F.col("u")).filter("in_leaf is not null").drop("in_leaf")
 
 
 def _templates(rows: DataFrame, lined: DataFrame, min_docs: int, similarity: float) -> DataFrame:
