@@ -130,27 +130,41 @@ def recover_band(on: np.ndarray, visible: np.ndarray, radius: float) -> np.ndarr
     return on | visible & (distance(on & visible, 0) + distance(outside & visible, 1) <= band + 1)
 
 
-def coverage(height: int, width: int, x: float, y: float, radius: float) -> np.ndarray:
-    """A round brush: whole inside, then fading to nothing at the radius."""
-    ys, xs = np.mgrid[:height, :width]
+def brush_box(height: int, width: int, x: float, y: float, radius: float) -> tuple[slice, slice]:
+    """The rows and columns that a brush may reach."""
+    span = lambda at, n: slice(int(np.clip(np.floor(at - radius), 0, n)), int(np.clip(np.ceil(at + radius) + 1, 0, n)))
+    return span(y, height), span(x, width)
+
+
+def coverage(height: int, width: int, x: float, y: float, radius: float, box: tuple[slice, slice] | None = None) -> np.ndarray:
+    """A round brush: whole inside, then fading to nothing at the radius. box: only these rows and columns."""
+    rows, columns = box or (slice(0, height), slice(0, width))
+    ys, xs = np.mgrid[rows, columns]
     d = np.hypot(xs + 0.5 - x, ys + 0.5 - y)
     t = (d - 0.42 * radius) / (0.58 * radius)
     return np.where(d < radius, np.clip((1 - t) / 0.45, 0, 1), 0)
 
 
-def erase(rgba: np.ndarray, x: float, y: float, radius: float) -> np.ndarray:
-    out = rgba.copy()
-    out[..., 3] = np.clip(np.rint(rgba[..., 3] * (1 - coverage(*rgba.shape[:2], x, y, radius))), 0, 255)
+def erase(rgba: np.ndarray, x: float, y: float, radius: float, out: np.ndarray | None = None) -> np.ndarray:
+    """out: the picture itself, to be changed in place; a copy if there is none. Only the brush's box is looked at."""
+    out = rgba.copy() if out is None else out
+    box = brush_box(*rgba.shape[:2], x, y, radius)
+    out[box][..., 3] = np.clip(np.rint(rgba[box][..., 3] * (1 - coverage(*rgba.shape[:2], x, y, radius, box))), 0, 255)
     return out
 
 
-def restore(rgba: np.ndarray, source: np.ndarray, x: float, y: float, radius: float) -> np.ndarray:
-    """The source's pixels over the picture, as far as the brush covers."""
-    over = source[..., 3:] / 255 * coverage(*rgba.shape[:2], x, y, radius)[..., None]
-    under = rgba[..., 3:] / 255 * (1 - over)
+def restore(rgba: np.ndarray, source: np.ndarray, x: float, y: float, radius: float, out: np.ndarray | None = None) -> np.ndarray:
+    """The source's pixels over the picture, as far as the brush covers; what it doesn't cover stays as it is."""
+    out = rgba.copy() if out is None else out
+    box = brush_box(*rgba.shape[:2], x, y, radius)
+    cover, old, new = coverage(*rgba.shape[:2], x, y, radius, box)[..., None], rgba[box].astype(float), source[box].astype(float)
+    over = new[..., 3:] / 255 * cover
+    under = old[..., 3:] / 255 * (1 - over)
     a = over + under
-    colour = np.divide(source[..., :3] * over + rgba[..., :3] * under, a, out=np.zeros(rgba[..., :3].shape), where=a > 0)
-    return np.clip(np.rint(np.concatenate([colour, a * 255], axis=-1)), 0, 255).astype(np.uint8)
+    colour = np.divide(new[..., :3] * over + old[..., :3] * under, a, out=np.zeros(old[..., :3].shape), where=a > 0)
+    mixed = np.clip(np.rint(np.concatenate([colour, a * 255], axis=-1)), 0, 255)
+    out[box] = np.where(cover > 0, mixed, old).astype(np.uint8)
+    return out
 
 
 def expand_pockets(mask: np.ndarray) -> np.ndarray:

@@ -58,6 +58,14 @@ def keep_last(results: DataFrame, bundle: str, name: str, seq: str) -> DataFrame
     return results.groupBy(bundle, name).agg(F.max_by(F.struct("*"), F.col(seq)).alias("row")).select("row.*")
 
 
+def keep_last_bytes(results: DataFrame, bundle: str, name: str, seq: str) -> DataFrame:
+    """keep_last() for results with `content`: names and ids are merged, the bytes of the rows that stay join them afterwards."""
+    ids = [c for c in dict.fromkeys(["image_id", bundle, name, seq]) if c in results.columns]
+    last = keep_last(results.select(*ids), bundle, name, seq).select(*[F.col(c).alias(f"_{c}") for c in ids])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+    return results.join(last, same, "left_semi")
+
+
 def queue_summary(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("size_bytes").alias("total_bytes"))
 

@@ -134,11 +134,11 @@ def replay_edits(rasters: DataFrame, sources: DataFrame, log: DataFrame) -> Data
 
     def begin(r: dict) -> tuple:
         a = unpack(r)
-        return r["image_id"], a, a if r["source"] is None else unpack(r | {"data": r["source"]})
+        return r["image_id"], a, a.copy() if r["source"] is None else unpack(r | {"data": r["source"]})
 
     def apply(state: tuple, s: dict) -> tuple:
         i, a, source = state
         at = s["at_x"], s["at_y"], s["radius"]
-        return i, matte.erase(a, *at) if s["tool"] == "erase" else matte.restore(a, source, *at), source
+        return i, matte.erase(a, *at, out=a) if s["tool"] == "erase" else matte.restore(a, source, *at, out=a), source
 
     return over_steps(both, steps, ["seq", "step"], RASTER, begin, apply, lambda state: pack(*state[:2]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.manifest import half_up
@@ -27,13 +27,31 @@ def batch_progress(queue: DataFrame, events: DataFrame, elapsed: int) -> DataFra
     )
 
 
-def stalled_items(events: DataFrame, gap_seconds: int = 180) -> DataFrame:
-    """Items that were silent for longer than the gap before a later event, with the longest silence."""
-    following = F.lead("ts").over(Window.partitionBy("job_id", "image_id").orderBy("ts", "event_id"))
-    silent = events.withColumn("silence", (F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).cast("long"))
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")).cast("long")
+
+
+def _runs(events: DataFrame, now: str | None) -> DataFrame:
+    """events with `at` and `following`, the times of an event and of the item's next one in microseconds, and `run`.
+
+    A timer runs from an item's event to its next one, and to `now` (the latest event of all if it is None) from the last; after
+    done or failed none runs, and what follows is another run of the item."""
+    line = Window.partitionBy("job_id", "image_id").orderBy("ts", "event_id")
+    end = events.agg(F.max(_micros(F.col("ts")))).first()[0] if now is None else events.sparkSession.sql(f"select unix_micros(timestamp '{now}')").first()[0]
+    e = events.withColumns({"at": _micros(F.col("ts")), "ended": F.col("kind").isin("done", "failed")})
+    before = F.count_if("ended").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.coalesce(F.lead("at").over(line), F.greatest(F.lit(end), F.col("at")))
+    return e.withColumns({"following": following, "run": F.coalesce(before, F.lit(0))})
+
+
+def stalled_items(events: DataFrame, gap_seconds: int = 180, now: str | None = None) -> DataFrame:
+    """Items that were silent at work for longer than the gap, before a later event or until now, with the longest silence."""
+    silent = _runs(events, now).filter(~F.col("ended")).withColumn("silence", F.col("following") - F.col("at"))
     return silent.filter(F.col("silence") > gap_seconds * 1_000_000).groupBy("job_id", "image_id").agg(F.max("silence").alias("longest_us"), F.count(F.lit(1)).alias("stalls"))
 
 
-def overdue_items(events: DataFrame, limit_seconds: int = 90) -> DataFrame:
-    spans = events.groupBy("job_id", "image_id").agg((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("span_us"))
+def overdue_items(events: DataFrame, limit_seconds: int = 90, now: str | None = None) -> DataFrame:
+    """Runs of items that took longer than the limit from their first event to their end, or until now if they have none."""
+    until = F.max(F.when(F.col("ended"), F.col("at")).otherwise(F.col("following")))
+    spans = _runs(events, now).groupBy("job_id", "image_id", "run").agg((until - F.min("at")).alias("span_us"))
     return spans.filter(F.col("span_us") > limit_seconds * 1_000_000)

@@ -112,15 +112,16 @@ def encode_png(rasters: DataFrame) -> DataFrame:
 
 def pixel_rows(rasters: DataFrame) -> DataFrame:
     """image_id, y, x and one column for each of three channels: for aggregates and checks on small rasters."""
-    cells = over_rows(rasters, "image_id long, y int, x int, c0 int, c1 int, c2 int", _cells)
-    return cells
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                a = unpack(r)
+                columns = [np.full(a.shape[:2], r["image_id"], np.int64), *np.mgrid[: a.shape[0], : a.shape[1]].astype(np.int32), *(a[..., min(k, a.shape[2] - 1)].astype(np.int32) for k in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns], ["image_id", "y", "x", "c0", "c1", "c2"])
 
-def _cells(r: dict) -> list[dict]:
-    a = unpack(r)
-    ys, xs = np.mgrid[: a.shape[0], : a.shape[1]]
-    c = [a[..., min(i, a.shape[2] - 1)].ravel().tolist() for i in range(3)]
-    return [{"image_id": r["image_id"], "y": y, "x": x, "c0": p, "c1": q, "c2": s} for y, x, p, q, s in zip(ys.ravel().tolist(), xs.ravel().tolist(), *c, strict=True)]
+    return rasters.mapInArrow(run, "image_id long, y int, x int, c0 int, c1 int, c2 int")
 
 
 def subject_rects(parts: DataFrame, mask_w: int, mask_h: int, width: int, height: int, count: int = 4) -> DataFrame:

@@ -8,17 +8,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import flatten_alpha, half_up, resample
 from ..functions.matte import expand_pockets
 from ..operators.crops import planned_crops
 from ..operators.mattes import finished_mattes, fuse_layers
-from ..operators.rasters import over_rows, unpack
+from ..operators.rasters import RASTER, over_rows, pack, unpack
 from ..operators.selections import normalised
 
 CROPS, INPUT_EDGE = 12, 512
+#: Columns of a mask without its pixels.
 KEPT = "image_id long, layer_idx int, frame_h int, frame_w int, l int, t int, r int, b int, own_l int, own_r int, detail string"
 
 Predict = Callable[[], Callable[[np.ndarray], np.ndarray]]
@@ -55,54 +56,80 @@ def sigmoid_masks(logits: np.ndarray) -> np.ndarray:
     return (255 / (1 + np.exp(-logits.astype(np.float64)))).astype(np.uint8)
 
 
-def predicted(crops: DataFrame, make_predict: Predict, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> DataFrame:
-    """Rows with pixels in, the same rows with the mask's height, width and data out; the model is loaded once a worker stream.
+def predicted(crops: DataFrame, make_predict: Predict, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a, fallback: Predict | None = None) -> DataFrame:
+    """Rows with a crop's pixels in, the same rows with the mask's height, width and data out; a model is loaded once a worker stream.
 
-    Hair crops have their enclosed background pockets widened. prepare: model_input, or nothing for models that take pixels."""
-    held: list = []
+    Hair crops have their enclosed background pockets widened. prepare: model_input, or nothing for models that take pixels. A
+    crop on which the model fails goes to the fallback; one that both fail on is a row with an error and no mask."""
+    held: dict = {}
+    names = [x.split(" ")[0] for x in KEPT.split(", ")]
+
+    def run(which: Predict, r: dict) -> np.ndarray:
+        if which not in held:
+            held[which] = which()
+        mask = np.clip(np.rint(held[which](prepare(unpack(r)))), 0, 255).astype(np.uint8)
+        return expand_pockets(mask) if r["detail"] == "hair" else mask
 
     def make(r: dict) -> list[dict]:
-        if not held:
-            held.append(make_predict())
-        a = unpack(r)[r["t"] : r["b"], r["l"] : r["r"]]
-        mask = np.clip(np.rint(held[0](prepare(a))), 0, 255).astype(np.uint8)
-        if r["detail"] == "hair":
-            mask = expand_pockets(mask)
-        names = [x.split(" ")[0] for x in KEPT.split(", ")]
-        return [{n: r[n] for n in names} | {"height": mask.shape[0], "width": mask.shape[1], "data": mask.tobytes()}]
+        row, errors = {n: r[n] for n in names}, []
+        for which in filter(None, (make_predict, fallback)):
+            try:
+                mask = run(which, r)
+                return [row | {"height": mask.shape[0], "width": mask.shape[1], "data": mask.tobytes(), "error": None}]
+            except Exception as e:  # noqa: BLE001  a model may fail in any way; that fails the crop only
+                errors.append(str(e) or type(e).__name__)
+        return [row | {"height": None, "width": None, "data": None, "error": "; ".join(errors)}]
 
-    return over_rows(crops, KEPT + ", height int, width int, data binary", make)
+    return over_rows(crops, KEPT + ", height int, width int, data binary, error string", make)
 
 
-def _whole(images: DataFrame) -> DataFrame:
+def whole_pictures(images: DataFrame) -> DataFrame:
+    """Each picture as its own crop, layer 0; nothing moves."""
     none = F.lit(None).cast("int")
-    return images.select(
-        "image_id", F.lit(0).alias("layer_idx"), F.lit(0).alias("l"), F.lit(0).alias("t"), F.col("width").alias("r"), F.col("height").alias("b"),
-        none.alias("own_l"), none.alias("own_r"), F.lit("person").alias("detail"),
-    )
+    return images.withColumns(
+        {"layer_idx": F.lit(0), "frame_h": F.col("height"), "frame_w": F.col("width"), "l": F.lit(0), "t": F.lit(0), "r": F.col("width"), "b": F.col("height"), "own_l": none, "own_r": none, "detail": F.lit("person")}
+    )
+
+
+def cut_crops(plan: DataFrame, images: DataFrame) -> DataFrame:
+    """The pixels of each planned crop as a raster row with its place, dealt by (image_id, layer_idx).
 
+    The crops of a picture, CROPS at most, meet it as one row and are cut where its raster is; only the crops move on."""
+    columns = ["layer_idx", "l", "t", "r", "b", "own_l", "own_r", "detail"]
+    per_image = plan.groupBy("image_id").agg(F.collect_list(F.struct(*columns)).alias("crops"))
 
-def _crops(plan: DataFrame, images: DataFrame) -> DataFrame:
-    return plan.join(images, "image_id").withColumns({"frame_h": F.col("height"), "frame_w": F.col("width")}).repartition("image_id", "layer_idx")
+    def make(r: dict) -> list[dict]:
+        a = unpack(r)
+        size = {"frame_h": a.shape[0], "frame_w": a.shape[1]}
+        return [pack(r["image_id"], np.ascontiguousarray(a[c["t"] : c["b"], c["l"] : c["r"]])) | size | c for c in r["crops"]]
 
+    return over_rows(images.join(per_image, "image_id"), f"{RASTER}, {KEPT.partition(', ')[2]}", make).repartition("image_id", "layer_idx")
 
-def refine_masks(images: DataFrame, plan: DataFrame, make_predict: Predict) -> DataFrame:
-    """images: raster rows; plan: crop_plan(). The whole picture is layer 0; returns one fused mask an image.
 
-    A crop meets its pixels by a join on image_id; the pixels of one image are at most 13 times in the exchange."""
+def refine_masks(images: DataFrame, plan: DataFrame, make_predict: Predict, fallback: Predict | None = None) -> DataFrame:
+    """images: raster rows; plan: crop_plan(). The whole picture is layer 0; returns one fused mask an image. Crops without a
+    mask are left out."""
     parts = plan.select("image_id", F.col("layer_idx").cast("int"), *[F.col(c).cast("int").alias(c) for c in ("l", "t", "r", "b", "own_l", "own_r")], F.lit("person").alias("detail"))
-    return fuse_layers(predicted(_crops(_whole(images).unionByName(parts), images), make_predict))
+    masks = predicted(whole_pictures(images), make_predict, fallback=fallback).unionByName(predicted(cut_crops(parts, images), make_predict, fallback=fallback))
+    return fuse_layers(masks.filter("error is null").drop("error"))
 
 
-def remove_background(images: DataFrame, make_predict: Predict, at: str, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a, output: str = "image") -> DataFrame:
+def remove_background(images: DataFrame, make_predict: Predict, at: str, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a, output: str = "image", fallback: Predict | None = None) -> DataFrame:
     """The whole job on RGBA rasters: masks of the pictures, plans from them, masks of the crops, finished mattes.
 
     at: a folder that all executors share; each stage's masks are written there and read back, so neither the planning nor the
-    matte ever repeats inference. Masks are small; pixels are read again by id in each stage instead of being carried along."""
+    matte ever repeats inference. Masks are small; pixels are read again by id in each stage instead of being carried along. A
+    picture without a mask has no result and a picture's crop without one is left out; mask_errors() names both."""
     spark = images.sparkSession
-    predicted(_crops(_whole(images), images), make_predict, prepare).write.mode("overwrite").parquet(f"{at}/whole")
-    whole = spark.read.parquet(f"{at}/whole")
+    masks = lambda stage: spark.read.parquet(f"{at}/{stage}").filter("error is null").drop("error")
+    predicted(whole_pictures(images), make_predict, prepare, fallback).write.mode("overwrite").parquet(f"{at}/whole")
+    whole = masks("whole")
     sizes = {"image_w": F.col("frame_w"), "image_h": F.col("frame_h"), "channels": F.lit(1), "bits": F.lit(8)}
     plan = planned_crops(whole.withColumns(sizes))
-    predicted(_crops(plan, images), make_predict, prepare).write.mode("overwrite").parquet(f"{at}/crops")
-    return finished_mattes(images, whole.unionByName(spark.read.parquet(f"{at}/crops")), output)
+    predicted(cut_crops(plan, images), make_predict, prepare, fallback).write.mode("overwrite").parquet(f"{at}/crops")
+    return finished_mattes(images, whole.unionByName(masks("crops")), output)
+
+
+def mask_errors(spark: SparkSession, at: str) -> DataFrame:
+    """image_id, layer_idx and error of what remove_background() found no mask for in the folder `at`."""
+    return spark.read.parquet(f"{at}/whole", f"{at}/crops").filter("error is not null").select("image_id", "layer_idx", "error")

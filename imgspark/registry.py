@@ -17,7 +17,9 @@ from .operators import rasters as R
 from .operators import selections as L
 from .operators import tiles as Z
 from .plans import background as B
+from .plans import convert as C
 from .sources import derived as D
+from .sources import files as FS
 from .sources.shared import fresh
 
 EXT = "['" + "','".join(D.EXTENSIONS) + "']"
@@ -27,6 +29,7 @@ MANIFEST = f"""manifest AS (SELECT doc_id AS image_id, doc_id AS seq, doc_id % 8
  n_chars * 1237 + doc_id AS size_bytes, CAST(16 + doc_id * 37 % 6000 AS INT) AS width, CAST(16 + doc_id * 53 % 4000 AS INT) AS height FROM documents)"""
 RAW = f"(list_contains({M.RAW_EXTENSIONS!r}, lower(split_part(name, '.', -1))) OR regexp_matches(mime, '{M.RAW_MIME}'))"
 ACCEPTED = f"accepted AS (SELECT *, {RAW} AS raw FROM manifest WHERE mime LIKE 'image/%' OR {RAW})"
+STAGES = ["decode", "removal", "sharpen", "png", "refine", "whole"]
 value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).upper()
 OPTIONS = "options(job_id, operation, format, percentage, opt_width, opt_height, keep_aspect, quality_percent) AS (VALUES " + ", ".join(f"({', '.join(map(value, o))})" for o in D.OPTIONS) + ")"
 PLAN = f"""{MANIFEST}, {ACCEPTED}, {OPTIONS},
@@ -46,6 +49,8 @@ RESULTS = """results AS (SELECT doc_id AS image_id, doc_id % 8 AS job_id, 'img.'
  CASE WHEN doc_id % 13 = 0 THEN 'decode failed at ' || (doc_id % 5) END AS error, doc_id * 7919 % 1000003 AS finish_seq FROM documents)"""
 EVENTS = """progress AS (SELECT user_id % 8 AS job_id, user_id AS image_id, event_id, ts, event_id * 37 % 101 AS progress_pct,
  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'progress' END AS kind FROM events)"""
+TIMED = """timed AS (SELECT *, epoch_us(ts) AS at_us, kind IN ('done', 'failed') AS ended, coalesce(epoch_us(lead(ts) OVER w), (SELECT max(epoch_us(ts)) FROM progress)) AS following,
+ count(*) FILTER (kind IN ('done', 'failed')) OVER (PARTITION BY job_id, image_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM progress WINDOW w AS (PARTITION BY job_id, image_id ORDER BY ts, event_id))"""
 PIXELS = """pixels AS (SELECT vec_id AS image_id, y, x, CAST((vec_id * 37 + x * 9 + y * 5) % 256 AS INT) AS r, CAST((vec_id * 11 + x * 3 + y * 13) % 256 AS INT) AS g, CAST((vec_id * 5 + x * 17 + y * 2) % 256 AS INT) AS b,
  CASE WHEN vec_id % 11 = 0 AND x < 4 THEN 100 ELSE 255 END AS a,
  CAST(greatest(0, least(255, 128 + 10 * ((3 + vec_id % 6) * (3 + vec_id % 6) - ((x - 6 - vec_id * 7 % 12) * (x - 6 - vec_id * 7 % 12) + (y - 6 - vec_id * 5 % 12) * (y - 6 - vec_id * 5 % 12))))) AS INT) AS mask
@@ -67,6 +72,12 @@ def rects(spark, sf_dir, shift=0, drop=0):
     return D.read(spark, sf_dir, "embeddings").select(i.alias("image_id"), left.alias("l"), top.alias("t"), (left + 14).alias("r"), (top + 16).alias("b"))
 
 
+def focused(s, d):
+    i = F.col("vec_id")
+    left, top = i % 5 * 5, i % 7 * 3
+    return D.read(s, d, "embeddings").select(i.alias("image_id"), left.alias("l"), top.alias("t"), (left + 4).alias("r"), (top + 4).alias("b"))
+
+
 def planned(s, d):
     return O.plan(O.accepted(D.manifest(s, d)), D.options(s))
 
@@ -122,7 +133,7 @@ def sampled(s, d):
 
 
 def scored(s, d):
-    p = D.pixels(s, d).filter("image_id % 2 = 0")
+    p = D.pixels(s, d)
     masks = p.select("image_id", "y", "x", "mask", F.explode(F.array(*[F.struct(F.lit(k).alias("mask_idx"), F.lit(q).alias("quality"), F.lit(t).alias("at")) for k, (q, t) in enumerate(((0.9, 64), (0.8, 128), (0.7, 192)))])).alias("m")).select("image_id", "y", "x", "mask", "m.*").filter("mask >= at")
     prompts = D.strokes(s, d).select("image_id", "y", "x", (F.col("seq") % 3).alias("label"))
     best = T.best_mask(T.mask_scores(masks, prompts, rects(s, d)))
@@ -177,6 +188,53 @@ def by_light(inputs, points, labels, height, width):
     return [light >= t for t in (-0.5, 0.0, 0.5)], [0.7, 0.8, 0.9]
 
 
+def composed(s, d):
+    e = D.progress_events(s, d)
+    return e.select("event_id", F.floor(M.compose_progress(D.pick(STAGES, "event_id % 6"), F.col("progress_pct") / 100) * 10000 + 0.5).cast("long").alias("points"))
+
+
+def budgeted(s, d):
+    i = F.col("vec_id")
+    crops = lambda n, shift: D.read(s, d, "embeddings").select(i.alias("image_id"), F.explode(F.sequence(F.lit(1), n)).alias("rank")).filter(F.col("rank") <= n).select("*", *[(F.col("rank") + shift + k).alias(c) for k, c in enumerate(("l", "t", "r", "b", "own_l", "own_r"))])
+    plan = B.crop_plan(crops((i % 15 + 1).cast("int"), 0), crops((i * 7 % 9 + 1).cast("int"), 100).filter("image_id * 7 % 9 > 0"))
+    return plan.select("image_id", F.col("layer_idx").cast("long"), F.col("l").cast("long"))
+
+
+def frames_checked(s, d):
+    """16-bit frames, every seventh of which lacks its last byte."""
+    frames = D.frames16(s, d).withColumn("data", F.when(F.col("image_id") % 7 == 0, F.expr("substring(data, 1, octet_length(data) - 1)")).otherwise(F.col("data")))
+    good, bad = R.validate_frames(frames)
+    return good.select("image_id", F.lit(True).alias("valid")).unionByName(bad.select("image_id", F.lit(False).alias("valid")))
+
+
+def flattened(s, d):
+    return R.pixel_rows(R.over_rows(D.pictures(s, d), R.RASTER, lambda r: [R.pack(r["image_id"], K.flatten_alpha(R.unpack(r)))]))
+
+
+def embedded(s, d):
+    """Files of text with two pictures behind it, whose scans differ in length."""
+    p = F.col("page_id")
+    word = lambda c: F.lpad(F.hex(c), 4, "0")
+    picture = lambda w, h, scan: F.unhex(F.concat(F.lit("FFD8FFE00004" + "00" * 2 + "FFC0000B08"), word(h), word(w), F.lit("01" + "00" * 3 + "FFDA0004" + "00" * 2), F.repeat(F.lit("5A"), scan.cast("int")), F.lit("FFD9")))
+    two = picture(p % 200 + 1, p % 90 + 1, p % 50), picture(p % 70 + 1, p % 300 + 1, p * 7 % 50)
+    pages = D.read(s, d, "pages").select(p.cast("string").alias("path"), F.concat(F.coalesce("html", F.lit("")).cast("binary"), *two).alias("content"))
+    best = FS.best_embedded_jpeg(FS.jpeg_candidates(pages))
+    return best.select(F.col("path").cast("long").alias("page_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "width", "height")
+
+
+def converted(s, d):
+    plan, files = planned(s, d), D.manifest(s, d).filter("image_id % 11 <> 0").select("image_id", F.col("name").cast("binary").alias("content"))
+    done = C.convert_all(plan, D.pictures(s, d), files, lambda rgba, mime, quality: (mime.encode(), mime))
+    return done.select("image_id", "name", "status", F.when(F.col("status") == "done", F.col("output_size") > 0).alias("filled"))
+
+
+def written(s, d):
+    """8- and 16-bit frames as PNG files: size, depth and colour kind of their headers, and how many bytes of lines they hold."""
+    frames = D.frames16(s, d).unionByName(D.pictures(s, d).withColumn("image_id", F.col("image_id") + (1 << 40)))
+    head = lambda at, n: F.conv(F.hex(F.expr(f"substring(content, {at}, {n})")), 16, 10).cast("long")
+    return R.encode_png(frames).select("image_id", head(17, 4).alias("width"), head(21, 4).alias("height"), head(25, 1).alias("bits"), head(26, 1).alias("kind"), F.hex(F.expr("right(content, 8)")).alias("end_hex"))
+
+
 def background(s, d):
     return digest(B.remove_background(D.pictures(s, d), lambda: bright, fresh(s, "background")))
 
@@ -226,8 +284,8 @@ TABLE = {
  i AS (SELECT m.job_id, coalesce(kind IN ('done', 'failed'), FALSE) AS ended, coalesce(progress_pct, 0) AS pct FROM manifest m LEFT JOIN l USING (job_id, image_id)),
  j AS (SELECT job_id, count(*) AS total, count(*) FILTER (ended) AS finished, sum(CASE WHEN ended THEN 100 ELSE pct END)::DOUBLE / (count(*) * 100) AS mean FROM i GROUP BY job_id)
  SELECT job_id, total, finished, CAST(least(99, floor(mean * 100 + 0.5)) AS BIGINT) AS percent, CASE WHEN mean > 0.03 THEN CAST(greatest(0, floor(600 / mean - 600 + 0.5)) AS BIGINT) END AS seconds_left, least(finished + 1, total) AS current FROM j"""),
-    "stalled_items": (lambda s, d: G.stalled_items(D.progress_events(s, d)), with_(EVENTS) + ", g AS (SELECT job_id, image_id, epoch_us(lead(ts) OVER (PARTITION BY job_id, image_id ORDER BY ts, event_id)) - epoch_us(ts) AS silence FROM progress) SELECT job_id, image_id, max(silence) AS longest_us, count(*) AS stalls FROM g WHERE silence > 180000000 GROUP BY ALL"),
-    "overdue_items": (lambda s, d: G.overdue_items(D.progress_events(s, d)), with_(EVENTS) + "SELECT job_id, image_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us FROM progress GROUP BY ALL HAVING epoch_us(max(ts)) - epoch_us(min(ts)) > 90000000"),
+    "stalled_items": (lambda s, d: G.stalled_items(D.progress_events(s, d)), with_(EVENTS, TIMED) + "SELECT job_id, image_id, max(following - at_us) AS longest_us, count(*) AS stalls FROM timed WHERE NOT ended AND following - at_us > 180000000 GROUP BY ALL"),
+    "overdue_items": (lambda s, d: G.overdue_items(D.progress_events(s, d)), with_(EVENTS, TIMED) + "SELECT job_id, image_id, run, max(CASE WHEN ended THEN at_us ELSE following END) - min(at_us) AS span_us FROM timed GROUP BY ALL HAVING max(CASE WHEN ended THEN at_us ELSE following END) - min(at_us) > 90000000"),
     "light_and_buckets": (light, with_(PIXELS) + "SELECT image_id, y, x, CAST(floor((0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) * 1000 + 0.5) AS BIGINT) AS luminance_milli, greatest(r, g, b) - least(r, g, b) AS chroma, r // 16 + g // 16 * 16 + b // 16 * 256 AS bucket FROM pixels"),
     "color_histogram": (lambda s, d: P.color_histogram(D.pixels(s, d)), with_(PIXELS) + "SELECT image_id, r // 16 + g // 16 * 16 + b // 16 * 256 AS bucket, count(*) FILTER (mask <= 24) AS bg, count(*) FILTER (mask >= 232) AS fg FROM pixels WHERE a >= 128 AND (mask <= 24 OR mask >= 232) GROUP BY ALL"),
     "max_pool": (lambda s, d: P.max_pool(D.pixels(s, d), 24, 7), with_(PIXELS) + "SELECT image_id, CAST(floor(y * 7 / 24) AS INT) AS my, CAST(floor(x * 7 / 24) AS INT) AS mx, max(mask) AS mask FROM pixels GROUP BY ALL"),
@@ -236,7 +294,7 @@ TABLE = {
     "layer_votes": (votes, with_(PIXELS) + """, l AS (SELECT image_id, y, x, unnest([mask::BIGINT, 255 - mask, (mask * 3 + image_id) % 256]) AS pred FROM pixels) SELECT image_id, y, x, count(*) FILTER (pred <= 56) AS bg_votes, bool_or(pred >= 210) AS fg_veto, min(pred) FILTER (pred <= 56) AS lowest_bg FROM l GROUP BY ALL"""),
     "in_zones": (lambda s, d: P.in_zones(D.pixels(s, d).select("image_id", "y", "x", "mask"), rects(s, d)), with_(PIXELS, RECTS) + "SELECT image_id, y, x, mask FROM pixels p WHERE EXISTS (SELECT 1 FROM rects z WHERE z.image_id = p.image_id AND x >= l AND x < z.r AND y >= t AND y < z.b)"),
     "duplicate_rects": (lambda s, d: P.drop_duplicate_rects(rects(s, d), rects(s, d, 4, 2)), with_(RECTS) + ", m AS (SELECT c.*, (least(c.r, o.r) - greatest(c.l, o.l)) * (least(c.b, o.b) - greatest(c.t, o.t)) AS shared FROM rects c JOIN others o USING (image_id)) SELECT image_id, l, t, r, b FROM m WHERE NOT (shared / (448 - shared) >= 0.58)"),
-    "intersecting_rects": (lambda s, d: P.keep_intersecting(rects(s, d), rects(s, d, 4, 2).filter("image_id % 2 = 0")), with_(RECTS) + "SELECT c.* FROM rects c JOIN others f USING (image_id) WHERE image_id % 2 = 0 AND c.l < f.r AND f.l < c.r AND c.t < f.b AND f.t < c.b"),
+    "intersecting_rects": (lambda s, d: P.keep_intersecting(rects(s, d), focused(s, d)), with_(RECTS, "focused AS (SELECT vec_id AS image_id, vec_id % 5 * 5 AS l, vec_id % 7 * 3 AS t, vec_id % 5 * 5 + 4 AS r, vec_id % 7 * 3 + 4 AS b FROM embeddings)") + "SELECT c.* FROM rects c JOIN focused f USING (image_id) WHERE c.l < f.r AND f.l < c.r AND c.t < f.b AND f.t < c.b"),
     "selected_pixels": (lambda s, d: P.selected(D.pixels(s, d)), with_(PIXELS) + "SELECT image_id, y, x FROM pixels WHERE mask >= 128 AND a > 4"),
     "selection_size": (lambda s, d: P.selection_size(D.pixels(s, d)), with_(PIXELS) + "SELECT image_id, count(*) FILTER (mask >= 128 AND a > 4) AS n_selected FROM pixels GROUP BY image_id"),
     "summed_area": (lambda s, d: P.box_sums(D.pixels(s, d)), with_(PIXELS) + ", a AS (SELECT image_id, y, x, sum(mask) OVER (PARTITION BY image_id, y ORDER BY x) AS s FROM pixels) SELECT image_id, y, x, CAST(sum(s) OVER (PARTITION BY image_id, x ORDER BY y) AS BIGINT) AS area_sum FROM a"),
@@ -260,7 +318,7 @@ TABLE = {
  l AS (SELECT image_id, p, min(root) AS root FROM r GROUP BY image_id, p)
  SELECT image_id, count(*) AS area, min(p % 24) AS min_x, min(p // 24) AS min_y, max(p % 24) AS max_x, max(p // 24) AS max_y, root AS first_pixel FROM l GROUP BY image_id, root"""),
     "painted_pixels": (lambda s, d: T.painted_pixels(D.pixels(s, d), D.strokes(s, d)), with_(PIXELS, STROKES) + "SELECT image_id, y, x FROM pixels p WHERE a > 4 AND EXISTS (SELECT 1 FROM strokes s WHERE s.image_id = p.image_id AND (p.x + 0.5 - s.x) ** 2 + (p.y + 0.5 - s.y) ** 2 <= greatest(1.5, 0.32 * radius) ** 2)"),
-    "best_candidate_mask": (scored, with_(PIXELS, STROKES, RECTS) + """, k(mask_idx, quality, lim) AS (VALUES (0::BIGINT, 0.9::DOUBLE, 64), (1, 0.8, 128), (2, 0.7, 192)), m AS (SELECT image_id, y, x, mask_idx, quality FROM pixels, k WHERE mask >= lim AND image_id % 2 = 0),
+    "best_candidate_mask": (scored, with_(PIXELS, STROKES, RECTS) + """, k(mask_idx, quality, lim) AS (VALUES (0::BIGINT, 0.9::DOUBLE, 64), (1, 0.8, 128), (2, 0.7, 192)), m AS (SELECT image_id, y, x, mask_idx, quality FROM pixels, k WHERE mask >= lim),
  a AS (SELECT m.image_id, mask_idx, any_value(quality) AS quality, count(*) AS area, count(*) FILTER (x >= l AND x < r AND y >= t AND y < b) AS inside FROM m JOIN rects USING (image_id) GROUP BY m.image_id, mask_idx),
  g AS (SELECT image_id, count(*) FILTER (seq % 3 <> 0) AS n_pos, count(*) FILTER (seq % 3 = 0) AS n_neg FROM strokes GROUP BY image_id),
  h AS (SELECT m.image_id, mask_idx, count(*) FILTER (seq % 3 <> 0) AS pos, count(*) FILTER (seq % 3 = 0) AS neg FROM m JOIN strokes s ON m.image_id = s.image_id AND m.x = s.x AND m.y = s.y GROUP BY ALL),
@@ -300,6 +358,22 @@ TABLE = {
     "tiled_sharpening": (lambda s, d: R.pixel_rows(Z.join(Z.stencil(Z.split(D.frames16(s, d), 10), 1, K.sharpen16))), None),
     "tiled_components": (lambda s, d: Z.components(Z.split(D.masks(s, d), 7), 128).select("image_id", "area", "min_x", "min_y", "max_x", "max_y", "first_pixel"), None),
     "subject_rects": (lambda s, d: R.subject_rects(R.components(D.masks(s, d), 24), 24, 24, 240, 240), None),
+    "composed_progress": (composed, with_(EVENTS) + "SELECT event_id, CAST(floor(([0, 0.42, 0.36, 0.62, 0.68, 0][event_id % 6 + 1]::DOUBLE + [0.42, 0.58, 0.25, 0.36, 0.16, 1][event_id % 6 + 1]::DOUBLE * (progress_pct / 100)) * 10000 + 0.5) AS BIGINT) AS points FROM progress"),
+    "crop_budget": (budgeted, """WITH n AS (SELECT vec_id AS image_id, vec_id % 15 + 1 AS ns, CASE WHEN vec_id * 7 % 9 > 0 THEN vec_id * 7 % 9 + 1 ELSE 0 END AS ne FROM embeddings),
+ c AS (SELECT image_id, 0 AS kind, unnest(range(1, least(ns, 12 - ne) + 1)) AS rank FROM n UNION ALL SELECT image_id, 1, unnest(range(1, ne + 1)) FROM n)
+ SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY kind, rank) AS layer_idx, rank + kind * 100 AS l FROM c"""),
+    "validated_frames": (frames_checked, "SELECT vec_id AS image_id, vec_id % 7 <> 0 AS valid FROM embeddings"),
+    "flattened_pixels": (flattened, f"""WITH p AS (SELECT vec_id AS i, y, x, greatest(0, least(255, greatest({DISC.format(s=0)}, {DISC.format(s=3)}))) / 255::DOUBLE AS a FROM embeddings, (SELECT CAST(range AS INT) AS y FROM range(24)), (SELECT CAST(range AS INT) AS x FROM range(24)))
+ SELECT i AS image_id, y, x, CAST(round_even((i * 37 + x * 9 + y * 5) % 256 * a, 0) AS INT) AS c0, CAST(round_even((i * 11 + x * 3 + y * 13) % 256 * a, 0) AS INT) AS c1, CAST(round_even((i * 5 + x * 17 + y * 2) % 256 * a, 0) AS INT) AS c2 FROM p"""),
+    "halved_frames": (lambda s, d: R.pixel_rows(R.resample(D.frames16(s, d), 12, 12)), with_(FRAMES) + """, h AS (SELECT image_id, y // 2 AS y, x // 2 AS x, k, CAST(round_even(sum(c) / 4, 0) AS INT) AS v FROM frames GROUP BY ALL)
+ SELECT image_id, y, x, max(v) FILTER (k = 0) AS c0, max(v) FILTER (k = 1) AS c1, max(v) FILTER (k = 2) AS c2 FROM h GROUP BY image_id, y, x"""),
+    "embedded_pictures": (embedded, """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, 29 + page_id % 50 AS a, 29 + page_id * 7 % 50 AS b, page_id % 200 + 1 AS wa, page_id % 90 + 1 AS ha, page_id % 70 + 1 AS wb, page_id % 300 + 1 AS hb FROM pages),
+ q AS (SELECT *, a > b OR a = b AND wa * ha >= wb * hb AS one FROM p)
+ SELECT page_id, CASE WHEN one THEN n ELSE n + a END AS start_at, CASE WHEN one THEN n + a ELSE n + a + b END AS end_at, CASE WHEN one THEN wa ELSE wb END AS width, CASE WHEN one THEN ha ELSE hb END AS height FROM q"""),
+    "converted_files": (converted, "WITH " + PLAN + """, e AS (SELECT p.*, v.vec_id IS NOT NULL AS pixels FROM plan p LEFT JOIN embeddings v ON v.vec_id = p.image_id),
+ z AS (SELECT image_id, out_name AS name, CASE WHEN route = 'pass-through' THEN image_id % 11 <> 0 WHEN route = 'remove-background' THEN FALSE ELSE pixels END AS good FROM e)
+ SELECT image_id, name, CASE WHEN good THEN 'done' ELSE 'error' END AS status, CASE WHEN good THEN TRUE END AS filled FROM z"""),
+    "written_pngs": (written, "SELECT vec_id + k * 1099511627776 AS image_id, 24::BIGINT AS width, 24::BIGINT AS height, CASE k WHEN 0 THEN 16 ELSE 8 END::BIGINT AS bits, CASE k WHEN 0 THEN 2 ELSE 6 END::BIGINT AS kind, '49454E44AE426082' AS end_hex FROM embeddings, (SELECT unnest([0, 1]) AS k)"),
     "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
 }
 

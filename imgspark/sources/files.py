@@ -69,9 +69,9 @@ def best_embedded_jpeg(candidates: DataFrame) -> DataFrame:
 
 def zip_bundles(results: DataFrame, prefix: str, date: str, max_bytes: int = 256 << 20) -> DataFrame:
     """results (job_id, name, seq, content) as archives of about max_bytes each: the last of equal names stays, names are dealt to bundles by hash."""
-    from ..operators.manifest import keep_last
+    from ..operators.manifest import keep_last_bytes
 
-    last = keep_last(results, "job_id", "name", "seq")
+    last = keep_last_bytes(results, "job_id", "name", "seq")
     sizes = last.groupBy("job_id").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("content")) / max_bytes)).alias("bundles"))
     dealt = last.join(sizes, "job_id").withColumn("bundle", F.pmod(F.xxhash64("name"), F.col("bundles")).cast("long"))
 
@@ -92,7 +92,7 @@ def write_files(results: DataFrame, directory: str) -> DataFrame:
 
     directory lies on a file system that every executor mounts. A file is written beside its place and then moved into it, so
     a task that runs twice leaves one whole file. Returns image_id, path, bytes and error, and writes when it is evaluated."""
-    from ..operators.manifest import keep_last
+    from ..operators.manifest import keep_last_bytes
 
     def make(r: dict) -> list[dict]:
         import os
@@ -113,5 +113,5 @@ def write_files(results: DataFrame, directory: str) -> DataFrame:
         except (OSError, ValueError) as e:
             return [{"image_id": r["image_id"], "path": None, "bytes": None, "error": str(e)}]
 
-    kept = keep_last(results, "job_id", "name", "seq").select("image_id", "job_id", "name", "content")
+    kept = keep_last_bytes(results, "job_id", "name", "seq").select("image_id", "job_id", "name", "content")
     return over_rows(kept, "image_id long, path string, bytes long, error string", make)

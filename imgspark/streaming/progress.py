@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.progress import latest
+from ..operators.progress import batch_progress, latest
+
+TIMERS = "job_id long, image_id long, reason string, since timestamp, due timestamp"
 
 
 def stream_latest(events: DataFrame) -> DataFrame:
@@ -13,7 +18,70 @@ def stream_latest(events: DataFrame) -> DataFrame:
     return latest(events)
 
 
+def live_progress(queue: DataFrame, at: str, started: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over a stream of events: after batch n, at/jobs/n holds batch_progress() of all events so far.
+
+    at: a folder that driver and executors share. at/latest/n keeps one event an item, made of the table of the batch before
+    and the new events, so a batch that runs twice writes the same; older tables than that one are removed."""
+
+    def follow(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        events = batch.select("job_id", "image_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "progress_pct", "kind")
+        if n:
+            events = events.unionByName(spark.read.parquet(f"{at}/latest/{n - 1}"))
+        last = events.groupBy("job_id", "image_id").agg(F.max_by(F.struct("event_id", "ts", "progress_pct", "kind"), F.struct("ts", "event_id")).alias("e"))
+        last.select("job_id", "image_id", "e.*").write.mode("overwrite").parquet(f"{at}/latest/{n}")
+        kept = spark.read.parquet(f"{at}/latest/{n}")
+        elapsed = kept.agg(F.max(F.unix_timestamp("ts"))).first()[0] or 0
+        elapsed -= spark.sql(f"select unix_timestamp(timestamp '{started}')").first()[0]
+        batch_progress(queue, kept, max(0, elapsed)).write.mode("overwrite").parquet(f"{at}/jobs/{n}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/latest/{n - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return follow
+
+
 def stream_stalled(events: DataFrame, gap: str = "180 seconds", late: str = "10 minutes") -> DataFrame:
     """One row for each session of an item; a further row of an item means that it was silent for longer than the gap."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy("job_id", "image_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events"), F.max("progress_pct").alias("progress_pct"))
+
+
+def stream_timers(events: DataFrame, gap_seconds: int = 180, limit_seconds: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """Items as their timers run out: reason `silent` (no event for the gap) or `time limit` (no end within the limit).
+
+    Each event arms the item's timer again; done and failed end it. An item that never speaks again is reported once other
+    items' events have moved the watermark past its timer. since: the event that armed it, or the run's first one; due: when it
+    ran out. A reported item begins anew with its next event. State: two times an item."""
+    gap, limit = pd.Timedelta(seconds=gap_seconds), pd.Timedelta(seconds=limit_seconds) if limit_seconds else None
+
+    def expired(first: pd.Timestamp, last: pd.Timestamp) -> tuple[str, pd.Timestamp, pd.Timestamp]:
+        silent = ("silent", last, last + gap)
+        return silent if limit is None or last + gap <= first + limit else ("time limit", first, first + limit)
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, last = map(pd.Timestamp, state.get) if state.exists else (None, None)
+        found = []
+        if state.hasTimedOut:
+            found.append(expired(first, last))
+            first = None
+        else:
+            for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
+                if first is not None and r.ts > (due := expired(first, last))[2]:
+                    found.append(due)
+                    first = None
+                if r.kind in ("done", "failed"):
+                    first = None
+                else:
+                    first, last = (r.ts, r.ts) if first is None else (first, max(last, r.ts))
+        if first is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first.to_pydatetime(), last.to_pydatetime()))
+            # as whole milliseconds behind the last moment that is still in time
+            state.setTimeoutTimestamp(max(int(expired(first, last)[2].timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *x) for x in found], columns=["job_id", "image_id", "reason", "since", "due"])
+
+    timed = events.select("job_id", "image_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind").withWatermark("ts", late)
+    return timed.groupBy("job_id", "image_id").applyInPandasWithState(watch, TIMERS, "first timestamp, last timestamp", "append", "EventTimeTimeout")

@@ -50,6 +50,44 @@ def test_background_removal_equals_its_stages_by_hand(spark, tmp_path):
         assert planned
 
 
+def test_a_failing_model_costs_its_crops_only(spark, tmp_path):
+    pictures = [portrait(i) for i in range(3)] + [np.full((30, 30, 4), 7, np.uint8)]
+    light = lambda a: np.clip((a[..., :3].astype(float).mean(-1) - 60) * 1.7, 0, 255)
+
+    def fails(a):
+        if a.shape[0] == 30:
+            raise ValueError("odd size")
+        return light(a)
+
+    at = str(tmp_path / "a")
+    alone = arrays_of(B.remove_background(frame(spark, pictures), lambda: fails, at))
+    assert sorted(alone) == [0, 1, 2]
+    assert [tuple(r) for r in B.mask_errors(spark, at).collect()] == [(3, 0, "odd size")]
+    helped = arrays_of(B.remove_background(frame(spark, pictures), lambda: fails, str(tmp_path / "b"), fallback=lambda: light))
+    assert sorted(helped) == [0, 1, 2, 3] and all((helped[i] == alone[i]).all() for i in alone)
+    assert not B.mask_errors(spark, str(tmp_path / "b")).count()
+
+
+def test_crops_are_cut_where_the_picture_is(spark):
+    pictures = [portrait(i) for i in range(3)]
+    plan = spark.createDataFrame([(i, k, 3 * k, k, 40 + k, 50, None, None, "edge") for i in range(2) for k in (1, 2)], "image_id long, layer_idx int, l int, t int, r int, b int, own_l int, own_r int, detail string")
+    got = B.cut_crops(plan, frame(spark, pictures)).collect()
+    assert sorted((r.image_id, r.layer_idx) for r in got) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    for r in got:
+        assert (rasters.unpack(r.asDict()) == pictures[r.image_id][r.t : r.b, r.l : r.r]).all() and (r.frame_h, r.frame_w) == (90, 120)
+
+
+def test_stamps_change_their_box_only():
+    a, source = (RNG.integers(0, 256, (40, 50, 4)).astype(np.uint8) for _ in range(2))
+    for x, y, radius in ((10.0, 12.0, 6.0), (0.0, 0.0, 9.5), (49.5, 39.5, 3.0), (-20.0, 5.0, 4.0), (25.0, 20.0, 100.0)):
+        cover = M.coverage(40, 50, x, y, radius)
+        erased, restored = M.erase(a, x, y, radius), M.restore(a, source, x, y, radius)
+        assert (erased[..., 3] == np.clip(np.rint(a[..., 3] * (1 - cover)), 0, 255)).all() and (erased[..., :3] == a[..., :3]).all()
+        over = source[..., 3] / 255 * cover
+        assert (restored[cover == 0] == a[cover == 0]).all()
+        assert (restored[..., 3] == np.clip(np.rint((over + a[..., 3] / 255 * (1 - over)) * 255), 0, 255))[cover > 0].all()
+
+
 def test_model_inputs_and_masks():
     a = np.full((30, 60, 4), 255, np.uint8)
     t = B.model_input(a, 16)

@@ -4,6 +4,7 @@ import io
 import struct
 import zipfile
 import zlib
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from imgspark.operators import edits, progress, rasters
 from imgspark.operators import manifest as O
 from imgspark.plans.convert import convert_all, predict_masks, process_images
 from imgspark.sources import derived, files
-from imgspark.streaming.progress import stream_latest, stream_stalled
+from imgspark.streaming.progress import live_progress, stream_latest, stream_stalled, stream_timers
 
 RNG = np.random.default_rng(4)
 MASKS = [RNG.random((h, w)) < p for h, w in ((1, 1), (1, 9), (9, 1), (7, 13), (40, 31)) for p in (0.2, 0.5, 0.8)] + [np.zeros((5, 5), bool), np.ones((6, 4), bool), np.indices((8, 8)).sum(0) % 2 == 0]
@@ -231,7 +232,86 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     sessions = spark.table("sessions").groupBy("job_id", "image_id").count().filter("count > 1").select("job_id", "image_id", (F.col("count") - 1).alias("stalls"))
     # a gap of exactly 180 s ends a session and isn't yet a stall; none is in the data
-    assert sorted(map(tuple, sessions.collect())) == sorted(map(tuple, progress.stalled_items(events).select("job_id", "image_id", "stalls").collect()))
+    gaps = {}
+    by = {}
+    for r in events.orderBy("ts", "event_id").collect():
+        if (r.ts - by.get((r.job_id, r.image_id), r.ts)).total_seconds() > 180:
+            gaps[r.job_id, r.image_id] = gaps.get((r.job_id, r.image_id), 0) + 1
+        by[r.job_id, r.image_id] = r.ts
+    assert sorted(map(tuple, sessions.collect())) == sorted((*k, n) for k, n in gaps.items())
+
+
+def timers(rows, gap, limit, now):
+    """What stream_timers() has to report, and the silences and runs of the batch twins, by a loop."""
+    reports, silences, runs = [], [], []
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+        by.setdefault((r.job_id, r.image_id), []).append(r)
+    for key, own in by.items():
+        first = last = start = None
+        for i, r in enumerate(own):
+            for t, final in ((r.ts, False), *([(now, True)] if i == len(own) - 1 else [])):
+                if final or first is not None:
+                    due = min([(last + gap, "silent", last), *([(first + limit, "time limit", first)] if limit else [])], key=lambda x: x[0]) if first else None
+                    if due and due[0] < t:
+                        reports.append((*key, due[1], due[2], due[0]))
+                        first = None
+                if not final:
+                    first, last = (None, None) if r.kind in ("done", "failed") else (first or r.ts, r.ts)
+            start = start or r.ts
+            following = own[i + 1].ts if i + 1 < len(own) else now
+            ended = r.kind in ("done", "failed")
+            if not ended and following - r.ts > gap:
+                silences.append((*key, following - r.ts))
+            if ended or i + 1 == len(own):
+                runs.append((*key, (r.ts if ended else following) - start))
+                start = None
+    return reports, silences, runs
+
+
+def test_stalls_and_limits_by_a_loop(spark, sf_dir):
+    events = derived.progress_events(spark, sf_dir)
+    rows = events.collect()
+    _, silences, runs = timers(rows, timedelta(seconds=180), None, max(r.ts for r in rows))
+    want = {}
+    for job, image, s in silences:
+        want.setdefault((job, image), []).append(s // timedelta(microseconds=1))
+    assert sorted(map(tuple, progress.stalled_items(events).collect())) == sorted((*k, max(v), len(v)) for k, v in want.items())
+    want = sorted((job, image, s // timedelta(microseconds=1)) for job, image, s in runs if s > timedelta(seconds=90))
+    assert sorted(map(tuple, progress.overdue_items(events).select("job_id", "image_id", "span_us").collect())) == want
+    # an item that is done is never stalled; one that only began is, once it is late enough
+    one = spark.createDataFrame([(1, 1, 1, "2024-01-01 00:00:00", 5, "progress"), (1, 2, 2, "2024-01-01 00:00:00", 5, "done")], "job_id long, image_id long, event_id long, ts string, progress_pct long, kind string")
+    assert [tuple(r) for r in progress.stalled_items(one, now="2024-01-01 00:10:00").collect()] == [(1, 1, 600_000_000, 1)]
+    assert [tuple(r) for r in progress.overdue_items(one, now="2024-01-01 00:01:31").collect()] == [(1, 1, 0, 91_000_000)]
+    assert not progress.stalled_items(one, now="2024-01-01 00:03:00").collect() and not progress.overdue_items(one).collect()
+
+
+@pytest.mark.parametrize("limit", [None, 1800])
+def test_timers_as_a_stream(spark, sf_dir, tmp_path, limit):
+    events = derived.progress_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    ordered = events.orderBy("ts", "event_id").collect()
+    for i in range(0, len(ordered), 400):
+        spark.createDataFrame(ordered[i : i + 400], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_timers(stream, 3600, limit, late="0 seconds").writeStream.format("memory").queryName(f"timers{limit}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    reports, _, _ = timers(ordered, timedelta(seconds=3600), limit and timedelta(seconds=limit), max(r.ts for r in ordered))
+    got = sorted(map(tuple, spark.table(f"timers{limit}").collect()))
+    assert got == sorted(reports) and {r[2] for r in got} == {"time limit" if limit else "silent"}
+
+
+def test_live_progress_equals_batch(spark, sf_dir, tmp_path):
+    events, queue = derived.progress_events(spark, sf_dir), derived.manifest(spark, sf_dir)
+    events.orderBy(F.rand(4)).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    first, last = events.agg(F.min("ts"), F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()
+    at = str(tmp_path / "state")
+    q = stream.writeStream.foreachBatch(live_progress(queue, at, str(first))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    elapsed = last - spark.sql(f"select unix_timestamp(timestamp '{first}')").first()[0]
+    want = progress.batch_progress(queue, events, elapsed)
+    assert sorted(map(tuple, spark.read.parquet(f"{at}/jobs/3").collect())) == sorted(map(tuple, want.collect()))
+    assert not (tmp_path / "state/latest/1").exists() and (tmp_path / "state/latest/3").exists()
 
 
 def test_conversion_job(spark, sf_dir):
