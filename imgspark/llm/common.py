@@ -71,7 +71,7 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, *spread:
     met = rows.join(F.broadcast(first), key, "left")
     dealt = F.xxhash64(*spread, F.spark_partition_id()).cast(dict(rows.dtypes)[key])
     met = met.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(dealt))
-    met = met.join(rest, "_key", "left").withColumn("_met", F.coalesce("_hot", "_rest"))
+    met = met.join(rest.hint("merge"), "_key", "left").withColumn("_met", F.coalesce("_hot", "_rest"))
     return met.select(*rows.columns, *[F.col(f"_met.{c}").alias(c) for c in values])
 
 

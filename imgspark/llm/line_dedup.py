@@ -11,8 +11,8 @@ tokens are counted on different lines, each weighted by its documents, so a line
 Texts move once, to meet their dropped line numbers. Joins on what may be hot go through hot_join.
 
 Defined cases: a null text counts as empty; lines without a token are never dropped; lines shorter than min_tokens tokens
-stay; documents are told apart by two 64-bit hashes of doc_id and text, so repeated rows count once and lose the same lines; a
-null doc_id counts as the last one; texts and lines may be of any length; further columns are carried along, those named like a
+stay; documents are told apart by doc_id and a 64-bit hash of it and the text, so repeated rows count once and lose the same
+lines; a null doc_id counts as the last one; texts and lines may be of any length; further columns are carried along, those named like a
 result column are replaced.
 """
 
@@ -44,20 +44,19 @@ def path_key(line: Column, depth: int = 2) -> Column:
 
 
 def _lines_of_full_leaves(lined: DataFrame, min_docs: int) -> DataFrame:
-    several = F.lit(True) if min_docs < 2 else F.min("u") < F.max("u")
-    leaves = cut(lined.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf"), several.alias("several")).filter((F.col("in_leaf") >= min_docs) & F.col("several")).drop("several"))
+    leaves = cut(lined.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf")).filter(F.col("in_leaf") >= min_docs))
     return hot_join(lined, leaves, "leaf", "in_leaf", F.col("u")).filter("in_leaf is not null").drop("in_leaf")
 
 
 def _templates(rows: DataFrame, lined: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """line, template (both hashes) and docs of the different lines in lined that belong to a template."""
-    once = lined.groupBy("leaf", "line", "u", "v").agg(F.min("at").alias("at"))
+    once = lined.groupBy("leaf", "line", "u", "id").agg(F.min("at").alias("at"))
     apart = cut(once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("u", "at")).alias("from")))
     # one document of each line gives its tokens
     wanted = apart.groupBy(F.col("from.u").alias("_u")).agg(F.collect_list(F.struct("from.at", "leaf", "line", "docs")).alias("wanted"))
     wanted = cut(wanted)
-    given = rows.join(F.broadcast(wanted) if apart.count() <= SMALL else wanted, "_u")
-    given = given.select("_lines", F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", template(F.get("_lines", F.col("w.at"))).alias("masked"))
+    given = rows.select("_u", "_text").join(F.broadcast(wanted) if apart.count() <= SMALL else wanted, "_u")
+    given = given.select(F.split("_text", "\n").alias("_lines"), F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", template(F.get("_lines", F.col("w.at"))).alias("masked"))
     given = given.dropDuplicates(["line"])
     tokens = given.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     tokens = cut(tokens.select("line", "docs", F.xxhash64("leaf", "at", "token").alias("place"), F.xxhash64("token", "at", "leaf").alias("again"), "leaf", (F.col("token") == WILDCARD).alias("masked")))
@@ -75,19 +74,21 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """Every row with clean_text, n_lines and n_lines_dropped."""
     out = ["clean_text", "n_lines", "n_lines_dropped"]
     ident, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    rows = docs.select(carried(docs, out), F.split(whole(body), "\n").alias("_lines"), F.xxhash64(ident, body).alias("_u"), F.xxhash64(body, F.lit(1), ident).alias("_v"), ident.cast("long").alias("_id"))
-    lined = rows.select("_u", "_v", "_id", F.posexplode("_lines").alias("at", "line")).select("_u", "_v", "_id", "at", path_key(F.col("line"), depth).alias("path"))
+    # a text is carried once, in the row that is handed on, and split where its lines are asked for
+    kept = [c for c in out if c != text]
+    rows = docs.select(carried(docs, kept), F.xxhash64(ident, body).alias("_u"), F.coalesce(ident.cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
+    text_of = whole(F.col(f"carried.`{text}`").cast("string"))
+    lined = rows.select("_u", "_id", F.posexplode(F.split(text_of, "\n")).alias("at", "line")).select("_u", "_id", "at", path_key(F.col("line"), depth).alias("path"))
     # the filter comes after the cut: before it, the masking would be repeated for it
-    lined = cut(lined.select(F.col("_u").alias("u"), F.col("_v").alias("v"), F.col("_id").alias("id"), "at", "path.*")).filter(F.col("n") >= min_tokens).drop("n")
+    lined = cut(lined.select(F.col("_u").alias("u"), F.col("_id").alias("id"), "at", "path.*")).filter(F.col("n") >= min_tokens).drop("n")
     lined = _lines_of_full_leaves(lined, min_docs)
-    templates = cut(_templates(rows, lined, min_docs, similarity))
-    found = cut(hot_join(lined.drop("leaf"), templates, "line", "docs", F.col("u"), small=SMALL).filter("template is not null").select("u", "v", "id", "at", "template"))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "u", "v")).alias("first")
-    once = found.groupBy("template", "u", "v").agg(F.min("id").alias("id"))
-    common = cut(once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), first).filter(F.col("docs") >= min_docs))
-    met = hot_join(found, common, "template", "docs", F.col("u"), small=SMALL).filter((F.col("first.u") != F.col("u")) | (F.col("first.v") != F.col("v")))
-    dropped = met.groupBy(F.col("u").alias("_u"), F.col("v").alias("_v")).agg(F.collect_set("at").alias("_drop"))
-    joined = rows.join(dropped, ["_u", "_v"], "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
+    templates = cut(_templates(rows.select("_u", text_of.alias("_text")), lined, min_docs, similarity))
+    found = cut(hot_join(lined.drop("leaf"), templates, "line", "docs", F.col("u"), small=SMALL).filter("template is not null").select("u", "id", "at", "template"))
+    once = found.groupBy("template", "u", "id").agg(F.count(F.lit(1)).alias("n"))
+    common = cut(once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "u")).alias("first")).filter(F.col("docs") >= min_docs))
+    met = hot_join(found, common, "template", "docs", F.col("u"), small=SMALL).filter((F.col("first.u") != F.col("u")) | (F.col("first.id") != F.col("id")))
+    dropped = met.groupBy(F.col("u").alias("_u"), F.col("id").alias("_id")).agg(F.collect_set("at").alias("_drop"))
+    joined = rows.join(dropped, ["_u", "_id"], "left").withColumns({"_drop": F.coalesce("_drop", F.array().cast("array<int>")), "_lines": F.split(text_of, "\n")})
     joined = joined.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")))
     return joined.select(
         *unpacked(docs, out),
