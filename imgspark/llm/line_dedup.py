@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line is parsed by its token count, then by its leading tokens, which lead to a leaf of the tree; tokens with a digit in them
-are variable fields and become a wildcard at once. In a leaf, a token is constant at its position if min_docs pairs of document
+A line is parsed by its token count, then by its `depth` leading tokens and its last one, which lead to a leaf of the tree; tokens
+with a digit in them are variable fields and become a wildcard at once. In a leaf, a token is constant at its position if min_docs pairs of document
 and line have it there, and a variable field else; so lines that differ in names, words or URLs meet in one template. A line
 belongs to its template if a share of `similarity` of its tokens is constant. Templates that occur in min_docs documents or more
 are dropped everywhere but in the first document that has them. Native: expressions, aggregates and joins only.
@@ -37,10 +37,10 @@ def template(line: Column) -> Column:
 
 
 def path_key(line: Column, depth: int = 2) -> Column:
-    """The path through the tree as a struct: token count, hash of the leaf (count and leading tokens), hash of the masked line."""
+    """The path through the tree as a struct: token count, hash of the leaf (count, leading tokens, last token), hash of the masked line."""
     masked = template(line)
     n = F.length(masked) - F.length(F.translate(masked, " ", "")) + 1
-    return F.struct(n.alias("n"), F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked, F.lit(depth)).alias("line"))
+    return F.struct(n.alias("n"), F.xxhash64(n, F.substring_index(masked, " ", depth), F.substring_index(masked, " ", -1)).alias("leaf"), F.xxhash64(masked, F.lit(depth)).alias("line"))
 
 
 def _lines_of_full_leaves(lined: DataFrame, min_docs: int) -> DataFrame:

@@ -46,7 +46,7 @@ SELECT page_id, url, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN
 OP6 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 m AS (SELECT *, string_split(regexp_replace(regexp_replace(trim(line, {BLANKS}), '{GAP}', ' ', 'g'), '[^ ]*[0-9][^ ]*', '{WILDCARD}', 'g'), ' ') AS masked FROM l),
-d AS (SELECT masked, len(masked) AS n, masked[1:2] AS lead, count(DISTINCT doc_id) AS docs FROM m WHERE len(masked) >= 3 GROUP BY masked),
+d AS (SELECT masked, len(masked) AS n, list_append(masked[1:2], masked[-1]) AS lead, count(DISTINCT doc_id) AS docs FROM m WHERE len(masked) >= 3 GROUP BY masked),
 f AS (SELECT n, lead, sum(docs) AS full FROM d GROUP BY n, lead HAVING sum(docs) >= 5),
 t AS (SELECT masked, n, lead, docs, unnest(masked) AS token, generate_subscripts(masked, 1) AS pos FROM d SEMI JOIN f USING (n, lead)),
 k AS (SELECT *, token <> '{WILDCARD}' AND sum(docs) OVER (PARTITION BY n, lead, pos, token) >= 5 AS stays FROM t),

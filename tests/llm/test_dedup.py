@@ -167,7 +167,7 @@ def plain_line_dedup(rows, min_docs=5):
         for line in d[1].split("\n"):
             if len(m := mask(line)) >= 3:
                 of[m].add(d)
-                leaves[len(m), m[:2]].add(m)
+                leaves[len(m), m[:2] + m[-1:]].add(m)
     template = {}
     for (n, lead), lines in leaves.items():
         seen = defaultdict(int)
