@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from . import raster_sql
 from .functions import kernels as K
 from .functions import manifest as M
 from .operators import crops as Q
@@ -377,6 +378,10 @@ TABLE = {
     "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
 }
 
+# SQL on whole rasters has a module of its own
+for _name, _sql in raster_sql.SQL.items():
+    TABLE[_name] = TABLE[_name][0], _sql
+
 # whole frames and tiles give the same rows, so the SQL of the one holds for the other
 TABLE["tiled_sharpening"] = TABLE["tiled_sharpening"][0], TABLE["sharpened_frames"][1]
 TABLE["tiled_components"] = TABLE["tiled_components"][0], TABLE["mask_components"][1]
