@@ -28,23 +28,27 @@ def digest(table: str, height: int = SIDE, width: int = SIDE, values: str = "v",
     return f" SELECT image_id, {shape}sha256(from_hex(string_agg({hexed}, '' ORDER BY y, x))) AS data_sha256 FROM {table} GROUP BY image_id"
 
 
-def regions(threshold: int) -> str:
-    """parts: the 8-connected regions of masks at or above the threshold."""
-    return f"""lit AS (SELECT image_id, y * {SIDE} + x AS p FROM masks WHERE v >= {threshold}),
- beside AS (SELECT a.image_id, a.p, b.p AS q FROM lit a JOIN (VALUES (-25), (-24), (-23), (-1), (1), (23), (24), (25)) d(d) ON TRUE JOIN lit b ON b.image_id = a.image_id AND b.p = a.p + d AND abs(b.p % {SIDE} - a.p % {SIDE}) <= 1),
- walk AS (SELECT image_id, p AS root, p FROM lit WHERE NOT EXISTS (SELECT 1 FROM beside e WHERE e.image_id = lit.image_id AND e.p = lit.p AND e.q < lit.p) UNION SELECT w.image_id, w.root, e.q FROM walk w JOIN beside e ON e.image_id = w.image_id AND e.p = w.p),
- own AS (SELECT image_id, p, min(root) AS root FROM walk GROUP BY image_id, p),
- parts AS (SELECT image_id, count(*) AS area, min(p % {SIDE}) AS x0, min(p // {SIDE}) AS y0, max(p % {SIDE}) AS x1, max(p // {SIDE}) AS y1, root AS first_pixel FROM own GROUP BY image_id, root)"""
+def regions(lit: str, name: str = "") -> str:
+    """own and parts, prefixed with name: the 8-connected regions of a query of image_id and p, the pixel's number."""
+    return f"""{name}lit AS ({lit}),
+ {name}beside AS (SELECT a.image_id, a.p, b.p AS q FROM {name}lit a JOIN (VALUES (-25), (-24), (-23), (-1), (1), (23), (24), (25)) d(d) ON TRUE JOIN {name}lit b ON b.image_id = a.image_id AND b.p = a.p + d AND abs(b.p % {SIDE} - a.p % {SIDE}) <= 1),
+ {name}walk AS (SELECT image_id, p AS root, p FROM {name}lit l WHERE NOT EXISTS (SELECT 1 FROM {name}beside e WHERE e.image_id = l.image_id AND e.p = l.p AND e.q < l.p) UNION SELECT w.image_id, w.root, e.q FROM {name}walk w JOIN {name}beside e ON e.image_id = w.image_id AND e.p = w.p),
+ {name}own AS (SELECT image_id, p, min(root) AS root FROM {name}walk GROUP BY image_id, p),
+ {name}parts AS (SELECT image_id, count(*) AS area, min(p % {SIDE}) AS x0, min(p // {SIDE}) AS y0, max(p % {SIDE}) AS x1, max(p // {SIDE}) AS y1, root AS first_pixel FROM {name}own GROUP BY image_id, root)"""
+
+
+def above(threshold: int) -> str:
+    return f"SELECT image_id, y * {SIDE} + x AS p FROM masks WHERE v >= {threshold}"
 
 
 EFFECTIVE_EDITS = "WITH RECURSIVE " + KEPT + " SELECT image_id, seq, tool FROM kept"
 
-SUBJECT_RECTS = "WITH RECURSIVE " + MASKS + ", " + regions(24) + """, big AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) AS rank, x0 * 10 AS l, y0 * 10 AS t, (x1 + 1) * 10 AS r, (y1 + 1) * 10 AS b FROM parts WHERE area >= 32),
+SUBJECT_RECTS = "WITH RECURSIVE " + MASKS + ", " + regions(above(24)) + """, big AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) AS rank, x0 * 10 AS l, y0 * 10 AS t, (x1 + 1) * 10 AS r, (y1 + 1) * 10 AS b FROM parts WHERE area >= 32),
  padded AS (SELECT *, CAST(floor(0.14::DOUBLE * greatest(r - l, b - t) + 0.5) AS BIGINT) AS pad FROM big WHERE rank <= 4),
  cut AS (SELECT image_id, CAST(rank AS INT) AS rank, greatest(0, l - pad) AS l, greatest(0, t - pad) AS t, least(240, r + pad) AS r, least(240, b + pad) AS b FROM padded)
  SELECT * FROM cut WHERE r - l >= 2 AND b - t >= 2 AND 240 / greatest(r - l, b - t) >= 1.15::DOUBLE"""
 
-DETACHED = "WITH RECURSIVE " + MASKS + ", " + regions(128) + """, main AS (SELECT *, y0 + (y1 - y0 + 1) * 0.48::DOUBLE AS low, greatest(8, floor(area * 0.012::DOUBLE + 0.5)) AS most FROM parts QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) = 1),
+DETACHED = "WITH RECURSIVE " + MASKS + ", " + regions(above(128)) + """, main AS (SELECT *, y0 + (y1 - y0 + 1) * 0.48::DOUBLE AS low, greatest(8, floor(area * 0.012::DOUBLE + 0.5)) AS most FROM parts QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) = 1),
  gone AS (SELECT p.image_id, greatest(0, p.y0 - 1) AS top, least(23, p.y1 + 1) + 1 AS bottom, greatest(0, p.x0 - 1) AS lft, least(23, p.x1 + 1) + 1 AS rgt FROM parts p JOIN main m USING (image_id)
  WHERE p.first_pixel <> m.first_pixel AND p.y0 >= low AND (p.x1 < m.x0 OR p.x0 > m.x1) AND p.area <= most),
  left_over AS (SELECT image_id, y, x, CASE WHEN EXISTS (SELECT 1 FROM gone g WHERE g.image_id = k.image_id AND y >= top AND y <= bottom AND x >= lft AND x <= rgt) THEN 0 ELSE v END AS v FROM masks k)""" + digest("left_over")
@@ -105,7 +109,66 @@ REPLAYED = "WITH RECURSIVE " + PICTURES + ", " + KEPT + """, before AS (SELECT *
  ELSE [0, 0, 0, 0] END FROM painted o JOIN brushes s ON s.image_id = o.image_id AND s.m = o.m + 1 AND s.y = o.y AND s.x = o.x),
  last AS (SELECT image_id, y, x, arg_max(c, m) AS c FROM painted GROUP BY ALL)""" + digest("last", values="c[1] c[2] c[3] c[4]", size=False)
 
+#: The frame and two crops with bands: bilinear in the crop, then reshaped by strength, then cleared where both crops vote for background.
+FUSED = """WITH grown AS (SELECT vec_id AS image_id, list_transform(embedding, lambda e: CAST(greatest(0, least(255, floor(128 + 400 * e::DOUBLE))) AS BIGINT)) AS d FROM embeddings),
+ crops AS (SELECT image_id, k, d[65 - 7 * k:] || d[:64 - 7 * k] AS d, CASE k WHEN 0 THEN 0 WHEN 1 THEN image_id % 8 ELSE (image_id + 4) % 8 END AS l, CASE k WHEN 0 THEN 0 WHEN 1 THEN image_id % 5 ELSE (image_id + 2) % 5 END AS t, CASE k WHEN 0 THEN 24 ELSE 14 END AS w, CASE k WHEN 0 THEN 24 ELSE 16 END AS h FROM grown, (SELECT unnest([0, 1, 2]) AS k)),
+ places AS (SELECT n, range AS j, (range + 0.5::DOUBLE) * 8 / n - 0.5 AS spot FROM (SELECT unnest([14, 16, 24]) AS n), range(24) WHERE range < n),
+ taps AS (SELECT n, j, CAST(greatest(0, least(7, floor(spot))) AS BIGINT) AS low, CAST(least(7, greatest(0, least(7, floor(spot))) + 1) AS BIGINT) AS up, greatest(0, least(1, spot - greatest(0, least(7, floor(spot))))) AS part FROM places),
+ laid AS (SELECT image_id, k, l, h, w, v.j AS jy, u.j AS jx, t + v.j AS y, l + u.j AS x, (d[8 * v.low + u.low + 1] * (1 - u.part::FLOAT::DOUBLE) + d[8 * v.low + u.up + 1] * u.part::FLOAT::DOUBLE) * (1 - v.part) + (d[8 * v.up + u.low + 1] * (1 - u.part::FLOAT::DOUBLE) + d[8 * v.up + u.up + 1] * u.part::FLOAT::DOUBLE) * v.part AS p
+ FROM crops JOIN taps v ON v.n = h JOIN taps u ON u.n = w),
+ near AS (SELECT *, greatest(0, least(1, least(least(jx - 2, 11 - jx) / 2, least(jy, 15 - jy) / 2))) AS s FROM laid WHERE k > 0 AND jx >= 2 AND jx < 12),
+ strong AS (SELECT *, s * s * (3 - 2 * s) AS f FROM near),
+ alpha0 AS (SELECT image_id, y, x, greatest(0, least(255, round_even(p, 0))) AS v FROM laid WHERE k = 0),
+ alpha1 AS (SELECT o.image_id, o.y, o.x, CASE WHEN p IS NULL THEN v ELSE greatest(0, least(255, floor(v * (1 - f) + (v + (p - v) * (1 - abs(v - 127.5) / 127.5)) * f + 0.5))) END AS v FROM alpha0 o LEFT JOIN strong s ON s.k = 1 AND s.image_id = o.image_id AND s.y = o.y AND s.x = o.x),
+ alpha2 AS (SELECT o.image_id, o.y, o.x, CASE WHEN p IS NULL THEN v ELSE greatest(0, least(255, floor(v * (1 - f) + (v + (p - v) * (1 - abs(v - 127.5) / 127.5)) * f + 0.5))) END AS v FROM alpha1 o LEFT JOIN strong s ON s.k = 2 AND s.image_id = o.image_id AND s.y = o.y AND s.x = o.x),
+ votes AS (SELECT image_id, y, x, count(*) FILTER (p <= 56) AS n, bool_or(p >= 210) AS veto, min(floor(p + 0.5)) FILTER (p <= 56) AS lowest FROM laid WHERE k > 0 AND jx >= 2 AND jx < 12 AND jy >= 2 AND jy < 14 GROUP BY ALL),
+ fused AS (SELECT o.image_id, o.y, o.x, CASE WHEN n >= 2 AND NOT veto THEN least(v, lowest) ELSE v END AS v FROM alpha2 o LEFT JOIN votes USING (image_id, y, x))""" + digest("fused", size=False)
+
+RING = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) ring(dy, dx)"
+NUMBERED = f"SELECT image_id, y * {SIDE} + x AS p FROM "
+
+
+def pinholes(before: str, after: str) -> str:
+    return f"""{after} AS (SELECT image_id, y, x FROM {before} UNION SELECT image_id, y, x FROM (SELECT image_id, y + dy AS y, x + dx AS x FROM {before}, {RING}) SEMI JOIN seen USING (image_id, y, x) WHERE y BETWEEN 1 AND 22 AND x BETWEEN 1 AND 22 GROUP BY ALL HAVING count(*) >= 5)"""
+
+
+def distances(start: str, first: int, name: str) -> str:
+    """Steps over visible pixels, as far as the band of the image's radius and one more."""
+    return f"""{name}_walk AS (SELECT image_id, y, x, {first} AS step FROM {start} UNION SELECT w.image_id, s.y, s.x, step + 1 FROM {name}_walk w JOIN bands USING (image_id) JOIN {RING} ON TRUE JOIN seen s ON s.image_id = w.image_id AND s.y = w.y + dy AND s.x = w.x + dx WHERE step <= band),
+ {name} AS (SELECT image_id, y, x, min(step) AS d FROM {name}_walk GROUP BY ALL)"""
+
+
+def alike(before: str, after: str) -> str:
+    return f"""{after} AS (SELECT image_id, y, x FROM {before} UNION SELECT p.image_id, p.y, p.x FROM lights p JOIN {RING} ON TRUE JOIN {before} n ON n.image_id = p.image_id AND n.y = p.y + dy AND n.x = p.x + dx JOIN lights q ON q.image_id = n.image_id AND q.y = n.y AND q.x = n.x
+ WHERE p.a > 4 AND p.y BETWEEN 1 AND 22 AND p.x BETWEEN 1 AND 22 AND (p.r - q.r) ** 2 + (p.g - q.g) ** 2 + (p.b - q.b) ** 2 <= 118 ** 2 AND abs(p.light - q.light) <= 72 AND abs(p.chroma - q.chroma) <= 48)"""
+
+
+#: Tables hold the selected pixels only: bridged, without pinholes, prompted, filled, with its band, and grown by colour twice.
+REFINED = "WITH RECURSIVE " + PICTURES + ", " + LOG + f""", dots AS (SELECT image_id, x, y, radius FROM log WHERE seq % 3 <> 0),
+ radii AS (SELECT vec_id AS image_id, greatest(1, coalesce(max(radius), 1)) AS radius FROM embeddings LEFT JOIN dots ON image_id = vec_id GROUP BY vec_id),
+ bands AS (SELECT image_id, radius, least(8, greatest(3, floor(0.26::DOUBLE * radius + 0.5))) AS band, least(8, greatest(2, floor(0.72::DOUBLE * radius + 0.5))) AS gap, least(512, greatest(24, floor(0.35::DOUBLE * radius * radius + 0.5))) AS most FROM radii),
+ seen AS (SELECT image_id, y, x FROM masks WHERE v > 4), lit0 AS (SELECT image_id, y, x FROM masks WHERE v >= 128),
+ paint AS (SELECT image_id, y, x FROM seen s WHERE EXISTS (SELECT 1 FROM dots d WHERE d.image_id = s.image_id AND (s.x + 0.5 - d.x) ** 2 + (s.y + 0.5 - d.y) ** 2 <= greatest(1.5::DOUBLE, 0.32::DOUBLE * radius) ** 2)),
+ spans AS (SELECT dy, dx, dy * dy + dx * dx AS d2, CASE WHEN 2 * abs(dy) < abs(dx) THEN CASE WHEN dx > 0 THEN 0 ELSE 4 END WHEN 2 * abs(dx) < abs(dy) THEN CASE WHEN dy > 0 THEN 2 ELSE 6 END WHEN dx > 0 THEN CASE WHEN dy > 0 THEN 1 ELSE 7 END ELSE CASE WHEN dy > 0 THEN 3 ELSE 5 END END AS octant
+ FROM (SELECT range AS dy FROM range(-8, 9)), (SELECT range AS dx FROM range(-8, 9)) WHERE dy <> 0 OR dx <> 0),
+ around AS (SELECT p.image_id, p.y, p.x, bit_or(1 << octant::INT) AS bits FROM paint p JOIN bands USING (image_id) JOIN spans ON d2 <= gap * gap JOIN lit0 l ON l.image_id = p.image_id AND l.y = p.y + dy AND l.x = p.x + dx GROUP BY ALL),
+ lit1 AS (SELECT * FROM lit0 UNION SELECT image_id, y, x FROM around WHERE bits & (bits >> 4) & 15 <> 0), {pinholes("lit1", "lit2")}, {pinholes("lit2", "lit3")},
+ {regions(NUMBERED + "lit3", "on_")}, prompted AS (SELECT DISTINCT image_id, root FROM on_own JOIN ({NUMBERED} paint) USING (image_id, p)),
+ lit4 AS (SELECT image_id, p // {SIDE} AS y, p % {SIDE} AS x FROM on_own o WHERE EXISTS (SELECT 1 FROM prompted t WHERE t.image_id = o.image_id AND t.root = o.root) OR image_id NOT IN (SELECT image_id FROM prompted)),
+ unseen AS (SELECT image_id, y, x FROM masks WHERE v <= 4), rim AS (SELECT image_id, y, x FROM seen WHERE y IN (0, 23) OR x IN (0, 23) UNION SELECT image_id, y + dy, x + dx FROM unseen, {RING}),
+ edge AS (SELECT * FROM rim SEMI JOIN seen USING (image_id, y, x)), {regions(NUMBERED + "(SELECT * FROM seen ANTI JOIN lit4 USING (image_id, y, x))", "off_")},
+ open_ AS (SELECT DISTINCT image_id, root AS first_pixel FROM off_own JOIN ({NUMBERED} edge) USING (image_id, p)),
+ holes AS (SELECT image_id, first_pixel AS root FROM off_parts ANTI JOIN open_ USING (image_id, first_pixel) JOIN bands USING (image_id) WHERE area <= most),
+ lit5 AS (SELECT * FROM lit4 UNION SELECT image_id, p // {SIDE}, p % {SIDE} FROM off_own JOIN holes USING (image_id, root)),
+ {distances("(SELECT * FROM lit5 SEMI JOIN seen USING (image_id, y, x))", 0, "inner_")}, {distances("edge", 1, "outer_")},
+ lit6 AS (SELECT * FROM lit5 UNION SELECT image_id, y, x FROM inner_ i JOIN outer_ o USING (image_id, y, x) JOIN bands USING (image_id) WHERE i.d + o.d <= band + 1),
+ lights AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS light, greatest(r, g, b) - least(r, g, b) AS chroma FROM pictures), {alike("lit6", "lit7")}, {alike("lit7", "lit8")},
+ filled AS (SELECT m.image_id, m.y, m.x, CASE WHEN l.y IS NULL THEN 0 ELSE 255 END AS v FROM masks m LEFT JOIN lit8 l USING (image_id, y, x)), sizes AS (SELECT image_id, count(*) FILTER (v = 255) AS n_selected FROM filled GROUP BY image_id)
+ SELECT * FROM sizes JOIN ({digest("filled")}) USING (image_id)"""
+
 SQL = {
+    "fused_mattes": FUSED,
+    "refined_selections": REFINED,
     "effective_edits": EFFECTIVE_EDITS,
     "subject_rects": SUBJECT_RECTS,
     "detached_removed": DETACHED,
