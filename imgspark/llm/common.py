@@ -34,11 +34,14 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one is made in local mode
+    (tests); on a cluster that is an error, as executors can't read the driver's disk."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         now = sc._jsc.sc().getCheckpointDir()
     return at or now.get()
