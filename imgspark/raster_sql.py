@@ -9,9 +9,9 @@ GRID = f"(SELECT range AS y FROM range({SIDE})), (SELECT range AS x FROM range({
 DISC = "128 + 10 * ((3 + (vec_id + {s}) % 6) ** 2 - ((x - 6 - (vec_id + {s}) * 7 % 12) ** 2 + (y - 6 - (vec_id + {s}) * 5 % 12) ** 2))"
 MASKS = f"masks AS (SELECT vec_id AS image_id, y, x, CAST(greatest(0, least(255, greatest({DISC.format(s=0)}, {DISC.format(s=3)}))) AS BIGINT) AS v FROM embeddings, {GRID})"
 PICTURES = MASKS + """, pictures AS (SELECT image_id, y, x, (image_id * 37 + x * 9 + y * 5) % 256 AS r, (image_id * 11 + x * 3 + y * 13) % 256 AS g, (image_id * 5 + x * 17 + y * 2) % 256 AS b, v AS a FROM masks)"""
-LOG = """log AS (SELECT event_id % 500 AS image_id, user_id AS stroke_id, event_id AS seq, event_id * 13 % 24 AS x, event_id * 29 % 24 AS y, 1 + event_id % 4 AS radius,
+LOG = """log AS (SELECT event_id // 20 AS image_id, user_id AS stroke_id, event_id AS seq, event_id * 13 % 24 AS x, event_id * 29 % 24 AS y, 1 + event_id % 4 AS radius,
  CASE event_type WHEN 'click' THEN 'restore' WHEN 'view' THEN 'erase' WHEN 'signup' THEN 'erase' WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'reset' END AS tool,
- row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS n FROM events)"""
+ row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS n FROM events)"""
 #: Strokes that no undo or reset took: of each log the settled ones and the twelve that an undo can still take.
 KEPT = LOG + """, stacks AS (SELECT DISTINCT image_id, 0::BIGINT AS n, []::BIGINT[] AS settled, []::BIGINT[] AS held FROM log UNION ALL
  SELECT s.image_id, l.n, CASE WHEN tool = 'reset' THEN [] WHEN tool = 'undo' OR len(held) < 12 THEN settled ELSE list_append(settled, held[1]) END,

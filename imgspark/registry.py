@@ -56,7 +56,7 @@ PIXELS = """pixels AS (SELECT vec_id AS image_id, y, x, CAST((vec_id * 37 + x *
  CASE WHEN vec_id % 11 = 0 AND x < 4 THEN 100 ELSE 255 END AS a,
  CAST(greatest(0, least(255, 128 + 10 * ((3 + vec_id % 6) * (3 + vec_id % 6) - ((x - 6 - vec_id * 7 % 12) * (x - 6 - vec_id * 7 % 12) + (y - 6 - vec_id * 5 % 12) * (y - 6 - vec_id * 5 % 12))))) AS INT) AS mask
  FROM embeddings, (SELECT CAST(range AS INT) AS y FROM range(24)), (SELECT CAST(range AS INT) AS x FROM range(24)))"""
-STROKES = """strokes AS (SELECT event_id % 500 AS image_id, user_id AS stroke_id, event_id AS seq, event_id * 13 % 24 AS x, event_id * 29 % 24 AS y, 1 + event_id % 4 AS radius FROM events)"""
+STROKES = """strokes AS (SELECT event_id // 20 AS image_id, user_id AS stroke_id, event_id AS seq, event_id * 13 % 24 AS x, event_id * 29 % 24 AS y, 1 + event_id % 4 AS radius FROM events)"""
 FRAMES = """frames AS (SELECT vec_id AS image_id, y, x, unnest([0, 1, 2]) AS k, unnest([(vec_id * 257 + x * 1021 + y * 509 + (x + y) % 2 * 9000) % 65536, (vec_id * 131 + x * 613 + y * 2039) % 65536, (vec_id * 71 + x * 4093 + y * 97) % 65536]) AS c
  FROM embeddings, (SELECT CAST(range AS INT) AS y FROM range(24)), (SELECT CAST(range AS INT) AS x FROM range(24)))"""
 DISC = "128 + 10 * ((3 + (vec_id + {s}) % 6) ** 2 - ((x - 6 - (vec_id + {s}) * 7 % 12) ** 2 + (y - 6 - (vec_id + {s}) * 5 % 12) ** 2))"
@@ -149,7 +149,7 @@ def negatives(s, d):
 
 
 def heads(s, d):
-    b = E.stroke_bounds(D.strokes(s, d).withColumn("image_id", F.col("image_id") % 50))
+    b = E.stroke_bounds(D.strokes(s, d))
     return b.select("image_id", F.col("l").alias("min_x"), F.col("r").alias("max_x"), ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).alias("area"), F.col("stroke_id").alias("first_pixel"))
 
 
@@ -326,7 +326,7 @@ TABLE = {
  z AS (SELECT a.image_id, a.mask_idx, area, quality + 2.5::DOUBLE * CASE WHEN n_pos > 0 THEN coalesce(pos, 0) / n_pos ELSE 0 END - 3.5::DOUBLE * CASE WHEN n_neg > 0 THEN coalesce(neg, 0) / n_neg ELSE 0 END - 2.25::DOUBLE * (1 - inside / area) AS score
  FROM a LEFT JOIN g USING (image_id) LEFT JOIN h USING (image_id, mask_idx))
  SELECT image_id, mask_idx, area, CAST(floor(score * 1000 + 0.5) AS BIGINT) AS score_milli FROM z QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, mask_idx) = 1"""),
-    "ownership_bands": (bands, with_(STROKES) + """, h AS (SELECT image_id % 50 AS image_id, min(x - radius) AS min_x, max(x + radius) AS max_x, (max(x + radius) - min(x - radius)) * (max(y + radius) - min(y - radius)) AS area, stroke_id AS first_pixel FROM strokes GROUP BY image_id % 50, stroke_id),
+    "ownership_bands": (bands, with_(STROKES) + """, h AS (SELECT image_id, min(x - radius) AS min_x, max(x + radius) AS max_x, (max(x + radius) - min(x - radius)) * (max(y + radius) - min(y - radius)) AS area, stroke_id AS first_pixel FROM strokes GROUP BY image_id, stroke_id),
  o AS (SELECT image_id, min(min_x) AS body_l, max(max_x) + 1 AS body_r FROM h GROUP BY image_id),
  e AS (SELECT *, (min_x + max_x + 1) / 2 AS center FROM h QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first_pixel) <= 8),
  f AS (SELECT *, center - lag(center) OVER (PARTITION BY image_id ORDER BY min_x, area DESC, first_pixel) AS gap FROM e), g AS (SELECT * FROM f WHERE gap IS NULL OR gap >= 0.035 * 24),

@@ -9,11 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset in local mode (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
