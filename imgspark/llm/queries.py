@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .common import table
+from .conversation_repair import repair_conversations
 from .exact_dedup import exact_dedup
 from .html_wrapper import main_text
 from .line_dedup import line_dedup
@@ -68,4 +69,8 @@ def op10_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_sort(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_bpe, op4_exact_dedup, op5_warc_revisits, op6_line_dedup, op7_main_text, op8_secret_scan, op9_source_mix, op10_shard_sort)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_bpe, op4_exact_dedup, op5_warc_revisits, op6_line_dedup, op7_main_text, op8_secret_scan, op9_source_mix, op10_shard_sort, op11_conversation_repair)}
