@@ -11,6 +11,7 @@ from .conversation_repair import repair_conversations
 from .exact_dedup import exact_dedup
 from .html_wrapper import main_text
 from .line_dedup import line_dedup
+from .periodic_runs import periodic_runs
 from .quality_rules import quality_rules
 from .secret_scan import secret_digests
 from .shard_sort import shard_sort
@@ -73,4 +74,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_bpe, op4_exact_dedup, op5_warc_revisits, op6_line_dedup, op7_main_text, op8_secret_scan, op9_source_mix, op10_shard_sort, op11_conversation_repair)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), repeat=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_bpe, op4_exact_dedup, op5_warc_revisits, op6_line_dedup, op7_main_text, op8_secret_scan, op9_source_mix, op10_shard_sort, op11_conversation_repair, op12_periodic_runs)}
