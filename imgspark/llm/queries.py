@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best_fit_packing import pack
 from .bpe import bpe_digests
 from .common import table
 from .conversation_repair import repair_conversations
@@ -78,4 +79,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), repeat=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_bpe, op4_exact_dedup, op5_warc_revisits, op6_line_dedup, op7_main_text, op8_secret_scan, op9_source_mix, op10_shard_sort, op11_conversation_repair, op12_periodic_runs)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_bpe, op4_exact_dedup, op5_warc_revisits, op6_line_dedup, op7_main_text, op8_secret_scan, op9_source_mix, op10_shard_sort, op11_conversation_repair, op12_periodic_runs, op13_best_fit_packing)}
