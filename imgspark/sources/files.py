@@ -1,16 +1,15 @@
-"""Files: intake in batch and stream, decoding, embedded pictures, ZIP bundles."""
+"""Files: intake in batch and stream, decoding, embedded pictures, single files as a sink."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import manifest as M
+from ..operators.manifest import keep_last_bytes
 from ..operators.rasters import over_rows
+from .byte_files import save
 
 #: MIME types by extension, for files that come without one.
 BY_EXTENSION = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "avif": "image/avif", "bmp": "image/bmp"}
@@ -67,51 +66,13 @@ def best_embedded_jpeg(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
-def zip_bundles(results: DataFrame, prefix: str, date: str, max_bytes: int = 256 << 20) -> DataFrame:
-    """results (job_id, name, seq, content) as archives of about max_bytes each: the last of equal names stays, names are dealt to bundles by hash."""
-    from ..operators.manifest import keep_last_bytes
-
-    last = keep_last_bytes(results, "job_id", "name", "seq")
-    sizes = last.groupBy("job_id").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("content")) / max_bytes)).alias("bundles"))
-    dealt = last.join(sizes, "job_id").withColumn("bundle", F.pmod(F.xxhash64("name"), F.col("bundles")).cast("long"))
-
-    def pack(key: tuple, rows):
-        import pandas as pd
-
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for r in rows.sort_values("seq").itertuples():
-                z.writestr(zipfile.ZipInfo(r.name), bytes(r.content), zipfile.ZIP_DEFLATED)
-        return pd.DataFrame([{"job_id": key[0], "bundle": key[1], "archive": f"{prefix}-export-{date}-{key[1]:05d}.zip", "content": out.getvalue()}])
-
-    return dealt.groupBy("job_id", "bundle").applyInPandas(pack, "job_id long, bundle long, archive string, content binary")
-
-
-def write_files(results: DataFrame, directory: str) -> DataFrame:
+def write_files(results: DataFrame, directory: str, mode: str = "append") -> DataFrame:
     """Every result (image_id, job_id, name, seq, content) as a file of its own under directory/job_id, the last of equal names.
 
-    directory lies on a file system that every executor mounts. A file is written beside its place and then moved into it, so
-    a task that runs twice leaves one whole file. Returns image_id, path, bytes and error, and writes when it is evaluated."""
-    from ..operators.manifest import keep_last_bytes
-
-    def make(r: dict) -> list[dict]:
-        import os
-        import uuid
-
-        folder = os.path.join(directory, str(r["job_id"]))
-        name = (r["name"] or "").replace("/", "_").replace("\\", "_")
-        path = os.path.join(folder, name)
-        try:
-            if name in ("", ".", ".."):
-                raise ValueError("no file name")
-            os.makedirs(folder, exist_ok=True)
-            beside = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(beside, "wb") as f:
-                f.write(r["content"] or b"")
-            os.replace(beside, path)
-            return [{"image_id": r["image_id"], "path": path, "bytes": len(r["content"] or b""), "error": None}]
-        except (OSError, ValueError) as e:
-            return [{"image_id": r["image_id"], "path": None, "bytes": None, "error": str(e)}]
-
-    kept = keep_last_bytes(results, "job_id", "name", "seq").select("image_id", "job_id", "name", "content")
-    return over_rows(kept, "image_id long, path string, bytes long, error string", make)
+    All files appear when the job is done, or none (byte_files). Separators in a name become underscores. Returns image_id and error
+    of the results that have no job or a name that no file can have; these are not written."""
+    name = F.regexp_replace("name", r"[/\\]", "_")
+    bad = F.col("job_id").isNull() | F.col("name").isNull() | name.isin("", ".", "..")
+    kept = keep_last_bytes(results.filter(~bad).withColumn("name", name), "job_id", "name", "seq")
+    save(kept.select(F.concat_ws("/", F.col("job_id").cast("string"), "name").alias("path"), "content"), directory, mode)
+    return results.filter(bad).select("image_id", F.lit("no file name").alias("error"))

@@ -1,8 +1,6 @@
 """Kernels against slow loops, files through Spark's own readers, streams against their batch twins."""
 
-import io
 import struct
-import zipfile
 import zlib
 from datetime import timedelta
 
@@ -178,18 +176,6 @@ def test_embedded_jpegs(spark):
     assert best == {"two": (11 + len(small), 640, 480, large), "tie": (len(same), 640, 480, large), "twins": (0, 4, 3, small)}
 
 
-def test_zip_bundles(spark):
-    rows = [(1, "a.png", 1, b"first"), (1, "a.png", 5, b"last"), (1, "b.png", 2, b"b" * 100), (2, "a.png", 3, b"other")]
-    df = spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], "job_id long, name string, seq long, content binary")
-    for most in (1 << 20, 40):
-        got = {}
-        for r in files.zip_bundles(df, "pics", "2026-01-02", most).collect():
-            assert r.archive.startswith("pics-export-2026-01-02-")
-            with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z:
-                got |= {(r.job_id, n): z.read(n) for n in z.namelist()}
-        assert got == {(1, "a.png"): b"last", (1, "b.png"): b"b" * 100, (2, "a.png"): b"other"}
-
-
 def test_effective_edits_by_plain_fold(spark, sf_dir):
     log = derived.strokes(spark, sf_dir).withColumn("image_id", F.col("image_id") % 7)
     logs = {}
