@@ -15,6 +15,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join, whole
 
 BLOCK = 1 << 15
 
@@ -45,15 +46,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, with_sha: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with_sha adds the text's SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            sha = [pa.array([hashlib.sha256((t.as_py() or "").encode()).hexdigest() for t in b.column(1)], pa.string())] if with_sha else []
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *sha], names)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", "fp", "sha"] if with_sha else ["doc_id", "fp"]
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long" + ", sha string" * with_sha)
 
 
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -95,18 +98,39 @@ def components(edges: DataFrame) -> DataFrame:
         known = seen
 
 
-def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """doc_id, fp and component_id for every row of docs."""
-    prints = cut(fingerprints(docs, doc_id, text, shingle))
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
+def classes(prints: DataFrame, max_bits: int = 3) -> DataFrame:
+    """fp, n (rows that have it), id (their smallest doc_id) and component_id for every fingerprint of prints (doc_id, fp)."""
+    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     # fingerprints are the nodes, so that one without any doc_id links its neighbours; min() passes over nulls
     roots = cut(components(links(fps.select(F.col("fp").alias("id"), "fp"), max_bits)).withColumnRenamed("id", "fp"))
     low = fps.join(roots, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
-    owner = fps.join(roots.join(low, "root"), "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
+    owner = fps.join(roots.join(low, "root"), "fp", "left")
+    return cut(owner.select("fp", "n", "id", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id")))
+
+
+def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """doc_id, fp and component_id for every row of docs."""
+    prints = cut(fingerprints(docs, doc_id, text, shingle))
+    return hot_join(prints, classes(prints, max_bits).select("fp", "n", "component_id"), "fp", "n", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their class; rows without doc_id stay."""
-    gone = simhash_dedup(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """One row of each class stays: that of the smallest doc_id (none comes last), then fingerprint, then digest of the text.
+
+    Rows are told apart by doc_id and text, so a doc_id that repeats with an unrelated text loses nothing, and near copies
+    under one doc_id are one class like any others; of rows that repeat in both one stays. All columns are handed on."""
+    sha = F.sha2(whole(F.col(text).cast("string")).cast("binary"), 256)
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), sha.alias("sha"))
+    prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), with_sha=True)
+    rows = cut(prints.groupBy("doc_id", "fp", "sha").agg(F.count(F.lit(1)).alias("copies")))
+    known = classes(rows.select("doc_id", "fp")).select("fp", "n", "root")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", "sha")
+    rows = cut(hot_join(rows, known, "fp", "n", F.col("sha")).drop("n").withColumn("one", one))
+    first = cut(rows.groupBy("root").agg(F.min("one").alias("first"), F.count(F.lit(1)).alias("n")))
+    met = hot_join(rows, first, "root", "n", F.col("sha"))
+    odd = met.filter("one != first or copies > 1").select(F.struct("one.none", "one.id", "one.sha").alias("_key"), (F.col("one") == F.col("first")).alias("_stays"))
+    odd = cut(odd)
+    marked = docs.select(F.struct("*").alias("row"), key.alias("_key"))
+    single = marked.join(odd.select("_key"), "_key", "left_anti").select("row.*")
+    repeated = marked.join(odd.filter("_stays").select("_key"), "_key", "left_semi").groupBy("_key").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(repeated)

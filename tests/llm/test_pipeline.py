@@ -72,3 +72,56 @@ def test_stages_and_run(spark, sf_dir):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     longest = max(len(by[i].text.split()) for i in third)
     assert max(times.values()) <= 2 and all(abs(got[s] - t) <= 2 * longest for s, t in plain_targets(sizes).items())
+
+
+LONG = " ".join(f"Line{k} speaks{k} of river{k * 7} that nobody{k} had counted{k}." for k in range(24))
+OTHER = " ".join(f"Another{k} page tells{k} how roof{k * 5} was mended{k} in spring{k}." for k in range(24))
+HUGE = " ".join(f"Word{k} follows word{k * 7 % 5000} in this very long text." for k in range(9000))
+ODD = [(3, LONG), (7, LONG), (7, OTHER), (7, OTHER), (None, OTHER), (None, LONG), (None, None), (4, None), (5, ""), (5, " \n"), (8, HUGE), (8, LONG + " End."), (9, "short text."), (9, HUGE + "\nhome | menu | login | search")]
+CLASHES = "kept n_lines carried row fp root component_id keep_id n size taken source_size target copies one first text_sha256 _key _id _sha _u words".split()
+
+
+def odd_docs(spark, rows=ODD):
+    docs = spark.createDataFrame([(i, t, None if k % 3 == 0 else "wiki", f"en{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, lang string, n_chars long")
+    return docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("lang")) for c in CLASHES}).repartition(3)
+
+
+def own(r):
+    """A row by what no stage may touch."""
+    return (r.doc_id, r.lang, r.source, *(r[c] for c in CLASHES))
+
+
+def test_every_stage_hands_on_clashing_columns_and_odd_rows(spark, sf_dir):
+    docs = odd_docs(spark)
+    given = {own(r): r.text for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and {own(r) for r in got} <= set(given), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        if name == "quality":
+            want = {k: x for k, t in given.items() if (x := plain_clean(t or "")) is not None}
+            assert {own(r): r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+        if name == "exact":
+            best = {}
+            for i, t in ODD:
+                best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+            assert sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in got) == sorted(best.items())
+    encoded = P.encode(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or -1, r.lang) for r in encoded) == sorted((k[0] or -1, k[1]) for k in given)
+
+
+def test_near_keeps_one_row_of_each_class_whatever_the_ids(spark, sf_dir):
+    rows = [*ODD, (1, OTHER.replace("Another", "another")), (2, LONG), (2, LONG), (2, HUGE.upper())]
+    got = P.near(spark, odd_docs(spark, rows), sf_dir).collect()
+    classes = plain_components([(k, plain_fp(t or "")) for k, (_, t) in enumerate(rows)])
+    best = {}
+    for i, t in rows:
+        key = classes[plain_fp(t or "")]
+        mine = (i is None, i or 0, 0)
+        if key not in best or mine < best[key]:
+            best[key] = mine
+    assert sorted((classes[plain_fp(r.text or "")], (r.doc_id is None, r.doc_id or 0, 0)) for r in got) == sorted(best.items())
+    assert {r.doc_id for r in P.near(spark, odd_docs(spark, [(3, LONG), (7, LONG), (7, OTHER)]), sf_dir).collect()} == {3, 7}
+    assert P.near(spark, odd_docs(spark, [(7, LONG), (7, LONG + " x")]), sf_dir).count() == 1
