@@ -18,12 +18,13 @@ result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack as pack_ids
 from unicodedata import normalize
 
 import numpy as np
@@ -37,7 +38,7 @@ from .common import cut
 MAX_TOKENS = 4096
 END_ID = 1
 #: Words whose ids a worker remembers, and texts that are tokenised at a time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 TEXTS = 256
 #: The knapsack's steps, classes of lengths, rounds of the weights, and how fast these move.
 STEPS = 512
@@ -46,6 +47,11 @@ ROUNDS = 1000
 RATE = 0.02
 #: Pieces up to these shares of max_tokens are left to best fit.
 SHORT = (1 / 64, 1 / 8, 1 / 4, 1 / 2)
+#: A word between words that are tokenised together, and how many those are.
+BETWEEN = b"\x01"
+ASKED = 2048
+#: Lower-case letters that no normalisation changes and that form one piece, whatever stands beside them.
+LATIN = re.compile("[a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĺļľłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+")
 #: Marks that end many words. They are tokens of their own behind a letter.
 MARKS = b'.,!?;:"#%*)]'
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -65,37 +71,82 @@ def _tokenizer(path: str):
     return t
 
 
+def _byte_letters() -> tuple[list[str], list[int]]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, others follow from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) for b in shown] + [chr(256 + k) for k in range(len(hidden))], shown + hidden
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes. ASCII white space ends every token, so words are tokenised one by one, once."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = _tokenizer(path), {}
+        self.letters = {b: c for c, b in zip(*_byte_letters(), strict=True)}
+        (self.between,) = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = {w: self.parts(w) for words in split for w in words if w not in self.known}
-        self.ask([x for x in dict.fromkeys(x for parts in new.values() for x in parts) if x not in self.known])
-        for w, parts in new.items():
-            if len(parts) > 1 or w not in self.known:
-                self.known[w] = b"".join(map(self.known.__getitem__, parts))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        self.learn({w for words, got in zip(split, found, strict=True) if None in got for w, x in zip(words, got, strict=True) if x is None})
+        known = self.known
+        return [b"".join([known[w] if x is None else x for w, x in zip(words, got, strict=True)] if None in got else got) for words, got in zip(split, found, strict=True)]
+
+    def learn(self, words: set[bytes]) -> None:
+        known, joined, new = self.known, [], set()
+        for w in words:
+            parts = self.parts(w)
+            new.update(parts)
+            if parts[0] is not w:
+                joined.append((w, parts))
+        self.ask([w for w in new if w not in known])
+        for w, parts in joined:
+            known[w] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, ...]:
         """The word, or letters in lower case and the marks behind them, which are tokenised alike alone and together."""
         bare = word.rstrip(MARKS)
         letters = bare.lower()  # of ASCII letters
+        if letters == word:
+            return (word,)
         if not (bare.isalpha() or normalize("NFC", bare.decode()).lower().isalpha()):  # a letter may normalise to one with a mark
             return (word,)
         return (letters,) if len(bare) == len(word) else (letters, word[len(bare) :])
 
     def ask(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = pack_ids(f"<{len(ids := e.ids)}I", *ids)
+        """Words of Latin letters go to the merges as they are, without the library's own normalising and splitting."""
+        other = []
+        known, merge = self.known, self.tokenizer.model.tokenize
+        for w in words:
+            letters = w.decode()
+            if w.islower() and w.isalpha():
+                known[w] = array("I", [t.id for t in merge(letters)]).tobytes()
+            elif LATIN.fullmatch(letters := letters.lower()):
+                known[w] = array("I", [t.id for t in merge(letters.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            else:
+                other.append(w)
+        self.ask_whole(other)
+
+    def ask_whole(self, words: list[bytes]) -> None:
+        """Many words as one text, with a word of one token between them that none of them has."""
+        plain = [w for w in words if BETWEEN not in w]
+        for i in range(0, len(plain), ASKED):
+            some = plain[i : i + ASKED]
+            (e,) = self.tokenizer.encode_batch_fast([(b" " + BETWEEN + b" ").join(some).decode()], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer joins words")
+            whole = ids.tobytes()
+            for w, a, b in zip(some, [0, *(x + 1 for x in ends)], [*ends, ids.size], strict=True):
+                self.known[w] = whole[4 * a : 4 * b]
+        for w in words:
+            if BETWEEN in w:
+                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(2)

@@ -48,7 +48,7 @@ def test_given_documents(spark):
 
 @pytest.mark.parametrize("max_tokens", [1, 7, 64])
 def test_odd_texts(spark, max_tokens):
-    odd = [None, "", " \n", "É" * 50, "été É", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>.", "It's he'll 'S x'", "word...###", "naïve”. ß% ǅ* İ, Σας ς.", "\x1c\x1d a\x85b  c d", "1234.", "１２.", "x" * 4000, "à. ̀.", "日本語。テスト!", "😀😀 %%", "ﬁn! 'TIS", "\x0bq\x0cw", "क़, x\u0958. ỳ\u0344!"]
+    odd = [None, "", " \n", "É" * 50, "été É", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>.", "It's he'll 'S x'", "word...###", "naïve”. ß% ǅ* İ, Σας ς.", "\x1c\x1d a\x85b  c d", "1234.", "１２.", "x" * 4000, "à. ̀.", "日本語。テスト!", "😀😀 %%", "ﬁn! 'TIS", "\x0bq\x0cw", "\x01 a\x01b \x01\x01 x", "क़, x\u0958. ỳ\u0344!"]
     docs = [(i, t) for i, t in enumerate(odd)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", B.F.lit("mine")).repartition(3)
     check(B.pack(frame, WORDS, max_tokens=max_tokens).collect(), docs, max_tokens)
@@ -63,6 +63,8 @@ def test_repeated_rows_and_no_rows(spark):
 
 def test_words_and_marks_alone_are_tokenised_like_the_text():
     r = random.Random(7)
+    every = "".join(map(chr, range(0xC0, 0x180)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in B.Encoder(WORDS).encode([*every, *(f"a{c}b, {c}{c}" for c in every)])] == [x[:-1] for x in of_library([*every, *(f"a{c}b, {c}{c}" for c in every)])]
     letters = "abcXYZéßİçΣ\u0958"
     texts = ["".join(r.choice([*letters, *letters, *" \n.,!?;:\"#%*)]'’“0123"]) for _ in range(300)) for _ in range(300)]
     encoder = B.Encoder(WORDS)
