@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels as K
 from ..functions import manifest as M
 from ..operators.manifest import keep_last_bytes
+from ..operators.pictures import embedded_pictures
 from ..operators.rasters import over_rows
 from .byte_files import save
+from .byte_ranges import RANGE_BYTES, ranges_of
 
 #: MIME types by extension, for files that come without one.
 BY_EXTENSION = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "avif": "image/avif", "bmp": "image/bmp"}
@@ -55,9 +56,10 @@ def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return rasters, bad.select("path", F.lit("not a picture").alias("error"))
 
 
-def jpeg_candidates(files: DataFrame) -> DataFrame:
-    """Every picture embedded in files (path, content)."""
-    return over_rows(files.select("path", "content"), "path string, start long, end long, width long, height long", lambda r: [dict(zip(("path", "start", "end", "width", "height"), (r["path"], *c), strict=True)) for c in K.embedded_jpegs(r["content"] or b"")])
+def jpeg_candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every picture embedded in files (path, content): path, start, end, width, height. Files that are too large for a row come by
+    read_ranges() straight to embedded_pictures()."""
+    return embedded_pictures(ranges_of(files, range_bytes), range_bytes)
 
 
 def best_embedded_jpeg(candidates: DataFrame) -> DataFrame:
