@@ -19,6 +19,11 @@ def batch_progress(queue: DataFrame, events: DataFrame, elapsed: int) -> DataFra
     p = F.when(ended, 100).otherwise(F.coalesce("progress_pct", F.lit(0)))
     items = queue.select("job_id", "image_id").join(latest(events), ["job_id", "image_id"], "left")
     jobs = items.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(ended).alias("finished"), F.sum(p).alias("points"))
+    return job_rows(jobs, elapsed)
+
+
+def job_rows(jobs: DataFrame, elapsed: int | Column) -> DataFrame:
+    """The rows of batch_progress() from job_id, total, finished and points (100 a finished item)."""
     mean = F.col("points") / (F.col("total") * 100)
     return jobs.select(
         "job_id", "total", "finished", F.least(F.lit(99), half_up(mean * 100)).cast("long").alias("percent"),

@@ -13,7 +13,7 @@ from imgspark.operators import edits, progress, rasters
 from imgspark.operators import manifest as O
 from imgspark.plans.convert import convert_all, predict_masks, process_images
 from imgspark.sources import derived, files
-from imgspark.streaming.progress import live_progress, stream_latest, stream_stalled, stream_timers
+from imgspark.streaming.progress import stream_latest, stream_stalled, stream_timers
 
 RNG = np.random.default_rng(4)
 MASKS = [RNG.random((h, w)) < p for h, w in ((1, 1), (1, 9), (9, 1), (7, 13), (40, 31)) for p in (0.2, 0.5, 0.8)] + [np.zeros((5, 5), bool), np.ones((6, 4), bool), np.indices((8, 8)).sum(0) % 2 == 0]
@@ -286,20 +286,6 @@ def test_timers_as_a_stream(spark, sf_dir, tmp_path, limit):
     assert got == sorted(reports) and {r[2] for r in got} == {"time limit" if limit else "silent"}
 
 
-def test_live_progress_equals_batch(spark, sf_dir, tmp_path):
-    events, queue = derived.progress_events(spark, sf_dir), derived.manifest(spark, sf_dir)
-    events.orderBy(F.rand(4)).repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    first, last = events.agg(F.min("ts"), F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()
-    at = str(tmp_path / "state")
-    q = stream.writeStream.foreachBatch(live_progress(queue, at, str(first))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    elapsed = last - spark.sql(f"select unix_timestamp(timestamp '{first}')").first()[0]
-    want = progress.batch_progress(queue, events, elapsed)
-    assert sorted(map(tuple, spark.read.parquet(f"{at}/jobs/3").collect())) == sorted(map(tuple, want.collect()))
-    assert not (tmp_path / "state/latest/1").exists() and (tmp_path / "state/latest/3").exists()
-
-
 def test_conversion_job(spark, sf_dir):
     d = derived.masks(spark, sf_dir)
     planned = O.plan(O.accepted(derived.manifest(spark, sf_dir)), derived.options(spark)).withColumns({"out_w": F.lit(5).cast("long"), "out_h": F.lit(4).cast("long")})
