@@ -8,8 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.manifest import half_up
+from ..sources.shared import shared_dir
 
 
 def stroke_bounds(points: DataFrame) -> DataFrame:
@@ -32,38 +35,112 @@ def expand_strokes(points: DataFrame) -> DataFrame:
 def effective_edits(log: DataFrame, limit: int = 12) -> DataFrame:
     """The strokes that are still there: undo takes the newest of the last `limit`, reset clears.
 
-    Rows up to an image's last reset go by an aggregate and a join. The others stream in order through a stack of the strokes that can
-    still be undone; a stroke that is deeper is settled. A task holds one batch and `limit` strokes, however long a log is."""
+    Rows up to an image's last reset go by an aggregate and a join. The others are dealt by ranges of (image, seq), so that one image's
+    log lies in many tasks. A range says, for each number of strokes that could be undone when it begins, how many of these its
+    undos take and how many can still be undone behind it; it keeps the last `limit` strokes of its own aside and knows all
+    earlier ones as settled. These summaries pass in order, a row for each range, and tell how many of the strokes that a
+    range has set aside were undone in later ones. Rows without image or seq are left out; equal rows count each."""
     at = F.struct(F.col("seq").alias("seq"), F.col("tool").alias("tool"))
     last = log.filter("tool = 'reset'").groupBy("image_id").agg(F.max(at).alias("_last"))
-    rows = log.filter("image_id is not null").join(last, "image_id", "left").filter(F.col("_last").isNull() | (at > F.col("_last")))
+    rows = log.filter("image_id is not null and seq is not null").join(last, "image_id", "left").filter(F.col("_last").isNull() | (at > F.col("_last")))
+    shared_dir(log.sparkSession)
+    laid = rows.select("image_id", "seq", "tool", F.struct(*log.columns).alias("row"), F.monotonically_increasing_id().alias("_own"))
+    laid = laid.repartitionByRange("image_id", "seq", "tool", "_own").sortWithinPartitions("image_id", "seq", "tool", "_own").withColumn("part", F.spark_partition_id())
+    parts = laid.mapInArrow(_summaries(limit, laid.schema), _summary_schema(laid.schema)).checkpoint()
+    sums = parts.filter("kind = 'sum'").select("image_id", "part", "taken", "left", "held").repartition("image_id").sortWithinPartitions("image_id", "part")
+    undone = sums.mapInArrow(_undone, "image_id long, part int, undone int")
+    held = parts.filter("kind = 'held'").join(undone, ["image_id", "part"]).filter("depth >= undone")
+    return parts.filter("kind = 'settled'").select("row.*").unionByName(held.select("row.*"))
+
+
+def _summary_schema(laid: T.StructType) -> T.StructType:
+    ints = T.ArrayType(T.IntegerType())
+    return T.StructType([T.StructField("image_id", laid["image_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("taken", ints), T.StructField("left", ints), T.StructField("held", T.IntegerType()), T.StructField("row", laid["row"].dataType)])
+
+
+def _summaries(limit: int, laid: T.StructType):
+    """For each image of a range its settled rows, its last strokes with their depth, and taken and left by strokes before."""
+    schema = to_arrow_schema(_summary_schema(laid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        image, held = None, None  # held: rows of the strokes that can be undone
+        image, part, own, taken, left = None, None, deque(), [], []
+
+        def out(kind: str, rows: list, depths: list | None = None) -> pa.RecordBatch:
+            n = 1 if kind == "sum" else len(rows)
+            here = lambda x: [x if kind == "sum" else None] * n
+            cells = [[image] * n, [part] * n, [kind] * n, depths or [None] * n, here(taken), here(left), here(len(own))]
+            rows = pa.nulls(1, schema.field("row").type) if kind == "sum" else pa.concat_arrays(rows).cast(schema.field("row").type)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cells, schema, strict=False)), rows], schema=schema)
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if own:
+                yield out("held", list(own), list(range(len(own) - 1, -1, -1)))
+            yield out("sum", [])
+
         for b in batches:
-            n = held.num_rows if held is not None else 0
-            rows = pa.Table.from_batches([held, b] if n else [b]).combine_chunks().to_batches()[0] if b.num_rows else held
-            stack, settled = deque(range(n)), []
-            for i, (own, tool) in enumerate(zip(b.column("image_id").to_pylist(), b.column("tool").to_pylist(), strict=True), n):
-                if own != image:
-                    settled += stack
-                    stack.clear()
-                    image = own
-                if tool == "undo":
-                    if stack:
-                        stack.pop()
-                    continue
-                stack.append(i)
-                if len(stack) > limit:
-                    settled.append(stack.popleft())
-            if rows is not None:
-                yield rows.take(pa.array(settled, pa.int64()))
-                held = rows.take(pa.array(stack, pa.int64()))
-        if held is not None:
-            yield held
-
-    line = rows.select(log.columns).repartition("image_id").sortWithinPartitions("image_id", "seq", "tool")
-    return line.mapInArrow(run, log.schema).filter("seq is not null")
+            rows, settled = b.column("row"), []
+            for i, (of, tool, p) in enumerate(zip(*(b.column(c).to_pylist() for c in ("image_id", "tool", "part")), strict=True)):
+                if of != image or part is None:
+                    if settled:
+                        yield out("settled", settled)
+                        settled = []
+                    if part is not None:
+                        yield from end()
+                    image, part, own, taken, left = of, p, deque(), [0] * (limit + 1), list(range(limit + 1))
+                if tool != "undo":
+                    own.append(rows.slice(i, 1))
+                    if len(own) > limit:
+                        settled.append(own.popleft())
+                    room = limit - len(own)
+                    if left[-1] > room:
+                        left = [min(x, room) for x in left]
+                elif own:
+                    own.pop()
+                else:
+                    taken = [t + (x > 0) for t, x in zip(taken, left, strict=True)]
+                    left = [max(0, x - 1) for x in left]
+            if settled:
+                yield out("settled", settled)
+        if part is not None:
+            yield from end()
+
+    return run
+
+
+def _undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the strokes that each range has set aside later ranges undo; a stack of counts, `limit` strokes in all."""
+    image, stack = None, deque()  # [part, strokes that can still be undone, undone]
+
+    for b in batches:
+        gone: list[tuple] = []
+        for of, part, taken, left, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if of != image:
+                gone += [(image, p, n) for p, _, n in stack]
+                image, stack = of, deque()
+            before = sum(n for _, n, _ in stack)
+            pops, stays = taken[before], left[before]
+            while pops:
+                top = stack[-1]
+                took = min(pops, top[1])
+                top[1], top[2], pops = top[1] - took, top[2] + took, pops - took
+                if not top[1]:
+                    gone.append((image, top[0], stack.pop()[2]))
+            settled = sum(n for _, n, _ in stack) - stays
+            while settled:
+                took = min(settled, stack[0][1])
+                stack[0][1], settled = stack[0][1] - took, settled - took
+                if not stack[0][1]:
+                    p, _, n = stack.popleft()
+                    gone.append((image, p, n))
+            if held:
+                stack.append([part, held, 0])
+        yield _counts(gone)
+    yield _counts([(image, p, n) for p, _, n in stack])
+
+
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["image_id", "part", "undone"])
 
 
 def sample_prompts(points: DataFrame, positive: int = 14, negative: int = 6) -> DataFrame:

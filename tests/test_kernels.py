@@ -198,6 +198,35 @@ def test_effective_edits_by_plain_fold(spark, sf_dir):
     assert {(r.image_id, r.seq) for r in edits.effective_edits(log).collect()} == want
 
 
+@pytest.mark.parametrize("limit", [12, 3, 0])
+def test_one_log_split_over_many_tasks(spark, limit):
+    """Undos that reach through several ranges, in a log of one image that lies in thirteen of them."""
+    for k, v in (("spark.sql.shuffle.partitions", "13"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(k, v)
+    try:
+        for seed, undos in ((1, 0.45), (2, 0.55), (3, 0.2)):
+            r = np.random.default_rng(seed)
+            tools, run = [], 0
+            for _ in range(400):
+                run = run - 1 if run else int(r.integers(1, 30)) if r.random() < 0.1 else 0
+                tools.append("undo" if run or r.random() < undos else "erase" if r.random() < 0.9 else None)
+            log = [(1, k, t) for k, t in enumerate(tools)] + [(2, 5, "undo"), (2, 6, "erase"), (3, 1, "erase"), (3, 2, "reset"), (None, 1, "erase")]
+            stack, left = [], 0
+            for k, t in enumerate(tools):
+                if t != "undo":
+                    stack.append(k)
+                    left = min(limit, left + 1)
+                elif left:
+                    stack.pop()
+                    left -= 1
+            got = edits.effective_edits(spark.createDataFrame(log, "image_id long, seq long, tool string"), limit)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, k, tools[k]) for k in stack] + [(2, 6, "erase")], key=str)
+            assert got.columns == ["image_id", "seq", "tool"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_long_edit_logs_are_not_gathered_in_a_row(spark):
     tool = F.expr("case when id = 500 then 'reset' when id % 30000 >= 29980 then 'undo' else 'erase' end")
     log = spark.range(60000).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("seq"), tool.alias("tool")).repartition(5)
