@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from . import file_queries, raster_sql, stream_queries
+from . import box_queries, file_queries, raster_sql, stream_queries
 from .functions import kernels as K
 from .functions import manifest as M
 from .operators import crops as Q
@@ -386,7 +386,7 @@ for _name, _sql in raster_sql.SQL.items():
 TABLE["tiled_sharpening"] = TABLE["tiled_sharpening"][0], TABLE["sharpened_frames"][1]
 TABLE["tiled_components"] = TABLE["tiled_components"][0], TABLE["mask_components"][1]
 
-TABLE |= file_queries.TABLE | stream_queries.table(MANIFEST, EVENTS)
+TABLE |= box_queries.TABLE | file_queries.TABLE | stream_queries.table(MANIFEST, EVENTS)
 
 QUERIES = {name: q for name, (q, _) in TABLE.items()}
 ORACLE = {name: sql for name, (_, sql) in TABLE.items() if sql}
