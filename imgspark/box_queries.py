@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import boxes as X
+from .operators import scan as S
 from .operators import tiles as Z
 from .raster_sql import MASKS
 from .sources import derived as D
@@ -28,6 +29,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"r": F.col("l") + side, "b": F.col("t") + side})
 
 
+def balanced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of eight parts of equal weight in pixels each picture of the manifest goes to, and the parts' weights."""
+    rows = D.manifest(spark, sf_dir).select("image_id", (F.col("width").cast("long") * F.col("height")).alias("pixels"))
+    return S.with_parts(rows, "pixels", ["image_id"], 8).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("pixels").alias("pixels"), F.min("image_id").alias("first"), F.max("image_id").alias("last"))
+
+
 BOXES = """boxes AS (SELECT *, l + (image_id + box * 4) % 13 AS r, t + 1 + (image_id * 5 + box) % 17 AS b FROM (SELECT vec_id AS image_id, box, (vec_id * 3 + box * 5) % 23 - 1 AS l, (vec_id * 7 + box * 3) % 22 AS t FROM embeddings, (SELECT range AS box FROM range(6))))"""
 CANDIDATES = """cands AS (SELECT *, l + 30 + (image_id + cand) % 40 AS r, t + 30 + (image_id + cand) % 40 AS b FROM (SELECT vec_id AS image_id, cand, (vec_id * 31 + cand * cand * 17) % 50 AS score, (vec_id * 13 + cand * 37) % 211 AS l, (vec_id * 17 + cand * 53) % 197 AS t FROM embeddings, (SELECT range AS cand FROM range(40))))"""
 
@@ -40,4 +47,8 @@ TABLE = {
  3 * ((k[4] - k[2]) * (k[5] - k[3]) + (r - l) * (b - t) - greatest(0, least(k[4], r) - greatest(k[2], l)) * greatest(0, least(k[5], b) - greatest(k[3], t))))) > 0 THEN kept ELSE list_append(kept, [cand, l, t, r, b]) END FROM g JOIN c ON c.image_id = g.image_id AND c.n = g.n + 1),
  f AS (SELECT image_id, arg_max(kept, n) AS kept FROM g GROUP BY image_id), u AS (SELECT image_id, unnest(range(1, len(kept) + 1)) AS place, kept FROM f)
  SELECT u.image_id, cand, score, l, t, r, b, CAST(place AS INT) AS place FROM u JOIN cands c ON c.image_id = u.image_id AND c.cand = kept[place][1] WHERE place <= 2 + u.image_id % 3"""),
+    "balanced_parts": (balanced_parts, """WITH m AS (SELECT doc_id AS image_id, CAST((16 + doc_id * 37 % 6000) * (16 + doc_id * 53 % 4000) AS BIGINT) AS pixels FROM documents),
+ s AS (SELECT *, coalesce(sum(pixels) OVER (ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(pixels) OVER () AS total FROM m),
+ p AS (SELECT *, CAST(least(7, (2 * before + pixels) * 8 // (2 * total)) AS INT) AS part FROM s)
+ SELECT part, count(*) AS n, CAST(sum(pixels) AS BIGINT) AS pixels, min(image_id) AS first, max(image_id) AS last FROM p GROUP BY part"""),
 }

@@ -26,3 +26,22 @@ def prefix_sums(rows: DataFrame, group: str, order: list[str], sums: dict[str, s
     met = near.join(totals, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
     return met.select(*rows.columns, *[(F.col(f"_near_{new}") + F.col(f"_{new}")).alias(new) for new in sums])
 
+
+
+def with_parts(rows: DataFrame, weight: str, order: list[str], parts: int) -> DataFrame:
+    """rows with `part`, 0 to parts - 1: neighbours by order go together, and every part weighs about the same.
+
+    A row belongs to the part in which the middle of its share of the running weight lies; so no part is heavier than the mean and
+    one row more. Rows without a weight, or with less than 1, count as 1. `order` has to tell rows apart."""
+    w = F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(1)), F.lit(1))
+    summed = prefix_sums(rows.withColumns({"_all": F.lit(0), "_w": w}), "_all", order, {"_before": "_w"})
+    total = rows.agg(F.sum(w)).first()[0] or 1
+    middle = 2 * F.col("_before") + F.col("_w")
+    part = F.least(F.floor(middle * parts / (2 * total)), F.lit(parts - 1)).cast("int")
+    return summed.select(*rows.columns, part.alias("part"))
+
+
+def balanced(rows: DataFrame, weight: str, order: list[str], parts: int) -> DataFrame:
+    """rows in `parts` partitions of about the same weight: a manifest before its files are read, so that a task gets many
+    small pictures or few large ones. Nothing but the manifest moves."""
+    return with_parts(rows, weight, order, parts).repartitionById(parts, "part").drop("part")

@@ -225,8 +225,9 @@ def embedded(s, d):
 
 def converted(s, d):
     plan, files = planned(s, d), D.manifest(s, d).filter("image_id % 11 <> 0").select("image_id", F.col("name").cast("binary").alias("content"))
-    done = C.convert_all(plan, D.pictures(s, d), files, lambda rgba, mime, quality: (mime.encode(), mime))
-    return done.select("image_id", "name", "status", F.when(F.col("status") == "done", F.col("output_size") > 0).alias("filled"))
+    done = C.convert_all(plan, D.pictures(s, d), files, lambda rgba, mime, quality: (f"{mime}:{rgba.shape[1]}x{rgba.shape[0]}".encode(), mime))
+    png = F.substring("content", 2, 3) == F.lit("PNG").cast("binary")  # made by zlib, which SQL has not
+    return done.select("image_id", "name", "status", F.when(~png, F.sha2("content", 256)).alias("content_sha256"), F.when(png, True).alias("png"))
 
 
 def written(s, d):
@@ -372,8 +373,9 @@ TABLE = {
  q AS (SELECT *, a > b OR a = b AND wa * ha >= wb * hb AS one FROM p)
  SELECT page_id, CASE WHEN one THEN n ELSE n + a END AS start_at, CASE WHEN one THEN n + a ELSE n + a + b END AS end_at, CASE WHEN one THEN wa ELSE wb END AS width, CASE WHEN one THEN ha ELSE hb END AS height FROM q"""),
     "converted_files": (converted, "WITH " + PLAN + """, e AS (SELECT p.*, v.vec_id IS NOT NULL AS pixels FROM plan p LEFT JOIN embeddings v ON v.vec_id = p.image_id),
- z AS (SELECT image_id, out_name AS name, CASE WHEN route = 'pass-through' THEN image_id % 11 <> 0 WHEN route = 'remove-background' THEN FALSE ELSE pixels END AS good FROM e)
- SELECT image_id, name, CASE WHEN good THEN 'done' ELSE 'error' END AS status, CASE WHEN good THEN TRUE END AS filled FROM z"""),
+ z AS (SELECT *, CASE WHEN route = 'pass-through' THEN image_id % 11 <> 0 WHEN route = 'remove-background' THEN FALSE ELSE pixels END AS good FROM e)
+ SELECT image_id, out_name AS name, CASE WHEN good THEN 'done' ELSE 'error' END AS status,
+ CASE WHEN NOT good OR route = 'raw-16' THEN NULL WHEN route = 'pass-through' THEN sha256(name) ELSE sha256(out_mime || ':' || out_w || 'x' || out_h) END AS content_sha256, CASE WHEN good AND route = 'raw-16' THEN TRUE END AS png FROM z"""),
     "written_pngs": (written, "SELECT vec_id + k * 1099511627776 AS image_id, 24::BIGINT AS width, 24::BIGINT AS height, CASE k WHEN 0 THEN 16 ELSE 8 END::BIGINT AS bits, CASE k WHEN 0 THEN 2 ELSE 6 END::BIGINT AS kind, '49454E44AE426082' AS end_hex FROM embeddings, (SELECT unnest([0, 1]) AS k)"),
     "effective_edits": (lambda s, d: E.effective_edits(D.strokes(s, d)).select("image_id", "seq", "tool"), None),
 }

@@ -2,13 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from imgspark.functions import crops as C
 from imgspark.functions import finish as N
 from imgspark.functions import kernels as K
 from imgspark.functions import matte as M
 from imgspark.functions import selection as S
-from imgspark.operators import rasters, selections, tiles
+from imgspark.operators import rasters, scan, selections, tiles
 from imgspark.plans import background as B
 from imgspark.sources import files
 
@@ -165,3 +166,60 @@ def test_files_hold_the_last_of_equal_names(spark, tmp_path):
     assert (tmp_path / "out/1/a.png").read_bytes() == b"two" and (tmp_path / "out/2/a.png").read_bytes() == b""
     assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == [".._.._up.png", "a.png", "a.png"]
     assert out == {5: "no file name", 6: "no file name"}
+
+
+def test_model_sees_batches_of_one_shape_and_failures_stand_alone(spark, tmp_path):
+    sizes = [(4, 6), (8, 8), (4, 6), (5, 5)] * 9
+    pictures = [np.full((*s, 3), i, np.uint8) for i, s in enumerate(sizes)]
+    log = str(tmp_path)
+
+    def load():
+        def predict(stack):
+            with open(f"{log}/calls", "a") as f:
+                f.write(f"{','.join(map(str, sorted(stack[:, 0, 0, 0].tolist())))}\n")
+            if (stack == 7).any():
+                raise ValueError("seven")
+            return stack[..., 0] + 1
+
+        return predict
+
+    crops = B.whole_pictures(frame(spark, pictures)).coalesce(1)
+    got = {r.image_id: r for r in B.predicted(crops, load, batch=5).collect()}
+    assert len(got) == 36 and {i for i, r in got.items() if r.error} == {7} and got[7].error == "seven" and got[7].data is None
+    assert all((r.height, r.width) == sizes[i] and set(r.data) == {i + 1} for i, r in got.items() if i != 7)
+    calls = [list(map(int, x.split(","))) for x in (tmp_path / "calls").read_text().split()]
+    whole = [c for c in calls if len(c) == 5]
+    assert len(whole) == 3 + 1 + 1 and all(len({sizes[i] for i in c}) == 1 for c in calls)  # 18, 9 and 9 crops of three shapes
+    seen = [i for c in calls if 7 not in c for i in c]
+    assert len(seen) == len(set(seen)) and set(seen) | {7} == set(range(36))
+    held, B.HELD = B.HELD, 0
+    try:
+        assert {r.image_id for r in B.predicted(crops, load, batch=5).collect() if not r.error} == set(got) - {7}
+    finally:
+        B.HELD = held
+    short = B.predicted(crops, lambda: lambda stack: stack[:1, ..., 0] if len(stack) > 1 else stack[..., 0], batch=5).collect()
+    assert len(short) == 36 and not [r for r in short if r.error]
+    helped = B.predicted(crops, load, batch=5, fallback=lambda: lambda stack: stack[..., 0] * 0).collect()
+    assert not [r for r in helped if r.error] and set(next(r for r in helped if r.image_id == 7).data) == {0}
+    broken = B.predicted(crops, load, prepare=lambda a: a.reshape(8, 8, 3), batch=4).collect()
+    assert len(broken) == 36 and sum(r.error is None for r in broken) == 9
+
+
+def test_crops_scaled_before_they_move_give_the_same_inputs(spark):
+    pictures = [portrait(i) for i in range(2)]
+    plan = spark.createDataFrame([(i, k, 3 * k, k, 40 + 30 * k, 50, None, None, "edge") for i in range(2) for k in (1, 2)], "image_id long, layer_idx int, l int, t int, r int, b int, own_l int, own_r int, detail string")
+    for r in B.cut_crops(plan, frame(spark, pictures), edge=32).collect():
+        small = rasters.unpack(r.asDict())
+        assert max(small.shape[:2]) == 32
+        assert (B.model_input(small, 32) == B.model_input(pictures[r.image_id][r.t : r.b, r.l : r.r], 32)).all()
+
+
+def test_tasks_weigh_alike_however_sizes_differ(spark):
+    r = np.random.default_rng(1)
+    pixels = np.where(np.arange(20_000) % 100 == 0, 100_000_000, r.integers(1, 2_000_000, 20_000))
+    rows = spark.createDataFrame([(i, int(p)) for i, p in enumerate(pixels)] + [(20_000, None), (20_001, -5)], "image_id long, pixels long").repartition(5)
+    got = scan.balanced(rows, "pixels", ["image_id"], 16)
+    tasks = got.select("image_id", "pixels", F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("pixels").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) == 16 and sum(t.n for t in tasks) == 20_002
+    assert max(t.w for t in tasks) <= 1.1 * pixels.sum() / 16
+    assert scan.balanced(rows.limit(0), "pixels", ["image_id"], 3).count() == 0
