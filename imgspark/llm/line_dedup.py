@@ -1,13 +1,15 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line is parsed by its token count, then by its `depth` leading tokens and its last one, which lead to a leaf of the tree; tokens
-with a digit in them are variable fields and become a wildcard at once. In a leaf, a token is constant at its position if min_docs pairs of document
+A line is parsed by its token count, then by its `depth` leading tokens, which lead to a leaf of the tree; tokens with a digit in
+them are variable fields and become a wildcard at once. In a leaf, a token is constant at its position if min_docs pairs of document
 and line have it there, and a variable field else; so lines that differ in names, words or URLs meet in one template. A line
 belongs to its template if a share of `similarity` of its tokens is constant. Templates that occur in min_docs documents or more
 are dropped everywhere but in the first document that has them. Native: expressions, aggregates and joins only.
 
 All lines are shuffled once, as hashes, to count the leaves. What follows regards the lines of leaves that min_docs lines reach:
 tokens are counted on different lines, each weighted by its documents, so a line that all documents share is taken apart once.
+Such a line is a row with one hash for each token; counts of places are exchanged, and only the places that are constant come
+back to the lines.
 Texts move once, to meet their dropped line numbers. Joins on what may be hot go through hot_join.
 
 Defined cases: a null text counts as empty; lines without a token are never dropped; lines shorter than min_tokens tokens
@@ -37,10 +39,10 @@ def template(line: Column) -> Column:
 
 
 def path_key(line: Column, depth: int = 2) -> Column:
-    """The path through the tree as a struct: token count, hash of the leaf (count, leading tokens, last token), hash of the masked line."""
+    """The path through the tree as a struct: token count, hash of the leaf (count, leading tokens), hash of the masked line."""
     masked = template(line)
     n = F.length(masked) - F.length(F.translate(masked, " ", "")) + 1
-    return F.struct(n.alias("n"), F.xxhash64(n, F.substring_index(masked, " ", depth), F.substring_index(masked, " ", -1)).alias("leaf"), F.xxhash64(masked, F.lit(depth)).alias("line"))
+    return F.struct(n.alias("n"), F.xxhash64(n, F.substring_index(masked, " ", depth)).alias("leaf"), F.xxhash64(masked, F.lit(depth)).alias("line"))
 
 
 def _lines_of_full_leaves(lined: DataFrame, min_docs: int) -> DataFrame:
@@ -57,16 +59,16 @@ def _templates(rows: DataFrame, lined: DataFrame, min_docs: int, similarity: flo
     wanted = cut(wanted)
     given = rows.select("_u", "_text").join(F.broadcast(wanted) if apart.count() <= SMALL else wanted, "_u")
     given = given.select(F.split("_text", "\n").alias("_lines"), F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", template(F.get("_lines", F.col("w.at"))).alias("masked"))
-    given = given.dropDuplicates(["line"])
-    tokens = given.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    tokens = cut(tokens.select("line", "docs", F.xxhash64("leaf", "at", "token").alias("place"), F.xxhash64("token", "at", "leaf").alias("again"), "leaf", (F.col("token") == WILDCARD).alias("masked")))
-    constant = cut(tokens.filter("not masked").groupBy("place").agg(F.sum("docs").alias("seen"), F.count(F.lit(1)).alias("lines")).filter(F.col("seen") >= min_docs))
-    met = hot_join(tokens, constant.drop("seen"), "place", "lines", F.col("line"), small=SMALL).withColumn("stays", F.col("lines").isNotNull())
+    token = F.split("masked", " ")
+    places = F.filter(F.transform(token, lambda x, at: F.when(x != WILDCARD, F.xxhash64("leaf", at, x))), lambda x: x.isNotNull())
+    given = given.select("leaf", "line", "docs", F.size(token).alias("n"), places.alias("places")).groupBy("line").agg(*[F.first(c).alias(c) for c in ("leaf", "docs", "n", "places")])
+    given = cut(given)
+    constant = given.select("docs", F.explode("places").alias("place")).groupBy("place").agg(F.sum("docs").alias("seen"), F.count(F.lit(1)).alias("lines"))
+    constant = cut(constant.filter(F.col("seen") >= min_docs).drop("seen"))
+    tokens = given.select("line", "leaf", "docs", "n", F.explode("places").alias("place"))
+    met = hot_join(tokens, constant, "place", "lines", F.col("line"), small=SMALL).filter("lines is not null")
     # the template is known by its constant tokens and their places; two sums of hashes stand for them
-    made = met.groupBy("line", "leaf").agg(
-        F.first("docs").alias("docs"), F.count(F.lit(1)).alias("n"), F.count_if("stays").alias("constants"),
-        F.bit_xor(F.when(F.col("stays"), F.col("place")).otherwise(0)).alias("a"), F.bit_xor(F.when(F.col("stays"), F.col("again")).otherwise(0)).alias("b"),
-    )
+    made = met.groupBy("line").agg(*[F.first(c).alias(c) for c in ("leaf", "docs", "n")], F.count(F.lit(1)).alias("constants"), F.bit_xor("place").alias("a"), F.bit_xor(F.xxhash64("place")).alias("b"))
     return made.filter(F.col("constants") >= similarity * F.col("n")).select("line", "docs", F.xxhash64("leaf", "n", "a", "b").alias("template"))
 
 

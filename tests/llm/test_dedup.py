@@ -167,7 +167,7 @@ def plain_line_dedup(rows, min_docs=5):
         for line in d[1].split("\n"):
             if len(m := mask(line)) >= 3:
                 of[m].add(d)
-                leaves[len(m), m[:2] + m[-1:]].add(m)
+                leaves[len(m), m[:2]].add(m)
     template = {}
     for (n, lead), lines in leaves.items():
         seen = defaultdict(int)
@@ -186,6 +186,16 @@ def plain_line_dedup(rows, min_docs=5):
     return [(i, "\n".join(x for x in (t or "").split("\n") if stays((i, t or ""), x))) for i, t in rows]
 
 
+def test_templates_by_count_and_leading_tokens(spark):
+    """A field in any place but the leading ones is found: at the end, in the middle and in both."""
+    names = "Anna Berta Clara Dora Emma Frida Greta Hanna Ida Johanna".split()
+    shapes = ["Posted by {} in the news section", "Posted by the author {}", "Posted by {} in {}", "Seen in the {} of {}"]
+    for shape in shapes:
+        rows = [(i, f"Own words of document {chr(97 + i) * 3} stand here\n{shape.format(n, names[-i])}\nAnd {chr(97 + i) * 4} more ends it") for i, n in enumerate(names)]
+        kept = {r.doc_id: r.clean_text for r in L.line_dedup(frame(spark, rows)).collect()}
+        assert sum(shape.split(" {}")[0] in t for t in kept.values()) == 1, shape
+
+
 @pytest.mark.parametrize("small", [L.SMALL, 0])
 def test_line_dedup_by_brute_force(spark, monkeypatch, small):
     """Variants, a line of thousands of tokens, lines that most documents share, null and repeated ids."""
