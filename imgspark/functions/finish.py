@@ -162,28 +162,38 @@ def snap_to_edges(rgb: np.ndarray, alpha: np.ndarray, radius: int) -> np.ndarray
     return out
 
 
-def decontaminate(rgb: np.ndarray, alpha: np.ndarray, radius: int) -> np.ndarray:
-    """Colour of soft pixels without the background's share, pulled to the most opaque pixel on eight rays.
+SOFT_LOW, SOFT_HIGH = 5, 250
 
-    A pixel reads its own colour, removed background, and one more opaque pixel, which counts as corrected if it comes earlier in
-    raster order. Alpha rises by 12 at each such step, so few rounds of whole arrays settle them all."""
-    low, high = 5, 250
-    at = np.flatnonzero((alpha > low) & (alpha < high))
-    out = rgb.copy()
-    if not len(at):
-        return out
+
+def pulls(rgb: np.ndarray, alpha: np.ndarray, at: np.ndarray, radius: int) -> dict[str, np.ndarray]:
+    """For those of the soft pixels `at` that are to be cleaned: where they are, their alpha (own), the most opaque pixel on their rays (inner)
+    and its alpha (best), and colour and distance of the removed background that each ray meets (infinite where it meets none)."""
     own = alpha.ravel()[at].astype(np.int64)
     best, best_d, inner = np.full(len(at), -1), np.full(len(at), np.inf), np.full(len(at), -1)
     back, back_d = np.full((8, len(at)), -1), np.full((8, len(at)), np.inf)
-    for k, which, pixel, value, distance in _along(alpha, at, radius, low, high):
+    for k, which, pixel, value, distance in _along(alpha, at, radius, SOFT_LOW, SOFT_HIGH):
         value = value.astype(np.int64)
         better = (value > best[which]) | (value == best[which]) & (distance < best_d[which])
         w = which[better]
         best[w], best_d[w], inner[w] = value[better], distance, pixel[better]
-        hit = value <= low
+        hit = value <= SOFT_LOW
         back[k, which[hit]], back_d[k, which[hit]] = pixel[hit], distance
     todo = best >= own + 12
-    at, own, best, inner, back, back_d = at[todo], own[todo], best[todo], inner[todo], back[:, todo], back_d[:, todo]
+    colours = rgb.reshape(-1, rgb.shape[-1])[:, :3].astype(np.float64)
+    return {"at": at[todo], "own": own[todo], "best": best[todo], "inner": inner[todo], "back": colours[back[:, todo]], "back_d": back_d[:, todo]}
+
+
+def decontaminate(rgb: np.ndarray, alpha: np.ndarray, radius: int) -> np.ndarray:
+    """Colour of soft pixels without the background's share, pulled to the most opaque pixel on eight rays.
+
+    A pixel reads its own colour, removed background, and one more opaque pixel, which counts as corrected if it comes earlier in
+    raster order. Alpha rises by 12 at each such step, so few rounds of whole arrays settle them all."""
+    at = np.flatnonzero((alpha > SOFT_LOW) & (alpha < SOFT_HIGH))
+    out = rgb.copy()
+    if not len(at):
+        return out
+    p = pulls(rgb, alpha, at, radius)
+    at, inner = p["at"], p["inner"]
     place = np.full(alpha.size, -1)
     place[at] = np.arange(len(at))
     waits = np.where(inner < at, place[inner], -1)
@@ -194,21 +204,22 @@ def decontaminate(rgb: np.ndarray, alpha: np.ndarray, radius: int) -> np.ndarray
     for i in range(level.max(initial=-1) + 1):
         s = np.flatnonzero(level == i)
         toward = np.where((inner[s] < at[s])[:, None], now[inner[s], :3].astype(np.float64), before[inner[s]])
-        now[at[s], :3] = _cleaned(before, before[at[s]], toward, own[s], best[s], back[:, s], back_d[:, s], radius)
+        now[at[s], :3] = cleaned(before[at[s]], toward, p["own"][s], p["best"][s], p["back"][:, s], p["back_d"][:, s], radius)
     return out
 
 
-def _cleaned(colours: np.ndarray, c: np.ndarray, toward: np.ndarray, own: np.ndarray, best: np.ndarray, back: np.ndarray, back_d: np.ndarray, radius: int) -> np.ndarray:
+def cleaned(c: np.ndarray, toward: np.ndarray, own: np.ndarray, best: np.ndarray, back: np.ndarray, back_d: np.ndarray, radius: int) -> np.ndarray:
+    """Colours c of soft pixels, un-mixed from the background of their rays and drawn to the colour toward."""
     share = own / 255
     pull = np.minimum(0.75, (best - own) / 255 + (1 - share) * 0.25)[:, None]
     alone = c * (1 - pull) + toward * pull
     near_d, nearest = back_d.min(0), back[back_d.argmin(0), np.arange(len(own))]
     mean, weights = np.zeros(c.shape, np.float32), np.zeros(len(own))
     for k in range(8):
-        alike = (back[k] >= 0) & (((colours[back[k]] - colours[nearest]) ** 2).sum(1) <= 72**2 * 3)
+        alike = np.isfinite(back_d[k]) & (((back[k] - nearest) ** 2).sum(1) <= 72**2 * 3)
         weight = np.where(alike, 1 / np.maximum(1, back_d[k].astype(np.float32).astype(np.float64)), 0)
         weights += weight
-        mean = (mean + colours[back[k]] * weight[:, None]).astype(np.float32)
+        mean = (mean + back[k] * weight[:, None]).astype(np.float32)
     mean = (mean / np.where(weights > 0, weights, 1)[:, None]).astype(np.float32).astype(np.float64)
     contrast = np.clip((np.sqrt(((toward - mean) ** 2).sum(1) / 3) - 6) / 42, 0, 1)
     solve = np.maximum(0.08, share)[:, None]
@@ -220,7 +231,7 @@ def _cleaned(colours: np.ndarray, c: np.ndarray, toward: np.ndarray, own: np.nda
     strength = (np.minimum(0.92, (1 - share) * 1.35) * contrast * close)[:, None]
     safe = pure.astype(np.float32).astype(np.float64) * trust + toward * (1 - trust)
     mixed = np.where(contrast[:, None] == 0, c, c * (1 - strength) + safe * strength)
-    return np.clip(half_up(np.where((nearest < 0)[:, None], alone, mixed)), 0, 255).astype(np.uint8)
+    return np.clip(half_up(np.where(np.isinf(near_d)[:, None], alone, mixed)), 0, 255).astype(np.uint8)
 
 
 def _curve(power: float, low: float, high: float) -> np.ndarray:

@@ -56,24 +56,35 @@ def stencil(tiles: DataFrame, halo: int, kernel: Callable[[np.ndarray], np.ndarr
     receives nine pieces at most, so the groups here are small whatever the frame."""
 
     def make(r: dict) -> list[dict]:
-        rows = r["pieces"]
-        own = next(p for p in rows if p["own"])
-        top, left = max(0, own["top"] - halo), max(0, own["left"] - halo)
-        bottom, right = min(own["frame_h"], own["top"] + own["height"] + halo), min(own["frame_w"], own["left"] + own["width"] + halo)
-        a = np.zeros((bottom - top, right - left, own["channels"]), np.uint16 if own["bits"] == 16 else np.uint8)
-        for q in rows:
-            p = unpack(q)[max(0, top - q["top"]) :, max(0, left - q["left"]) :]
-            y, x = max(q["top"], top) - top, max(q["left"], left) - left
-            p = p[: max(0, a.shape[0] - y), : max(0, a.shape[1] - x)]
-            a[y : y + p.shape[0], x : x + p.shape[1]] = p
+        own, a, top, left = around(r, halo)
         y, x = own["top"] - top, own["left"] - left
         done = pack(r["image_id"], np.ascontiguousarray(kernel(a)[y : y + own["height"], x : x + own["width"]]))
         return [done | {k: own[k] for k in KEYS[3:]} | {k: r[k] for k in KEYS[:3]}]
 
+    return over_rows(with_pieces(tiles, halo), TILE, make, slice_rows=2)
+
+
+def with_pieces(tiles: DataFrame, halo: int) -> DataFrame:
+    """Each tile with what it needs of its neighbours: image_id, tile_y, tile_x and pieces, nine at most."""
     pieces = over_rows(tiles, TILE + ", own boolean", lambda r: _strips(r, halo), slice_rows=2)
     at = ["image_id", "tile_y", "tile_x"]
     met = pieces.groupBy(*at).agg(F.collect_list(F.struct(*[c for c in pieces.columns if c not in at])).alias("pieces"))
-    return over_rows(met.filter(F.exists("pieces", lambda p: p["own"])), TILE, make, slice_rows=2)
+    return met.filter(F.exists("pieces", lambda p: p["own"]))
+
+
+def around(r: dict, halo: int) -> tuple[dict, np.ndarray, int, int]:
+    """(the tile's own piece, its pixels with those around it, the window's top and left in the frame) of a row of with_pieces()."""
+    rows = r["pieces"]
+    own = next(p for p in rows if p["own"])
+    top, left = max(0, own["top"] - halo), max(0, own["left"] - halo)
+    bottom, right = min(own["frame_h"], own["top"] + own["height"] + halo), min(own["frame_w"], own["left"] + own["width"] + halo)
+    a = np.zeros((bottom - top, right - left, own["channels"]), np.uint16 if own["bits"] == 16 else np.uint8)
+    for q in rows:
+        p = unpack(q)[max(0, top - q["top"]) :, max(0, left - q["left"]) :]
+        y, x = max(q["top"], top) - top, max(q["left"], left) - left
+        p = p[: max(0, a.shape[0] - y), : max(0, a.shape[1] - x)]
+        a[y : y + p.shape[0], x : x + p.shape[1]] = p
+    return own, a, top, left
 
 
 def join(tiles: DataFrame) -> DataFrame:

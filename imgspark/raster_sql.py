@@ -166,7 +166,45 @@ REFINED = "WITH RECURSIVE " + PICTURES + ", " + LOG + f""", dots AS (SELECT imag
  filled AS (SELECT m.image_id, m.y, m.x, CASE WHEN l.y IS NULL THEN 0 ELSE 255 END AS v FROM masks m LEFT JOIN lit8 l USING (image_id, y, x)), sizes AS (SELECT image_id, count(*) FILTER (v = 255) AS n_selected FROM filled GROUP BY image_id)
  SELECT * FROM sizes JOIN ({digest("filled")}) USING (image_id)"""
 
+
+def spill(radius: int) -> str:
+    """colours: soft pixels un-mixed from the background on their rays and drawn to the most opaque pixel there; one level of a chain is
+    one step of the recursion. Sums go in the order of the rays, as single precision where the kernel stores it so."""
+    whole = "list_reduce(list_prepend(0::DOUBLE, {}), lambda a, b: a + b)"
+    single = "list_reduce(list_prepend(0::DOUBLE, {}), lambda a, b: CAST(CAST(a + b AS FLOAT) AS DOUBLE))"
+    mean = ", ".join(f"CAST(CAST({single.format(f'list_transform(alike, lambda m: m.c[{j}] * m.w)')} / greatest(weights, CASE WHEN weights > 0 THEN 0 ELSE 1 END) AS FLOAT) AS DOUBLE)" for j in (1, 2, 3))
+    unit = "greatest(0, least(1, {}))"
+    each = lambda x: "[" + ", ".join(x.replace("#", f"[{j}]") for j in (1, 2, 3)) + "]"
+
+    def step(source: str) -> str:
+        return f"""SELECT image_id, p, {each("CAST(greatest(0, least(255, floor(CASE WHEN near_d IS NULL THEN c# * (1 - pull) + toward# * pull WHEN contrast = 0 THEN c# ELSE c# * (1 - strength) + (CAST(CAST(pure# AS FLOAT) AS DOUBLE) * trust + toward# * (1 - trust)) * strength END + 0.5::DOUBLE))) AS DOUBLE)")} AS rgb
+ FROM (SELECT *, {unit.format("(share - 0.08::DOUBLE) / 0.42::DOUBLE")} * {unit.format("1 - (abs(raw[1] - pure[1]) + abs(raw[2] - pure[2]) + abs(raw[3] - pure[3])) / 480")} * close AS trust, least(0.92::DOUBLE, (1 - share) * 1.35::DOUBLE) * contrast * close AS strength
+ FROM (SELECT *, {each("greatest(0, least(255, raw#))")} AS pure, {unit.format("(sqrt(((toward[1] - mean[1]) * (toward[1] - mean[1]) + (toward[2] - mean[2]) * (toward[2] - mean[2]) + (toward[3] - mean[3]) * (toward[3] - mean[3])) / 3) - 6) / 42")} AS contrast
+ FROM (SELECT *, {each("(c# - (1 - solve) * mean#) / solve")} AS raw FROM ({source}))))"""
+
+    return PICTURES + f""", rays(k, dx, dy) AS (VALUES (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1), (4, -1, -1), (5, 1, -1), (6, -1, 1), (7, 1, 1)),
+ steps AS (SELECT k, dx, dy, step, step * CASE WHEN dx <> 0 AND dy <> 0 THEN sqrt(2) ELSE 1 END AS d FROM rays, (SELECT range AS step FROM range(1, {radius + 1}))),
+ looked AS (SELECT s.image_id, s.y * {SIDE} + s.x AS p, s.a AS own, [s.r, s.g, s.b]::DOUBLE[] AS c, k, step, d, q.y * {SIDE} + q.x AS q, q.a AS qa, [q.r, q.g, q.b]::DOUBLE[] AS qc
+ FROM pictures s JOIN steps ON TRUE LEFT JOIN pictures q ON q.image_id = s.image_id AND q.y = s.y + dy * step AND q.x = s.x + dx * step WHERE s.a > 5 AND s.a < 250),
+ seen AS (SELECT * FROM looked WHERE q IS NOT NULL QUALIFY count(*) FILTER (q IS NULL OR qa <= 5 OR qa >= 250) OVER (PARTITION BY image_id, p, k ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0),
+ pulled AS (SELECT image_id, p, any_value(own) AS own, any_value(c) AS c, first(qa ORDER BY qa DESC, d, k, step) AS best, first(q ORDER BY qa DESC, d, k, step) AS inner_p, first(qc ORDER BY qa DESC, d, k, step) AS inner_c,
+ min(d) FILTER (qa <= 5) AS near_d, first(qc ORDER BY d, k) FILTER (qa <= 5) AS nearest, list({{'c': qc, 'd': d}} ORDER BY k) FILTER (qa <= 5) AS backs FROM seen GROUP BY image_id, p HAVING best >= own + 12),
+ weighed AS (SELECT *, list_transform(list_filter(coalesce(backs, []), lambda m: (m.c[1] - nearest[1]) * (m.c[1] - nearest[1]) + (m.c[2] - nearest[2]) * (m.c[2] - nearest[2]) + (m.c[3] - nearest[3]) * (m.c[3] - nearest[3]) <= 15552),
+ lambda m: {{'c': m.c, 'w': 1 / greatest(1, CAST(CAST(m.d AS FLOAT) AS DOUBLE))}}) AS alike FROM pulled),
+ summed AS (SELECT *, {whole.format("list_transform(alike, lambda m: m.w)")} AS weights FROM weighed),
+ todo AS (SELECT image_id, p, inner_p, inner_c, c, near_d, [{mean}] AS mean, own / 255::DOUBLE AS share, greatest(0.08::DOUBLE, own / 255::DOUBLE) AS solve,
+ least(0.75::DOUBLE, (best - own) / 255::DOUBLE + (1 - own / 255::DOUBLE) * 0.25::DOUBLE) AS pull, greatest(0.25::DOUBLE, 1 - coalesce(near_d, 0) / ({radius} * 1.5::DOUBLE)) AS close,
+ inner_p < p AND EXISTS (SELECT 1 FROM summed o WHERE o.image_id = summed.image_id AND o.p = summed.inner_p) AS waits FROM summed),
+ cleaned AS ({step("SELECT *, inner_c AS toward FROM todo WHERE NOT waits")}
+ UNION ALL {step("SELECT t.*, r.rgb AS toward FROM todo t JOIN cleaned r ON t.image_id = r.image_id AND t.inner_p = r.p WHERE t.waits")}),
+ colours AS (SELECT q.image_id, q.y, q.x, coalesce(rgb[1], r) AS r, coalesce(rgb[2], g) AS g, coalesce(rgb[3], b) AS b, a FROM pictures q LEFT JOIN cleaned ON cleaned.image_id = q.image_id AND p = q.y * {SIDE} + q.x)"""
+
+
+COLOURS_CLEANED = "WITH RECURSIVE " + spill(8) + digest("colours", values="r g b a")
+
+
 SQL = {
+    "colours_cleaned": COLOURS_CLEANED,
     "fused_mattes": FUSED,
     "refined_selections": REFINED,
     "effective_edits": EFFECTIVE_EDITS,

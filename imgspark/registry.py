@@ -16,6 +16,7 @@ from .operators import pixels as P
 from .operators import progress as G
 from .operators import rasters as R
 from .operators import selections as L
+from .operators import spill as V
 from .operators import tiles as Z
 from .plans import background as B
 from .plans import convert as C
@@ -347,6 +348,7 @@ TABLE = {
     "finished_mattes": (lambda s, d: digest(T.finished_mattes(D.pictures(s, d), detailed(s, d))), None),
     "edge_snapped": (lambda s, d: digest(T.snap_to_edges(D.pictures(s, d), 6)), None),
     "colours_cleaned": (lambda s, d: digest(T.decontaminate(D.pictures(s, d), 8)), None),
+    "tiled_colours": (lambda s, d: digest(Z.join(V.decontaminate(Z.split(D.pictures(s, d), 9), 8))), None),
     "detached_removed": (lambda s, d: digest(T.remove_detached(D.masks(s, d))), None),
     "planned_crops": (lambda s, d: Q.planned_crops(D.masks(s, d).withColumns({"image_w": F.lit(480), "image_h": F.lit(480)})), None),
     "background_removed": (background, None),
@@ -386,6 +388,7 @@ for _name, _sql in raster_sql.SQL.items():
 
 # whole frames and tiles give the same rows, so the SQL of the one holds for the other
 TABLE["tiled_sharpening"] = TABLE["tiled_sharpening"][0], TABLE["sharpened_frames"][1]
+TABLE["tiled_colours"] = TABLE["tiled_colours"][0], TABLE["colours_cleaned"][1]
 TABLE["tiled_components"] = TABLE["tiled_components"][0], TABLE["mask_components"][1]
 
 TABLE |= box_queries.TABLE | file_queries.TABLE | stream_queries.table(MANIFEST, EVENTS)
