@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import boxes as X
+from .operators import regions as G
 from .operators import scan as S
 from .operators import tiles as Z
-from .raster_sql import MASKS
+from .operators.rasters import RASTER, over_rows, pack, unpack
+from .raster_sql import MASKS, regions
 from .sources import derived as D
 
 
@@ -29,6 +32,22 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"r": F.col("l") + side, "b": F.col("t") + side})
 
 
+def five_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse colours on a grid, a source that is see-through at every eleventh picture's left, and the masks as mattes."""
+
+    def make(r: dict) -> list[dict]:
+        m, i = unpack(r)[..., 0], r["image_id"]
+        y, x = np.indices(m.shape)
+        return [pack(i, np.stack([64 * ((x // 3 + i) % 4), 64 * (y // 4 % 4), 0 * x, np.where((i % 11 == 0) & (x < 4), 100, 255), m], axis=-1).astype(np.uint8))]
+
+    return over_rows(D.masks(spark, sf_dir), RASTER, make)
+
+
+def enclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = Z.split(five_channels(spark, sf_dir), 7)
+    return G.enclosed_regions(tiles, 7, least_count=4, share=0.7, least=3, most_share=0.05, fill=0.3, room=1)
+
+
 def balanced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of eight parts of equal weight in pixels each picture of the manifest goes to, and the parts' weights."""
     rows = D.manifest(spark, sf_dir).select("image_id", (F.col("width").cast("long") * F.col("height")).alias("pixels"))
@@ -51,4 +70,10 @@ TABLE = {
  s AS (SELECT *, coalesce(sum(pixels) OVER (ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(pixels) OVER () AS total FROM m),
  p AS (SELECT *, CAST(least(7, (2 * before + pixels) * 8 // (2 * total)) AS INT) AS part FROM s)
  SELECT part, count(*) AS n, CAST(sum(pixels) AS BIGINT) AS pixels, min(image_id) AS first, max(image_id) AS last FROM p GROUP BY part"""),
+    "enclosed_regions": (enclosed, f"WITH RECURSIVE {MASKS}," + """ f AS (SELECT image_id, y, x, v, (x // 3 + image_id) % 4 + 4 * (y // 4 % 4) AS bucket, NOT (image_id % 11 = 0 AND x < 4) AS solid FROM masks),
+ k AS (SELECT image_id, bucket FROM f WHERE solid GROUP BY ALL HAVING count(*) FILTER (v <= 24) >= 4 AND count(*) FILTER (v <= 24) / count(*) FILTER (v <= 24 OR v >= 232) >= 0.7::DOUBLE),
+ """ + regions("SELECT image_id, y * 24 + x AS p FROM f SEMI JOIN k USING (image_id, bucket) WHERE solid AND v >= 224") + """,
+ c AS (SELECT *, greatest(1, least(2, CAST(ceil(greatest(x1 - x0 + 1, y1 - y0 + 1) * 1.2) AS BIGINT))) AS m FROM parts WHERE area >= 3 AND area <= 29 AND area / ((x1 - x0 + 1) * (y1 - y0 + 1)) >= 0.3::DOUBLE)
+ SELECT image_id, CAST(area AS BIGINT) AS area, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y, first_pixel FROM c WHERE x0 - m > 0 AND y0 - m > 0 AND x1 + m < 23 AND y1 + m < 23
+ AND NOT EXISTS (SELECT 1 FROM f WHERE f.image_id = c.image_id AND v <= 24 AND x >= x0 - m AND x <= x1 + m AND y >= y0 - m AND y <= y1 + m)"""),
 }
