@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import boxes as X
+from .operators import pixels as P
 from .operators import regions as G
 from .operators import scan as S
 from .operators import tiles as Z
 from .operators.rasters import RASTER, over_rows, pack, unpack
-from .raster_sql import MASKS, regions
+from .raster_sql import DISC, GRID, MASKS, regions
 from .sources import derived as D
 
 
@@ -32,6 +33,24 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"r": F.col("l") + side, "b": F.col("t") + side})
 
 
+def layer_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four crops a picture: the frame, two persons (every third picture has one) with bands, and an edge tile without."""
+    i = F.col("image_id")
+    k = F.col("layer_idx")
+    rows = D.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("layer_idx")).filter((k != 2) | (i % 3 != 0))
+    rows = rows.withColumns({"l": F.when(k == 0, 0).otherwise((i + 4 * k) % 9), "t": F.when(k == 0, 0).otherwise((i * 3 + k) % 7)})
+    rows = rows.withColumns({"r": F.when(k == 0, 24).otherwise(F.col("l") + 14), "b": F.when(k == 0, 24).otherwise(F.col("t") + 15), "detail": F.when(k == 3, "edge").otherwise("person")})
+    band = (k == 1) | (k == 2)
+    return rows.withColumns({"own_l": F.when(band, F.col("l") + 3), "own_r": F.when(band, F.col("l") + 11)})
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = layer_crops(spark, sf_dir)
+    pred = (F.col("mask") * (F.col("layer_idx") + 1) + F.col("image_id") * 7 + F.col("x") * F.col("layer_idx") * 31) % 256
+    preds = D.pixels(spark, sf_dir).join(crops.select("image_id", "layer_idx"), "image_id").select("image_id", "layer_idx", "y", "x", pred.alias("pred"))
+    return P.layer_evidence(preds, crops)
+
+
 def five_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse colours on a grid, a source that is see-through at every eleventh picture's left, and the masks as mattes."""
 
@@ -76,4 +95,10 @@ TABLE = {
  c AS (SELECT *, greatest(1, least(2, CAST(ceil(greatest(x1 - x0 + 1, y1 - y0 + 1) * 1.2) AS BIGINT))) AS m FROM parts WHERE area >= 3 AND area <= 29 AND area / ((x1 - x0 + 1) * (y1 - y0 + 1)) >= 0.3::DOUBLE)
  SELECT image_id, CAST(area AS BIGINT) AS area, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y, first_pixel FROM c WHERE x0 - m > 0 AND y0 - m > 0 AND x1 + m < 23 AND y1 + m < 23
  AND NOT EXISTS (SELECT 1 FROM f WHERE f.image_id = c.image_id AND v <= 24 AND x >= x0 - m AND x <= x1 + m AND y >= y0 - m AND y <= y1 + m)"""),
+    "layer_evidence": (evidence, f"WITH masks AS (SELECT vec_id AS image_id, y, x, CAST(greatest(0, least(255, {DISC.format(s=0)})) AS BIGINT) AS v FROM embeddings, {GRID})," + """ k AS (SELECT vec_id AS image_id, layer_idx FROM embeddings, (SELECT range AS layer_idx FROM range(4)) WHERE layer_idx <> 2 OR vec_id % 3 <> 0),
+ p AS (SELECT *, CASE layer_idx WHEN 0 THEN 0 ELSE (image_id + 4 * layer_idx) % 9 END AS l, CASE layer_idx WHEN 0 THEN 0 ELSE (image_id * 3 + layer_idx) % 7 END AS t FROM k),
+ c AS (SELECT *, CASE layer_idx WHEN 0 THEN 24 ELSE l + 14 END AS r, CASE layer_idx WHEN 0 THEN 24 ELSE t + 15 END AS b, layer_idx IN (1, 2) AS banded, count(*) FILTER (layer_idx IN (1, 2)) OVER (PARTITION BY image_id) >= 2 AS two FROM p),
+ v AS (SELECT c.*, y, x, (v * (layer_idx + 1) + image_id * 7 + x * layer_idx * 31) % 256 AS pred, banded AND two AS cons, layer_idx > 0 AND (NOT banded OR x >= l + 3 AND x < l + 11) AS refi FROM c JOIN masks USING (image_id) WHERE x >= l + 2 AND x < r - 2 AND y >= t + 2 AND y < b - 2)
+ SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, count(*) FILTER (cons AND pred <= 56) AS consensus_votes, bool_or(cons AND pred >= 210) AS consensus_veto, min(pred) FILTER (cons AND pred <= 56) AS lowest_bg,
+ count(*) FILTER (refi AND pred <= 56) AS refine_votes, bool_or(refi AND pred >= 210) AS refine_veto FROM v WHERE layer_idx > 0 GROUP BY image_id, y, x"""),
 }

@@ -21,7 +21,7 @@ def stroke_bounds(points: DataFrame) -> DataFrame:
 
 
 def expand_strokes(points: DataFrame) -> DataFrame:
-    """Points between two of a stroke at steps of 0.42 radius at most; the first point as it is (step 0)."""
+    """Points between two of a stroke at steps of 0.42 radius at most; the first point as it is (step 0). A column `tool` is handed on."""
     line = Window.partitionBy("image_id", "stroke_id").orderBy("seq")
     p = points.withColumns({"px": F.lag("x").over(line), "py": F.lag("y").over(line)})
     far = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
@@ -29,7 +29,7 @@ def expand_strokes(points: DataFrame) -> DataFrame:
     p = p.withColumn("steps", F.when(F.col("px").isNull(), 0).otherwise(steps))
     p = p.withColumn("step", F.explode(F.when(F.col("steps") > 0, F.sequence(F.lit(1), F.col("steps"))).otherwise(F.array(F.lit(0)))))
     at = lambda a, b: F.when(F.col("steps") == 0, F.col(b).cast("double")).otherwise(F.col(a) + (F.col(b) - F.col(a)) * F.col("step") / F.col("steps"))
-    return p.select("image_id", "stroke_id", "seq", "step", "steps", at("px", "x").alias("at_x"), at("py", "y").alias("at_y"), "radius")
+    return p.select("image_id", "stroke_id", "seq", "step", "steps", at("px", "x").alias("at_x"), at("py", "y").alias("at_y"), "radius", *[c for c in ("tool",) if c in points.columns])
 
 
 def effective_edits(log: DataFrame, limit: int = 12) -> DataFrame:

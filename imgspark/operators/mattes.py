@@ -128,8 +128,7 @@ def replay_edits(rasters: DataFrame, sources: DataFrame, log: DataFrame) -> Data
     """RGBA rasters after their logs: strokes that were not undone, spread to steps, erase or restore in order.
 
     log: image_id, stroke_id, seq, x, y, radius, tool. A raster without a log comes out as it is; without a source it restores itself."""
-    kept = effective_edits(log)
-    steps = expand_strokes(kept).join(kept.select("image_id", "seq", "tool"), ["image_id", "seq"])
+    steps = expand_strokes(effective_edits(log))
     both = rasters.join(sources.select("image_id", F.col("data").alias("source")), "image_id", "left")
 
     def begin(r: dict) -> tuple:

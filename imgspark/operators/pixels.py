@@ -42,6 +42,29 @@ def layer_votes(layers: DataFrame) -> DataFrame:
     )
 
 
+def layer_evidence(preds: DataFrame, crops: DataFrame) -> DataFrame:
+    """The two vote sets of a picture's layers: image_id, y, x, and votes, veto and lowest background of consensus, votes and veto of refinement.
+
+    preds: image_id, layer_idx, y, x, pred; crops: image_id, layer_idx, l, t, r, b, own_l, own_r, detail. Only pixels inside of a crop by a
+    margin of max(2, 4 % of its shorter side) count. Consensus is of person crops with a band of their own, if a picture has two of
+    them, and counts pixels in and out of the band; refinement is of every layer but the first and counts the band's pixels only.
+    Crops meet their pixels by picture and layer; all that is left is one partial aggregate a pixel."""
+    c = F.col
+    banded = (c("detail") == "person") & c("own_l").isNotNull()
+    margin = F.greatest(F.lit(2), F.floor(F.least(c("r") - c("l"), c("b") - c("t")) * 0.04 + 0.5))
+    several = crops.groupBy("image_id").agg((F.count_if(banded) >= 2).alias("_consensus"), (F.count(F.lit(1)) >= 2).alias("_refinement"))
+    known = crops.join(several, "image_id").select("image_id", "layer_idx", "l", "t", "r", "b", "own_l", "own_r", margin.alias("m"), (c("_consensus") & banded).alias("_consensus"), (c("_refinement") & (c("layer_idx") > 0)).alias("_refinement"))
+    inside = (c("x") >= c("l") + c("m")) & (c("x") < c("r") - c("m")) & (c("y") >= c("t") + c("m")) & (c("y") < c("b") - c("m"))
+    met = preds.join(known, ["image_id", "layer_idx"]).filter(inside & (c("_consensus") | c("_refinement")))
+    owned = c("_refinement") & (c("own_l").isNull() | (c("x") >= c("own_l")) & (c("x") < c("own_r")))
+    bg, fg = c("pred") <= 56, c("pred") >= 210
+    votes = lambda which: F.least(F.lit(127), F.count_if(which & bg)).cast("long")
+    return met.groupBy("image_id", "y", "x").agg(
+        votes(c("_consensus")).alias("consensus_votes"), F.bool_or(c("_consensus") & fg).alias("consensus_veto"), F.min(F.when(c("_consensus") & bg, F.floor(c("pred") + 0.5))).cast("long").alias("lowest_bg"),
+        votes(owned).alias("refine_votes"), F.bool_or(owned & fg).alias("refine_veto"),
+    )
+
+
 def selected(pixels: DataFrame) -> DataFrame:
     return pixels.filter((F.col("mask") >= 128) & (F.col("a") > 4)).select("image_id", "y", "x")
 
