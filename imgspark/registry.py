@@ -391,7 +391,7 @@ TABLE["tiled_sharpening"] = TABLE["tiled_sharpening"][0], TABLE["sharpened_frame
 TABLE["tiled_colours"] = TABLE["tiled_colours"][0], TABLE["colours_cleaned"][1]
 TABLE["tiled_components"] = TABLE["tiled_components"][0], TABLE["mask_components"][1]
 
-TABLE |= box_queries.TABLE | file_queries.TABLE | stream_queries.table(MANIFEST, EVENTS)
+TABLE |= box_queries.TABLE | file_queries.TABLE | stream_queries.table(MANIFEST, EVENTS, RAW)
 
 QUERIES = {name: q for name, (q, _) in TABLE.items()}
 ORACLE = {name: sql for name, (_, sql) in TABLE.items() if sql}

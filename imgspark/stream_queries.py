@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .file_queries import settled
+from .sources import byte_files
 from .sources import derived as D
+from .sources import files as FS
 from .sources.shared import fresh
 from .streaming.jobs import PROVIDER, stream_jobs
 
@@ -32,8 +34,23 @@ def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(told.groupBy("job_id").agg(F.max_by(F.struct("*"), "n").alias("r")).select("r.*").drop("n"), at)
 
 
-def table(manifest: str, events: str) -> dict[str, tuple]:
+def taken_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a file for each row of the manifest, listed at once and as a stream that ends with what is there: names, types
+    and sizes of the accepted files."""
+    at = fresh(spark, "intake")
+    named = D.manifest(spark, sf_dir).select(F.concat_ws("-", F.col("image_id").cast("string"), "name").alias("path"))
+    byte_files.save(named.withColumn("content", F.col("path").cast("binary")), f"{at}/drop")
+    out = lambda files, way: files.select(F.lit(way).alias("way"), "name", "mime", "size_bytes")
+    write = out(FS.stream_images(spark, f"{at}/drop", "day"), "stream").writeStream.format("parquet").option("path", f"{at}/streamed").option("checkpointLocation", f"{at}/state")
+    write.trigger(availableNow=True).start().awaitTermination()
+    return settled(out(FS.read_images(spark, f"{at}/drop", "day"), "batch").unionByName(spark.read.parquet(f"{at}/streamed")), at)
+
+
+def table(manifest: str, events: str, raw: str) -> dict[str, tuple]:
+    kinds = " ".join(f"WHEN lower(name) LIKE '%.{e}' THEN '{m}'" for e, m in FS.BY_EXTENSION.items())
     return {
+        "taken_in": (taken_in, f"WITH {manifest}, f AS (SELECT image_id || '-' || name AS name FROM manifest), t AS (SELECT name, CASE {kinds} ELSE '' END AS mime, strlen(name) AS size_bytes FROM f)"
+                     f" SELECT way, name, mime, CAST(size_bytes AS BIGINT) AS size_bytes FROM t, (VALUES ('batch'), ('stream')) w(way) WHERE mime LIKE 'image/%' OR {raw}"),
         "streamed_progress": (streamed_progress, f"WITH {manifest}, {events}," + """ p AS (SELECT e.* FROM progress e SEMI JOIN manifest m USING (job_id, image_id)),
  l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY job_id, image_id ORDER BY ts DESC, event_id DESC) = 1),
  t AS (SELECT job_id, (epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000)::DOUBLE AS s FROM p GROUP BY job_id),
