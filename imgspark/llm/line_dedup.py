@@ -50,6 +50,16 @@ def _lines_of_full_leaves(lined: DataFrame, min_docs: int) -> DataFrame:
     return hot_join(lined, leaves, "leaf", "in_leaf", F.col("u")).filter("in_leaf is not null").drop("in_leaf")
 
 
+def _each_once(given: DataFrame) -> DataFrame:
+    """One row for each line: a repeated document gives its lines as often as it stands there, and those alone are brought together."""
+    again = cut(given.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line"))
+    if again.isEmpty():
+        return given
+    columns = [c for c in given.columns if c != "line"]
+    repeated = given.join(again, "line", "left_semi").groupBy("line").agg(*[F.first(c).alias(c) for c in columns])
+    return cut(given.join(again, "line", "left_anti").unionByName(repeated))
+
+
 def _templates(rows: DataFrame, lined: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """line, template (both hashes) and docs of the different lines in lined that belong to a template."""
     once = lined.groupBy("leaf", "line", "u", "id").agg(F.min("at").alias("at"))
@@ -61,12 +71,10 @@ def _templates(rows: DataFrame, lined: DataFrame, min_docs: int, similarity: flo
     given = given.select(F.split("_text", "\n").alias("_lines"), F.explode("wanted").alias("w")).select("w.leaf", "w.line", "w.docs", template(F.get("_lines", F.col("w.at"))).alias("masked"))
     token = F.split("masked", " ")
     places = F.filter(F.transform(token, lambda x, at: F.when(x != WILDCARD, F.xxhash64("leaf", at, x))), lambda x: x.isNotNull())
-    given = given.select("leaf", "line", "docs", F.size(token).alias("n"), places.alias("places")).groupBy("line").agg(*[F.first(c).alias(c) for c in ("leaf", "docs", "n", "places")])
-    given = cut(given)
-    constant = given.select("docs", F.explode("places").alias("place")).groupBy("place").agg(F.sum("docs").alias("seen"), F.count(F.lit(1)).alias("lines"))
-    constant = cut(constant.filter(F.col("seen") >= min_docs).drop("seen"))
+    given = _each_once(cut(given.select("leaf", "line", "docs", F.size(token).alias("n"), places.alias("places"))))
+    constant = cut(given.select("docs", F.explode("places").alias("place")).groupBy("place").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs))
     tokens = given.select("line", "leaf", "docs", "n", F.explode("places").alias("place"))
-    met = hot_join(tokens, constant, "place", "lines", F.col("line"), small=SMALL).filter("lines is not null")
+    met = hot_join(tokens, constant, "place", "seen", F.col("line"), small=SMALL).filter("seen is not null")
     # the template is known by its constant tokens and their places; two sums of hashes stand for them
     made = met.groupBy("line").agg(*[F.first(c).alias(c) for c in ("leaf", "docs", "n")], F.count(F.lit(1)).alias("constants"), F.bit_xor("place").alias("a"), F.bit_xor(F.xxhash64("place")).alias("b"))
     return made.filter(F.col("constants") >= similarity * F.col("n")).select("line", "docs", F.xxhash64("leaf", "n", "a", "b").alias("template"))
