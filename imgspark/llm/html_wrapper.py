@@ -14,8 +14,10 @@ place with the same text on more than half of the host's different pages, and on
 blocks that vary are content. All pages count, each set of blocks once, in partial counts; so at most twice as many blocks of
 a host are template as a page has on average. A page of nothing but template keeps its text.
 
-A wrapper is fitted on the sample_pages pages of its host with the smallest hash, wherever they are stored; this bounds the
-fitting only, every page is then extracted whole. Alignment is exact and needs about the square root of one page's parts times
+A wrapper is fitted on all pages of its host; copies of one page count once. Pages of one stream of tags are counted and
+aligned once; what is different is aligned in groups of fan_in by a hash of the stream, then the wrappers of these groups in
+turn, so no task holds a whole host but in its last few wrappers. In a group the wrapper of most pages comes first. A wrapper
+grows with the variety of its host's pages alone. Alignment is exact and needs about the square root of one side's parts times
 the other's in bits. Wrappers go to the tasks by broadcast while their size, which is checked, is below broadcast_bytes, else
 by a join on the host.
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, hot_join, whole
@@ -112,7 +114,8 @@ def is_group(part: list) -> bool:
 def key_of(part: list) -> str:
     """What alignment compares: the tags alone. One optional part counts as that part."""
     inside = lambda x: [inside(y) for y in x[0]] if is_group(x) else x[0]
-    return json.dumps(inside(bare(part)[0]))
+    one = bare(part)[0]
+    return json.dumps(inside(one)) if is_group(one) else one[0]
 
 
 def bare(part: list) -> tuple[list, bool]:
@@ -132,11 +135,12 @@ def merged(a: list, b: list) -> list:
 
 def fold(parts: list, longest: int = 12) -> list:
     """Runs of equal neighbours become repeated groups, the short ones first."""
+    keys = [key_of(p) for p in parts]
     for n in range(1, longest + 1):
-        keys, out, i = [key_of(p) for p in parts], [], 0
+        out, i = [], 0
         while i < len(parts):
             j, block = i + n, parts[i : i + n]
-            while keys[j : j + n] == keys[i : i + n]:
+            while j < len(parts) and keys[j] == keys[i] and keys[j : j + n] == keys[i : i + n]:
                 block = [merged(x, y) for x, y in zip(block, parts[j : j + n], strict=True)]
                 j += n
             if j > i + n:
@@ -145,13 +149,21 @@ def fold(parts: list, longest: int = 12) -> list:
             else:
                 out.append(parts[i])
                 i += 1
-        parts = out
+        if len(out) < len(parts):
+            parts, keys = out, [key_of(p) for p in out]
     return parts
 
 
 def grouped(parts: list, other: list) -> list:
     """parts with each run that is a repeated group of other as such a group, repeated once."""
-    blocks = {tuple(map(key_of, p[0])) for p in other if is_group(p) and p[1] in "+*"}
+    return regrouped(parts, repeated_blocks(other))
+
+
+def repeated_blocks(parts: list) -> set[tuple[str, ...]]:
+    return {tuple(map(key_of, p[0])) for p in parts if is_group(p) and p[1] in "+*"}
+
+
+def regrouped(parts: list, blocks: set[tuple[str, ...]]) -> list:
     if not blocks:
         return parts
     keys, lengths, out, i = [key_of(p) for p in parts], sorted({len(b) for b in blocks}, reverse=True), [], 0
@@ -210,8 +222,8 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def page_parts(shapes: list[str], labels: list[bool], places: bool = False) -> list:
-    return fold([[s, [1, int(x), [i] if places else []]] if s == SLOT else [s, 0] for i, (s, x) in enumerate(zip(shapes, labels, strict=True))])
+def page_parts(shapes: list[str], labels: list[bool], places: bool = False, pages: int = 1) -> list:
+    return fold([[s, [pages, pages * x, [i] if places else []]] if s == SLOT else [s, 0] for i, (s, x) in enumerate(zip(shapes, labels, strict=True))])
 
 
 def page_wrapper(page: str) -> list:
@@ -244,6 +256,7 @@ class Wrapper:
             return "".join(f"(?:{write(p[0])}){p[1]}+" if is_group(p) else one(p) for p in parts)
 
         self.pattern = regex.compile(write(parts))
+        self.keys, self.blocks = [key_of(p) for p in parts], repeated_blocks(parts)
 
     def labels(self, shapes: list[str], own: list[bool]) -> list[bool]:
         """Which slots of a page are article text. A page that the pattern doesn't match is aligned with the wrapper; slots
@@ -262,8 +275,8 @@ class Wrapper:
                 for i in part[1][2]:
                     out[i] = is_article(slot)
 
-        page = grouped(page_parts(shapes, own, places=True), self.parts)
-        for x, y in common([key_of(p) for p in page], [key_of(p) for p in self.parts]):
+        page = regrouped(page_parts(shapes, own, places=True), self.blocks)
+        for x, y in common([key_of(p) for p in page], self.keys):
             give(page[x], self.parts[y])
         return out
 
@@ -320,26 +333,47 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sample_pages: int = 6, small: int = 300_000) -> DataFrame:
-    """host, wrapper (JSON) and pages, the count of its pages, of every host."""
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", fan_in: int = 32) -> DataFrame:
+    """host, wrapper (JSON) and rows, the count of its rows, of every host. Every page counts."""
 
-    def infer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for page in b.column("html"):
+                shapes, _, labels = stream(page.as_py())
+                parts.append(" ".join(f"{s}{'1' * x}" for s, x in zip(shapes, labels, strict=True)))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(parts, pa.string())], ["host", "page", "stream"])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for parts, n in zip(b.column("stream").to_pylist(), b.column("pages").to_pylist(), strict=True):
+                parts = parts.split(" ") if parts else []
+                made.append(json.dumps(page_parts([SLOT if x[0] == SLOT else x for x in parts], [x == f"{SLOT}1" for x in parts], pages=n)))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("host", "at", "pages", "rows")), pa.array(made, pa.string())], ["host", "at", "pages", "rows", "wrapper"])
+
+    def aligned(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (-r["pages"], r["at"], r["wrapper"]))
+        alike: dict[tuple[str, ...], list] = {}
+        for row in rows:
+            parts = json.loads(row["wrapper"])
+            k = tuple(map(key_of, parts))
+            alike[k] = [merged(x, y) for x, y in zip(alike[k], parts, strict=True)] if k in alike else parts
         whole_one = None
-        for row in sorted(table.to_pylist(), key=lambda r: r["at"]):
-            new = page_wrapper(row["html"])
-            whole_one = new if whole_one is None else align(whole_one, new)
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(whole_one)], "pages": [row["pages"]]})
+        for parts in alike.values():
+            whole_one = parts if whole_one is None else align(whole_one, parts)
+        return pa.table({"host": [key[0].as_py()], "at": [key[1].as_py()], "pages": [sum(r["pages"] for r in rows)], "rows": [sum(r["rows"] for r in rows)], "wrapper": [json.dumps(whole_one)]})
 
+    kind = "host string, at long, pages long, rows long, wrapper string"
     text = whole(F.col(html).cast("string"))
-    named = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page_id, url, text).alias("at"), text.alias("html"))
-    few = Window.partitionBy("host").orderBy("at")
-    seen = cut(named.select("host", "at").groupBy("host", "at").agg(F.count(F.lit(1)).alias("n")))
-    counts = seen.groupBy("host").agg(F.sum("n").alias("pages"))
-    chosen = seen.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= sample_pages).select("host", "at")
-    chosen = cut(chosen.join(counts, "host"))
-    chosen = F.broadcast(chosen) if chosen.count() <= small else chosen
-    # rows that repeat as a whole have one place and are aligned once
-    return named.join(chosen, ["host", "at"]).dropDuplicates(["host", "at"]).groupBy("host").applyInArrow(infer, "host string, wrapper string, pages long")
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(text).alias("page"), text.alias("html")).mapInArrow(streams, "host string, page long, stream string")
+    counted = seen.groupBy("host", "page", "stream").agg(F.count(F.lit(1)).alias("rows")).groupBy("host", "stream").agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"))
+    made = cut(counted.withColumn("at", F.xxhash64("stream")).mapInArrow(folded, kind))
+    most = made.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        most = -(-most // fan_in)
+        made = cut(made.withColumn("at", F.pmod("at", F.lit(most))).groupBy("host", "at").applyInArrow(aligned, kind))
+    return made.select("host", "wrapper", "rows")
 
 
 def infer_templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = 3, least_share: float = 0.5) -> DataFrame:
@@ -363,9 +397,9 @@ def infer_templates(pages: DataFrame, url: str = "url", html: str = "html", leas
     return constant.groupBy("host").agg(F.collect_list("key").alias("template"))
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = 64 << 20, **sample: int) -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = 64 << 20, **fit: int) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    wrappers = cut(infer_wrappers(pages, page_id, url, html, **sample).join(infer_templates(pages, url, html), "host", "left"))
+    wrappers = cut(infer_wrappers(pages, url, html, **fit).join(infer_templates(pages, url, html), "host", "left"))
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 100 + 40 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), whole(F.col(html).cast("string")).alias("html"))
     known = None
@@ -373,7 +407,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         known = pages.sparkSession.sparkContext.broadcast({r.host: (r.wrapper, r.template) for r in wrappers.toLocalIterator()})
         rows = rows.withColumns({"wrapper": F.lit(None).cast("string"), "template": F.lit(None).cast("array<long>")})
     else:
-        rows = hot_join(rows, wrappers, "host", "pages", F.col("html")).select("page_id", "url", "host", "html", "wrapper", "template")
+        rows = hot_join(rows, wrappers, "host", "rows", F.col("html")).select("page_id", "url", "host", "html", "wrapper", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, tuple] = {}

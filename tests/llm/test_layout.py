@@ -1,6 +1,7 @@
 """WARC, HTML, mixing and sharding."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -148,6 +149,28 @@ def test_a_page_gets_its_text_through_the_wrapper_of_its_host(spark):
     assert again == got
 
 
+@pytest.mark.parametrize("fan_in", [2, 32])
+def test_every_page_of_a_host_counts_in_its_wrapper(spark, fan_in):
+    """Each slot counts the texts of all pages, copies once, however the pages are grouped; most of all pages decide."""
+    body = lambda i, box: f"<html><body><div{box}><p>Story {i} is told</p></div>{'<ul><li>x</li></ul>' * (i % 3)}{'<hr>' * (i % 5 // 2)}<table><tr><td>{i}</td></tr></table></body></html>"
+    rows = [(i, f"http://{h}.example/", body(i, " class=ad" * (i < hidden))) for h, hidden in (("few", 18), ("most", 22)) for i in range(40)]
+    rows += [(100 + i, "http://few.example/", body(0, " class=ad")) for i in range(50)]
+    made = {r.host: r for r in H.infer_wrappers(pages(spark, rows).repartition(6), fan_in=fan_in).collect()}
+
+    def slots(parts):
+        return [x for p in parts for x in (slots(p[0]) if H.is_group(p) else [p] if p[0] == H.SLOT else [])]
+
+    for h, r in made.items():
+        counts = [tuple(s[1][:2]) for s in slots(json.loads(r.wrapper))]
+        assert (40, 22 if h == "few.example" else 18) in counts and (40, 40) in counts
+        assert sum(n for n, _ in counts) == 80 + sum(i % 3 for i in range(40))
+    assert {h: r.rows for h, r in made.items()} == {"few.example": 90, "most.example": 40}
+    again = {r.host: r.wrapper for r in H.infer_wrappers(pages(spark, rows[::-1]).repartition(3), fan_in=fan_in).collect()}
+    assert again == {h: r.wrapper for h, r in made.items()}
+    got = H.main_text(pages(spark, rows), fan_in=fan_in).collect()
+    assert all(("Story" in r.text) == ("few" in r.url) for r in got) and len(got) == len(rows)
+
+
 class PlainArticle(HTMLParser):
     """Text in the article element by nesting alone, a second way for pages that have one."""
 
