@@ -209,3 +209,19 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, small):
     rows += [(200 + i, long_line + w) for i, w in enumerate(words[:6])] + [(None, "the same line everywhere here\nown text of nobody"), rows[3], rows[3], (300, None)]
     got = [(r.doc_id, r.clean_text) for r in L.line_dedup(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(plain_line_dedup(rows), key=str)
+
+
+def test_lines_and_tokens_are_exchanged_once(spark, monkeypatch):
+    """What goes into a join of lines or tokens has no exchange of its own behind it, and a token's row is its line and place."""
+    given, join = [], L.hot_join
+
+    def spied(rows, table, key, *rest, **kw):
+        given.append((key, rows.columns, rows._jdf.queryExecution().executedPlan().toString().count("Exchange")))
+        return join(rows, table, key, *rest, **kw)
+
+    monkeypatch.setattr(L, "hot_join", spied)
+    monkeypatch.setattr(L, "SMALL", 0)
+    rows = [(i, f"Own words of {chr(97 + i)} document\nPosted by {chr(97 + i)} in the news section") for i in range(9)]
+    got = [(r.doc_id, r.clean_text) for r in L.line_dedup(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(plain_line_dedup(rows))
+    assert [(k, n) for k, _, n in given] == [("leaf", 0), ("place", 0), ("line", 0), ("template", 0)] and given[1][1] == ["line", "place"]
