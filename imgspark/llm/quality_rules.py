@@ -10,6 +10,9 @@ any length.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,10 @@ BOILERPLATE = (
     r"tous droits r.serv.s|politique de confidentialit.|conditions d.utilisation|accepter les cookies|cliquez ici|"
     r"todos los derechos reservados|pol.tica de privacidad|condiciones de uso|aceptar (?:las )?cookies|haga clic aqu."
 )
+_PHRASES = BOILERPLATE.removeprefix("(?i)")
+_STARTS = zip(*[x[:3] for x in re.split(r"\|(?![^(]*\))", _PHRASES)], strict=True)
+#: BOILERPLATE behind a look at three letters, which few places of a text pass; it matches the same.
+SCREENED = f"(?i)(?={''.join(f'[{"".join(sorted(set(x)))}]' for x in _STARTS)})(?:{_PHRASES})"
 #: Words that a menu line is made of, in the same languages.
 MENU = (
     r"(?i)^\W*(?:(?:home|menu|login|log in|register|search|contact|about|sitemap|next|previous|back|top|help|faq|"
@@ -38,14 +45,17 @@ PHRASE_WORDS = 60
 
 def line_verdict(line: Column, phrase_words: int = PHRASE_WORDS) -> Column:
     """Null for a line that stays, else the rule that it fails: punctuation, navigation or boilerplate."""
-    bare = F.btrim(line, F.lit(BLANKS))
+    return _verdict(F.btrim(line, F.lit(BLANKS)), phrase_words)
+
+
+def _verdict(bare: Column, phrase_words: int) -> Column:
     n = F.size(F.split(bare, GAP))
-    marks = F.length(bare) - F.length(F.translate(bare, "#*$%&<>!", ""))
-    bars = F.length(bare) - F.length(F.translate(bare, "|»•›", ""))
+    marks = F.regexp_count(bare, F.lit("[#*$%&<>!]"))
+    bars = F.regexp_count(bare, F.lit("[|»•›]"))
     ends = F.substring(bare, -1, 1).isin(*".!?…:;,\"')]”»。")
     return (
         F.when((bars >= 3) & (bars * 3 >= n - bars) | bare.rlike(MENU), "navigation")
-        .when(F.when(bare.rlike(BOILERPLATE), F.regexp_count(bare, F.lit(BOILERPLATE)) * phrase_words >= n).otherwise(False), "boilerplate")
+        .when(F.when(bare.rlike(SCREENED), F.regexp_count(bare, F.lit(SCREENED)) * phrase_words >= n).otherwise(False), "boilerplate")
         .when((marks >= 3) & (marks >= n) | ~ends & (n < 4), "punctuation")
     )
 
@@ -69,14 +79,17 @@ def quality_rules(
     phrase_words: int = PHRASE_WORDS,
 ) -> DataFrame:
     """Every row with the base counts, base_failed, n_lines, n_lines_removed, n_chars_lines, n_chars_kept, clean_text and kept."""
-    def verdict(line: Column) -> Column:
-        c = F.length(F.translate(line, BLANKS, ""))
-        return F.struct(F.when(c > 0, line_verdict(line, phrase_words)).alias("why"), c.alias("c"), line.alias("line"))
+    # replace and patterns here and below, as translate looks each letter up in a table
+    def verdict(x: Column) -> Column:
+        c = F.length(reduce(lambda a, blank: F.replace(a, F.lit(blank), F.lit("")), BLANKS.replace("\n", ""), x["bare"]))
+        return F.struct(F.when(x["bare"] != "", _verdict(x["bare"], phrase_words)).alias("why"), c.alias("c"), x["line"].alias("line"))
+
+    def bared(line: Column) -> Column:
+        return F.struct(line.alias("line"), F.btrim(line, F.lit(BLANKS)).alias("bare"))
 
-    whitespace_free = F.translate(F.col("_t"), BLANKS, "")
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "n_chars_lines", "n_chars_kept", "clean_text", "kept"]
     d = docs.select(carried(docs, out), whole(F.col(f"`{text}`")).alias("_t"))
-    d = d.withColumns({"_w": words(F.col("_t")), "_l": F.filter(F.split("_t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")})
+    d = d.withColumns({"_w": words(F.col("_t")), "_l": F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")})
     d = d.withColumns(
         {
             "_n": F.size("_w"),
@@ -84,7 +97,7 @@ def quality_rules(
                 F.size("_w") >= 3,
                 F.transform(F.slice("_w", 1, F.size("_w") - 2), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))),
             ).otherwise(F.array().cast("array<bigint>")),
-            "_v": F.transform(F.split("_t", "\n"), verdict),
+            "_v": F.transform(F.transform(F.split("_t", "\n"), bared), verdict),
         }
     )
     d = d.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -94,8 +107,8 @@ def quality_rules(
     d = d.select(
         "carried",
         F.col("_n").cast("long").alias("n_words"),
-        F.length(whitespace_free).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(
             F.col("_p").isNotNull(),

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from imgspark.llm import bpe as B
 from imgspark.llm import quality_rules as Q
@@ -64,6 +65,20 @@ def test_line_rules(spark):
     assert got == [None, "navigation", "boilerplate", "punctuation", "punctuation", None, "navigation"]
 
 
+def test_screened_phrases_and_no_table_of_letters(spark):
+    """The screened pattern counts what the plain one does, in any case, inside of words and side by side; no text is translated."""
+    phrases = [re.sub(r"\(\?:(\(c\\\))?[^)]*\)\??", "", x) for x in re.split(r"\|(?![^(]*\))", Q.BOILERPLATE[4:])]
+    texts = [*phrases, *[f"x{p.upper()}{p}y {p[1:]}" for p in phrases], "Copyright (C) copyright © COPYRIGHT 2020", "accept all cookies, ACCEPT cookies", "terms of use terms of service", "Datenschutzerklärung pol\u0131tica Política de privacidad", " ".join(phrases), "", "\n", None]
+    count = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0))
+    got = docs(spark, texts).select(count(Q.SCREENED), count(Q.BOILERPLATE)).collect()
+    assert all(a == b for a, b in got) and sum(b for _, b in got) > 80
+    blanks = [f"two{x}words{x}{x}and a {x} third | * # <>\n{x}\n{x}two{x}words {x}\n" for x in BLANK]
+    rows = Q.quality_rules(docs(spark, blanks))
+    assert [tuple(r) for r in rows.select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()] == [base(t)[:5] for t in blanks]
+    assert [r[0] for r in rows.select("n_chars_lines").collect()] == [base(t)[1] for t in blanks]
+    assert "translate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def b():
     return B.bpe(tokenizer_path())
