@@ -60,8 +60,8 @@ def _converted(met: DataFrame, encode: Encode) -> DataFrame:
         if r["route"] == "raw-16":
             return r["out_name"], K.png(K.sharpen16(unpack(r)))
         a = K.to_rgba8(unpack(r)) if r["channels"] < 4 else unpack(r)
-        a = K.resample(a, r["out_h"], r["out_w"])
-        content, mime = encode(np.dstack([K.flatten_alpha(a), np.full(a.shape[:2], 255, np.uint8)]) if r["out_mime"] == "image/jpeg" else a, r["out_mime"], r["quality"])
+        a = K.resample(a, r["out_h"], r["out_w"], black=r["out_mime"] == "image/jpeg")
+        content, mime = encode(a, r["out_mime"], r["quality"])
         return r["out_name"] if mime == r["out_mime"] else f"{r['out_name'].rpartition('.')[0]}.{mime.split('/')[1].replace('jpeg', 'jpg', 1)}", content
 
     def make(r: dict) -> list[dict]:

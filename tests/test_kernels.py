@@ -1,8 +1,10 @@
 """Kernels against slow loops, files through Spark's own readers, streams against their batch twins."""
 
 import struct
+import tracemalloc
 import zlib
 from datetime import timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -111,6 +113,42 @@ def test_resample_invariants():
     assert K.resample(half, 1, 1)[0, 0].tolist() == [200, 100, 0, 64]
 
 
+def exact_enlarged(rgba, height, width, y, x):
+    """One pixel of an enlarged RGBA raster in fractions: colours weighted by alpha, transparent ones zero."""
+    near = []
+    for m, n, i in ((rgba.shape[0], height, y), (rgba.shape[1], width, x)):
+        pos = min(max(Fraction((2 * i + 1) * m, 2 * n) - Fraction(1, 2), Fraction(0)), Fraction(m - 1))
+        near.append([(int(pos), 1 - pos % 1), (min(int(pos) + 1, m - 1), pos % 1)])
+    four = [(p * q, rgba[v, u].tolist()) for v, p in near[0] for u, q in near[1]]
+    alpha = sum(w * c[3] for w, c in four)
+    return [sum(w * c[k] * c[3] for w, c in four) / alpha if alpha else Fraction(0) for k in range(3)] + [alpha]
+
+
+def test_enlarged_rgba_is_the_rounded_mean():
+    for h, w, height, width in ((1, 1, 3, 4), (2, 3, 7, 11), (5, 4, 5, 23), (6, 7, 31, 8), (4, 6, 25, 6), (9, 8, 40, 29)):
+        a = RNG.integers(0, 256, (h, w, 4)).astype(np.uint8)
+        a[..., 3] = np.where(RNG.random((h, w)) < 0.4, 255, np.where(RNG.random((h, w)) < 0.4, 0, a[..., 3]))
+        got = K.resample(a, height, width)
+        assert got.shape == (height, width, 4) and got.dtype == np.uint8
+        for y, x in np.ndindex(height, width):
+            exact = exact_enlarged(a, height, width, y, x)
+            assert all(abs(g - e) <= Fraction(1, 2) + Fraction(1, 10**9) for g, e in zip(got[y, x].tolist(), exact, strict=True))
+        over = K.resample(a, height, width, black=True)
+        assert (over[..., :3] == K.flatten_alpha(got)).all() and (over[..., 3] == 255).all()
+    small = K.resample(a, 3, 2, black=True)
+    assert (small == K.over_black(K.resample(a, 3, 2))).all()
+
+
+def test_enlarging_holds_strips_beside_the_result():
+    a = RNG.integers(0, 256, (24, 24, 4)).astype(np.uint8)
+    for black in (False, True):
+        tracemalloc.start()
+        result = K.resample(a, 1500, 2000, black=black)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert result.shape == (1500, 2000, 4) and peak < 1500 * 2000 * 4 + 16e6
+
+
 def read_png16(content):
     at, data = 8, b""
     while at < len(content):
