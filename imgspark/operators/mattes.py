@@ -42,13 +42,14 @@ def finished_mattes(images: DataFrame, layers: DataFrame, output: str = "image")
     """RGBA rasters cut out by their layers: fused, holes and detached bits cleared, edges snapped, colours cleaned, curves applied.
 
     layers: as in fuse_layers, with `detail` (person, hair, edge). output: "image", or "mask" for the alpha alone. Layers of an image
-    (13 at most) are gathered in a row and meet its pixels in one join; images without layers, and layers without image, are no job."""
+    (13 at most) are gathered in a row and meet its pixels in one join; images without layers, and layers without image, are no job.
+    The join is a merge: of masks Spark knows the size of their files, which may be a hundredth of what a broadcast would hold."""
 
     def make(r: dict) -> list[dict]:
         a = finish.finish(unpack(r), _layers(r), output == "image")
         return [pack(r["image_id"], a if output == "image" else a[..., 3:])]
 
-    return over_rows(images.join(_gathered(layers), "image_id"), RASTER, make, slice_rows=4)
+    return over_rows(images.join(_gathered(layers).hint("merge"), "image_id"), RASTER, make, slice_rows=4)
 
 
 def snap_to_edges(rasters: DataFrame, radius: int) -> DataFrame:

@@ -144,7 +144,7 @@ def whole_pictures(images: DataFrame) -> DataFrame:
 def cut_crops(plan: DataFrame, images: DataFrame, edge: int | None = None) -> DataFrame:
     """The pixels of each planned crop as a raster row with its place, dealt by (image_id, layer_idx).
 
-    The crops of a picture, CROPS at most, meet it as one row and are cut where its raster is; only the crops move on. edge: crops of
+    The crops of a picture, CROPS at most, meet it as one row, by a merge as in finished_mattes(); only the crops move on. edge: crops of
     a longer side are brought down to it first, as model_input() would do, so that what moves is never more than CROPS * edge * edge
     pixels a picture, however large that is."""
     columns = ["layer_idx", "l", "t", "r", "b", "own_l", "own_r", "detail"]
@@ -156,7 +156,7 @@ def cut_crops(plan: DataFrame, images: DataFrame, edge: int | None = None) -> Da
         pixels = lambda c: np.ascontiguousarray(a[c["t"] : c["b"], c["l"] : c["r"]])
         return [pack(r["image_id"], brought_down(pixels(c), edge) if edge else pixels(c)) | size | c for c in r["crops"]]
 
-    return over_rows(images.join(per_image, "image_id"), f"{RASTER}, {KEPT.partition(', ')[2]}", make).repartition("image_id", "layer_idx")
+    return over_rows(images.join(per_image.hint("merge"), "image_id"), f"{RASTER}, {KEPT.partition(', ')[2]}", make).repartition("image_id", "layer_idx")
 
 
 def refine_masks(images: DataFrame, plan: DataFrame, make_predict: Predict, fallback: Predict | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from imgspark.functions import finish as N
 from imgspark.functions import kernels as K
 from imgspark.functions import matte as M
 from imgspark.functions import selection as S
-from imgspark.operators import rasters, scan, selections, tiles
+from imgspark.operators import mattes, rasters, scan, selections, tiles
 from imgspark.plans import background as B
 from imgspark.sources import files
 
@@ -78,6 +78,18 @@ def test_crops_are_cut_where_the_picture_is(spark):
         assert (rasters.unpack(r.asDict()) == pictures[r.image_id][r.t : r.b, r.l : r.r]).all() and (r.frame_h, r.frame_w) == (90, 120)
 
 
+def test_no_picture_or_mask_is_broadcast(spark, tmp_path):
+    """Masks that repeat are next to nothing as files, but not in memory."""
+    pictures = frame(spark, [portrait(0)] * 40)
+    B.predicted(B.whole_pictures(pictures), lambda: lambda a: a[..., 0]).write.parquet(str(tmp_path / "whole"))
+    whole = spark.read.parquet(str(tmp_path / "whole")).drop("error")
+    plan = B.planned_crops(whole.withColumns({"image_w": F.col("frame_w"), "image_h": F.col("frame_h"), "channels": F.lit(1), "bits": F.lit(8)}))
+    for job in (B.cut_crops(plan, pictures), mattes.finished_mattes(pictures, whole)):
+        job.write.format("noop").mode("overwrite").save()
+        said = job._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in said and "Broadcast" not in said
+
+
 def test_stamps_change_their_box_only():
     a, source = (RNG.integers(0, 256, (40, 50, 4)).astype(np.uint8) for _ in range(2))
     for x, y, radius in ((10.0, 12.0, 6.0), (0.0, 0.0, 9.5), (49.5, 39.5, 3.0), (-20.0, 5.0, 4.0), (25.0, 20.0, 100.0)):
