@@ -2,7 +2,7 @@
 
 Rows are (path string, content binary): content is appended to the file `path` below the folder. Rows of one path have to stand
 in one partition, one after the other. Every task attempt writes below a staging folder of its own; its commit message names
-that folder, and the driver moves what the messages name into place when all tasks are done. So an attempt that failed or ran
+that folder, and the driver moves what the messages name into place when all tasks are done, whole folders where they are new. So an attempt that failed or ran
 twice leaves nothing, a failed job leaves nothing, and readers never see half a file. Folders are opened by Arrow's
 file systems (local or mounted paths, hdfs://, s3://, gs://). `overwrite` first removes what the folder held.
 """
@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "path string, content binary"
 #: Files that the driver moves at a time.
 MOVES = 16
+#: File systems that move a folder with all that it holds.
+RENAMES = ("local", "hdfs")
 
 
 def opened(folder: str):
@@ -98,13 +100,23 @@ class ByteFilesWriter(DataSourceArrowWriter):
         with ThreadPoolExecutor(MOVES) as pool:
             for m in messages:
                 if m is not None and m.attempt:
-                    found = fs.get_file_info(F.FileSelector(m.attempt, recursive=True))
-                    for x in found:
-                        if x.type == F.FileType.Directory:
-                            fs.create_dir(base + x.path[len(m.attempt) :], recursive=True)
-                    list(pool.map(lambda x, a=m.attempt: fs.move(x.path, base + x.path[len(a) :]), [x for x in found if x.type == F.FileType.File]))
+                    self.move(fs, pool, m.attempt, base)
         self.abort(messages)
 
+    def move(self, fs, pool: ThreadPoolExecutor, source: str, target: str) -> None:
+        """What a folder holds; a folder that is new below the target goes in one move, where the file system has such a thing."""
+        from pyarrow import fs as F
+
+        fs.create_dir(target, recursive=True)
+        files = []
+        for x in fs.get_file_info(F.FileSelector(source)):
+            to = f"{target}/{x.base_name}"
+            if x.type == F.FileType.Directory and (fs.type_name not in RENAMES or fs.get_file_info(to).type != F.FileType.NotFound):
+                self.move(fs, pool, x.path, to)
+            else:
+                files.append((x.path, to))
+        list(pool.map(lambda f: fs.move(*f), files))
+
     def abort(self, messages: list[Written | None]) -> None:
         """Nothing is in its place yet: the staging folder goes, with what any attempt has left there."""
         from pyarrow import fs as F

@@ -11,6 +11,7 @@ from ..operators.pictures import embedded_pictures
 from ..operators.rasters import over_rows
 from .byte_files import save
 from .byte_ranges import RANGE_BYTES, ranges_of
+from .listing import listed
 
 #: MIME types by extension, for files that come without one.
 BY_EXTENSION = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "avif": "image/avif", "bmp": "image/bmp"}
@@ -25,16 +26,25 @@ def _listed(files: DataFrame, batch_id: str) -> DataFrame:
     return rows.filter(M.is_image(F.col("name"), F.col("mime")))
 
 
-def read_images(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, batch_id: str, deep: bool = False) -> DataFrame:
     """The accepted files of a folder, without their bytes. A file that comes in two batches is two items.
 
-    Spark's file sources don't list files of no bytes, so these are never items."""
-    return _listed(spark.read.format("binaryFile").load(path).drop("content"), batch_id)
+    Tasks list the folder, so no file passes the driver. A folder is listed in one task; deep: those right below it are part of the
+    intake, so many files should lie in many of them. Patterns, and stores that only Spark opens, are listed by Spark on the driver.
+    Files of no bytes are never items, as with Spark's file sources."""
+    found = listed(spark, path, deep)
+    if found is None:
+        found = spark.read.format("binaryFile").load(path if not deep else [path, f"{path}/*"]).drop("content")
+    return _listed(found, batch_id)
 
 
-def stream_images(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
+def stream_images(spark: SparkSession, path: str, batch_id: str, deep: bool = False) -> DataFrame:
+    """The same as a stream. Which files came before is state by their paths, kept by executors."""
+    found = listed(spark, path, deep, stream=True)
+    if found is not None:
+        return _listed(found.dropDuplicates(["path"]), batch_id)
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return _listed(spark.readStream.format("binaryFile").schema(schema).load(path), batch_id)
+    return _listed(spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", str(deep).lower()).load(path), batch_id)
 
 
 def decode_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -120,3 +120,28 @@ def test_prefix_sums_split_a_hot_group(spark):
         sums.setdefault((g, "n"), []).append(n)
         sums.setdefault((g, "i"), []).append(i)
     assert all((x.before, x.place) == sums[x.g, x.i] for x in got)
+
+
+def test_a_new_folder_goes_into_place_in_one_move(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    moved = []
+
+    class Counted:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, source, target):
+            moved.append(target)
+            self.fs.move(source, target)
+
+    opened = byte_files.opened
+    monkeypatch.setattr(byte_files, "opened", lambda folder: (Counted(opened(folder)[0]), opened(folder)[1]))
+    rows = lambda names: iter([pa.record_batch([pa.array(names), pa.array([n.encode() for n in names], pa.binary())], names=["path", "content"])])
+    writer = byte_files.ByteFilesWriter(str(tmp_path), False)
+    writer.commit([writer.write(rows([f"a/b/{i}" for i in range(50)])), writer.write(rows(["a/b/x", "c/y", "z"]))])
+    assert len(moved) == 4
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file()) == sorted([*(f"a/b/{i}" for i in range(50)), "a/b/x", "c/y", "z"])

@@ -200,6 +200,33 @@ def test_png_round_trips(spark, tmp_path):
     assert sorted(map(tuple, spark.table("intake").collect())) == sorted(map(tuple, listed.collect()))
 
 
+def test_intake_is_listed_by_tasks_and_goes_on_where_it_stopped(spark, tmp_path):
+    """Twenty sub-folders in more than one task, hidden and empty files, a file that is there already in a folder that changes."""
+    drop, out = tmp_path / "drop", tmp_path / "out"
+    put = lambda name: ((drop / name).parent.mkdir(parents=True, exist_ok=True), (drop / name).write_text("x" * len(name)))
+    names = [f"{i}/{i}-{k}.png" for i in range(20) for k in range(3)] + ["own.JPG"]
+    for name in [*names, "3/_hidden.png", "_staging/no.png", ".no.png", "3/notes.txt", "3/deeper/no.png"]:
+        put(name)
+    (drop / "4/empty.png").write_bytes(b"")
+    plain = files.read_images(spark, str(drop), "b").collect()
+    assert [r.name for r in plain] == ["own.JPG"] and plain[0].path == f"file:{drop}/own.JPG"
+    listed = files.read_images(spark, str(drop), "b", deep=True)
+    assert "FileScan" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.size_bytes) for r in listed.collect()} == {(f"file:{drop}/{n}", len(n)) for n in names}
+
+    def streamed():
+        q = files.stream_images(spark, str(drop), "b", deep=True).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state"))
+        q.trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(map(tuple, spark.read.parquet(str(out)).collect()))
+
+    assert streamed() == sorted(map(tuple, listed.collect()))
+    for name in ("5/late.png", "21/new.png"):
+        put(name)
+    listed = files.read_images(spark, str(drop), "b", deep=True)
+    assert streamed() == sorted(map(tuple, listed.collect())) and listed.count() == len(names) + 2
+    assert [r.name for r in files.read_images(spark, f"{drop}/2*", "b").collect()].count("2-1.png") == 1
+
+
 def jpeg(w, h, tail=b"\x11\x22"):
     seg = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", len(body) + 2) + body
     return b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xC0, b"\x08" + struct.pack(">HH", h, w) + b"\x03") + seg(0xDA, b"\x01") + tail + b"\xff\xd9"
